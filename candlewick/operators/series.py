@@ -154,3 +154,51 @@ def trailing(w: Window, p: int) -> Window:
 def masked(value: Column, x: Column, w: Window, p: int) -> Column:
     """``value`` where the trailing ``p``-row frame holds ``p`` non-null ``x``, else null."""
     return F.when(F.count(x).over(trailing(w, p)) == F.lit(p), value)
+
+
+_SCAN_OPS = {
+    "sum": (F.sum, lambda a, b: a + b, 0.0),
+    "product": (F.product, lambda a, b: a * b, 1.0),
+    "max": (F.max, F.greatest, None),
+    "min": (F.min, F.least, None),
+}
+
+
+def prefix_scan(
+    df: DataFrame,
+    value: Column | str,
+    op: str,
+    out: str,
+    *,
+    keys: Sequence[str] = KEYS,
+    idx: str = "n",
+    block: int = ROLL_BLOCK,
+    exclusive: bool = False,
+) -> DataFrame:
+    """Running ``sum``/``product``/``max``/``min`` from the start of each series.
+
+    The unbounded-preceding frame is split: a running aggregate inside blocks of
+    ``block`` rows, plus the aggregate of all earlier blocks taken from the block-total
+    table (``block`` times smaller) and joined back on ``(key, block)``.
+    ``exclusive`` leaves the current row out.
+    """
+    agg, combine, identity = _SCAN_OPS[op]
+    v = F.col(value) if isinstance(value, str) else value
+    base = df.withColumn("_sv", v).withColumn("_sb", F.floor(F.col(idx) / F.lit(block)).cast("long"))
+    totals = base.groupBy(*keys, "_sb").agg(agg("_sv").alias("_st"))
+    before = Window.partitionBy(*keys).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select(*keys, "_sb", agg("_st").over(before).alias("_sc"))
+    end = -1 if exclusive else 0
+    inner = Window.partitionBy(*keys, "_sb").orderBy(idx).rowsBetween(Window.unboundedPreceding, end)
+    out_df = base.join(carry, [*keys, "_sb"], "left").withColumn("_si", agg("_sv").over(inner))
+    a, c = F.col("_si"), F.col("_sc")
+    if identity is None:
+        res = F.when(a.isNull(), c).when(c.isNull(), a).otherwise(combine(a, c))
+    else:
+        res = combine(F.coalesce(a, F.lit(identity)), F.coalesce(c, F.lit(identity)))
+    return out_df.withColumn(out, res).drop("_sv", "_sb", "_st", "_sc", "_si")
+
+
+def number_rows(df: DataFrame, keys: Sequence[str], order: str, out: str = "m") -> DataFrame:
+    """Dense 0-based position by an integer ``order`` column (chunks of ``CHUNK_BARS``)."""
+    return number_bars(df, keys, order=order, out=out, chunk=F.floor(F.col(order) / F.lit(CHUNK_BARS)))

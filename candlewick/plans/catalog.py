@@ -128,3 +128,113 @@ def q_ind_rolling(spark, sf):
 
     df = rolling(_li(spark, sf), build, back=9, fwd=5)
     return rounded(df.select(*BAR_COLS, "mean_5", "std_10", "prev_close", "pct_1", "pct_3", "close_lead_5"))
+
+
+# --- D/G: feature sets and labels -------------------------------------------------------------
+
+from ..operators import backtest as BT  # noqa: E402
+from ..operators import features as FE  # noqa: E402
+from ..operators import labels as LB  # noqa: E402
+from ..operators import signals as SG  # noqa: E402
+from ..sources import fixtures as FX  # noqa: E402
+
+
+def _feature_query(spark, sf, feature_set):
+    df = FE.build_features(_li(spark, sf), feature_set)
+    cols = [*BAR_COLS, *FE.feature_columns(feature_set)]
+    if "label" in df.columns:
+        cols += ["label", "label_valid"]
+    return rounded(df.select(*cols))
+
+
+def q_features_v11(spark, sf):
+    return _feature_query(spark, sf, "v11")
+
+
+def q_features_v10(spark, sf):
+    return _feature_query(spark, sf, "v10")
+
+
+def q_features_momentum25(spark, sf):
+    return _feature_query(spark, sf, "momentum25")
+
+
+def q_features_simple4(spark, sf):
+    return _feature_query(spark, sf, "simple4")
+
+
+def q_labels_triple_barrier(spark, sf):
+    df = rolling(_li(spark, sf), lambda w: LB.triple_barrier_label_cols(w, 10, 0.01, 0.008), back=0, fwd=10)
+    return df.select(*BAR_COLS, "label")
+
+
+# --- H: signals -------------------------------------------------------------------------------
+
+
+def q_strategy_signals(spark, sf):
+    df = SG.strategy_signals(_li(spark, sf))
+    return rounded(df.select(
+        *BAR_COLS, "macd_state", "ema_signal", "rsi_signal", "bb_signal", "bb_reason", "trend",
+        "trend_reason", "sideways", "macd_zero", "combined", "trend_combined",
+    ))
+
+
+def q_model_signal_gates(spark, sf):
+    """H9-H11 on V11 features with the deterministic probability stand-in."""
+    feats = FE.build_features(_li(spark, sf), "v11", with_label=False)
+    probs = SG.prob_array()
+    df = FX.predictions(feats).join(feats.select(*BAR_COLS, "slope_20", "adx"), BAR_COLS)
+    cls = SG.model_class(probs)
+    gated = SG.confidence_gate(probs, 0.54)
+    return rounded(df.select(
+        *BAR_COLS,
+        cls.alias("model_class"),
+        F.when(F.col("n") < 60, F.lit("NEUTRAL")).otherwise(
+            F.when(cls == 1, "BULLISH").when(cls == -1, "BEARISH").otherwise("NEUTRAL")).alias("ai_signal"),
+        gated.alias("gated"),
+        SG.slope_gate_backtest(gated).alias("gated_backtest"),
+        SG.slope_gate_live(gated).alias("gated_live"),
+    ))
+
+
+# --- I1/J: backtests ----------------------------------------------------------------------------
+
+
+def _v11_test_frame(spark, sf, threshold=0.54):
+    feats = FE.build_features(_li(spark, sf), "v11").filter(F.col("label_valid"))
+    split = BT.chronological_split(feats)
+    probs = SG.prob_array()
+    test = FX.predictions(split).join(split, BAR_COLS).filter(F.col("t").isNotNull())
+    test = test.withColumn("prediction", SG.confidence_gate(probs, threshold))
+    return test.withColumn("signal", SG.slope_gate_backtest(F.col("prediction")))
+
+
+def q_backtest_bar_to_bar(spark, sf):
+    test = _v11_test_frame(spark, sf)
+    curve = BT.equity_curves(BT.bar_to_bar(test))
+    return rounded(curve.select(*BAR_COLS, "t", "prediction", "signal", "ret", "cost", "strat_ret", "equity", "equity_bh"))
+
+
+def q_backtest_summary(spark, sf):
+    test = _v11_test_frame(spark, sf)
+    res = BT.summary(BT.bar_to_bar(test), test, signal="prediction")
+    return rounded(res)
+
+
+def _m25_test_frame(spark, sf, threshold=None):
+    feats = FE.build_features(_li(spark, sf), "momentum25")
+    split = BT.chronological_split(feats)
+    probs = SG.prob_array()
+    test = FX.predictions(split).join(split, BAR_COLS).filter(F.col("t").isNotNull())
+    sig = SG.model_class(probs) if threshold is None else SG.confidence_gate(probs, threshold)
+    return test.withColumn("signal", sig)
+
+
+def q_backtest_horizon(spark, sf):
+    curve = BT.equity_curves(BT.horizon_returns(_m25_test_frame(spark, sf)))
+    return rounded(curve.select(*BAR_COLS, "t", "signal", "ret", "strat_ret", "equity", "equity_bh"))
+
+
+def q_backtest_tp_sl(spark, sf):
+    curve = BT.equity_curves(BT.tp_sl_returns(_m25_test_frame(spark, sf, threshold=0.40)))
+    return rounded(curve.select(*BAR_COLS, "t", "signal", "ret", "strat_ret", "equity", "equity_bh"))

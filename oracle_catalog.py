@@ -73,3 +73,153 @@ SELECT {KEYCOLS}, {rnd(sma('close', 5))} AS mean_5,
   {rnd(tdiv('close', lag('close', 3)) + ' - 1.0')} AS pct_3,
   {rnd(lead('close', 5))} AS close_lead_5
 FROM nb"""
+
+
+# --- feature sets ---------------------------------------------------------------------------
+
+
+def _fwd(x: str, k: int, agg: str) -> str:
+    return f"{agg}({x}) OVER (PARTITION BY symbol, tf ORDER BY n ROWS BETWEEN 1 FOLLOWING AND {k} FOLLOWING)"
+
+
+def barrier_ctes(version: str) -> str:
+    """CTE ``feat``: V11/V10 features + G1 label (rows from bar 199, features present)."""
+    W, m = (12, 1.25) if version == "v11" else (14, 1.3)
+    sp = 20 if version == "v11" else 30
+    t14 = trailing(14)
+    return ta_state() + f""",
+v0 AS (
+  SELECT *, {IND['atr']} AS atr_v, {IND['adx']} AS adx_v, {IND['rsi_14']} AS rsi_v,
+         {IND['macd_hist']} AS hist_v, {IND['atr_lbl']} AS atrl_v, (high + low + close) / 3.0 AS tp
+  FROM ta),
+v1 AS (
+  SELECT *, {lag('tp')} AS ptp, {sma('close', 20)} AS mid,
+         {masked_agg('stddev_pop(close)', 'close', 20)} AS sd,
+         {sma('close', 200)} AS sma200,
+         {masked_agg('regr_slope(close, CAST(n AS DOUBLE))', 'close', sp)} AS slope,
+         {sma('atr_v', 50)} AS atr50,
+         {_fwd('close', W, 'max')} AS fmax, {_fwd('close', W, 'min')} AS fmin,
+         {lead('close', W)} AS lead_w
+  FROM v0),
+v2 AS (
+  SELECT *, CASE WHEN ptp IS NOT NULL THEN CASE WHEN tp > ptp THEN tp * tick_volume ELSE 0.0 END END AS pos,
+            CASE WHEN ptp IS NOT NULL THEN CASE WHEN tp < ptp THEN tp * tick_volume ELSE 0.0 END END AS neg
+  FROM v1),
+v3 AS (
+  SELECT *, CASE WHEN count(pos) {t14} = 14 THEN
+      CASE WHEN sum(pos) {t14} + sum(neg) {t14} < 1.0 THEN 0.0
+      ELSE 100.0 * sum(pos) {t14} / (sum(pos) {t14} + sum(neg) {t14}) END END AS mfi_v,
+    mid + 2.0 * sd AS up, mid - 2.0 * sd AS lo,
+    CASE WHEN atrl_v IS NULL THEN NULL ELSE greatest(0.0035, {m} * atrl_v / close) END AS thr,
+    (fmax - close) / close AS ret_up, (close - fmin) / close AS ret_dn
+  FROM v2),
+feat AS (
+  SELECT symbol, tf, time, n, open, high, low, close, tick_volume,
+    {('slope / (close + 1e-9)' if version == 'v11' else tdiv('slope', 'close'))} AS {'slope_20' if version == 'v11' else 'slope_30'},
+    adx_v AS adx,
+    (up - lo) / (atr_v + 1e-9) AS sqz_idx,
+    {tdiv('atr_v', 'atr50')} AS atr_ratio,
+    rsi_v AS rsi_14, mfi_v AS mfi,
+    hist_v / (close + 1e-9) AS macd_hist,
+    (close - lo) / (up - lo + 1e-9) AS price_in_bb,
+    (close - sma200) / (sma200 + 1e-9) AS dist_sma_200,
+    (close - mid) / (mid + 1e-9) AS dist_sma_20,
+    CASE WHEN close = 0 THEN 0.0 ELSE 100.0 * atr_v / close END AS natr,
+    {('(close - open) / (high - low + 1e-9)' if version == 'v11' else 'abs(close - open) / (high - low + 1e-9)')} AS body_size,
+    (high - greatest(close, open)) / (high - low + 1e-9) AS upper_wick,
+    CAST(hour(time) AS INTEGER) AS hour,
+    CAST(CASE WHEN hour(time) BETWEEN 14 AND 20 THEN 1 ELSE 0 END AS INTEGER) AS market_active,
+    CAST(CASE WHEN ret_up > thr AND ret_dn < ret_up * 0.5 THEN 1
+              WHEN ret_dn > thr AND ret_up < ret_dn * 0.5 THEN -1 ELSE 0 END AS INTEGER) AS label,
+    lead_w IS NOT NULL AS label_valid
+  FROM v3 WHERE n >= 199)"""
+
+
+V11_COLS = ["slope_20", "adx", "sqz_idx", "atr_ratio", "rsi_14", "mfi", "macd_hist", "price_in_bb",
+            "dist_sma_200", "dist_sma_20", "natr", "body_size", "upper_wick", "hour", "market_active"]
+V10_COLS = ["slope_30", "adx", "sqz_idx", "rsi_14", "mfi", "macd_hist", "price_in_bb", "dist_sma_200",
+            "natr", "body_size", "hour", "market_active"]
+INT_COLS = {"hour", "market_active", "doji", "engulfing"}
+
+
+def _feature_select(cols: list[str]) -> str:
+    sel = ", ".join(c if c in INT_COLS else f"{rnd(c)} AS {c}" for c in cols)
+    nn = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    return f"SELECT {KEYCOLS}, {sel}, label, label_valid FROM feat WHERE {nn}"
+
+
+SQL["features_v11"] = _li(barrier_ctes("v11")) + "\n" + _feature_select(V11_COLS)
+SQL["features_v10"] = _li(barrier_ctes("v10")) + "\n" + _feature_select(V10_COLS)
+
+M25_COLS = [
+    "ema_cross", "price_to_ema12", "price_to_ema26", "ema12_slope", "ema26_slope",
+    "macd_line", "macd_signal", "macd_hist", "macd_cross", "macd_hist_slope",
+    "rsi_14", "rsi_slope", "rsi_buy_signal", "rsi_sell_signal", "rsi_trend_strength",
+    "price_change", "price_momentum", "volatility", "volatility_ratio",
+    "body_ratio", "body_momentum", "upper_shadow_ratio", "lower_shadow_ratio", "doji", "engulfing",
+]
+
+
+def momentum_ctes() -> str:
+    """CTE ``feat``: the 25-column set + G2 label."""
+    return ta_state() + f""",
+m0 AS (
+  SELECT *, {IND['ema_12']} AS e12v, {IND['ema_26']} AS e26v, {IND['rsi_14']} AS rsiv,
+    {IND['macd']} AS macdv, {IND['macd_signal']} AS sigv, {IND['macd_hist']} AS histv,
+    abs(close - open) AS body, abs(close - open) / (high - low + 1e-10) AS body_ratio,
+    CASE WHEN close > open THEN 1 ELSE -1 END AS dir
+  FROM ta),
+m1 AS (
+  SELECT *, {masked_agg('stddev_samp(close)', 'close', 10)} / close AS volatility,
+    e12v - {lag('e12v')} AS d12, e26v - {lag('e26v')} AS d26, histv - {lag('histv')} AS dh,
+    rsiv - {lag('rsiv')} AS dr,
+    body_ratio - {sma('body_ratio', 5)} AS body_momentum,
+    {lag('dir')} AS pdir, {lag('body')} AS pbody,
+    {tdiv('close', lag('close'))} - 1.0 AS price_change,
+    {tdiv('close', lag('close', 3))} - 1.0 AS price_momentum,
+    ({lead('close', 5)} - close) / close AS fr
+  FROM m0),
+feat AS (
+  SELECT symbol, tf, time, n,
+    {tdiv('e12v - e26v', 'e26v')} AS ema_cross,
+    {tdiv('close - e12v', 'e12v')} AS price_to_ema12,
+    {tdiv('close - e26v', 'e26v')} AS price_to_ema26,
+    {sma('d12', 3)} AS ema12_slope, {sma('d26', 3)} AS ema26_slope,
+    {tdiv('macdv', 'close')} AS macd_line, {tdiv('sigv', 'close')} AS macd_signal,
+    {tdiv('histv', 'close')} AS macd_hist, {tdiv('macdv - sigv', 'close')} AS macd_cross,
+    {sma('dh', 3)} AS macd_hist_slope,
+    rsiv AS rsi_14, {sma('dr', 3)} AS rsi_slope,
+    (rsiv - 60.0) / 40.0 AS rsi_buy_signal, (rsiv - 40.0) / 40.0 AS rsi_sell_signal,
+    abs(rsiv - 50.0) / 50.0 AS rsi_trend_strength,
+    price_change, price_momentum, volatility,
+    {tdiv('volatility', sma('volatility', 20))} AS volatility_ratio,
+    body_ratio, body_momentum,
+    (high - greatest(open, close)) / (high - low + 1e-10) AS upper_shadow_ratio,
+    (least(open, close) - low) / (high - low + 1e-10) AS lower_shadow_ratio,
+    CAST(CASE WHEN body_ratio < 0.1 THEN 1 ELSE 0 END AS INTEGER) AS doji,
+    CAST(CASE WHEN dir = 1 AND pdir = -1 AND body > pbody * 1.5 THEN 1
+              WHEN dir = -1 AND pdir = 1 AND body > pbody * 1.5 THEN -1 ELSE 0 END AS INTEGER) AS engulfing,
+    CAST(CASE WHEN fr > 0.002 THEN 1 WHEN fr < -0.002 THEN -1 ELSE 0 END AS INTEGER) AS label,
+    TRUE AS label_valid
+  FROM m1)"""
+
+
+SQL["features_momentum25"] = _li(momentum_ctes()) + "\n" + _feature_select(M25_COLS)
+
+SQL["features_simple4"] = _li(ta_state()) + f"""
+, s AS (
+  SELECT symbol, tf, time, n, {sma('close', 10)} AS sma_10, {sma('close', 30)} AS sma_30,
+         {IND['rsi_14']} AS rsi_14, {tdiv('close', lag('close'))} - 1.0 AS price_change FROM ta)
+SELECT {KEYCOLS}, {rnd('sma_10')} AS sma_10, {rnd('sma_30')} AS sma_30, {rnd('rsi_14')} AS rsi_14,
+       {rnd('price_change')} AS price_change
+FROM s WHERE sma_10 IS NOT NULL AND sma_30 IS NOT NULL AND rsi_14 IS NOT NULL AND price_change IS NOT NULL"""
+
+
+def _triple_barrier() -> str:
+    cases = []
+    for j in range(1, 11):
+        cases.append(f"WHEN {lead('high', j)} >= close * 1.01 THEN 1 WHEN {lead('low', j)} <= close * (1 - 0.008) THEN -1")
+    return ("CAST(CASE WHEN " + lead("close", 10) + " IS NULL THEN 0 " + " ".join(cases) + " ELSE 0 END AS INTEGER)")
+
+
+SQL["labels_triple_barrier"] = _li() + f"\nSELECT {KEYCOLS}, {_triple_barrier()} AS label FROM nb"
