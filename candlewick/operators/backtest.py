@@ -113,8 +113,11 @@ def equity_curves(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
     ``t`` must be dense from 0 (the returns of the backtests above only lose a tail).
     """
-    df = prefix_scan(df, F.lit(1.0) + F.col("strat_ret"), "product", "equity", keys=keys, idx="t")
-    return prefix_scan(df, F.lit(1.0) + F.col("ret"), "product", "equity_bh", keys=keys, idx="t")
+    specs = [
+        (F.lit(1.0) + F.col("strat_ret"), "product", "equity"),
+        (F.lit(1.0) + F.col("ret"), "product", "equity_bh"),
+    ]
+    return prefix_scan(df, specs, keys=keys, idx="t")
 
 
 def summary(returns: DataFrame, test: DataFrame, signal: str = "signal", keys: Sequence[str] = KEYS) -> DataFrame:

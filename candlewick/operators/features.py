@@ -178,7 +178,8 @@ def dynamic_barrier_features(
     select += [out[name].alias(name) for name in names]
     if with_label:
         select += [F.col("label"), F.col("label_valid")]
-    return df.filter(F.col("n") >= first_row).select(*select).na.drop(subset=names)
+    out_df = df.filter(F.col("n") >= first_row).select(*select).na.drop(subset=names)
+    return cut_lineage(out_df) if materialize else out_df
 
 
 def momentum25_features(
@@ -281,7 +282,8 @@ def momentum25_features(
         select.append(out[name].alias(name) if name in out else F.col(name))
     if with_label:
         select += [F.col("label"), F.col("label_valid")]
-    return df.select(*select).na.drop(subset=MOMENTUM25_COLUMNS)
+    out_df = df.select(*select).na.drop(subset=MOMENTUM25_COLUMNS)
+    return cut_lineage(out_df) if materialize else out_df
 
 
 def simple4_features(bars: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -166,37 +166,45 @@ _SCAN_OPS = {
 
 def prefix_scan(
     df: DataFrame,
-    value: Column | str,
-    op: str,
-    out: str,
+    specs: Sequence[tuple[Column | str, str, str]],
     *,
     keys: Sequence[str] = KEYS,
     idx: str = "n",
     block: int = ROLL_BLOCK,
     exclusive: bool = False,
 ) -> DataFrame:
-    """Running ``sum``/``product``/``max``/``min`` from the start of each series.
+    """Running aggregates from the start of each series: ``specs`` = (value, op, out),
+    op in ``sum``/``product``/``max``/``min``.
 
     The unbounded-preceding frame is split: a running aggregate inside blocks of
     ``block`` rows, plus the aggregate of all earlier blocks taken from the block-total
-    table (``block`` times smaller) and joined back on ``(key, block)``.
-    ``exclusive`` leaves the current row out.
+    table (``block`` times smaller) and joined back on ``(key, block)``. All specs share
+    one block-total aggregate, one carry window and one join. ``exclusive`` leaves the
+    current row out.
     """
-    agg, combine, identity = _SCAN_OPS[op]
-    v = F.col(value) if isinstance(value, str) else value
-    base = df.withColumn("_sv", v).withColumn("_sb", F.floor(F.col(idx) / F.lit(block)).cast("long"))
-    totals = base.groupBy(*keys, "_sb").agg(agg("_sv").alias("_st"))
+    base = df.withColumn("_sb", F.floor(F.col(idx) / F.lit(block)).cast("long"))
+    for i, (value, _, _) in enumerate(specs):
+        base = base.withColumn(f"_sv{i}", F.col(value) if isinstance(value, str) else value)
+    totals = base.groupBy(*keys, "_sb").agg(
+        *[_SCAN_OPS[op][0](f"_sv{i}").alias(f"_st{i}") for i, (_, op, _) in enumerate(specs)]
+    )
     before = Window.partitionBy(*keys).orderBy("_sb").rowsBetween(Window.unboundedPreceding, -1)
-    carry = totals.select(*keys, "_sb", agg("_st").over(before).alias("_sc"))
-    end = -1 if exclusive else 0
-    inner = Window.partitionBy(*keys, "_sb").orderBy(idx).rowsBetween(Window.unboundedPreceding, end)
-    out_df = base.join(carry, [*keys, "_sb"], "left").withColumn("_si", agg("_sv").over(inner))
-    a, c = F.col("_si"), F.col("_sc")
-    if identity is None:
-        res = F.when(a.isNull(), c).when(c.isNull(), a).otherwise(combine(a, c))
-    else:
-        res = combine(F.coalesce(a, F.lit(identity)), F.coalesce(c, F.lit(identity)))
-    return out_df.withColumn(out, res).drop("_sv", "_sb", "_st", "_sc", "_si")
+    carry = totals.select(
+        *keys, "_sb", *[_SCAN_OPS[op][0](f"_st{i}").over(before).alias(f"_sc{i}") for i, (_, op, _) in enumerate(specs)]
+    )
+    inner = Window.partitionBy(*keys, "_sb").orderBy(idx).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
+    out = base.join(carry, [*keys, "_sb"], "left")
+    drop = ["_sb"]
+    for i, (_, op, name) in enumerate(specs):
+        agg, combine, identity = _SCAN_OPS[op]
+        a, c = agg(f"_sv{i}").over(inner), F.col(f"_sc{i}")
+        if identity is None:
+            res = F.when(a.isNull(), c).when(c.isNull(), a).otherwise(combine(a, c))
+        else:
+            res = combine(F.coalesce(a, F.lit(identity)), F.coalesce(c, F.lit(identity)))
+        out = out.withColumn(name, res)
+        drop += [f"_sv{i}", f"_sc{i}"]
+    return out.drop(*drop)
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: str, out: str = "m") -> DataFrame:

@@ -183,7 +183,7 @@ def q_model_signal_gates(spark, sf):
     """H9-H11 on V11 features with the deterministic probability stand-in."""
     feats = FE.build_features(_li(spark, sf), "v11", with_label=False)
     probs = SG.prob_array()
-    df = FX.predictions(feats).join(feats.select(*BAR_COLS, "slope_20", "adx"), BAR_COLS)
+    df = FX.with_predictions(feats)
     cls = SG.model_class(probs)
     gated = SG.confidence_gate(probs, 0.54)
     return rounded(df.select(
@@ -204,7 +204,7 @@ def _v11_test_frame(spark, sf, threshold=0.54):
     feats = FE.build_features(_li(spark, sf), "v11").filter(F.col("label_valid"))
     split = BT.chronological_split(feats)
     probs = SG.prob_array()
-    test = FX.predictions(split).join(split, BAR_COLS).filter(F.col("t").isNotNull())
+    test = FX.with_predictions(split).filter(F.col("t").isNotNull())
     test = test.withColumn("prediction", SG.confidence_gate(probs, threshold))
     return test.withColumn("signal", SG.slope_gate_backtest(F.col("prediction")))
 
@@ -225,7 +225,7 @@ def _m25_test_frame(spark, sf, threshold=None):
     feats = FE.build_features(_li(spark, sf), "momentum25")
     split = BT.chronological_split(feats)
     probs = SG.prob_array()
-    test = FX.predictions(split).join(split, BAR_COLS).filter(F.col("t").isNotNull())
+    test = FX.with_predictions(split).filter(F.col("t").isNotNull())
     sig = SG.model_class(probs) if threshold is None else SG.confidence_gate(probs, threshold)
     return test.withColumn("signal", sig)
 

@@ -95,16 +95,18 @@ def closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predictions(bars_numbered: DataFrame) -> DataFrame:
-    """Deterministic stand-in for model probabilities (classes -1, 0, 1)."""
+def with_predictions(bars_numbered: DataFrame) -> DataFrame:
+    """Deterministic stand-in for model probabilities (classes -1, 0, 1) from bar number."""
     n = F.col("n")
     a = (n % 7 + 1).cast("double")
     b = (n % 5 + 1).cast("double")
     c = (n % 3 + 1).cast("double")
     total = a + b + c
-    return bars_numbered.select(
-        "symbol", "tf", "time", "n", (a / total).alias("p_sell"), (b / total).alias("p_hold"), (c / total).alias("p_buy")
-    )
+    return bars_numbered.withColumns({"p_sell": a / total, "p_hold": b / total, "p_buy": c / total})
+
+
+def predictions(bars_numbered: DataFrame) -> DataFrame:
+    return with_predictions(bars_numbered).select("symbol", "tf", "time", "n", "p_sell", "p_hold", "p_buy")
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,3 +223,174 @@ def _triple_barrier() -> str:
 
 
 SQL["labels_triple_barrier"] = _li() + f"\nSELECT {KEYCOLS}, {_triple_barrier()} AS label FROM nb"
+
+
+# --- signals --------------------------------------------------------------------------------
+
+
+def _signals_cte() -> str:
+    return ta_state() + f""",
+s0 AS (
+  SELECT *, {IND['ema_2']} AS ema_2v, {IND['ema_9']} AS ema_9v, {IND['ema_12']} AS ema_12v,
+    {IND['ema_21']} AS ema_21v, {IND['ema_26']} AS ema_26v, {IND['ema_200']} AS ema_200v,
+    {IND['rsi_14']} AS rsiv, {IND['macd']} AS macdv, {IND['macd_signal']} AS sigv,
+    {IND['macd4']} AS m4, {IND['macd4_hist']} AS h4, {sma('close', 20)} AS mid
+  FROM ta),
+s1 AS (
+  SELECT *, {lag('macdv')} AS pm, {lag('sigv')} AS ps, {lag('ema_2v')} AS pma, {lag('mid')} AS pmid,
+    {lag('h4')} AS ph4
+  FROM s0),
+s2 AS (
+  SELECT *,
+    CASE WHEN n >= 99 THEN
+      CASE WHEN pm <= ps AND macdv > sigv THEN 'BUY' WHEN pm >= ps AND macdv < sigv THEN 'SELL'
+           WHEN macdv > sigv THEN 'BULLISH' WHEN macdv < sigv THEN 'BEARISH' ELSE 'NEUTRAL' END END AS macd_state,
+    CASE WHEN n >= 99 AND ema_12v > ema_26v THEN 'BULLISH' WHEN n >= 99 AND ema_12v < ema_26v THEN 'BEARISH'
+         ELSE 'NEUTRAL' END AS ema_signal,
+    CASE WHEN n >= 99 AND rsiv > 60 THEN 'BULLISH' WHEN n >= 99 AND rsiv < 40 THEN 'BEARISH'
+         ELSE 'NEUTRAL' END AS rsi_signal,
+    coalesce(pma <= pmid AND ema_2v > mid AND (m4 < h4 OR m4 < ph4), FALSE) AS bb_buy,
+    coalesce(pma >= pmid AND ema_2v < mid AND (m4 > h4 OR m4 > ph4), FALSE) AS bb_sell,
+    CASE WHEN close > ema_200v THEN 'BULLISH' WHEN close < ema_200v THEN 'BEARISH' ELSE 'NEUTRAL' END AS tr,
+    CASE WHEN close > ema_200v THEN '>' WHEN close < ema_200v THEN '<' ELSE '≈' END AS rel,
+    coalesce(n >= 99 AND abs(ema_9v - ema_21v) / ema_21v * 100.0 < 0.1 AND abs(macdv) < 0.0005, FALSE) AS sideways,
+    CAST(CASE WHEN macdv > 0 THEN 1 WHEN macdv < 0 THEN -1 ELSE 0 END AS INTEGER) AS macd_zero
+  FROM s1),
+sig AS (
+  SELECT *,
+    CASE WHEN n < 49 THEN 'NEUTRAL' WHEN bb_buy THEN 'BULLISH' WHEN bb_sell THEN 'BEARISH' ELSE 'NEUTRAL' END AS bb_signal,
+    CASE WHEN n < 49 THEN '' WHEN bb_buy THEN 'MA>BB_mid, MACD<Hist' WHEN bb_sell THEN 'MA<BB_mid, MACD>Hist'
+         ELSE printf('MA:%.5f BB:%.5f', ema_2v, mid) END AS bb_reason,
+    CASE WHEN n >= 199 THEN tr ELSE 'NEUTRAL' END AS trend,
+    CASE WHEN n >= 199 THEN printf('(%s price %s EMA200)', CASE WHEN tf IN ('H4', 'D1') THEN tf ELSE 'H1' END, rel)
+         ELSE '' END AS trend_reason,
+    CASE WHEN ema_signal = 'BULLISH' AND macd_zero = 1 AND rsi_signal = 'BULLISH' THEN 'BULLISH'
+         WHEN ema_signal = 'BEARISH' AND macd_zero = -1 AND rsi_signal = 'BEARISH' THEN 'BEARISH'
+         ELSE 'NEUTRAL' END AS combined
+  FROM s2)"""
+
+
+SQL["strategy_signals"] = _li(_signals_cte()) + f"""
+SELECT {KEYCOLS}, macd_state, ema_signal, rsi_signal, bb_signal, bb_reason, trend, trend_reason, sideways,
+  macd_zero, combined,
+  CASE WHEN trend = 'BULLISH' AND combined = 'BULLISH' THEN 'BULLISH'
+       WHEN trend = 'BEARISH' AND combined = 'BEARISH' THEN 'BEARISH' ELSE 'NEUTRAL' END AS trend_combined
+FROM sig"""
+
+PROBS = """
+  (n % 7 + 1) / ((n % 7 + 1) + (n % 5 + 1) + (n % 3 + 1)) AS p_sell,
+  (n % 5 + 1) / ((n % 7 + 1) + (n % 5 + 1) + (n % 3 + 1)) AS p_hold,
+  (n % 3 + 1) / ((n % 7 + 1) + (n % 5 + 1) + (n % 3 + 1)) AS p_buy"""
+
+ARGMAX = ("CASE WHEN p_sell >= p_hold AND p_sell >= p_buy THEN -1 "
+          "WHEN p_hold >= p_buy THEN 0 ELSE 1 END")
+
+
+def _gate(th: float) -> str:
+    return f"CASE WHEN greatest(p_sell, p_hold, p_buy) >= {th} THEN {ARGMAX} ELSE 0 END"
+
+
+LIMIT = "CASE WHEN adx > 25 THEN 0.00012 ELSE 0.00006 END"
+
+SQL["model_signal_gates"] = _li(barrier_ctes("v11")) + f"""
+, g0 AS (SELECT *, {PROBS} FROM feat WHERE {' AND '.join(f'{c} IS NOT NULL' for c in V11_COLS)}),
+g1 AS (SELECT *, CAST({ARGMAX} AS INTEGER) AS model_class, CAST({_gate(0.54)} AS INTEGER) AS gated FROM g0)
+SELECT {KEYCOLS}, model_class,
+  CASE WHEN n < 60 THEN 'NEUTRAL' WHEN model_class = 1 THEN 'BULLISH' WHEN model_class = -1 THEN 'BEARISH'
+       ELSE 'NEUTRAL' END AS ai_signal,
+  gated,
+  CAST(CASE WHEN (gated = 1 AND slope_20 < -({LIMIT})) OR (gated = -1 AND slope_20 > {LIMIT}) THEN 0
+       ELSE gated END AS INTEGER) AS gated_backtest,
+  CAST(CASE WHEN (gated = 1 AND slope_20 > -({LIMIT})) OR (gated = -1 AND slope_20 < {LIMIT}) THEN gated
+       ELSE 0 END AS INTEGER) AS gated_live
+FROM g1"""
+
+
+# --- backtests ------------------------------------------------------------------------------
+
+
+def _split(src: str, cond: str) -> str:
+    return f"""
+x0 AS (SELECT *, row_number() OVER (PARTITION BY symbol, tf ORDER BY n) - 1 AS m,
+              count(*) OVER (PARTITION BY symbol, tf) AS rows_ FROM {src} WHERE {cond}),
+x1 AS (SELECT *, m - CAST(floor(rows_ * 0.8) AS BIGINT) AS t, {PROBS} FROM x0),
+test AS (SELECT * FROM x1 WHERE t >= 0)"""
+
+
+def _tw(frame: str = "") -> str:
+    return f"OVER (PARTITION BY symbol, tf ORDER BY t {frame})"
+
+
+def _equity(src: str) -> str:
+    return f"""
+eq AS (SELECT *, product(1.0 + strat_ret) {_tw('ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} AS equity,
+              product(1.0 + ret) {_tw('ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} AS equity_bh
+       FROM {src})"""
+
+
+V11_OK = "label_valid AND " + " AND ".join(f"{c} IS NOT NULL" for c in V11_COLS)
+
+B2B = f"""
+b0 AS (SELECT *, CAST({_gate(0.54)} AS INTEGER) AS prediction FROM test),
+b1 AS (SELECT *, CAST(CASE WHEN (prediction = 1 AND slope_20 < -({LIMIT}))
+                         OR (prediction = -1 AND slope_20 > {LIMIT}) THEN 0 ELSE prediction END AS INTEGER) AS signal
+       FROM b0),
+b2 AS (SELECT *, (lead(close, 1) {_tw()} - close) / close AS ret,
+              CASE WHEN t = 0 THEN 0 ELSE lag(signal, 1) {_tw()} END AS prev_pos FROM b1),
+b3 AS (SELECT *, CASE WHEN signal <> prev_pos AND signal <> 0 THEN 0.0004 ELSE 0.0 END AS cost FROM b2
+       WHERE ret IS NOT NULL),
+b4 AS (SELECT *, CASE WHEN signal = 1 THEN ret - cost WHEN signal = -1 THEN -ret - cost ELSE 0.0 END AS strat_ret
+       FROM b3)"""
+
+SQL["backtest_bar_to_bar"] = _li(barrier_ctes("v11"), _split("feat", V11_OK), B2B, _equity("b4")) + f"""
+SELECT {KEYCOLS}, t, prediction, signal, {rnd('ret')} AS ret, {rnd('cost')} AS cost, {rnd('strat_ret')} AS strat_ret,
+  {rnd('equity')} AS equity, {rnd('equity_bh')} AS equity_bh FROM eq"""
+
+SQL["backtest_summary"] = _li(barrier_ctes("v11"), _split("feat", V11_OK), B2B) + f"""
+, perf AS (SELECT symbol, tf, product(1.0 + strat_ret) - 1.0 AS strategy_return,
+                  product(1.0 + ret) - 1.0 AS buy_hold_return, count(*) AS n_returns FROM b4 GROUP BY symbol, tf),
+cnt AS (SELECT symbol, tf, count(*) AS test_size, count_if(prediction = 1) AS n_buy,
+               count_if(prediction = 0) AS n_hold, count_if(prediction = -1) AS n_sell FROM b1 GROUP BY symbol, tf)
+SELECT c.symbol, c.tf, test_size, n_buy, n_hold, n_sell, {rnd('strategy_return')} AS strategy_return,
+  {rnd('buy_hold_return')} AS buy_hold_return, n_returns
+FROM cnt c LEFT JOIN perf p ON c.symbol = p.symbol AND c.tf = p.tf"""
+
+M25_OK = " AND ".join(f"{c} IS NOT NULL" for c in M25_COLS)
+
+SQL["backtest_horizon"] = _li(momentum_ctes(), _split("feat", M25_OK), f"""
+h0 AS (SELECT *, CAST({ARGMAX} AS INTEGER) AS signal, (lead(close, 5) {_tw()} - close) / close AS ret FROM test
+       JOIN (SELECT symbol AS s_, tf AS tf_, n AS n_, close FROM nb) c ON c.s_ = symbol AND c.tf_ = tf AND c.n_ = n),
+h1 AS (SELECT *, CASE WHEN signal = 1 THEN ret WHEN signal = -1 THEN -ret ELSE 0.0 END AS strat_ret FROM h0
+       WHERE ret IS NOT NULL)""", _equity("h1")) + f"""
+SELECT {KEYCOLS}, t, signal, {rnd('ret')} AS ret, {rnd('strat_ret')} AS strat_ret, {rnd('equity')} AS equity,
+  {rnd('equity_bh')} AS equity_bh FROM eq"""
+
+
+def _first_touch_close(side: int) -> str:
+    cases = []
+    for j in range(1, 11):
+        nxt = f"lead(close, {j}) {_tw()}"
+        if side == 1:
+            cases.append(f"WHEN {nxt} >= close * 1.015 THEN 1 WHEN {nxt} <= close * (1 - 0.008) THEN -1")
+        else:
+            cases.append(f"WHEN {nxt} <= close * (1 - 0.015) THEN 1 WHEN {nxt} >= close * (1 + 0.008) THEN -1")
+    return "CASE " + " ".join(cases) + " ELSE 0 END"
+
+
+SQL["backtest_tp_sl"] = _li(momentum_ctes(), _split("feat", M25_OK), f"""
+k0 AS (SELECT t0.*, c.close FROM test t0 JOIN (SELECT symbol AS s_, tf AS tf_, n AS n_, close FROM nb) c
+       ON c.s_ = t0.symbol AND c.tf_ = t0.tf AND c.n_ = t0.n),
+k1 AS (SELECT *, CAST({_gate(0.40)} AS INTEGER) AS signal,
+         coalesce(lead(close, 10) {_tw()}, last_value(close) {_tw('ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING')}) AS exit_,
+         coalesce(lead(close, 5) {_tw()}, last_value(close) {_tw('ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING')}) AS hold_,
+         lead(close, 5) {_tw()} IS NOT NULL AS keep_,
+         {_first_touch_close(1)} AS hit_long, {_first_touch_close(-1)} AS hit_short
+       FROM k0),
+k2 AS (SELECT *, (hold_ - close) / close AS ret,
+         CASE WHEN signal = 0 THEN 0.0
+              WHEN (CASE WHEN signal = 1 THEN hit_long ELSE hit_short END) = 1 THEN 0.015
+              WHEN (CASE WHEN signal = 1 THEN hit_long ELSE hit_short END) = -1 THEN -0.008
+              WHEN signal = 1 THEN (exit_ - close) / close ELSE (close - exit_) / close END AS strat_ret
+       FROM k1 WHERE keep_)""", _equity("k2")) + f"""
+SELECT {KEYCOLS}, t, signal, {rnd('ret')} AS ret, {rnd('strat_ret')} AS strat_ret, {rnd('equity')} AS equity,
+  {rnd('equity_bh')} AS equity_bh FROM eq"""

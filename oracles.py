@@ -12,7 +12,11 @@ R = 6
 
 def rnd(expr: str, digits: int = R) -> str:
     scale = f"{float(10 ** digits)!r}"
-    return f"(CAST(floor(CAST({expr} AS DOUBLE) * {scale} + 0.5) AS DOUBLE) / {scale})"
+    v = f"CAST({expr} AS DOUBLE)"
+    unit = f"pow(10.0, CAST(floor(log10(abs({v}))) AS DOUBLE) - {float(digits - 1)!r})"
+    return (f"(CASE WHEN abs({v}) < 1e6 THEN CAST(floor({v} * {scale} + 0.5) AS DOUBLE) / {scale} "
+            f"ELSE CAST(CAST(CAST(floor({v} / {unit} + 0.5) AS BIGINT) AS VARCHAR) || 'e' || "
+            f"CAST(CAST(floor(log10(abs({v}))) - {digits - 1} AS BIGINT) AS VARCHAR) AS DOUBLE) END)")
 
 
 def tdiv(a: str, b: str) -> str:
