@@ -238,3 +238,174 @@ def q_backtest_horizon(spark, sf):
 def q_backtest_tp_sl(spark, sf):
     curve = BT.equity_curves(BT.tp_sl_returns(_m25_test_frame(spark, sf, threshold=0.40)))
     return rounded(curve.select(*BAR_COLS, "t", "signal", "ret", "strat_ret", "equity", "equity_bh"))
+
+
+# --- E/F/K: joins, account aggregates and risk rules -------------------------------------------
+
+from ..operators import joins as JN  # noqa: E402
+from ..operators import risk as RK  # noqa: E402
+
+CFG = RK.StrategyConfig()
+
+
+def _last_bar(df):
+    """Newest row per symbol (partial aggregate on a struct)."""
+    cols = [c for c in df.columns if c != "symbol"]
+    return df.groupBy("symbol").agg(F.max_by(F.struct(*cols), "n").alias("_r")).select("symbol", "_r.*")
+
+
+def q_position_book(spark, sf):
+    prepare(spark)
+    return rounded(RK.position_book(FX.positions(spark, sf)))
+
+
+def q_loss_streaks(spark, sf):
+    prepare(spark)
+    return RK.loss_streaks(FX.closed_trades(spark, sf))
+
+
+def q_lot_size(spark, sf):
+    prepare(spark)
+    streaks = RK.loss_streaks(FX.closed_trades(spark, sf))
+    info = FX.symbol_info(B.lineitem_bars(spark, sf))
+    return rounded(RK.lot_size(streaks, info, CFG).select("symbol", "loss_streak", "lot"))
+
+
+def q_max_risk(spark, sf):
+    prepare(spark)
+    return rounded(RK.max_risk_stop(FX.accounts(spark, sf), CFG))
+
+
+def q_trailing_points(spark, sf):
+    prepare(spark)
+    quotes = B.latest_quote(B.order_ticks(spark, sf))
+    info = FX.symbol_info(B.orders_bars(spark, sf))
+    return rounded(RK.trailing_points(FX.positions(spark, sf), quotes, info, distance=300.0))
+
+
+def q_atr_trailing(spark, sf):
+    prepare(spark)
+    bars = I.with_atr(number_bars(B.orders_bars(spark, sf)))
+    last = _last_bar(bars.select("symbol", "n", "close", "atr"))
+    return rounded(RK.atr_trailing(FX.positions(spark, sf), last))
+
+
+def q_close_all(spark, sf):
+    prepare(spark)
+    pos = FX.positions(spark, sf)
+    cfg = RK.StrategyConfig(close_all_percent=0.1, close_all_dollar=5.0, close_all_pullback=20.0)
+    return rounded(RK.close_all(RK.position_book(pos), FX.accounts(spark, sf, pos), cfg))
+
+
+def _orders_signal(spark, sf):
+    sig = SG.strategy_signals(number_bars(B.orders_bars(spark, sf)))
+    return _last_bar(sig.select("symbol", "n", F.col("combined").alias("signal")))
+
+
+def q_close_rules(spark, sf):
+    prepare(spark)
+    return rounded(RK.close_rules(FX.positions(spark, sf), _orders_signal(spark, sf), CFG))
+
+
+def q_grid_trigger(spark, sf):
+    prepare(spark)
+    book = RK.position_book(FX.positions(spark, sf))
+    quotes = B.latest_quote(B.order_ticks(spark, sf))
+    info = FX.symbol_info(B.orders_bars(spark, sf))
+    cfg = RK.StrategyConfig(use_grid=True)
+    out = RK.grid_trigger(book, quotes, info, cfg, "BUY").unionByName(RK.grid_trigger(book, quotes, info, cfg, "SELL"))
+    return rounded(out)
+
+
+def q_order_intents(spark, sf):
+    prepare(spark)
+    pos = FX.positions(spark, sf)
+    book = RK.position_book(pos)
+    decisions = book.join(_orders_signal(spark, sf).select("symbol", "signal"), "symbol")
+    risk = RK.max_risk_stop(FX.accounts(spark, sf, pos), CFG)
+    quotes = B.latest_quote(B.order_ticks(spark, sf))
+    info = FX.symbol_info(B.orders_bars(spark, sf))
+    streaks = RK.loss_streaks(FX.closed_trades(spark, sf))
+    cfg = RK.StrategyConfig(sl_points=20.0, tp_points=40.0)
+    return rounded(RK.order_intents(decisions, info, quotes, streaks, risk, cfg))
+
+
+def q_reversal_intents(spark, sf):
+    prepare(spark)
+    pos = FX.positions(spark, sf)
+    last = _last_bar(FX.with_predictions(number_bars(B.orders_bars(spark, sf))).select("symbol", "n", "p_sell", "p_hold", "p_buy"))
+    sig = last.select("symbol", SG.confidence_gate(SG.prob_array(), 0.35).alias("signal"))
+    pairs = pos.select("symbol", "magic").distinct().join(sig, "symbol")
+    return RK.reversal_intents(pairs, pos)
+
+
+def q_class_distribution(spark, sf):
+    feats = FE.build_features(_li(spark, sf), "v11").filter(F.col("label_valid"))
+    return feats.groupBy("symbol", "tf", "label").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def q_confusion_metrics(spark, sf):
+    """F6/F7 of the probability stand-in against the V11 labels (zero_division = 0)."""
+    feats = FE.build_features(_li(spark, sf), "v11").filter(F.col("label_valid"))
+    df = FX.with_predictions(feats).withColumn("pred", SG.model_class(SG.prob_array()))
+    from ..operators import metrics as MT
+
+    return rounded(MT.classification_report(df, "label", "pred", keys=("symbol", "tf")))
+
+
+def q_asof_h1_to_m15(spark, sf):
+    """E1 + D18: M15 bars with the previous closed H1 bar's RSI/close within 15 minutes."""
+    prepare(spark)
+    m15 = B.events_bars(spark, sf, "M15")
+    h1 = I.with_rsi(number_bars(B.events_bars(spark, sf, "H1")))
+    h1 = rolling(h1, lambda w: [("h1_rsi", F.lag("rsi_14", 1).over(w)), ("h1_close", F.lag("close", 1).over(w))], back=1)
+    right = h1.select("symbol", "time", "h1_rsi", "h1_close")
+    j = JN.asof_backward(m15.select("symbol", "tf", "time", "close"), right, tolerance_seconds=900,
+                         left_key=["symbol", "tf", "time"])
+    return rounded(j.select(
+        "symbol", "tf", "time", "close", F.col("r_time").alias("h1_time"),
+        F.coalesce(F.col("r_h1_rsi"), F.lit(50.0)).alias("h1_rsi"),
+        F.coalesce(F.col("r_h1_close"), F.lit(0.0)).alias("h1_close"),
+    ))
+
+
+def q_status_snapshot(spark, sf):
+    """Per account, rounded figures and its positions as formatted JSON rows."""
+    from ..functions.scalar import price_text
+
+    prepare(spark)
+    pos = FX.positions(spark, sf)
+    acc = FX.accounts(spark, sf, pos)
+    rows = pos.groupBy("account_id").agg(F.sort_array(F.collect_list(F.struct(
+        "ticket", "symbol", "type", "volume",
+        price_text("price_open").alias("price_open"), price_text("sl").alias("sl"), price_text("tp").alias("tp"),
+        F.bround("profit", 2).alias("profit"),
+    ))).alias("_p"))
+    out = acc.join(rows, "account_id", "left").select(
+        "account_id",
+        F.bround("balance", 2).alias("balance"), F.bround("equity", 2).alias("equity"),
+        F.bround("profit", 2).alias("profit"),
+        F.size(F.coalesce(F.col("_p"), F.array())).alias("n_positions"),
+        F.to_json(F.coalesce(F.col("_p"), F.array())).alias("positions_json"),
+    )
+    return rounded(out)
+
+
+def q_event_log_tail(spark, sf):
+    """A11 view: the newest 50 log lines (the limit is the feature)."""
+    prepare(spark)
+    return FX.event_log(spark, sf).orderBy(F.col("ts").desc()).limit(50)
+
+
+# --- flagship ----------------------------------------------------------------------------------
+
+
+def q_flagship(spark, sf):
+    """Minimum slice: lineitem D1 bars → EMA(12/26) via the recurrence kernel → H2 side →
+    chronological test tail → J1 bar-to-bar returns → J6 summary per symbol."""
+    df = recurrence.run(_li(spark, sf), [I.ema_rec("ema_12", "close", 12), I.ema_rec("ema_26", "close", 26)])
+    df = df.withColumn("ema_12", I.valid_from(F.col("ema_12"), 11)).withColumn("ema_26", I.valid_from(F.col("ema_26"), 25))
+    side = SG.ema_side()
+    df = df.withColumn("signal", F.when(side == "BULLISH", 1).when(side == "BEARISH", -1).otherwise(0))
+    test = BT.chronological_split(df).filter(F.col("t").isNotNull())
+    return rounded(BT.summary(BT.bar_to_bar(test), test))

@@ -134,3 +134,23 @@ def latest_tick(ticks: DataFrame) -> DataFrame:
     return ticks.groupBy("symbol").agg(
         F.max_by(F.struct("bid", "ask", "ts"), "ts").alias("_t")
     ).select("symbol", "_t.ts", "_t.bid", "_t.ask")
+
+
+def order_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks of the ``orders`` symbols (order priority), price = total price."""
+    o = read_table(spark, sf_dir, "orders")
+    return o.select(
+        F.col("o_orderpriority").alias("symbol"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("ts"),
+        F.col("o_orderkey").alias("seq"),
+        F.col("o_totalprice").alias("bid"),
+        (F.col("o_totalprice") * F.lit(1.0002)).alias("ask"),
+    )
+
+
+def latest_quote(ticks: DataFrame, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+    """A4 with an explicit tie-break order."""
+    key = F.struct(*[F.col(c) for c in order])
+    return ticks.groupBy("symbol").agg(F.max_by(F.struct("bid", "ask"), key).alias("_q")).select(
+        "symbol", "_q.bid", "_q.ask"
+    )

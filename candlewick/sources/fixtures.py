@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.report import round_col
 from .bars import orders_bars
 from .tables import read_table
 
@@ -56,13 +57,13 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     p = base.join(marks, "symbol", "left").withColumn("price_current", F.col("last_close"))
     price_open = F.col("price_open")
-    sl = F.when(F.col("ticket") % 4 == 0, F.bround(price_open * (F.lit(1.0) - F.col("_side") * F.lit(0.02)), 2))
-    tp = F.when(F.col("ticket") % 6 == 0, F.bround(price_open * (F.lit(1.0) + F.col("_side") * F.lit(0.03)), 2))
+    sl = F.when(F.col("ticket") % 4 == 0, round_col(price_open * (F.lit(1.0) - F.col("_side") * F.lit(0.02)), 2))
+    tp = F.when(F.col("ticket") % 6 == 0, round_col(price_open * (F.lit(1.0) + F.col("_side") * F.lit(0.03)), 2))
     return p.select(
         "account_id", "ticket", "symbol", "type", "volume", "price_open", "price_current",
         F.coalesce(sl, F.lit(0.0)).alias("sl"),
         F.coalesce(tp, F.lit(0.0)).alias("tp"),
-        F.bround((F.col("price_current") - price_open) * F.col("_side") * F.col("volume"), 2).alias("profit"),
+        round_col((F.col("price_current") - price_open) * F.col("_side") * F.col("volume"), 2).alias("profit"),
         "magic", "opened_at",
     )
 
@@ -91,7 +92,7 @@ def closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").alias("order_key"),
         F.col("l_linenumber").alias("line_number"),
         F.col("l_partkey").alias("part_key"),
-        F.bround((F.col("l_discount") - F.lit(0.05)) * F.col("l_extendedprice"), 2).alias("profit"),
+        round_col((F.col("l_discount") - F.lit(0.05)) * F.col("l_extendedprice"), 2).alias("profit"),
     )
 
 

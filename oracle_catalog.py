@@ -394,3 +394,184 @@ k2 AS (SELECT *, (hold_ - close) / close AS ret,
        FROM k1 WHERE keep_)""", _equity("k2")) + f"""
 SELECT {KEYCOLS}, t, signal, {rnd('ret')} AS ret, {rnd('strat_ret')} AS strat_ret, {rnd('equity')} AS equity,
   {rnd('equity_bh')} AS equity_bh FROM eq"""
+
+
+# --- account-side tables and rules ----------------------------------------------------------
+
+
+def r2(x: str) -> str:
+    return f"(CAST(floor(CAST({x} AS DOUBLE) * 100.0 + 0.5) AS DOUBLE) / 100.0)"
+
+
+OBARS = ORDERS_BARS.replace("\nbars AS (", "\nobars AS (")
+POSITIONS = OBARS + f""",
+marks AS (SELECT symbol, arg_max(close, time) AS last_close FROM obars GROUP BY symbol),
+pos0 AS (
+  SELECT o_custkey AS account_id, o_orderkey AS ticket, o_orderpriority AS symbol,
+    CASE WHEN o_orderkey % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS type,
+    CAST(0.01 AS DOUBLE) * (1 + o_orderkey % 5) AS volume, o_totalprice AS price_open,
+    CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE -1.0 END AS side, o_orderkey % 3 AS magic,
+    o_orderdate AS opened_at, m.last_close AS price_current
+  FROM orders LEFT JOIN marks m ON m.symbol = o_orderpriority),
+pos AS (
+  SELECT account_id, ticket, symbol, type, volume, price_open, price_current,
+    coalesce(CASE WHEN ticket % 4 = 0 THEN {r2('price_open * (1.0 - side * 0.02)')} END, 0.0) AS sl,
+    coalesce(CASE WHEN ticket % 6 = 0 THEN {r2('price_open * (1.0 + side * 0.03)')} END, 0.0) AS tp,
+    {r2('(price_current - price_open) * side * volume')} AS profit, magic, opened_at
+  FROM pos0),
+acc AS (
+  SELECT c_custkey AS account_id, c_acctbal AS balance, c_acctbal + coalesce(f.p, 0.0) AS equity,
+         coalesce(f.p, 0.0) AS profit, c_acctbal + coalesce(f.p, 0.0) AS margin_free
+  FROM customer LEFT JOIN (SELECT account_id, sum(profit) AS p FROM pos GROUP BY account_id) f
+    ON f.account_id = c_custkey),
+quotes AS (SELECT o_orderpriority AS symbol, arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS bid,
+                  arg_max(o_totalprice * 1.0002, (o_orderdate, o_orderkey)) AS ask
+           FROM orders GROUP BY o_orderpriority),
+oinfo AS (SELECT DISTINCT symbol, 0.01 AS point, 2 AS digits, 0.01 AS volume_min, 50.0 AS volume_max FROM obars),
+book AS (
+  SELECT account_id, symbol, count_if(type = 'BUY') AS n_buy, count_if(type = 'SELL') AS n_sell,
+    coalesce(min(CASE WHEN type = 'BUY' THEN price_open END), 0.0) AS buy_anchor,
+    coalesce(max(CASE WHEN type = 'SELL' THEN price_open END), 0.0) AS sell_anchor,
+    count(*) AS grid_count
+  FROM pos GROUP BY account_id, symbol)"""
+
+TRADES = f"""
+trades AS (
+  SELECT l_returnflag AS symbol, l_shipdate AS closed_at, l_orderkey AS order_key, l_linenumber AS line_number,
+         l_partkey AS part_key, {r2('(l_discount - 0.05) * l_extendedprice')} AS profit FROM lineitem),
+last_ok AS (SELECT symbol, max((closed_at, order_key, line_number, part_key)) AS reset_k FROM trades
+            WHERE profit >= 0 GROUP BY symbol),
+streaks AS (
+  SELECT t.symbol, count(*) AS n_closed, count_if(profit < 0) AS n_losses,
+    count_if(profit < 0 AND (l.reset_k IS NULL OR (closed_at, order_key, line_number, part_key) > l.reset_k))
+      AS loss_streak
+  FROM trades t LEFT JOIN last_ok l ON l.symbol = t.symbol GROUP BY t.symbol)"""
+
+SQL["position_book"] = with_ctes(POSITIONS) + f"""
+SELECT account_id, symbol, n_buy, n_sell, {rnd('buy_anchor')} AS buy_anchor, {rnd('sell_anchor')} AS sell_anchor,
+  grid_count FROM book"""
+
+SQL["loss_streaks"] = with_ctes(TRADES) + "\nSELECT symbol, n_closed, n_losses, loss_streak FROM streaks"
+
+SQL["lot_size"] = with_ctes(TRADES) + f"""
+SELECT symbol, loss_streak,
+  {rnd('round_even(least(greatest(least(0.01 * pow(1.5, CAST(loss_streak AS DOUBLE)), 1.0), 0.01), 50.0), 2)')} AS lot
+FROM streaks"""
+
+SQL["max_risk"] = with_ctes(POSITIONS) + f"""
+SELECT account_id, {rnd('balance')} AS balance, {rnd('equity')} AS equity, {rnd('profit')} AS profit,
+  {rnd('margin_free')} AS margin_free, {rnd('balance - equity')} AS floating_loss,
+  {rnd('equity - balance')} AS floating_profit, coalesce(balance - equity >= balance * 0.1, TRUE) AS risk_stop
+FROM acc"""
+
+SQL["trailing_points"] = with_ctes(POSITIONS) + f"""
+, tp0 AS (
+  SELECT p.*, q.bid, q.ask, i.point, i.digits,
+    CASE WHEN p.type = 'BUY' THEN q.bid ELSE q.ask END AS px FROM pos p
+  LEFT JOIN quotes q ON q.symbol = p.symbol LEFT JOIN oinfo i ON i.symbol = p.symbol),
+tp1 AS (
+  SELECT *, CAST(trunc((CASE WHEN type = 'BUY' THEN px - price_open ELSE price_open - px END) / point) AS INTEGER) AS pts,
+    CASE WHEN type = 'BUY' THEN px - 300.0 * point ELSE px + 300.0 * point END AS nsl FROM tp0),
+tp2 AS (
+  SELECT *, coalesce(pts >= 300 AND (sl = 0 OR (type = 'BUY' AND nsl > sl) OR (type <> 'BUY' AND nsl < sl)), FALSE) AS mv
+  FROM tp1)
+SELECT account_id, ticket, symbol, type, {rnd('px')} AS price_current, pts AS gain_points,
+  {rnd('CASE WHEN mv THEN round_even(nsl * pow(10.0, digits), 0) / pow(10.0, digits) END')} AS new_sl,
+  {rnd('CASE WHEN mv THEN CASE WHEN tp > 0 THEN round_even(tp * pow(10.0, digits), 0) / pow(10.0, digits) ELSE 0.0 END END')} AS new_tp,
+  mv AS move_sl
+FROM tp2"""
+
+SQL["class_distribution"] = _li(barrier_ctes("v11")) + f"""
+SELECT symbol, tf, label, count(*) AS n_rows FROM feat WHERE {V11_OK} GROUP BY symbol, tf, label"""
+
+
+def _cm() -> str:
+    names = {-1: "sell", 0: "hold", 1: "buy"}
+    cols = [f"count_if(label = {a} AND pred = {b}) AS cm_{names[a]}_{names[b]}" for a in (-1, 0, 1) for b in (-1, 0, 1)]
+    return ", ".join(cols)
+
+
+def _metrics() -> str:
+    names = {-1: "sell", 0: "hold", 1: "buy"}
+    parts, f1s = [], []
+    for c in (-1, 0, 1):
+        nc = names[c]
+        tp = f"cm_{nc}_{nc}"
+        sup = "(" + " + ".join(f"cm_{nc}_{names[b]}" for b in (-1, 0, 1)) + ")"
+        prd = "(" + " + ".join(f"cm_{names[a]}_{nc}" for a in (-1, 0, 1)) + ")"
+        prec = f"(CASE WHEN {prd} > 0 THEN {tp} / {prd} ELSE 0.0 END)"
+        rec = f"(CASE WHEN {sup} > 0 THEN {tp} / {sup} ELSE 0.0 END)"
+        f1 = f"(CASE WHEN {prec} + {rec} > 0 THEN 2.0 * {prec} * {rec} / ({prec} + {rec}) ELSE 0.0 END)"
+        f1s.append(f1)
+        parts += [f"{rnd(prec)} AS precision_{nc}", f"{rnd(rec)} AS recall_{nc}", f"{rnd(f1)} AS f1_{nc}",
+                  f"{sup} AS support_{nc}"]
+    acc = "(" + " + ".join(f"cm_{names[c]}_{names[c]}" for c in (-1, 0, 1)) + ") / n"
+    parts += [f"{rnd(acc)} AS accuracy", f"{rnd('(' + ' + '.join(f1s) + ') / 3.0')} AS macro_f1"]
+    return ", ".join(parts)
+
+
+CM_COLS = ", ".join(f"cm_{a}_{b}" for a in ("sell", "hold", "buy") for b in ("sell", "hold", "buy"))
+
+SQL["confusion_metrics"] = _li(barrier_ctes("v11")) + f"""
+, cmx AS (SELECT *, {PROBS} FROM feat WHERE {V11_OK}),
+cmy AS (SELECT symbol, tf, label, CAST({ARGMAX} AS INTEGER) AS pred FROM cmx),
+cmz AS (SELECT symbol, tf, count(*) AS n, {_cm()} FROM cmy GROUP BY symbol, tf)
+SELECT symbol, tf, n, {CM_COLS}, {_metrics()} FROM cmz"""
+
+SQL["asof_h1_to_m15"] = with_ctes(events_bars("M15", 900, "m15"), events_bars("H1", 3600, "bars"), NUMBERED,
+                                  ta_state()) + f"""
+, h1 AS (SELECT symbol, time, {lag(IND['rsi_14'])} AS h1_rsi, {lag('close')} AS h1_close FROM ta)
+SELECT m.symbol, m.tf, m.time, {rnd('m.close')} AS close,
+  CASE WHEN m.time - h.time <= INTERVAL 15 MINUTE THEN h.time END AS h1_time,
+  {rnd("coalesce(CASE WHEN m.time - h.time <= INTERVAL 15 MINUTE THEN h.h1_rsi END, 50.0)")} AS h1_rsi,
+  {rnd("coalesce(CASE WHEN m.time - h.time <= INTERVAL 15 MINUTE THEN h.h1_close END, 0.0)")} AS h1_close
+FROM m15 m ASOF LEFT JOIN h1 h ON m.symbol = h.symbol AND m.time >= h.time"""
+
+SQL["event_log_tail"] = """
+SELECT ts, event_type AS symbol,
+  CASE WHEN event_type = 'purchase' THEN 'success' WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level,
+  CASE WHEN event_type = 'error' THEN '❌ ' || event_type WHEN event_type = 'purchase' THEN '✅ ' || event_type
+       ELSE event_type END AS msg,
+  CAST(ts AS DATE) AS date
+FROM events ORDER BY ts DESC LIMIT 50"""
+
+SQL["close_all"] = with_ctes(POSITIONS) + f"""
+, ca AS (SELECT b.account_id, b.symbol, a.balance, a.equity - a.balance AS fp FROM book b JOIN acc a USING (account_id))
+SELECT account_id, symbol, {rnd('fp')} AS floating_profit,
+  (fp >= balance * 0.001) OR (fp >= 5.0) OR coalesce(fp > 0 AND (fp - fp) / fp * 100.0 >= 20.0, FALSE) AS close_all,
+  CASE WHEN fp >= balance * 0.001 THEN printf('profit %.2f >= %.2f', fp, balance * 0.001)
+       WHEN fp >= 5.0 THEN printf('profit %.2f >= $%s', fp, '5.0')
+       ELSE '' END AS reason
+FROM ca"""
+
+SQL["grid_trigger"] = with_ctes(POSITIONS) + """
+, g AS (
+  SELECT b.*, q.bid, q.ask, i.point, 'BUY' AS side, q.ask AS price, buy_anchor AS anchor, n_buy AS grid_level
+  FROM book b LEFT JOIN quotes q ON q.symbol = b.symbol LEFT JOIN oinfo i ON i.symbol = b.symbol
+  UNION ALL
+  SELECT b.*, q.bid, q.ask, i.point, 'SELL', q.bid, sell_anchor, n_sell
+  FROM book b LEFT JOIN quotes q ON q.symbol = b.symbol LEFT JOIN oinfo i ON i.symbol = b.symbol)
+SELECT account_id, symbol, side, """ + rnd("price") + " AS price, " + rnd("anchor") + " AS anchor, " + \
+    rnd("abs(price - anchor) / point") + """ AS distance_points,
+  coalesce(grid_count < 10 AND (anchor = 0 OR abs(price - anchor) / point >= 300.0), FALSE) AS open_grid, grid_level
+FROM g"""
+
+SQL["flagship"] = _li(ta_state(), f"""
+fl0 AS (SELECT *, CASE WHEN n >= 99 AND {IND['ema_12']} > {IND['ema_26']} THEN 1
+                       WHEN n >= 99 AND {IND['ema_12']} < {IND['ema_26']} THEN -1 ELSE 0 END AS signal,
+               row_number() OVER (PARTITION BY symbol, tf ORDER BY n) - 1 AS m,
+               count(*) OVER (PARTITION BY symbol, tf) AS rows_ FROM ta),
+test AS (SELECT *, m - CAST(floor(rows_ * 0.8) AS BIGINT) AS t FROM fl0 WHERE m >= floor(rows_ * 0.8)),
+b2 AS (SELECT *, (lead(close, 1) {_tw()} - close) / close AS ret,
+              CASE WHEN t = 0 THEN 0 ELSE lag(signal, 1) {_tw()} END AS prev_pos FROM test),
+b3 AS (SELECT *, CASE WHEN signal <> prev_pos AND signal <> 0 THEN 0.0004 ELSE 0.0 END AS cost FROM b2
+       WHERE ret IS NOT NULL),
+b4 AS (SELECT *, CASE WHEN signal = 1 THEN ret - cost WHEN signal = -1 THEN -ret - cost ELSE 0.0 END AS strat_ret
+       FROM b3)""") + f"""
+, perf AS (SELECT symbol, tf, product(1.0 + strat_ret) - 1.0 AS strategy_return,
+                  product(1.0 + ret) - 1.0 AS buy_hold_return, count(*) AS n_returns FROM b4 GROUP BY symbol, tf),
+cnt AS (SELECT symbol, tf, count(*) AS test_size, count_if(signal = 1) AS n_buy,
+               count_if(signal = 0) AS n_hold, count_if(signal = -1) AS n_sell FROM test GROUP BY symbol, tf)
+SELECT c.symbol, c.tf, test_size, n_buy, n_hold, n_sell, {rnd('strategy_return')} AS strategy_return,
+  {rnd('buy_hold_return')} AS buy_hold_return, n_returns
+FROM cnt c LEFT JOIN perf p ON c.symbol = p.symbol AND c.tf = p.tf"""
