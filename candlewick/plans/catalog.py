@@ -409,3 +409,34 @@ def q_flagship(spark, sf):
     df = df.withColumn("signal", F.when(side == "BULLISH", 1).when(side == "BEARISH", -1).otherwise(0))
     test = BT.chronological_split(df).filter(F.col("t").isNotNull())
     return rounded(BT.summary(BT.bar_to_bar(test), test))
+
+
+# --- I: machine learning (rows-only check) -----------------------------------------------------
+
+from ..operators import ml as ML  # noqa: E402
+from ..streaming import bars_stream as ST  # noqa: E402
+
+
+def q_ml_ensemble_v11(spark, sf):
+    """Train on the chronological head, score the test tail (pooled model)."""
+    feats = FE.build_features(_li(spark, sf), "v11").filter(F.col("label_valid"))
+    split = BT.chronological_split(feats)
+    train = ML.balanced_weights(split.filter(F.col("t").isNull()))
+    model = ML.fit_ensemble(train, FE.V11_COLUMNS, ML.EnsembleParams(rf_trees=20, gbt_iter=8))
+    test = split.filter(F.col("t").isNotNull())
+    if model is None:
+        return test.select(*BAR_COLS, "label").withColumn("pred", F.lit(0))
+    scored = model.predict(test)
+    gated = SG.confidence_gate(F.col("probs"), 0.54)
+    return scored.select(*BAR_COLS, "label", "pred", gated.alias("gated"),
+                         *[F.col("probs")[i].alias(n) for i, n in enumerate(("p_sell", "p_hold", "p_buy"))])
+
+
+# --- L: streaming ----------------------------------------------------------------------------
+
+
+def q_stream_bars_m15(spark, sf):
+    """L1: M15 bars from the events stream, closed windows only (1 hour watermark)."""
+    prepare(spark)
+    bars = ST.run_to_table(spark, ST.tick_bars(ST.tick_stream(spark, sf), 900, "1 hour", "M15"), "bars_m15")
+    return rounded(bars)

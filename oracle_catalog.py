@@ -575,3 +575,7 @@ cnt AS (SELECT symbol, tf, count(*) AS test_size, count_if(signal = 1) AS n_buy,
 SELECT c.symbol, c.tf, test_size, n_buy, n_hold, n_sell, {rnd('strategy_return')} AS strategy_return,
   {rnd('buy_hold_return')} AS buy_hold_return, n_returns
 FROM cnt c LEFT JOIN perf p ON c.symbol = p.symbol AND c.tf = p.tf"""
+
+SQL["stream_bars_m15"] = with_ctes(events_bars("M15", 900)) + f"""
+SELECT {BARS_OUT} FROM bars
+WHERE time + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
