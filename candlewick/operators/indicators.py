@@ -211,11 +211,10 @@ def macd_finish(df: DataFrame, fast: int, slow: int, signal: int, prefix: str =
     df = df.withColumn(f"_{prefix}_line", valid_from(line, slow - 1))
     df = recurrence.run(df, [ema_rec(f"_{prefix}_sig", f"_{prefix}_line", signal, start=slow - 1)], keys=keys)
     first = slow + signal - 2
-    return (
-        df.withColumn(f"{prefix}", valid_from(F.col(f"_{prefix}_line"), first))
-        .withColumn(f"{prefix}_signal", valid_from(F.col(f"_{prefix}_sig"), first))
-        .withColumn(f"{prefix}_hist", F.col(prefix) - F.col(f"{prefix}_signal"))
-        .drop(f"_{prefix}_fast", f"_{prefix}_slow", f"_{prefix}_line", f"_{prefix}_sig")
+    line = valid_from(F.col(f"_{prefix}_line"), first)
+    sig = valid_from(F.col(f"_{prefix}_sig"), first)
+    return df.withColumns({prefix: line, f"{prefix}_signal": sig, f"{prefix}_hist": line - sig}).drop(
+        f"_{prefix}_fast", f"_{prefix}_slow", f"_{prefix}_line", f"_{prefix}_sig"
     )
 
 

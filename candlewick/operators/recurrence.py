@@ -74,17 +74,16 @@ def run(
     base = base.withColumn("_k", (F.col(idx) - F.col("_b") * F.lit(B)).cast("int"))
     w = Window.partitionBy(*keys, "_b").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
 
-    for r in recs:
-        if r.decay is None:
-            base = base.withColumn(f"_D_{r.name}", F.col("_k") + 1)
-        else:
-            base = base.withColumn(
-                f"_D_{r.name}", F.sum(F.when(r.decay, 1).otherwise(0)).over(w)
-            )
+    base = base.withColumns({
+        f"_D_{r.name}": (F.col("_k") + 1) if r.decay is None else F.sum(F.when(r.decay, 1).otherwise(0)).over(w)
+        for r in recs
+    })
+    loc = {}
     for r in recs:
         D = F.col(f"_D_{r.name}").cast("double")
         term = F.coalesce(r.u, F.lit(0.0)) * F.pow(F.lit(r.q), -D)
-        base = base.withColumn(f"_L_{r.name}", F.pow(F.lit(r.q), D) * F.sum(term).over(w))
+        loc[f"_L_{r.name}"] = F.pow(F.lit(r.q), D) * F.sum(term).over(w)
+    base = base.withColumns(loc)
 
     ends = base.filter(F.col("_k") == F.lit(B - 1)).select(
         *keys,
@@ -111,12 +110,11 @@ def run(
         .select(*keys, (F.col("_b") + 1).alias("_b"), *[f"_Y_{r.name}" for r in recs])
     )
     out = base.join(carry, [*keys, "_b"], "left")
-    for r in recs:
-        D = F.col(f"_D_{r.name}").cast("double")
-        out = out.withColumn(
-            r.name,
-            F.col(f"_L_{r.name}") + F.coalesce(F.col(f"_Y_{r.name}"), F.lit(0.0)) * F.pow(F.lit(r.q), D),
-        )
+    out = out.withColumns({
+        r.name: F.col(f"_L_{r.name}")
+        + F.coalesce(F.col(f"_Y_{r.name}"), F.lit(0.0)) * F.pow(F.lit(r.q), F.col(f"_D_{r.name}").cast("double"))
+        for r in recs
+    })
     drop = ["_b", "_k"]
     for r in recs:
         drop += [f"_D_{r.name}", f"_L_{r.name}", f"_Y_{r.name}"]

@@ -122,6 +122,25 @@ def halo_layout(
 WindowBuilder = Callable[[Window], Iterable[tuple[str, Column]]]
 
 
+def add_columns(df: DataFrame, pairs: Iterable[tuple[str, Column]]) -> DataFrame:
+    """Add columns in as few ``withColumns`` steps as their dependencies allow.
+
+    A column that mentions a name added in the pending batch starts a new batch, so
+    independent window expressions over one spec land in one Window operator and the
+    plan is analysed once per batch instead of once per column.
+    """
+    import re
+
+    batch: dict[str, Column] = {}
+    for name, column in pairs:
+        text = str(column)
+        if any(re.search(rf"(?<![A-Za-z0-9_]){re.escape(b)}(?![A-Za-z0-9_])", text) for b in batch):
+            df = df.withColumns(batch)
+            batch = {}
+        batch[name] = column
+    return df.withColumns(batch) if batch else df
+
+
 def rolling(
     df: DataFrame,
     build: WindowBuilder,
@@ -141,8 +160,7 @@ def rolling(
     block = max(block, back, fwd, 1)
     lay = halo_layout(df, keys, idx, block, back, fwd)
     w = Window.partitionBy(*keys, "_blk").orderBy(idx)
-    for name, column in build(w):
-        lay = lay.withColumn(name, column)
+    lay = add_columns(lay, build(w))
     return lay.filter(~F.col("_halo")).drop("_blk", "_halo")
 
 
@@ -183,8 +201,7 @@ def prefix_scan(
     current row out.
     """
     base = df.withColumn("_sb", F.floor(F.col(idx) / F.lit(block)).cast("long"))
-    for i, (value, _, _) in enumerate(specs):
-        base = base.withColumn(f"_sv{i}", F.col(value) if isinstance(value, str) else value)
+    base = base.withColumns({f"_sv{i}": F.col(v) if isinstance(v, str) else v for i, (v, _, _) in enumerate(specs)})
     totals = base.groupBy(*keys, "_sb").agg(
         *[_SCAN_OPS[op][0](f"_sv{i}").alias(f"_st{i}") for i, (_, op, _) in enumerate(specs)]
     )
@@ -195,6 +212,7 @@ def prefix_scan(
     inner = Window.partitionBy(*keys, "_sb").orderBy(idx).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     out = base.join(carry, [*keys, "_sb"], "left")
     drop = ["_sb"]
+    new = {}
     for i, (_, op, name) in enumerate(specs):
         agg, combine, identity = _SCAN_OPS[op]
         a, c = agg(f"_sv{i}").over(inner), F.col(f"_sc{i}")
@@ -202,9 +220,9 @@ def prefix_scan(
             res = F.when(a.isNull(), c).when(c.isNull(), a).otherwise(combine(a, c))
         else:
             res = combine(F.coalesce(a, F.lit(identity)), F.coalesce(c, F.lit(identity)))
-        out = out.withColumn(name, res)
+        new[name] = res
         drop += [f"_sv{i}", f"_sc{i}"]
-    return out.drop(*drop)
+    return out.withColumns(new).drop(*drop)
 
 
 def number_rows(df: DataFrame, keys: Sequence[str], order: str, out: str = "m") -> DataFrame:

@@ -45,9 +45,9 @@ def strategy_frame(bars: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     recs += [I.wilder_rec("_g", gain, 14, start=1), I.wilder_rec("_l", loss, 14, start=1)]
     recs += I.macd_recs("close", 12, 26, "macd") + I.macd_recs("close", 11, 27, "macd4")
     df = recurrence.run(df, recs, keys=keys)
-    for p in (2, 9, 12, 21, 26, 200):
-        df = df.withColumn(f"ema_{p}", I.valid_from(F.col(f"ema_{p}"), p - 1))
-    df = df.withColumn("rsi_14", I.valid_from(I.rsi_value(F.col("_g"), F.col("_l")), 14))
+    cols = {f"ema_{p}": I.valid_from(F.col(f"ema_{p}"), p - 1) for p in (2, 9, 12, 21, 26, 200)}
+    cols["rsi_14"] = I.valid_from(I.rsi_value(F.col("_g"), F.col("_l")), 14)
+    df = df.withColumns(cols)
     df = I.macd_finish(df, 12, 26, 9, "macd", keys)
     df = I.macd_finish(df, 11, 27, 4, "macd4", keys)
 
