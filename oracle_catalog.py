@@ -579,3 +579,23 @@ FROM cnt c LEFT JOIN perf p ON c.symbol = p.symbol AND c.tf = p.tf"""
 SQL["stream_bars_m15"] = with_ctes(events_bars("M15", 900)) + f"""
 SELECT {BARS_OUT} FROM bars
 WHERE time + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
+
+SQL["atr_trailing"] = with_ctes(ORDERS_BARS, NUMBERED, ta_state(), POSITIONS) + f"""
+, lastbar AS (SELECT symbol, arg_max(close, n) AS c, arg_max({IND['atr']}, n) AS atr FROM ta GROUP BY symbol),
+at0 AS (SELECT p.*, l.c, l.atr,
+          round_even(CASE WHEN p.type = 'BUY' THEN l.c - l.atr * 1.5 ELSE l.c + l.atr * 1.5 END, 3) AS nsl
+        FROM pos p LEFT JOIN lastbar l ON l.symbol = p.symbol),
+at1 AS (SELECT *, coalesce(CASE WHEN type = 'BUY' THEN nsl > sl + atr * 0.2
+                                ELSE sl = 0 OR nsl < sl - atr * 0.2 END, FALSE) AS mv FROM at0)
+SELECT account_id, ticket, symbol, type, {rnd('CASE WHEN mv THEN nsl END')} AS new_sl, mv AS move_sl FROM at1"""
+
+SQL["close_rules"] = with_ctes(ORDERS_BARS, NUMBERED, _signals_cte(), POSITIONS) + f"""
+, lastsig AS (SELECT symbol, arg_max(combined, n) AS sig FROM sig GROUP BY symbol),
+cr AS (SELECT p.*, l.sig, (profit >= 10.0 OR profit <= -20.0) AS by_level FROM pos p
+       LEFT JOIN lastsig l ON l.symbol = p.symbol),
+cr2 AS (SELECT *, NOT by_level AND profit > 0 AND coalesce((type = 'BUY' AND sig = 'BEARISH')
+                  OR (type = 'SELL' AND sig = 'BULLISH'), FALSE) AS by_signal FROM cr)
+SELECT account_id, ticket, symbol, type, {rnd('profit')} AS profit, sig AS signal, by_level OR by_signal AS close,
+  CASE WHEN by_level AND profit >= 10.0 THEN 'take_profit' WHEN by_level THEN 'stop_loss'
+       WHEN by_signal THEN 'signal_reversal' ELSE '' END AS reason
+FROM cr2"""
