@@ -317,11 +317,18 @@ def q_grid_trigger(spark, sf):
     return rounded(out)
 
 
+def _orders_ai_signal(spark, sf):
+    """H9 + H14 with the default config (use_ai): the model class of the newest bar as text."""
+    last = _last_bar(FX.with_predictions(number_bars(B.orders_bars(spark, sf))).select("symbol", "n", "p_sell", "p_hold", "p_buy"))
+    cls = SG.model_class(SG.prob_array())
+    return last.select("symbol", F.when(cls == 1, "BULLISH").when(cls == -1, "BEARISH").otherwise("NEUTRAL").alias("signal"))
+
+
 def q_order_intents(spark, sf):
     prepare(spark)
     pos = FX.positions(spark, sf)
     book = RK.position_book(pos)
-    decisions = book.join(_orders_signal(spark, sf).select("symbol", "signal"), "symbol")
+    decisions = book.join(_orders_ai_signal(spark, sf), "symbol")
     risk = RK.max_risk_stop(FX.accounts(spark, sf, pos), CFG)
     quotes = B.latest_quote(B.order_ticks(spark, sf))
     info = FX.symbol_info(B.orders_bars(spark, sf))

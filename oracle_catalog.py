@@ -599,3 +599,29 @@ SELECT account_id, ticket, symbol, type, {rnd('profit')} AS profit, sig AS signa
   CASE WHEN by_level AND profit >= 10.0 THEN 'take_profit' WHEN by_level THEN 'stop_loss'
        WHEN by_signal THEN 'signal_reversal' ELSE '' END AS reason
 FROM cr2"""
+
+SQL["order_intents"] = with_ctes(ORDERS_BARS, NUMBERED, POSITIONS, TRADES) + f"""
+, pr AS (SELECT symbol, n, {PROBS} FROM nb),
+ai AS (SELECT symbol, arg_max(CASE WHEN {ARGMAX} = 1 THEN 'BULLISH' WHEN {ARGMAX} = -1 THEN 'BEARISH'
+                                   ELSE 'NEUTRAL' END, n) AS signal FROM pr GROUP BY symbol),
+dec AS (SELECT b.*, a.signal,
+          CASE WHEN a.signal = 'BULLISH' AND b.n_buy < 1 THEN 'buy'
+               WHEN a.signal = 'BEARISH' AND b.n_sell < 1 THEN 'sell' END AS act
+        FROM book b JOIN ai a ON a.symbol = b.symbol),
+oi AS (SELECT d.account_id, d.symbol, d.signal, d.act,
+          coalesce(acc.balance - acc.equity >= acc.balance * 0.1, TRUE) AS stop,
+          CASE WHEN d.act = 'buy' THEN q.ask ELSE q.bid END AS px,
+          CASE WHEN d.act = 'buy' THEN 1.0 ELSE -1.0 END AS side, i.point, i.digits,
+          round_even(least(greatest(least(0.01 * pow(1.5, CAST(coalesce(s.loss_streak, 0) AS DOUBLE)), 1.0),
+                                    i.volume_min), i.volume_max), 2) AS lot
+        FROM dec d LEFT JOIN acc ON acc.account_id = d.account_id LEFT JOIN quotes q ON q.symbol = d.symbol
+        LEFT JOIN oinfo i ON i.symbol = d.symbol LEFT JOIN streaks s ON s.symbol = d.symbol
+        WHERE d.act IS NOT NULL)
+SELECT account_id, symbol, CASE WHEN stop THEN 'close_all' ELSE act END AS action,
+  {rnd('CASE WHEN stop THEN NULL ELSE lot END')} AS volume,
+  {rnd('CASE WHEN stop THEN NULL ELSE px END')} AS price,
+  {rnd('CASE WHEN stop THEN NULL ELSE round_even((px - side * 20.0 * point * 100.0) * pow(10.0, digits), 0) / pow(10.0, digits) END')} AS sl,
+  {rnd('CASE WHEN stop THEN NULL ELSE round_even((px + side * 40.0 * point * 100.0) * pow(10.0, digits), 0) / pow(10.0, digits) END')} AS tp,
+  CAST(0 AS BIGINT) AS magic,
+  CASE WHEN stop THEN 'risk stop' ELSE 'auto ' || signal END AS comment
+FROM oi"""
