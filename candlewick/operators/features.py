@@ -44,12 +44,24 @@ MOMENTUM25_COLUMNS = [
     "doji", "engulfing",
 ]
 SIMPLE4_COLUMNS = ["sma_10", "sma_30", "rsi_14", "price_change"]
+SESSION30_COLUMNS = [
+    "h1_slope", "h1_slope_accel", "london_session", "ny_session", "ny_volatility",
+    *MOMENTUM25_COLUMNS,
+]
+# Higher-timeframe columns built beside the 30 model columns (not in the model's list).
+HTF_COLUMNS = [
+    "price_to_ema200_h1", "htf_slope", "m15_slope", "h1_macd", "h1_rsi", "h1_rsi_slope", "h1_adx",
+    "h1_adx_slope", "h1_trend", "m15_trend", "trend_alignment",
+]
+# Defaults of the joined higher-timeframe columns when no bar matches.
+HTF_DEFAULTS = {"h1_rsi": 50.0, "h1_adx": 25.0}
 
 FEATURE_SETS = {
     "v11": V11_COLUMNS,
     "v10": V10_COLUMNS,
     "momentum25": MOMENTUM25_COLUMNS,
     "simple4": SIMPLE4_COLUMNS,
+    "session30": SESSION30_COLUMNS,
 }
 
 EPS9 = 1e-9
@@ -190,8 +202,14 @@ def momentum25_features(
     threshold: float = 0.002,
     keys: Sequence[str] = KEYS,
     materialize: bool = True,
+    label: str = "horizon",
+    session: bool = False,
 ) -> DataFrame:
-    """The 25-column EMA/MACD/RSI/candle set with the fixed-horizon label."""
+    """The 25-column EMA/MACD/RSI/candle set with the fixed-horizon label.
+
+    ``session`` adds the own-timeframe columns of the 30-column set (D17, D21 and the M15
+    slope of D19); ``label="triple"`` uses the triple-barrier label (G3) instead.
+    """
     df = bars if "n" in bars.columns else number_bars(bars, keys)
     c = F.col("close")
     o = F.col("open")
@@ -258,11 +276,20 @@ def momentum25_features(
             ("macd_hist_slope", I.sma("_d_hist", 3, w)),
             ("rsi_slope", I.sma("_d_rsi", 3, w)),
         ]
-        if with_label:
+        if session:
+            e1, e2 = F.lag("_ema12", 1).over(w), F.lag("_ema12", 2).over(w)
+            cols += [
+                ("h1_slope_accel", F.col("ema26_slope") - F.lag("ema26_slope", 1).over(w)),
+                ("m15_slope", F.coalesce(F.try_divide(e1 - e2, e1) * F.lit(100.0), F.lit(0.0))),
+            ]
+        if with_label and label == "triple":
+            cols += L.triple_barrier_label_cols(w, 10, 0.01, 0.008)
+        elif with_label:
             cols += L.horizon_label_cols("close", w, horizon, threshold)
         return cols
 
-    df = rolling(df, derived, back=3, fwd=horizon if with_label else 0, keys=keys)
+    fwd = (10 if label == "triple" else horizon) if with_label else 0
+    df = rolling(df, derived, back=4 if session else 3, fwd=fwd, keys=keys)
     e12, e26 = F.col("_ema12"), F.col("_ema26")
     rsi = F.col("rsi_14")
     out = {
@@ -280,12 +307,103 @@ def momentum25_features(
     select = [*keys, "time", "n", "open", "high", "low", "close", "tick_volume"]
     for name in MOMENTUM25_COLUMNS:
         select.append(out[name].alias(name) if name in out else F.col(name))
+    names = list(MOMENTUM25_COLUMNS)
+    if session:
+        hour = F.hour(F.col("time"))
+        ny = S.session_flag(hour, S.NEW_YORK_HOURS)
+        select += [
+            F.col("ema26_slope").alias("h1_slope"), F.col("h1_slope_accel"),
+            S.session_flag(hour, S.LONDON_HOURS).alias("london_session"), ny.alias("ny_session"),
+            (ny * F.col("volatility")).alias("ny_volatility"), F.col("m15_slope"), F.col("_ema12").alias("ema_12"),
+        ]
+        names += ["h1_slope_accel"]
     if with_label:
         select += [F.col("label"), F.col("label_valid")]
-    out_df = df.select(*select).na.drop(subset=MOMENTUM25_COLUMNS)
+    out_df = df.select(*select).na.drop(subset=names)
     return cut_lineage(out_df) if materialize else out_df
 
 
+def higher_timeframe_inputs(h1_bars: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """EMA200, MACD line, RSI, ADX on the higher timeframe, their slopes, all lagged
+    one higher-timeframe bar (no look-ahead)."""
+    df = h1_bars if "n" in h1_bars.columns else number_bars(h1_bars, keys)
+    df = rolling(df, _prev_cols, back=1, keys=keys)
+    gain, loss = I.rsi_inputs()
+    df = recurrence.run(
+        df,
+        [I.ema_rec("_e200", "close", 200), *I.macd_recs("close", 12, 26),
+         I.wilder_rec("_g", gain, 14, start=1), I.wilder_rec("_l", loss, 14, start=1), *I.adx_recs(14)],
+        keys=keys,
+    )
+    dx, ok = I.dx_columns(14)
+    df = df.withColumns({"_dx": dx, "_dx_ok": ok})
+    df = recurrence.run(df, [I.adx_rec("_adx", 14)], keys=keys)
+    df = df.withColumns({
+        "_ema200": I.valid_from(F.col("_e200"), 199),
+        "_macd": I.valid_from(F.col("_macd_fast") - F.col("_macd_slow"), 33),
+        "_rsi": I.valid_from(I.rsi_value(F.col("_g"), F.col("_l")), 14),
+        "_adxv": I.valid_from(F.col("_adx"), 27),
+    })
+
+    def lagged(w):
+        prev_e = F.lag("_ema200", 1).over(w)
+        return [
+            ("_slope", F.try_divide(F.col("_ema200") - prev_e, prev_e) * F.lit(100.0)),
+            ("_rsi_slope", F.col("_rsi") - F.lag("_rsi", 1).over(w)),
+            ("_adx_slope", F.col("_adxv") - F.lag("_adxv", 1).over(w)),
+            ("h1_ema200", F.lag("_ema200", 1).over(w)),
+            ("h1_macd", F.lag("_macd", 1).over(w)),
+            ("h1_rsi", F.lag("_rsi", 1).over(w)),
+            ("h1_adx", F.lag("_adxv", 1).over(w)),
+            ("h1_slope", F.lag("_slope", 1).over(w)),
+            ("h1_rsi_slope", F.lag("_rsi_slope", 1).over(w)),
+            ("h1_adx_slope", F.lag("_adx_slope", 1).over(w)),
+        ]
+
+    df = rolling(df, lagged, back=2, keys=keys)
+    return df.select("symbol", "time", "h1_ema200", "h1_macd", "h1_rsi", "h1_adx", "h1_slope",
+                     "h1_rsi_slope", "h1_adx_slope")
+
+
+def session30_features(m15_bars: DataFrame, h1_bars: DataFrame, *, with_label: bool = True,
+                       tolerance_seconds: int = 900, keys: Sequence[str] = KEYS,
+                       materialize: bool = True) -> DataFrame:
+    """D17-D21 + the 30-column model set with the triple-barrier label.
+
+    Higher-timeframe inputs join backward as-of within ``tolerance_seconds`` (E1); rows
+    without a match take the defaults (B8). The model's ``h1_slope`` is the own-timeframe
+    EMA26 slope (as in the reference); the joined slope is kept as ``htf_slope``.
+    """
+    from .joins import asof_backward
+
+    base = momentum25_features(m15_bars, with_label=with_label, label="triple", session=True, keys=keys,
+                               materialize=False)
+    htf = higher_timeframe_inputs(h1_bars, keys)
+    j = asof_backward(base, htf, tolerance_seconds=tolerance_seconds, left_key=[*keys, "time"])
+    c = F.col("close")
+    h1_slope = F.coalesce(F.col("r_h1_slope"), F.lit(0.0))
+    m15_slope = F.col("m15_slope")
+    h1_trend = F.when(h1_slope > 0, F.lit(1)).otherwise(F.lit(-1))
+    m15_trend = F.when(m15_slope > 0, F.lit(1)).otherwise(F.lit(-1))
+    out = j.withColumns({
+        "price_to_ema200_h1": F.coalesce((c - F.col("r_h1_ema200")) / c * F.lit(100.0), F.lit(0.0)),
+        "htf_slope": h1_slope,
+        "h1_macd": F.coalesce(F.col("r_h1_macd") / c * F.lit(1000.0), F.lit(0.0)),
+        "h1_rsi": F.coalesce(F.col("r_h1_rsi"), F.lit(HTF_DEFAULTS["h1_rsi"])),
+        "h1_rsi_slope": F.coalesce(F.col("r_h1_rsi_slope"), F.lit(0.0)),
+        "h1_adx": F.coalesce(F.col("r_h1_adx"), F.lit(HTF_DEFAULTS["h1_adx"])),
+        "h1_adx_slope": F.coalesce(F.col("r_h1_adx_slope"), F.lit(0.0)),
+        "h1_trend": h1_trend,
+        "m15_trend": m15_trend,
+        "trend_alignment": F.when(h1_trend == m15_trend, F.lit(1.0)).otherwise(F.lit(-1.0)),
+    })
+    cols = [*keys, "time", "n", "open", "high", "low", "close", "tick_volume", *SESSION30_COLUMNS, *HTF_COLUMNS]
+    if with_label:
+        cols += ["label", "label_valid"]
+    out = out.select(*cols)
+    return cut_lineage(out) if materialize else out
+
+
 def simple4_features(bars: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """sma_10, sma_30, rsi_14, price_change (rows with all four present)."""
     df = bars if "n" in bars.columns else number_bars(bars, keys)
@@ -313,6 +431,8 @@ def build_features(bars: DataFrame, feature_set: str, **kw) -> DataFrame:
         return momentum25_features(bars, **kw)
     if feature_set == "simple4":
         return simple4_features(bars)
+    if feature_set == "session30":
+        raise ValueError("session30 needs both timeframes: use session30_features(m15, h1)")
     raise ValueError(f"unknown feature set {feature_set}")
 
 

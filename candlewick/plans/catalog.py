@@ -159,6 +159,15 @@ def q_features_momentum25(spark, sf):
     return _feature_query(spark, sf, "momentum25")
 
 
+def q_features_session30(spark, sf):
+    """D17-D21 + G3 on events M15 bars with H1 bars of the same symbols."""
+    prepare(spark)
+    m15 = number_bars(B.events_bars(spark, sf, "M15"))
+    h1 = B.events_bars(spark, sf, "H1")
+    df = FE.session30_features(m15, h1)
+    return rounded(df.select(*BAR_COLS, *FE.SESSION30_COLUMNS, *FE.HTF_COLUMNS, "label"))
+
+
 def q_features_simple4(spark, sf):
     return _feature_query(spark, sf, "simple4")
 

@@ -625,3 +625,59 @@ SELECT account_id, symbol, CASE WHEN stop THEN 'close_all' ELSE act END AS actio
   CAST(0 AS BIGINT) AS magic,
   CASE WHEN stop THEN 'risk stop' ELSE 'auto ' || signal END AS comment
 FROM oi"""
+
+
+# --- 30-column multi-timeframe set ----------------------------------------------------------
+
+S30_COLS = ["h1_slope", "h1_slope_accel", "london_session", "ny_session", "ny_volatility", *M25_COLS]
+HTF_OUT = ["price_to_ema200_h1", "htf_slope", "m15_slope", "h1_macd", "h1_rsi", "h1_rsi_slope", "h1_adx",
+           "h1_adx_slope", "h1_trend", "m15_trend", "trend_alignment"]
+
+
+def _hw(frame: str = "") -> str:
+    return f"OVER (PARTITION BY symbol, tf ORDER BY n {frame})"
+
+
+def session30_sql() -> str:
+    hbars = events_bars("H1", 3600, "hbars")
+    hnb = "\nhnb AS (SELECT *, row_number() OVER (PARTITION BY symbol, tf ORDER BY time) - 1 AS n FROM hbars)"
+    return with_ctes(events_bars("M15", 900), NUMBERED, momentum_ctes(), f"""
+s1 AS (SELECT f.* EXCLUDE (label, label_valid), m.e12v FROM feat f JOIN m1 m USING (symbol, tf, n))""", f"""
+s2 AS (SELECT *, ema26_slope - lag(ema26_slope) {_hw()} AS h1_slope_accel,
+         coalesce({tdiv(f"lag(e12v, 1) {_hw()} - lag(e12v, 2) {_hw()}", f"lag(e12v, 1) {_hw()}")} * 100.0, 0.0) AS m15_slope,
+         CASE WHEN hour(time) >= 8 AND hour(time) < 16 THEN 1.0 ELSE 0.0 END AS london_session,
+         CASE WHEN hour(time) >= 13 AND hour(time) < 21 THEN 1.0 ELSE 0.0 END AS ny_session
+       FROM s1)""", f"""
+s3 AS (SELECT s2.*, ema26_slope AS h1_slope, ny_session * volatility AS ny_volatility, nb.open AS o_, nb.high AS hi_,
+         nb.low AS lo_, nb.close AS close_, nb.tick_volume AS tv_ FROM s2 JOIN nb USING (symbol, tf, n))""",
+        hbars, hnb, ta_state("hnb", "hta"), f"""
+h0 AS (SELECT symbol, tf, n, time, {IND['ema_200']} AS e200, {IND['macd']} AS macdv, {IND['rsi_14']} AS rsiv,
+          {IND['adx']} AS adxv FROM hta)""", f"""
+h1a AS (SELECT *, {tdiv(f"e200 - lag(e200) {_hw()}", f"lag(e200) {_hw()}")} * 100.0 AS sl,
+          rsiv - lag(rsiv) {_hw()} AS rs, adxv - lag(adxv) {_hw()} AS ads FROM h0)""", f"""
+h1b AS (SELECT symbol, time, lag(e200) {_hw()} AS h1_ema200, lag(macdv) {_hw()} AS h1_macd_raw,
+          lag(rsiv) {_hw()} AS h1_rsi_raw, lag(adxv) {_hw()} AS h1_adx_raw, lag(sl) {_hw()} AS h1_slope_raw,
+          lag(rs) {_hw()} AS h1_rsi_slope_raw, lag(ads) {_hw()} AS h1_adx_slope_raw FROM h1a)""", f"""
+j AS (SELECT s.*, CASE WHEN s.time - h.time <= INTERVAL 15 MINUTE THEN h.h1_ema200 END AS he,
+         CASE WHEN s.time - h.time <= INTERVAL 15 MINUTE THEN h.h1_macd_raw END AS hm,
+         CASE WHEN s.time - h.time <= INTERVAL 15 MINUTE THEN h.h1_rsi_raw END AS hr,
+         CASE WHEN s.time - h.time <= INTERVAL 15 MINUTE THEN h.h1_adx_raw END AS ha,
+         CASE WHEN s.time - h.time <= INTERVAL 15 MINUTE THEN h.h1_slope_raw END AS hs,
+         CASE WHEN s.time - h.time <= INTERVAL 15 MINUTE THEN h.h1_rsi_slope_raw END AS hrs,
+         CASE WHEN s.time - h.time <= INTERVAL 15 MINUTE THEN h.h1_adx_slope_raw END AS has
+       FROM s3 s ASOF LEFT JOIN h1b h ON s.symbol = h.symbol AND s.time >= h.time)""", f"""
+lbl AS (SELECT symbol, tf, n, {_triple_barrier()} AS label FROM nb)""", f"""
+fin AS (SELECT j.*, l.label,
+          coalesce((close_ - he) / close_ * 100.0, 0.0) AS price_to_ema200_h1, coalesce(hs, 0.0) AS htf_slope,
+          coalesce(hm / close_ * 1000.0, 0.0) AS h1_macd, coalesce(hr, 50.0) AS h1_rsi,
+          coalesce(hrs, 0.0) AS h1_rsi_slope, coalesce(ha, 25.0) AS h1_adx, coalesce(has, 0.0) AS h1_adx_slope,
+          CAST(CASE WHEN coalesce(hs, 0.0) > 0 THEN 1 ELSE -1 END AS INTEGER) AS h1_trend,
+          CAST(CASE WHEN m15_slope > 0 THEN 1 ELSE -1 END AS INTEGER) AS m15_trend
+        FROM j JOIN lbl l USING (symbol, tf, n))""") + f"""
+SELECT {KEYCOLS}, {', '.join(c if c in INT_COLS else f'{rnd(c)} AS {c}' for c in S30_COLS)},
+  {', '.join(c if c in ('h1_trend', 'm15_trend') else f'{rnd(c)} AS {c}' for c in HTF_OUT if c != 'trend_alignment')},
+  {rnd('CASE WHEN h1_trend = m15_trend THEN 1.0 ELSE -1.0 END')} AS trend_alignment, label
+FROM fin WHERE {' AND '.join(f'{c} IS NOT NULL' for c in M25_COLS + ['h1_slope_accel'])}"""
+
+
+SQL["features_session30"] = session30_sql()

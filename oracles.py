@@ -132,33 +132,34 @@ LEVEL2 = [
 ]
 
 
-def ta_state(src: str = "nb") -> str:
-    """CTEs ``ta1`` (level 1), ``ta1x`` (+dx, MACD lines) and ``ta`` (+ADX, signals)."""
+def ta_state(src: str = "nb", name: str = "ta") -> str:
+    """CTEs ``<name>1`` (level 1), ``<name>1x`` (+dx, MACD lines) and ``<name>`` (+ADX, signals)."""
+    t1, t1x, t2 = f"{name}1", f"{name}1x", f"{name}2"
     base = "symbol, tf, n, time, open, high, low, close, tick_volume"
-    l1_init = ", ".join(f"CAST({init} AS DOUBLE) AS {name}" for name, init, _ in LEVEL1)
-    l1_step = ", ".join(f"{step} AS {name}" for name, _, step in LEVEL1)
-    l1_names = ", ".join(name for name, _, _ in LEVEL1)
-    l2_init = ", ".join(f"CAST({init} AS DOUBLE) AS {name}" for name, init, _ in LEVEL2)
-    l2_step = ", ".join(f"{step} AS {name}" for name, _, step in LEVEL2)
+    l1_init = ", ".join(f"CAST({init} AS DOUBLE) AS {nm}" for nm, init, _ in LEVEL1)
+    l1_step = ", ".join(f"{step} AS {nm}" for nm, _, step in LEVEL1)
+    l1_names = ", ".join(nm for nm, _, _ in LEVEL1)
+    l2_init = ", ".join(f"CAST({init} AS DOUBLE) AS {nm}" for nm, init, _ in LEVEL2)
+    l2_step = ", ".join(f"{step} AS {nm}" for nm, _, step in LEVEL2)
     bb = ", ".join(f"b.{c}" for c in base.split(", "))
     return f"""
-ta1 AS (
+{t1} AS (
   SELECT {base}, {l1_init} FROM {src} WHERE n = 0
   UNION ALL
   SELECT {bb}, {l1_step}
-  FROM ta1 r JOIN {src} b ON b.symbol = r.symbol AND b.tf = r.tf AND b.n = r.n + 1),
-ta1x AS (
+  FROM {t1} r JOIN {src} b ON b.symbol = r.symbol AND b.tf = r.tf AND b.n = r.n + 1),
+{t1x} AS (
   SELECT {base}, {l1_names}, {DX} AS dx,
          CASE WHEN n >= 25 THEN mf - ms END AS line,
          CASE WHEN n >= 26 THEN mf11 - ms27 END AS line4
-  FROM ta1),
-ta2 AS (
-  SELECT {base}, {l2_init} FROM ta1x WHERE n = 0
+  FROM {t1}),
+{t2} AS (
+  SELECT {base}, {l2_init} FROM {t1x} WHERE n = 0
   UNION ALL
   SELECT {bb}, {l2_step}
-  FROM ta2 r JOIN ta1x b ON b.symbol = r.symbol AND b.tf = r.tf AND b.n = r.n + 1),
-ta AS (
-  SELECT x.*, t.adx, t.sig, t.sig4 FROM ta1x x JOIN ta2 t USING (symbol, tf, n))"""
+  FROM {t2} r JOIN {t1x} b ON b.symbol = r.symbol AND b.tf = r.tf AND b.n = r.n + 1),
+{name} AS (
+  SELECT x.*, t.adx, t.sig, t.sig4 FROM {t1x} x JOIN {t2} t USING (symbol, tf, n))"""
 
 
 # Indicator values with their warm-up masks, over ``ta``.
