@@ -24,7 +24,7 @@ from ..session import cut_lineage
 from . import indicators as I
 from . import labels as L
 from . import recurrence
-from .series import KEYS, number_bars, rolling
+from .series import KEYS, SeriesFrame, number_bars, rolling
 
 # Ordered model columns of each reference feature set.
 V11_COLUMNS = [
@@ -116,7 +116,8 @@ def dynamic_barrier_features(
         ]
         return cols
 
-    df = rolling(df, raw, back=199, keys=keys)
+    fwd = barrier.window if with_label else 0
+    sf = SeriesFrame(df, back=max(199, 49 + 2 * SeriesFrame.LR_BLOCK), fwd=fwd, keys=keys).windows(raw)
     gain, loss = I.rsi_inputs()
     tr = I.true_range("high", "low", "_pc")
     recs = [
@@ -129,29 +130,25 @@ def dynamic_barrier_features(
     if with_label and atr_scope == "trimmed":
         # ATR restarted on the trimmed frame (first TR used is one bar after it starts)
         recs.append(I.wilder_rec("_atr_lbl", F.when(F.col("n") > first_row, tr), 14, start=first_row + 1))
-    df = recurrence.run(df, recs, keys=keys)
+    sf.recur(recs)
     dx, ok = I.dx_columns(14)
-    df = df.withColumn("_dx", dx).withColumn("_dx_ok", ok)
-    df = df.withColumn("_macd_line", I.valid_from(F.col("_macd_fast") - F.col("_macd_slow"), 25))
-    if materialize:
-        df = cut_lineage(df)
-    df = recurrence.run(
-        df,
-        [I.adx_rec("adx", 14), I.ema_rec("_macd_sig", "_macd_line", 9, start=25)],
-        keys=keys,
-    )
-    atr = I.valid_from(F.col("_atr"), 14)
-    df = (
-        df.withColumn("adx", I.valid_from(F.col("adx"), 27))
-        .withColumn("_atr", atr)
-        .withColumn("rsi_14", I.valid_from(I.rsi_value(F.col("_g"), F.col("_l")), 14))
-        .withColumn("_macd_hist", I.valid_from(F.col("_macd_line") - F.col("_macd_sig"), 33))
-    )
+    sf.columns({
+        "_dx": dx, "_dx_ok": ok,
+        "_macd_line": I.valid_from(F.col("_macd_fast") - F.col("_macd_slow"), 25),
+    })
+    sf.recur([I.adx_rec("adx", 14), I.ema_rec("_macd_sig", "_macd_line", 9, start=25)])
+    masks = {
+        "adx": I.valid_from(F.col("adx"), 27),
+        "_atr": I.valid_from(F.col("_atr"), 14),
+        "rsi_14": I.valid_from(I.rsi_value(F.col("_g"), F.col("_l")), 14),
+        "_macd_hist": I.valid_from(F.col("_macd_line") - F.col("_macd_sig"), 33),
+    }
     if with_label:
-        lbl_atr = (
-            I.valid_from(F.col("_atr_lbl"), first_row + 14) if atr_scope == "trimmed" else F.col("_atr")
+        masks["_atr_l"] = (
+            I.valid_from(F.col("_atr_lbl"), first_row + 14) if atr_scope == "trimmed"
+            else I.valid_from(F.col("_atr"), 14)
         )
-        df = df.withColumn("_atr_l", lbl_atr)
+    sf.columns(masks)
 
     def derived(w):
         cols = [("_atr_sma50", I.sma("_atr", 50, w))]
@@ -159,7 +156,7 @@ def dynamic_barrier_features(
             cols += L.barrier_label_cols("close", "_atr_l", w, barrier)
         return cols
 
-    df = rolling(df, derived, back=49, fwd=barrier.window if with_label else 0, keys=keys)
+    df = sf.windows(derived).result()
     c = F.col("close")
     band = F.col("_bb_up") - F.col("_bb_lo")
     rng = F.col("high") - F.col("low")
@@ -236,36 +233,30 @@ def momentum25_features(
             ("engulfing", S.engulfing(F.col("_dir"), F.lag("_dir", 1).over(w), body, F.lag(body, 1).over(w))),
         ]
 
-    df = rolling(df, raw, back=28, keys=keys)
+    fwd = (10 if label == "triple" else horizon) if with_label else 0
+    sf = SeriesFrame(df, back=max(28, 4 + 2 * SeriesFrame.LR_BLOCK), fwd=fwd, keys=keys).windows(raw)
     gain, loss = I.rsi_inputs()
-    df = recurrence.run(
-        df,
-        [
-            I.ema_rec("_ema12", "close", 12),
-            I.ema_rec("_ema26", "close", 26),
-            I.wilder_rec("_g", gain, 14, start=1),
-            I.wilder_rec("_l", loss, 14, start=1),
-            *I.macd_recs("close", 12, 26),
-        ],
-        keys=keys,
-    )
-    df = df.withColumn("_macd_line", I.valid_from(F.col("_macd_fast") - F.col("_macd_slow"), 25))
-    if materialize:
-        df = cut_lineage(df)
-    df = recurrence.run(df, [I.ema_rec("_macd_sig", "_macd_line", 9, start=25)], keys=keys)
-    df = (
-        df.withColumn("_ema12", I.valid_from(F.col("_ema12"), 11))
-        .withColumn("_ema26", I.valid_from(F.col("_ema26"), 25))
-        .withColumn("rsi_14", I.valid_from(I.rsi_value(F.col("_g"), F.col("_l")), 14))
-        .withColumn("_macd", I.valid_from(F.col("_macd_line"), 33))
-        .withColumn("_macd_signal", I.valid_from(F.col("_macd_sig"), 33))
-        .withColumn("_macd_hist", F.col("_macd") - F.col("_macd_signal"))
-    )
+    sf.recur([
+        I.ema_rec("_ema12", "close", 12),
+        I.ema_rec("_ema26", "close", 26),
+        I.wilder_rec("_g", gain, 14, start=1),
+        I.wilder_rec("_l", loss, 14, start=1),
+        *I.macd_recs("close", 12, 26),
+    ])
+    sf.columns({"_macd_line": I.valid_from(F.col("_macd_fast") - F.col("_macd_slow"), 25)})
+    sf.recur([I.ema_rec("_macd_sig", "_macd_line", 9, start=25)])
+    macd = I.valid_from(F.col("_macd_line"), 33)
+    sig = I.valid_from(F.col("_macd_sig"), 33)
+    sf.columns({
+        "_ema12": I.valid_from(F.col("_ema12"), 11),
+        "_ema26": I.valid_from(F.col("_ema26"), 25),
+        "rsi_14": I.valid_from(I.rsi_value(F.col("_g"), F.col("_l")), 14),
+        "_macd": macd,
+        "_macd_signal": sig,
+        "_macd_hist": macd - sig,
+    })
 
     def derived(w):
-        def slope3(x):
-            return I.sma(F.col(x) - F.lag(x, 1).over(w), 3, w)
-
         cols = [
             ("_d_e12", F.col("_ema12") - F.lag("_ema12", 1).over(w)),
             ("_d_e26", F.col("_ema26") - F.lag("_ema26", 1).over(w)),
@@ -288,8 +279,7 @@ def momentum25_features(
             cols += L.horizon_label_cols("close", w, horizon, threshold)
         return cols
 
-    fwd = (10 if label == "triple" else horizon) if with_label else 0
-    df = rolling(df, derived, back=4 if session else 3, fwd=fwd, keys=keys)
+    df = sf.windows(derived).result()
     e12, e26 = F.col("_ema12"), F.col("_ema26")
     rsi = F.col("rsi_14")
     out = {
@@ -327,18 +317,14 @@ def higher_timeframe_inputs(h1_bars: DataFrame, keys: Sequence[str] = KEYS) -> D
     """EMA200, MACD line, RSI, ADX on the higher timeframe, their slopes, all lagged
     one higher-timeframe bar (no look-ahead)."""
     df = h1_bars if "n" in h1_bars.columns else number_bars(h1_bars, keys)
-    df = rolling(df, _prev_cols, back=1, keys=keys)
+    sf = SeriesFrame(df, back=2 + 2 * SeriesFrame.LR_BLOCK, keys=keys).windows(_prev_cols)
     gain, loss = I.rsi_inputs()
-    df = recurrence.run(
-        df,
-        [I.ema_rec("_e200", "close", 200), *I.macd_recs("close", 12, 26),
-         I.wilder_rec("_g", gain, 14, start=1), I.wilder_rec("_l", loss, 14, start=1), *I.adx_recs(14)],
-        keys=keys,
-    )
+    sf.recur([I.ema_rec("_e200", "close", 200), *I.macd_recs("close", 12, 26),
+              I.wilder_rec("_g", gain, 14, start=1), I.wilder_rec("_l", loss, 14, start=1), *I.adx_recs(14)])
     dx, ok = I.dx_columns(14)
-    df = df.withColumns({"_dx": dx, "_dx_ok": ok})
-    df = recurrence.run(df, [I.adx_rec("_adx", 14)], keys=keys)
-    df = df.withColumns({
+    sf.columns({"_dx": dx, "_dx_ok": ok})
+    sf.recur([I.adx_rec("_adx", 14)])
+    sf.columns({
         "_ema200": I.valid_from(F.col("_e200"), 199),
         "_macd": I.valid_from(F.col("_macd_fast") - F.col("_macd_slow"), 33),
         "_rsi": I.valid_from(I.rsi_value(F.col("_g"), F.col("_l")), 14),
@@ -360,7 +346,7 @@ def higher_timeframe_inputs(h1_bars: DataFrame, keys: Sequence[str] = KEYS) -> D
             ("h1_adx_slope", F.lag("_adx_slope", 1).over(w)),
         ]
 
-    df = rolling(df, lagged, back=2, keys=keys)
+    df = sf.windows(lagged).result()
     return df.select("symbol", "time", "h1_ema200", "h1_macd", "h1_rsi", "h1_adx", "h1_slope",
                      "h1_rsi_slope", "h1_adx_slope")
 

@@ -64,15 +64,26 @@ def run(
     *,
     keys: Sequence[str] = KEYS,
     idx: str = "n",
+    within: str | None = None,
+    within_span: int | None = None,
 ) -> DataFrame:
-    """Add one column per recurrence (named ``rec.name``) to ``df``."""
+    """Add one column per recurrence (named ``rec.name``) to ``df``.
+
+    ``within`` names the block column of a ``series.SeriesFrame`` layout (rows already
+    hash-partitioned by ``keys + within``, halo copies flagged ``_halo``): the block
+    windows then nest inside that partitioning and the carry join keeps it, so the bar
+    rows are not shuffled again. ``within_span`` is the layout block size in rows.
+    """
     for r in recs:
         if not 0.0 < r.q < 1.0:
             raise ValueError(f"{r.name}: q must be in (0, 1)")
     B = _block_size(recs)
+    if within is not None and B != BLOCK:
+        raise ValueError("recurrences inside a layout need q >= exp(-600/64)")
+    part = [*keys, within] if within else list(keys)
     base = df.withColumn("_b", F.floor(F.col(idx) / F.lit(B)).cast("long"))
     base = base.withColumn("_k", (F.col(idx) - F.col("_b") * F.lit(B)).cast("int"))
-    w = Window.partitionBy(*keys, "_b").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*part, "_b").orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
 
     base = base.withColumns({
         f"_D_{r.name}": (F.col("_k") + 1) if r.decay is None else F.sum(F.when(r.decay, 1).otherwise(0)).over(w)
@@ -85,7 +96,10 @@ def run(
         loc[f"_L_{r.name}"] = F.pow(F.lit(r.q), D) * F.sum(term).over(w)
     base = base.withColumns(loc)
 
-    ends = base.filter(F.col("_k") == F.lit(B - 1)).select(
+    at_end = F.col("_k") == F.lit(B - 1)
+    if within:
+        at_end = at_end & ~F.col("_halo")
+    ends = base.filter(at_end).select(
         *keys,
         "_b",
         *[F.col(f"_L_{r.name}").alias(f"_e_{r.name}") for r in recs],
@@ -94,22 +108,28 @@ def run(
     folds = {r.name: _fold_blocks(r.q, B, r.warmup) for r in recs}
     lay = halo_layout(ends, keys, "_b", max(SUPER_BLOCK, max(folds.values())), back=max(folds.values()))
     wb = Window.partitionBy(*keys, "_blk").orderBy("_b")
-    carry_cols = []
+    lists = []
     for r in recs:
         frame = wb.rowsBetween(-(folds[r.name] - 1), 0)
-        items = F.collect_list(F.struct(F.col(f"_e_{r.name}").alias("e"), F.col(f"_M_{r.name}").alias("m"))).over(frame)
-        q = F.lit(r.q)
-        carry_cols.append(
-            F.aggregate(items, F.lit(0.0), lambda acc, s: acc * F.pow(q, s["m"].cast("double")) + s["e"]).alias(
-                f"_Y_{r.name}"
-            )
-        )
+        pair = F.struct(F.col(f"_e_{r.name}").alias("e"), F.col(f"_M_{r.name}").alias("m"))
+        lists.append(F.collect_list(pair).over(frame).alias(f"_I_{r.name}"))
+    lay = lay.select(*keys, "_b", "_halo", *lists)
+    folded = [
+        F.expr(f"aggregate(_I_{r.name}, 0D, (acc, s) -> acc * pow({r.q!r}D, CAST(s.m AS DOUBLE)) + s.e)").alias(
+            f"_Y_{r.name}")
+        for r in recs
+    ]
     carry = (
-        lay.select(*keys, "_b", "_halo", *carry_cols)
+        lay.select(*keys, "_b", "_halo", *folded)
         .filter(~F.col("_halo"))
         .select(*keys, (F.col("_b") + 1).alias("_b"), *[f"_Y_{r.name}" for r in recs])
     )
-    out = base.join(carry, [*keys, "_b"], "left")
+    if within:
+        # a block's rows live in its own layout block and as halo copies in the neighbours
+        per = (within_span or B) // B
+        home = F.floor(F.col("_b") / F.lit(per)).cast("long")
+        carry = carry.withColumn(within, F.explode(F.array(home - 1, home, home + 1)))
+    out = base.join(carry, [*part, "_b"], "left")
     out = out.withColumns({
         r.name: F.col(f"_L_{r.name}")
         + F.coalesce(F.col(f"_Y_{r.name}"), F.lit(0.0)) * F.pow(F.lit(r.q), F.col(f"_D_{r.name}").cast("double"))

@@ -228,3 +228,43 @@ def prefix_scan(
 def number_rows(df: DataFrame, keys: Sequence[str], order: str, out: str = "m") -> DataFrame:
     """Dense 0-based position by an integer ``order`` column (chunks of ``CHUNK_BARS``)."""
     return number_bars(df, keys, order=order, out=out, chunk=F.floor(F.col(order) / F.lit(CHUNK_BARS)))
+
+
+class SeriesFrame:
+    """A numbered series placed once in a halo layout; passes run inside it.
+
+    All window passes and recurrence levels of a pipeline share one hash partitioning on
+    ``keys + _blk``: window specs nest inside it, recurrence carries are small tables
+    joined on ``keys + _blk + _b``. Halo rows carry values too, so chained passes see
+    their neighbours; ``back`` must cover the longest chain of trailing frames plus one
+    64-row block per recurrence level (the first block of a halo is not trusted), and
+    ``fwd`` the longest leading frame.
+    """
+
+    LR_BLOCK = 64
+
+    def __init__(self, df: DataFrame, *, back: int, fwd: int = 0, keys: Sequence[str] = KEYS,
+                 idx: str = "n", block: int = ROLL_BLOCK):
+        back = -(-back // self.LR_BLOCK) * self.LR_BLOCK
+        self.block = max(block, back, fwd)
+        self.keys, self.idx = list(keys), idx
+        self.df = halo_layout(df, keys, idx, self.block, back, fwd)
+        self.w = Window.partitionBy(*keys, "_blk").orderBy(idx)
+
+    def windows(self, build: WindowBuilder) -> "SeriesFrame":
+        self.df = add_columns(self.df, build(self.w))
+        return self
+
+    def columns(self, cols: dict) -> "SeriesFrame":
+        self.df = self.df.withColumns(cols)
+        return self
+
+    def recur(self, recs) -> "SeriesFrame":
+        from . import recurrence
+
+        self.df = recurrence.run(self.df, recs, keys=self.keys, idx=self.idx, within="_blk",
+                                 within_span=self.block)
+        return self
+
+    def result(self) -> DataFrame:
+        return self.df.filter(~F.col("_halo")).drop("_blk", "_halo")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import indicators as I
 from . import recurrence
-from .series import KEYS, number_bars, rolling
+from .series import KEYS, SeriesFrame, number_bars
 
 # Rule thresholds of the reference strategies.
 RSI_BUY_LEVEL = 60.0
@@ -39,23 +39,30 @@ def _enough(bars: int) -> Column:
 def strategy_frame(bars: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Every indicator the rule strategies read, packed into four passes."""
     df = bars if "n" in bars.columns else number_bars(bars, keys)
-    df = rolling(df, lambda w: [("_pc", I.lag("close", 1, w)), ("bb_middle", I.sma("close", 20, w))], back=19, keys=keys)
+    sf = SeriesFrame(df, back=19 + 1 + 2 * SeriesFrame.LR_BLOCK, keys=keys)
+    sf.windows(lambda w: [("_pc", I.lag("close", 1, w)), ("bb_middle", I.sma("close", 20, w))])
     gain, loss = I.rsi_inputs()
     recs = [I.ema_rec(f"ema_{p}", "close", p) for p in (2, 9, 12, 21, 26, 200)]
     recs += [I.wilder_rec("_g", gain, 14, start=1), I.wilder_rec("_l", loss, 14, start=1)]
     recs += I.macd_recs("close", 12, 26, "macd") + I.macd_recs("close", 11, 27, "macd4")
-    df = recurrence.run(df, recs, keys=keys)
+    sf.recur(recs)
     cols = {f"ema_{p}": I.valid_from(F.col(f"ema_{p}"), p - 1) for p in (2, 9, 12, 21, 26, 200)}
     cols["rsi_14"] = I.valid_from(I.rsi_value(F.col("_g"), F.col("_l")), 14)
-    df = df.withColumns(cols)
-    df = I.macd_finish(df, 12, 26, 9, "macd", keys)
-    df = I.macd_finish(df, 11, 27, 4, "macd4", keys)
+    cols["_macd_line"] = I.valid_from(F.col("_macd_fast") - F.col("_macd_slow"), 25)
+    cols["_macd4_line"] = I.valid_from(F.col("_macd4_fast") - F.col("_macd4_slow"), 26)
+    sf.columns(cols)
+    sf.recur([I.ema_rec("_macd_sig", "_macd_line", 9, start=25), I.ema_rec("_macd4_sig", "_macd4_line", 4, start=26)])
+    m, sg = I.valid_from(F.col("_macd_line"), 33), I.valid_from(F.col("_macd_sig"), 33)
+    m4, s4 = I.valid_from(F.col("_macd4_line"), 29), I.valid_from(F.col("_macd4_sig"), 29)
+    sf.columns({"macd": m, "macd_signal": sg, "macd_hist": m - sg, "macd4": m4, "macd4_signal": s4, "macd4_hist": m4 - s4})
 
     def prev(w):
         return [(f"_prev_{c}", F.lag(c, 1).over(w)) for c in
                 ("macd", "macd_signal", "ema_12", "ema_26", "ema_2", "bb_middle", "macd4_hist")]
 
-    return rolling(df, prev, back=1, keys=keys).drop("_pc", "_g", "_l")
+    drop = ["_pc", "_g", "_l", "_macd_fast", "_macd_slow", "_macd4_fast", "_macd4_slow", "_macd_line",
+            "_macd4_line", "_macd_sig", "_macd4_sig"]
+    return sf.windows(prev).result().drop(*drop)
 
 
 def macd_state(fast="macd", slow="macd_signal", prev_fast="_prev_macd", prev_slow="_prev_macd_signal") -> Column:

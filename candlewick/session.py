@@ -8,7 +8,9 @@ created only when the session runs in local mode and has none, as in tests.
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,10 @@ _PINNED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # wide window plans: constraint propagation costs seconds of planning and prunes nothing here
+    "spark.sql.constraintPropagation.enabled": "false",
+    # joins on (key, block, sub-block) keep an existing (key, block) partitioning
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
@@ -31,6 +37,8 @@ def build_local_session(cores: int | str = "*", shuffle_partitions: int = 8) ->
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # call-site capture costs three JVM round trips per column function while a plan is built
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for k, v in _PINNED.items():
         builder = builder.config(k, v)
@@ -72,7 +80,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (reliable, survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` as a parquet table in the shared checkpoint folder and read it back.
+
+    One computation (an RDD checkpoint computes its plan twice), survives executor loss,
+    and later plans start from a plain scan, so planning time stays flat.
+    """
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("error").parquet(path)
+    return spark.read.parquet(path)

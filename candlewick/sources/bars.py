@@ -25,6 +25,35 @@ def bar_start(ts: Column, tf: str) -> Column:
     return F.timestamp_seconds(secs).cast("timestamp_ntz")
 
 
+_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
+
+
+def order_key(ticks: DataFrame, order: Sequence[str]) -> Column:
+    """One sortable column for a multi-column tie-break order.
+
+    Integer keys are packed into one ``long`` when their observed ranges fit 62 bits (one
+    min/max aggregate checks it), which keeps ``min_by``/``max_by`` in a hash aggregate;
+    otherwise the order stays a struct (sort-based aggregate, same result).
+    """
+    cols = list(order)
+    if len(cols) == 1:
+        return F.col(cols[0])
+    types = dict(ticks.dtypes)
+    if all(types.get(c) in _INTEGRAL for c in cols):
+        stats = ticks.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
+                          *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
+        if stats is not None and all(stats[f"lo{i}"] is not None for i in range(len(cols))):
+            widths = [max(1, int(stats[f"hi{i}"] - stats[f"lo{i}"]).bit_length()) for i in range(len(cols))]
+            if sum(widths) <= 62:
+                key, shift = F.lit(0).cast("long"), 0
+                for i in reversed(range(len(cols))):
+                    part = (F.col(cols[i]).cast("long") - F.lit(int(stats[f"lo{i}"])))
+                    key = key + F.shiftleft(part, shift)
+                    shift += widths[i]
+                return key
+    return F.struct(*[F.col(c) for c in cols])
+
+
 def ticks_to_bars(
     ticks: DataFrame,
     tf: str,
@@ -37,7 +66,7 @@ def ticks_to_bars(
 ) -> DataFrame:
     """A3: OHLCV bars of ``tf`` from a tick table; ``order`` breaks ties inside a bar."""
     order_cols = list(order) if order else [ts]
-    ordering = F.struct(*[F.col(c) for c in order_cols]) if len(order_cols) > 1 else F.col(order_cols[0])
+    ordering = order_key(ticks, order_cols)
     vol = F.count(F.lit(1)) if volume is None else F.sum(volume)
     return (
         ticks.select(
