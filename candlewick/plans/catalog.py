@@ -456,3 +456,17 @@ def q_stream_bars_m15(spark, sf):
     prepare(spark)
     bars = ST.run_to_table(spark, ST.tick_bars(ST.tick_stream(spark, sf), 900, "1 hour", "M15"), "bars_m15")
     return rounded(bars)
+
+
+def q_stream_trade_state(spark, sf):
+    """L3/L4: per-symbol loss streak and peak profit kept as keyed streaming state."""
+    from ..session import cut_lineage
+
+    prepare(spark)
+    trades = cut_lineage(FX.closed_trades(spark, sf), "closed_trades")
+    files = trades.inputFiles()
+    folder = files[0].rsplit("/", 1)[0] if files else None
+    stream = spark.readStream.schema(trades.schema).parquet(folder)
+    out = ST.run_to_table(spark, ST.keyed_trade_state(stream), "trade_state", mode="update")
+    newest = out.groupBy("symbol").agg(F.max_by(F.struct("loss_streak", "peak_profit", "n_seen"), "batch").alias("s"))
+    return rounded(newest.select("symbol", "s.loss_streak", "s.peak_profit", "s.n_seen"))

@@ -61,36 +61,54 @@ def tick_bars(ticks: DataFrame, tf_seconds: int, watermark: str, tf: str) -> Dat
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain ``stream`` with ``availableNow`` into parquet under the checkpoint folder."""
+    """Drain ``stream`` with ``availableNow`` into parquet under the checkpoint folder.
+
+    Append mode uses the parquet sink. Update mode writes each micro-batch to its own
+    ``batch=<id>`` folder (overwritten on replay, so a retried batch is idempotent); the
+    result then has a ``batch`` column and the newest batch per key is the current state.
+    """
     out = _run_dir(spark, name)
-    q = (
-        stream.writeStream.outputMode(mode)
-        .format("parquet")
-        .option("path", os.path.join(out, "data"))
-        .option("checkpointLocation", os.path.join(out, "chk"))
-        .trigger(availableNow=True)
-        .start()
-    )
+    data = os.path.join(out, "data")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", os.path.join(out, "chk"))
+    if mode == "append":
+        writer = writer.format("parquet").option("path", data)
+    else:
+        def write_batch(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(os.path.join(data, f"batch={batch_id}"))
+
+        writer = writer.foreachBatch(write_batch)
+    q = writer.trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(os.path.join(out, "data"))
+    return spark.read.parquet(data)
 
 
 # --- keyed state --------------------------------------------------------------------------
 
-STATE_SCHEMA = "loss_streak long, peak_profit double"
+STATE_SCHEMA = "loss_streak long, peak_profit double, n_seen long"
+TRADE_ORDER = ("closed_at", "order_key", "line_number", "part_key")
 OUT_SCHEMA = "symbol string, loss_streak long, peak_profit double, n_seen long"
 
 
 def _trade_state(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    streak, peak = state.get if state.exists else (0, 0.0)
-    seen = 0
-    for pdf in batches:
-        pdf = pdf.sort_values(["closed_at", "order_key", "line_number", "part_key"])
-        for profit in pdf["profit"].to_numpy():
-            streak = streak + 1 if profit < 0 else 0
-            peak = max(peak, float(profit))
-            seen += 1
-    state.update((int(streak), float(peak)))
+    """Fold one micro-batch of a symbol's trades into (loss streak, peak profit).
+
+    The key's rows of the micro-batch are ordered once (bounded by the trigger size,
+    e.g. ``maxFilesPerTrigger``); the fold itself is vectorised: trailing losses after the
+    last non-loss, or the previous streak plus all rows when every trade lost.
+    """
+    import numpy as np
+
+    streak, peak, seen = state.get if state.exists else (0, 0.0, 0)
+    frames = [pdf for pdf in batches if len(pdf)]
+    if frames:
+        pdf = pd.concat(frames, ignore_index=True).sort_values(list(TRADE_ORDER), kind="stable")
+        profit = pdf["profit"].to_numpy(dtype=float)
+        m = len(profit)
+        seen = int(seen) + m
+        ok = np.flatnonzero(profit >= 0)
+        streak = int(streak) + m if len(ok) == 0 else int(m - 1 - ok[-1])
+        peak = max(float(peak), float(profit.max()))
+    state.update((int(streak), float(peak), int(seen)))
     yield pd.DataFrame({"symbol": [key[0]], "loss_streak": [int(streak)], "peak_profit": [float(peak)], "n_seen": [seen]})
 
 

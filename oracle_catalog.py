@@ -681,3 +681,23 @@ FROM fin WHERE {' AND '.join(f'{c} IS NOT NULL' for c in M25_COLS + ['h1_slope_a
 
 
 SQL["features_session30"] = session30_sql()
+
+SQL["reversal_intents"] = with_ctes(ORDERS_BARS, NUMBERED, POSITIONS) + f"""
+, pr AS (SELECT symbol, n, {PROBS} FROM nb),
+lastp AS (SELECT symbol, arg_max(CAST({_gate(0.35)} AS INTEGER), n) AS signal FROM pr GROUP BY symbol),
+firstp AS (SELECT symbol, magic, arg_min(type, ticket) AS t_, min(ticket) AS open_ticket FROM pos GROUP BY symbol, magic),
+pairs AS (SELECT DISTINCT symbol, magic FROM pos),
+d AS (SELECT p.symbol, p.magic, l.signal, f.open_ticket,
+        CAST(CASE WHEN f.t_ = 'BUY' THEN 1 WHEN f.t_ = 'SELL' THEN -1 ELSE 0 END AS INTEGER) AS current_side
+      FROM pairs p JOIN lastp l ON l.symbol = p.symbol
+      LEFT JOIN firstp f ON f.symbol = p.symbol AND f.magic = p.magic),
+flips AS (SELECT * FROM d WHERE signal <> 0 AND signal <> current_side)
+SELECT symbol, magic, signal, current_side, open_ticket, CAST(0 AS INTEGER) AS step,
+       CASE WHEN current_side <> 0 THEN 'close' ELSE 'open' END AS action FROM flips
+UNION ALL
+SELECT symbol, magic, signal, current_side, open_ticket, CAST(1 AS INTEGER) AS step, 'open' AS action FROM flips
+WHERE current_side <> 0"""
+
+SQL["stream_trade_state"] = with_ctes(TRADES) + f"""
+SELECT s.symbol, s.loss_streak, {rnd('greatest(0.0, m.mx)')} AS peak_profit, s.n_closed AS n_seen
+FROM streaks s JOIN (SELECT symbol, max(profit) AS mx FROM trades GROUP BY symbol) m ON m.symbol = s.symbol"""
