@@ -470,3 +470,13 @@ def q_stream_trade_state(spark, sf):
     out = ST.run_to_table(spark, ST.keyed_trade_state(stream), "trade_state", mode="update")
     newest = out.groupBy("symbol").agg(F.max_by(F.struct("loss_streak", "peak_profit", "n_seen"), "batch").alias("s"))
     return rounded(newest.select("symbol", "s.loss_streak", "s.peak_profit", "s.n_seen"))
+
+
+def q_stream_indicators(spark, sf):
+    """L1 → L2: closed M15 bars from the tick stream, then EMA/RSI as keyed state."""
+    prepare(spark)
+    bars = ST.run_to_table(spark, ST.tick_bars(ST.tick_stream(spark, sf), 900, "1 hour", "M15"), "bars_m15")
+    folder = bars.inputFiles()[0].rsplit("/", 1)[0]
+    stream = spark.readStream.schema(bars.schema).parquet(folder)
+    out = ST.run_to_table(spark, ST.keyed_indicators(stream), "indicators_m15")
+    return rounded(out)

@@ -128,3 +128,52 @@ def foreach_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], n
     out = _run_dir(spark, name)
     q = stream.writeStream.foreachBatch(handle).option("checkpointLocation", out).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+# --- L2: incremental indicators on closed bars -----------------------------------------------
+
+IND_STATE = "n long, prev_close double, e12 double, e26 double, g double, l double"
+IND_OUT = "symbol string, tf string, time timestamp_ntz, n long, close double, ema_12 double, ema_26 double, rsi_14 double"
+
+
+def _ema_step(y: float, x: float, i: int, p: int) -> float:
+    a = 2.0 / (p + 1)
+    return y + x / p if i < p else (1.0 - a) * y + a * x
+
+
+def _indicator_state(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """EMA(12), EMA(26) and Wilder RSI(14) carried across micro-batches per (symbol, tf).
+
+    Same seeds as the batch operators (SMA warm-up); new bars of a micro-batch are applied
+    in time order (bounded by the trigger size).
+    """
+    n, prev, e12, e26, g, l = state.get if state.exists else (0, None, 0.0, 0.0, 0.0, 0.0)
+    frames = [pdf for pdf in batches if len(pdf)]
+    rows = []
+    if frames:
+        pdf = pd.concat(frames, ignore_index=True).sort_values("time", kind="stable")
+        for t, x in zip(pdf["time"], pdf["close"].to_numpy(dtype=float)):
+            e12 = _ema_step(e12, x, n, 12)
+            e26 = _ema_step(e26, x, n, 26)
+            if prev is not None:
+                d = x - prev
+                j = n - 1
+                gain, loss = max(d, 0.0), max(-d, 0.0)
+                g = g + gain / 14.0 if j < 14 else (13.0 / 14.0) * g + gain / 14.0
+                l = l + loss / 14.0 if j < 14 else (13.0 / 14.0) * l + loss / 14.0
+            rsi = None
+            if n >= 14:
+                rsi = 0.0 if abs(g + l) < 1e-14 else 100.0 * g / (g + l)
+            rows.append((key[0], key[1], t, n, x, e12 if n >= 11 else None, e26 if n >= 25 else None, rsi))
+            prev = x
+            n += 1
+    state.update((int(n), prev, float(e12), float(e26), float(g), float(l)))
+    cols = ["symbol", "tf", "time", "n", "close", "ema_12", "ema_26", "rsi_14"]
+    yield pd.DataFrame(rows, columns=cols)
+
+
+def keyed_indicators(bars: DataFrame) -> DataFrame:
+    """L2: indicators updated bar by bar from a stream of closed bars."""
+    return bars.groupBy("symbol", "tf").applyInPandasWithState(
+        _indicator_state, IND_OUT, IND_STATE, "append", GroupStateTimeout.NoTimeout
+    )

@@ -701,3 +701,9 @@ WHERE current_side <> 0"""
 SQL["stream_trade_state"] = with_ctes(TRADES) + f"""
 SELECT s.symbol, s.loss_streak, {rnd('greatest(0.0, m.mx)')} AS peak_profit, s.n_closed AS n_seen
 FROM streaks s JOIN (SELECT symbol, max(profit) AS mx FROM trades GROUP BY symbol) m ON m.symbol = s.symbol"""
+
+SQL["stream_indicators"] = with_ctes(events_bars("M15", 900, "allbars"), """
+bars AS (SELECT * FROM allbars WHERE time + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)""",
+                                    NUMBERED, ta_state()) + f"""
+SELECT symbol, tf, time, n, {rnd('close')} AS close, {rnd(IND['ema_12'])} AS ema_12, {rnd(IND['ema_26'])} AS ema_26,
+  {rnd(IND['rsi_14'])} AS rsi_14 FROM ta"""
