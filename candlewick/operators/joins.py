@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .series import epoch_seconds
@@ -54,3 +54,46 @@ def asof_backward(
     return left.join(best, lkey, "left").select(
         *[F.col(c) for c in left.columns], *[F.col("_m")[right_prefix + c].alias(right_prefix + c) for c in rcols]
     )
+
+
+def asof_latest(
+    left: DataFrame,
+    right: DataFrame,
+    *,
+    left_time: Column,
+    right_time: Column,
+    by: Sequence[str] = ("symbol",),
+    left_key: Sequence[str],
+    right_cols: Sequence[str],
+    right_prefix: str = "r_",
+    chunk_seconds: int = 4096 * 3600,
+) -> DataFrame:
+    """Exact backward as-of without tolerance (newest right row at or before the left
+    time; at equal times the right row counts).
+
+    Both sides are stacked in time order per key, numbered with chunked counts, and a
+    blocked running ``max`` of right-row positions gives every left row its match, which
+    is then an equi-join on ``(key, position)``. No per-key sort of whole series, no
+    inequality join, exact for any gap length.
+    """
+    from .series import number_bars, prefix_scan
+
+    lk = list(left_key)
+    l_side = left.select(*by, left_time.alias("_t"), F.lit(1).alias("_side"),
+                         F.struct(*[F.col(c) for c in lk]).alias("_lk"),
+                         F.lit(None).cast(right.select(F.struct(*[F.col(c) for c in right_cols])).schema[0].dataType).alias("_rp"))
+    r_side = right.select(*by, right_time.alias("_t"), F.lit(0).alias("_side"),
+                          F.lit(None).cast(l_side.schema["_lk"].dataType).alias("_lk"),
+                          F.struct(*[F.col(c) for c in right_cols]).alias("_rp"))
+    both = l_side.unionByName(r_side)
+    micros = F.unix_micros(F.col("_t").cast("timestamp"))
+    both = both.withColumn("_o", micros * F.lit(2) + F.col("_side").cast("long"))
+    both = number_bars(both, by, order="_o", out="_pos",
+                       chunk=F.floor(micros / F.lit(chunk_seconds * 1_000_000)))
+    both = prefix_scan(both, [(F.when(F.col("_side") == 0, F.col("_pos")), "max", "_rpos")], keys=by, idx="_pos")
+    matches = both.filter(F.col("_side") == 1).select(*by, "_lk", "_rpos")
+    rights = both.filter(F.col("_side") == 0).select(*by, F.col("_pos").alias("_rpos"), "_rp")
+    j = matches.join(rights, [*by, "_rpos"], "left")
+    keyed = j.select(*[F.col("_lk")[c].alias(c) for c in lk],
+                     *[F.col("_rp")[c].alias(right_prefix + c) for c in right_cols])
+    return left.join(keyed, lk, "left")

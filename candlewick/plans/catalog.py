@@ -480,3 +480,18 @@ def q_stream_indicators(spark, sf):
     stream = spark.readStream.schema(bars.schema).parquet(folder)
     out = ST.run_to_table(spark, ST.keyed_indicators(stream), "indicators_m15")
     return rounded(out)
+
+
+def q_asof_trend_h1_to_m15(spark, sf):
+    """E6 + H5: each M15 bar with the EMA200 trend of the newest H1 bar closed by its close."""
+    prepare(spark)
+    m15 = B.events_bars(spark, sf, "M15")
+    h1 = SG.strategy_signals(number_bars(B.events_bars(spark, sf, "H1")))
+    j = JN.asof_latest(
+        m15.select("symbol", "tf", "time", "close"), h1.select("symbol", "time", "trend", "trend_reason"),
+        left_time=F.col("time") + F.expr("INTERVAL 15 MINUTES"), right_time=F.col("time") + F.expr("INTERVAL 1 HOUR"),
+        left_key=["symbol", "tf", "time"], right_cols=["time", "trend", "trend_reason"],
+    )
+    return rounded(j.select("symbol", "tf", "time", "close", F.col("r_time").alias("trend_time"),
+                            F.coalesce("r_trend", F.lit("NEUTRAL")).alias("trend"),
+                            F.coalesce("r_trend_reason", F.lit("")).alias("trend_reason")))

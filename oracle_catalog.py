@@ -707,3 +707,10 @@ bars AS (SELECT * FROM allbars WHERE time + INTERVAL 15 MINUTE <= (SELECT max(ts
                                     NUMBERED, ta_state()) + f"""
 SELECT symbol, tf, time, n, {rnd('close')} AS close, {rnd(IND['ema_12'])} AS ema_12, {rnd(IND['ema_26'])} AS ema_26,
   {rnd(IND['rsi_14'])} AS rsi_14 FROM ta"""
+
+SQL["asof_trend_h1_to_m15"] = with_ctes(events_bars("M15", 900, "m15"), events_bars("H1", 3600, "bars"), NUMBERED,
+                                        _signals_cte()) + f"""
+SELECT m.symbol, m.tf, m.time, {rnd('m.close')} AS close, h.time AS trend_time,
+  coalesce(h.trend, 'NEUTRAL') AS trend, coalesce(h.trend_reason, '') AS trend_reason
+FROM m15 m ASOF LEFT JOIN (SELECT symbol, time, trend, trend_reason FROM sig) h
+  ON m.symbol = h.symbol AND m.time + INTERVAL 15 MINUTE >= h.time + INTERVAL 1 HOUR"""
