@@ -269,3 +269,27 @@ def reversal_intents(signals: DataFrame, open_pos: DataFrame) -> DataFrame:
     return df.filter(flip).select(
         "symbol", "magic", "signal", "current_side", "open_ticket", F.posexplode(steps).alias("step", "action")
     )
+
+
+def positions_for(positions: DataFrame, symbol: str | None = None, ticket: int | None = None,
+                  magic: int | None = None) -> DataFrame:
+    """Positions by symbol / ticket / magic (plain filters, pushed to the scan)."""
+    cond = F.lit(True)
+    if symbol is not None:
+        cond = cond & (F.col("symbol") == symbol)
+    if ticket is not None:
+        cond = cond & (F.col("ticket") == ticket)
+    if magic is not None:
+        cond = cond & (F.col("magic") == magic)
+    return positions.filter(cond)
+
+
+def configured_symbols(spark, text: str) -> DataFrame:
+    """A10: the configured ``"A, B"`` list as a one-column table (one row per symbol)."""
+    return spark.createDataFrame([(text,)], "symbols string").select(
+        F.explode(parse_symbols(F.col("symbols"))).alias("symbol")).distinct()
+
+
+def restrict_symbols(df: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Keep rows of configured symbols (left semi join)."""
+    return df.join(symbols, "symbol", "left_semi")

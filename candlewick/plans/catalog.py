@@ -495,3 +495,13 @@ def q_asof_trend_h1_to_m15(spark, sf):
     return rounded(j.select("symbol", "tf", "time", "close", F.col("r_time").alias("trend_time"),
                             F.coalesce("r_trend", F.lit("NEUTRAL")).alias("trend"),
                             F.coalesce("r_trend_reason", F.lit("")).alias("trend_reason")))
+
+
+def q_strategy_decisions(spark, sf):
+    """H14 + E7: rule strategy per bar (sideways → NEUTRAL, else the trend-gated combined
+    signal) for the configured symbols only."""
+    df = SG.strategy_signals(_li(spark, sf))
+    cfg = RK.StrategyConfig(use_ai=False, use_bb_ma_macd=False, use_trend_filter=True)
+    decision = SG.choose_strategy(cfg.use_ai, cfg.use_bb_ma_macd, cfg.use_trend_filter)
+    picked = RK.restrict_symbols(df, RK.configured_symbols(spark, "A, R"))
+    return picked.select(*BAR_COLS, decision.alias("decision"))

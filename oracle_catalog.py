@@ -714,3 +714,10 @@ SELECT m.symbol, m.tf, m.time, {rnd('m.close')} AS close, h.time AS trend_time,
   coalesce(h.trend, 'NEUTRAL') AS trend, coalesce(h.trend_reason, '') AS trend_reason
 FROM m15 m ASOF LEFT JOIN (SELECT symbol, time, trend, trend_reason FROM sig) h
   ON m.symbol = h.symbol AND m.time + INTERVAL 15 MINUTE >= h.time + INTERVAL 1 HOUR"""
+
+SQL["strategy_decisions"] = _li(_signals_cte()) + f"""
+SELECT {KEYCOLS},
+  CASE WHEN sideways THEN 'NEUTRAL'
+       WHEN trend = 'BULLISH' AND combined = 'BULLISH' THEN 'BULLISH'
+       WHEN trend = 'BEARISH' AND combined = 'BEARISH' THEN 'BEARISH' ELSE 'NEUTRAL' END AS decision
+FROM sig WHERE symbol IN ('A', 'R')"""
