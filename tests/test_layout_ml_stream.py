@@ -79,3 +79,20 @@ def test_keyed_state_stream_equals_batch(spark):
     peaks = {r.symbol: r.m for r in trades.groupBy("symbol").agg(F.max("profit").alias("m")).collect()}
     assert {k: v[0] for k, v in got.items()} == batch
     assert {k: v[1] for k, v in got.items()} == peaks
+
+
+def test_random_search_expanding_folds(spark):
+    feats = FX.with_predictions(I.numbered(B.lineitem_bars(spark, SF_SMALL))).withColumn(
+        "label", F.when(F.col("p_buy") > F.col("p_sell"), 1).when(F.col("p_sell") > F.col("p_buy"), -1).otherwise(0))
+    grid = {"rf_trees": [3, 5], "rf_depth": [3], "gbt_iter": [2], "gbt_depth": [2]}
+    best, scores = ML.random_search(feats, ["p_sell", "p_hold", "p_buy"], grid, draws=2, n_folds=2)
+    assert set(best) == set(grid) and len(scores) == 2
+    assert all(0.0 <= s <= 1.0 for _, s in scores)
+
+
+def test_configured_symbols_and_filters(spark):
+    syms = sorted(r.symbol for r in RK.configured_symbols(spark, " A, R ,, A").collect())
+    assert syms == ["A", "R"]
+    pos = FX.positions(spark, SF_SMALL)
+    one = RK.positions_for(pos, magic=1).collect()
+    assert one and all(r.magic == 1 for r in one)
