@@ -721,3 +721,21 @@ SELECT {KEYCOLS},
        WHEN trend = 'BULLISH' AND combined = 'BULLISH' THEN 'BULLISH'
        WHEN trend = 'BEARISH' AND combined = 'BEARISH' THEN 'BEARISH' ELSE 'NEUTRAL' END AS decision
 FROM sig WHERE symbol IN ('A', 'R')"""
+
+
+def _ptxt(x: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL AND {x} <> 0 THEN printf('%.5f', {x}) ELSE '' END"
+
+
+SQL["status_snapshot"] = with_ctes(POSITIONS) + f"""
+, plist AS (
+  SELECT account_id,
+    to_json(list({{'ticket': ticket, 'symbol': symbol, 'type': type, 'volume': volume,
+                   'price_open': {_ptxt('price_open')}, 'sl': {_ptxt('sl')}, 'tp': {_ptxt('tp')},
+                   'profit': round_even(profit, 2)}} ORDER BY ticket)) AS pj,
+    count(*) AS np
+  FROM pos GROUP BY account_id)
+SELECT a.account_id, {rnd('round_even(a.balance, 2)')} AS balance, {rnd('round_even(a.equity, 2)')} AS equity,
+  {rnd('round_even(a.profit, 2)')} AS profit, CAST(coalesce(p.np, 0) AS INTEGER) AS n_positions,
+  coalesce(CAST(p.pj AS VARCHAR), '[]') AS positions_json
+FROM acc a LEFT JOIN plist p ON p.account_id = a.account_id"""
