@@ -505,3 +505,62 @@ def q_strategy_decisions(spark, sf):
     decision = SG.choose_strategy(cfg.use_ai, cfg.use_bb_ma_macd, cfg.use_trend_filter)
     picked = RK.restrict_symbols(df, RK.configured_symbols(spark, "A, R"))
     return picked.select(*BAR_COLS, decision.alias("decision"))
+
+
+def _file_stream(spark, sf, table):
+    schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+
+
+def q_stream_position_decisions(spark, sf):
+    """Per micro-batch of order ticks, K3 trailing-stop decisions against the static
+    position snapshot, written per batch id (a replayed batch overwrites its own output)."""
+    import os
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import sinks
+
+    prepare(spark)
+    out = os.path.join(ensure_checkpoint_dir(spark), "streams", f"decisions-{os.urandom(8).hex()}")
+    positions = FX.positions(spark, sf)
+    info = FX.symbol_info(B.orders_bars(spark, sf))
+    ticks = _file_stream(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"),
+        F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("bid"),
+        (F.col("o_totalprice") * F.lit(1.0002)).alias("ask"))
+
+    def decide(batch, batch_id):
+        quotes = B.latest_quote(batch)
+        sinks.write_intents(RK.trailing_points(positions, quotes, info, distance=300.0), out, batch_id)
+
+    ST.foreach_batch(ticks, decide, "position_decisions")
+    done = spark.read.parquet(out)
+    last = done.agg(F.max("batch_id")).first()[0]
+    return rounded(done.filter(F.col("batch_id") == last).drop("batch_id"))
+
+
+def q_stream_model_scores(spark, sf):
+    """A saved V11 model scores the test-tail feature rows as they stream in."""
+    import os
+
+    from ..session import cut_lineage, ensure_checkpoint_dir
+
+    feats = FE.build_features(_li(spark, sf), "v11").filter(F.col("label_valid"))
+    split = BT.chronological_split(feats)
+    model = ML.fit_ensemble(ML.balanced_weights(split.filter(F.col("t").isNull())), FE.V11_COLUMNS,
+                            ML.EnsembleParams(rf_trees=10, gbt_iter=5))
+    base = os.path.join(ensure_checkpoint_dir(spark), "models", os.urandom(8).hex())
+    ML.save_bundle(model, base, "pooled")
+    rows = cut_lineage(split.filter(F.col("t").isNotNull()).drop("m"), "score_input")
+    folder = rows.inputFiles()[0].rsplit("/", 1)[0]
+    stream = spark.readStream.schema(rows.schema).parquet(folder)
+    out = os.path.join(ensure_checkpoint_dir(spark), "streams", f"scores-{os.urandom(8).hex()}")
+
+    def score(batch, batch_id):
+        bundle = ML.load_bundle(base, "pooled")
+        scored = bundle.predict(batch).select(*BAR_COLS, "label", "pred",
+                                              SG.confidence_gate(F.col("probs"), 0.54).alias("gated"))
+        scored.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
+
+    ST.foreach_batch(stream, score, "model_scores")
+    return spark.read.parquet(out).drop("batch")

@@ -739,3 +739,5 @@ SELECT a.account_id, {rnd('round_even(a.balance, 2)')} AS balance, {rnd('round_e
   {rnd('round_even(a.profit, 2)')} AS profit, CAST(coalesce(p.np, 0) AS INTEGER) AS n_positions,
   coalesce(CAST(p.pj AS VARCHAR), '[]') AS positions_json
 FROM acc a LEFT JOIN plist p ON p.account_id = a.account_id"""
+
+SQL["stream_position_decisions"] = SQL["trailing_points"]

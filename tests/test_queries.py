@@ -50,7 +50,7 @@ def test_every_query_is_registered_with_schema(spark):
     q = E.queries()
     assert len(q) >= 40
     missing = set(q) - set(E.oracle_sql())
-    assert missing <= {"ml_ensemble_v11"} | {"atr_trailing",
+    assert missing <= {"ml_ensemble_v11", "stream_model_scores"} | {"atr_trailing",
                        "close_rules", "ind_ema", "ind_macd", "ind_atr", "ind_adx", "features_v10",
                        "features_momentum25", "features_simple4", "model_signal_gates", "backtest_summary",
                        "backtest_horizon", "backtest_tp_sl", "class_distribution", "confusion_metrics",
