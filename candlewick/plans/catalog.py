@@ -386,23 +386,27 @@ def q_asof_h1_to_m15(spark, sf):
 
 
 def q_status_snapshot(spark, sf):
-    """Per account, rounded figures and its positions as formatted JSON rows."""
+    """Account figures rounded to 2 places with each open position as a formatted JSON
+    row. One row per position (accounts without positions get one row with a null ticket):
+    no per-account list is assembled, so an account with millions of positions stays spread
+    over tasks; a consumer groups by ``account_id`` to render the list."""
     from ..functions.scalar import price_text
 
     prepare(spark)
     pos = FX.positions(spark, sf)
     acc = FX.accounts(spark, sf, pos)
-    rows = pos.groupBy("account_id").agg(F.sort_array(F.collect_list(F.struct(
+    counts = pos.groupBy("account_id").agg(F.count(F.lit(1)).alias("n_positions"))
+    rows = pos.select("account_id", "ticket", F.to_json(F.struct(
         "ticket", "symbol", "type", "volume",
         price_text("price_open").alias("price_open"), price_text("sl").alias("sl"), price_text("tp").alias("tp"),
         F.bround("profit", 2).alias("profit"),
-    ))).alias("_p"))
-    out = acc.join(rows, "account_id", "left").select(
+    )).alias("position_json"))
+    out = acc.join(counts, "account_id", "left").join(rows, "account_id", "left").select(
         "account_id",
         F.bround("balance", 2).alias("balance"), F.bround("equity", 2).alias("equity"),
         F.bround("profit", 2).alias("profit"),
-        F.size(F.coalesce(F.col("_p"), F.array())).alias("n_positions"),
-        F.to_json(F.coalesce(F.col("_p"), F.array())).alias("positions_json"),
+        F.coalesce(F.col("n_positions"), F.lit(0)).alias("n_positions"),
+        "ticket", "position_json",
     )
     return rounded(out)
 

@@ -728,16 +728,15 @@ def _ptxt(x: str) -> str:
 
 
 SQL["status_snapshot"] = with_ctes(POSITIONS) + f"""
-, plist AS (
-  SELECT account_id,
-    to_json(list({{'ticket': ticket, 'symbol': symbol, 'type': type, 'volume': volume,
+, cnt AS (SELECT account_id, count(*) AS np FROM pos GROUP BY account_id),
+prow AS (
+  SELECT account_id, ticket,
+    CAST(to_json({{'ticket': ticket, 'symbol': symbol, 'type': type, 'volume': volume,
                    'price_open': {_ptxt('price_open')}, 'sl': {_ptxt('sl')}, 'tp': {_ptxt('tp')},
-                   'profit': round_even(profit, 2)}} ORDER BY ticket)) AS pj,
-    count(*) AS np
-  FROM pos GROUP BY account_id)
+                   'profit': round_even(profit, 2)}}) AS VARCHAR) AS position_json
+  FROM pos)
 SELECT a.account_id, {rnd('round_even(a.balance, 2)')} AS balance, {rnd('round_even(a.equity, 2)')} AS equity,
-  {rnd('round_even(a.profit, 2)')} AS profit, CAST(coalesce(p.np, 0) AS INTEGER) AS n_positions,
-  coalesce(CAST(p.pj AS VARCHAR), '[]') AS positions_json
-FROM acc a LEFT JOIN plist p ON p.account_id = a.account_id"""
+  {rnd('round_even(a.profit, 2)')} AS profit, coalesce(c.np, 0) AS n_positions, p.ticket, p.position_json
+FROM acc a LEFT JOIN cnt c ON c.account_id = a.account_id LEFT JOIN prow p ON p.account_id = a.account_id"""
 
 SQL["stream_position_decisions"] = SQL["trailing_points"]
