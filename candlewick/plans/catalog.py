@@ -8,11 +8,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import backtest as BT
+from ..operators import features as FE
 from ..operators import indicators as I
+from ..operators import joins as JN
+from ..operators import labels as LB
+from ..operators import ml as ML
 from ..operators import recurrence
+from ..operators import risk as RK
+from ..operators import signals as SG
 from ..operators.series import number_bars, rolling
 from ..session import prepare
 from ..sources import bars as B
+from ..sources import fixtures as FX
+from ..streaming import bars_stream as ST
 from .report import rounded
 
 BAR_COLS = ["symbol", "tf", "time", "n"]
@@ -132,11 +141,6 @@ def q_ind_rolling(spark, sf):
 
 # --- D/G: feature sets and labels -------------------------------------------------------------
 
-from ..operators import backtest as BT  # noqa: E402
-from ..operators import features as FE  # noqa: E402
-from ..operators import labels as LB  # noqa: E402
-from ..operators import signals as SG  # noqa: E402
-from ..sources import fixtures as FX  # noqa: E402
 
 
 def _feature_query(spark, sf, feature_set):
@@ -251,8 +255,6 @@ def q_backtest_tp_sl(spark, sf):
 
 # --- E/F/K: joins, account aggregates and risk rules -------------------------------------------
 
-from ..operators import joins as JN  # noqa: E402
-from ..operators import risk as RK  # noqa: E402
 
 CFG = RK.StrategyConfig()
 
@@ -433,8 +435,6 @@ def q_flagship(spark, sf):
 
 # --- I: machine learning (rows-only check) -----------------------------------------------------
 
-from ..operators import ml as ML  # noqa: E402
-from ..streaming import bars_stream as ST  # noqa: E402
 
 
 def q_ml_ensemble_v11(spark, sf):

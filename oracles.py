@@ -65,13 +65,6 @@ NUMBERED = """
 nb AS (SELECT *, row_number() OVER (PARTITION BY symbol, tf ORDER BY time) - 1 AS n FROM bars)"""
 
 
-def bar_select(extra: str = "") -> str:
-    cols = "symbol, tf, time, " + ", ".join(rnd(c) for c in ("open", "high", "low", "close"))
-    cols = cols.replace(rnd("open"), rnd("open") + " AS open").replace(rnd("high"), rnd("high") + " AS high")
-    cols = cols.replace(rnd("low"), rnd("low") + " AS low").replace(rnd("close"), rnd("close") + " AS close")
-    return cols + ", tick_volume" + (", " + extra if extra else "")
-
-
 # --- sequential indicator state ----------------------------------------------------------
 
 
