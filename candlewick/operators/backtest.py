@@ -44,7 +44,7 @@ def bar_to_bar(test: DataFrame, signal: str = "signal", keys: Sequence[str] = KE
         c = F.col("close")
         prev_pos = F.when(F.col("t") == 0, F.lit(0)).otherwise(F.lag(signal, 1).over(w))
         return [
-            ("ret", (F.lead(c, 1).over(w) - c) / c),
+            ("ret", F.try_divide(F.lead(c, 1).over(w) - c, c)),
             ("_prev_pos", prev_pos),
         ]
 
@@ -60,7 +60,7 @@ def horizon_returns(test: DataFrame, signal: str = "signal", keys: Sequence[str]
     """Overlapping ``horizon``-bar returns signed by the prediction; last ``horizon`` dropped."""
     def build(w):
         c = F.col("close")
-        return [("ret", (F.lead(c, horizon).over(w) - c) / c)]
+        return [("ret", F.try_divide(F.lead(c, horizon).over(w) - c, c))]
 
     df = rolling(test, build, back=0, fwd=horizon, keys=keys, idx="t")
     s = F.col(signal)
@@ -93,7 +93,7 @@ def tp_sl_returns(test: DataFrame, signal: str = "signal", keys: Sequence[str] =
     long_hit = L.first_touch(F.col("_closes"), lambda x: x >= long_tp, lambda x: x <= long_sl)
     short_hit = L.first_touch(F.col("_closes"), lambda x: x <= short_tp, lambda x: x >= short_sl)
     hit = F.when(s == 1, long_hit).when(s == -1, short_hit).otherwise(F.lit(0))
-    drift = F.when(s == 1, (F.col("_exit") - c) / c).otherwise((c - F.col("_exit")) / c)
+    drift = F.when(s == 1, F.try_divide(F.col("_exit") - c, c)).otherwise(F.try_divide(c - F.col("_exit"), c))
     strat = (
         F.when(s == 0, F.lit(0.0))
         .when(hit == 1, F.lit(tp))
@@ -102,7 +102,7 @@ def tp_sl_returns(test: DataFrame, signal: str = "signal", keys: Sequence[str] =
     )
     return (
         df.filter(F.col("_keep"))
-        .withColumn("ret", (F.col("_hold_exit") - c) / c)
+        .withColumn("ret", F.try_divide(F.col("_hold_exit") - c, c))
         .withColumn("strat_ret", strat)
         .drop("_closes", "_exit", "_hold_exit", "_keep")
     )

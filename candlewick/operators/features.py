@@ -216,7 +216,7 @@ def momentum25_features(
     def raw(w):
         body = F.abs(c - o)
         rng = h - lo + F.lit(EPS10)
-        vol = I.rolling_std("close", 10, w) / c
+        vol = F.try_divide(I.rolling_std("close", 10, w), c)
         direction = F.when(c > o, F.lit(1)).otherwise(F.lit(-1))
         return [
             ("_pc", I.lag("close", 1, w)),
@@ -372,9 +372,9 @@ def session30_features(m15_bars: DataFrame, h1_bars: DataFrame, *, with_label: b
     h1_trend = F.when(h1_slope > 0, F.lit(1)).otherwise(F.lit(-1))
     m15_trend = F.when(m15_slope > 0, F.lit(1)).otherwise(F.lit(-1))
     out = j.withColumns({
-        "price_to_ema200_h1": F.coalesce((c - F.col("r_h1_ema200")) / c * F.lit(100.0), F.lit(0.0)),
+        "price_to_ema200_h1": F.coalesce(F.try_divide(c - F.col("r_h1_ema200"), c) * F.lit(100.0), F.lit(0.0)),
         "htf_slope": h1_slope,
-        "h1_macd": F.coalesce(F.col("r_h1_macd") / c * F.lit(1000.0), F.lit(0.0)),
+        "h1_macd": F.coalesce(F.try_divide(F.col("r_h1_macd"), c) * F.lit(1000.0), F.lit(0.0)),
         "h1_rsi": F.coalesce(F.col("r_h1_rsi"), F.lit(HTF_DEFAULTS["h1_rsi"])),
         "h1_rsi_slope": F.coalesce(F.col("r_h1_rsi_slope"), F.lit(0.0)),
         "h1_adx": F.coalesce(F.col("r_h1_adx"), F.lit(HTF_DEFAULTS["h1_adx"])),

@@ -19,9 +19,9 @@ def barrier_label_cols(close: str, atr: str, w, params) -> list[tuple[str, Colum
     W = params.window
     c = F.col(close)
     ahead = w.rowsBetween(1, W)
-    up = (F.max(c).over(ahead) - c) / c
-    down = (c - F.min(c).over(ahead)) / c
-    thr = F.when(F.col(atr).isNotNull(), F.greatest(F.lit(params.floor), F.lit(params.atr_mult) * F.col(atr) / c))
+    up = F.try_divide(F.max(c).over(ahead) - c, c)
+    down = F.try_divide(c - F.min(c).over(ahead), c)
+    thr = F.when(F.col(atr).isNotNull(), F.greatest(F.lit(params.floor), F.try_divide(F.lit(params.atr_mult) * F.col(atr), c)))
     buy = F.coalesce((up > thr) & (down < up * F.lit(0.5)), F.lit(False))
     sell = F.coalesce((down > thr) & (up < down * F.lit(0.5)), F.lit(False))
     label = F.when(buy, F.lit(1)).when(sell, F.lit(-1)).otherwise(F.lit(0))
@@ -31,7 +31,7 @@ def barrier_label_cols(close: str, atr: str, w, params) -> list[tuple[str, Colum
 def horizon_label_cols(close: str, w, horizon: int = 5, threshold: float = 0.002) -> list[tuple[str, Column]]:
     """``r = (close[t+h] - close) / close``; beyond ±threshold → ±1, else (and tail) 0."""
     c = F.col(close)
-    r = (F.lead(c, horizon).over(w) - c) / c
+    r = F.try_divide(F.lead(c, horizon).over(w) - c, c)
     label = F.when(r > F.lit(threshold), F.lit(1)).when(r < F.lit(-threshold), F.lit(-1)).otherwise(F.lit(0))
     return [("label", label), ("label_valid", F.lit(True))]
 

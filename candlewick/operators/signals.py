@@ -122,7 +122,7 @@ def trend_ema200(tf: Column | None = None) -> tuple[Column, Column]:
 
 def sideways(fast="ema_9", slow="ema_21", macd="macd") -> Column:
     """H6: EMAs within 0.1 % and |MACD| < 0.0005; false before 100 bars."""
-    gap = F.abs(F.col(fast) - F.col(slow)) / F.col(slow) * F.lit(100.0)
+    gap = F.try_divide(F.abs(F.col(fast) - F.col(slow)), F.col(slow)) * F.lit(100.0)
     flat = (gap < F.lit(SIDEWAYS_EMA_GAP_PCT)) & (F.abs(F.col(macd)) < F.lit(SIDEWAYS_MACD_ABS))
     return F.coalesce(_enough(MIN_BARS_SIDEWAYS) & flat, F.lit(False))
 

@@ -110,8 +110,8 @@ v3 AS (
       CASE WHEN sum(pos) {t14} + sum(neg) {t14} < 1.0 THEN 0.0
       ELSE 100.0 * sum(pos) {t14} / (sum(pos) {t14} + sum(neg) {t14}) END END AS mfi_v,
     mid + 2.0 * sd AS up, mid - 2.0 * sd AS lo,
-    CASE WHEN atrl_v IS NULL THEN NULL ELSE greatest(0.0035, {m} * atrl_v / close) END AS thr,
-    (fmax - close) / close AS ret_up, (close - fmin) / close AS ret_dn
+    CASE WHEN atrl_v IS NULL THEN NULL ELSE greatest(0.0035, {tdiv(f'{m} * atrl_v', 'close')}) END AS thr,
+    {tdiv('fmax - close', 'close')} AS ret_up, {tdiv('close - fmin', 'close')} AS ret_dn
   FROM v2),
 feat AS (
   SELECT symbol, tf, time, n, open, high, low, close, tick_volume,
@@ -170,14 +170,14 @@ m0 AS (
     CASE WHEN close > open THEN 1 ELSE -1 END AS dir
   FROM ta),
 m1 AS (
-  SELECT *, {masked_agg('stddev_samp(close)', 'close', 10)} / close AS volatility,
+  SELECT *, {tdiv(masked_agg('stddev_samp(close)', 'close', 10), 'close')} AS volatility,
     e12v - {lag('e12v')} AS d12, e26v - {lag('e26v')} AS d26, histv - {lag('histv')} AS dh,
     rsiv - {lag('rsiv')} AS dr,
     body_ratio - {sma('body_ratio', 5)} AS body_momentum,
     {lag('dir')} AS pdir, {lag('body')} AS pbody,
     {tdiv('close', lag('close'))} - 1.0 AS price_change,
     {tdiv('close', lag('close', 3))} - 1.0 AS price_momentum,
-    ({lead('close', 5)} - close) / close AS fr
+    {tdiv(lead('close', 5) + ' - close', 'close')} AS fr
   FROM m0),
 feat AS (
   SELECT symbol, tf, time, n,
@@ -253,7 +253,7 @@ s2 AS (
     coalesce(pma >= pmid AND ema_2v < mid AND (m4 > h4 OR m4 > ph4), FALSE) AS bb_sell,
     CASE WHEN close > ema_200v THEN 'BULLISH' WHEN close < ema_200v THEN 'BEARISH' ELSE 'NEUTRAL' END AS tr,
     CASE WHEN close > ema_200v THEN '>' WHEN close < ema_200v THEN '<' ELSE '≈' END AS rel,
-    coalesce(n >= 99 AND abs(ema_9v - ema_21v) / ema_21v * 100.0 < 0.1 AND abs(macdv) < 0.0005, FALSE) AS sideways,
+    coalesce(n >= 99 AND {tdiv('abs(ema_9v - ema_21v)', 'ema_21v')} * 100.0 < 0.1 AND abs(macdv) < 0.0005, FALSE) AS sideways,
     CAST(CASE WHEN macdv > 0 THEN 1 WHEN macdv < 0 THEN -1 ELSE 0 END AS INTEGER) AS macd_zero
   FROM s1),
 sig AS (
@@ -335,7 +335,7 @@ b0 AS (SELECT *, CAST({_gate(0.54)} AS INTEGER) AS prediction FROM test),
 b1 AS (SELECT *, CAST(CASE WHEN (prediction = 1 AND slope_20 < -({LIMIT}))
                          OR (prediction = -1 AND slope_20 > {LIMIT}) THEN 0 ELSE prediction END AS INTEGER) AS signal
        FROM b0),
-b2 AS (SELECT *, (lead(close, 1) {_tw()} - close) / close AS ret,
+b2 AS (SELECT *, {tdiv(f'lead(close, 1) {_tw()} - close', 'close')} AS ret,
               CASE WHEN t = 0 THEN 0 ELSE lag(signal, 1) {_tw()} END AS prev_pos FROM b1),
 b3 AS (SELECT *, CASE WHEN signal <> prev_pos AND signal <> 0 THEN 0.0004 ELSE 0.0 END AS cost FROM b2
        WHERE ret IS NOT NULL),
@@ -358,7 +358,7 @@ FROM cnt c LEFT JOIN perf p ON c.symbol = p.symbol AND c.tf = p.tf"""
 M25_OK = " AND ".join(f"{c} IS NOT NULL" for c in M25_COLS)
 
 SQL["backtest_horizon"] = _li(momentum_ctes(), _split("feat", M25_OK), f"""
-h0 AS (SELECT *, CAST({ARGMAX} AS INTEGER) AS signal, (lead(close, 5) {_tw()} - close) / close AS ret FROM test
+h0 AS (SELECT *, CAST({ARGMAX} AS INTEGER) AS signal, {tdiv(f'lead(close, 5) {_tw()} - close', 'close')} AS ret FROM test
        JOIN (SELECT symbol AS s_, tf AS tf_, n AS n_, close FROM nb) c ON c.s_ = symbol AND c.tf_ = tf AND c.n_ = n),
 h1 AS (SELECT *, CASE WHEN signal = 1 THEN ret WHEN signal = -1 THEN -ret ELSE 0.0 END AS strat_ret FROM h0
        WHERE ret IS NOT NULL)""", _equity("h1")) + f"""
@@ -386,11 +386,11 @@ k1 AS (SELECT *, CAST({_gate(0.40)} AS INTEGER) AS signal,
          lead(close, 5) {_tw()} IS NOT NULL AS keep_,
          {_first_touch_close(1)} AS hit_long, {_first_touch_close(-1)} AS hit_short
        FROM k0),
-k2 AS (SELECT *, (hold_ - close) / close AS ret,
+k2 AS (SELECT *, {tdiv('hold_ - close', 'close')} AS ret,
          CASE WHEN signal = 0 THEN 0.0
               WHEN (CASE WHEN signal = 1 THEN hit_long ELSE hit_short END) = 1 THEN 0.015
               WHEN (CASE WHEN signal = 1 THEN hit_long ELSE hit_short END) = -1 THEN -0.008
-              WHEN signal = 1 THEN (exit_ - close) / close ELSE (close - exit_) / close END AS strat_ret
+              WHEN signal = 1 THEN {tdiv('exit_ - close', 'close')} ELSE {tdiv('close - exit_', 'close')} END AS strat_ret
        FROM k1 WHERE keep_)""", _equity("k2")) + f"""
 SELECT {KEYCOLS}, t, signal, {rnd('ret')} AS ret, {rnd('strat_ret')} AS strat_ret, {rnd('equity')} AS equity,
   {rnd('equity_bh')} AS equity_bh FROM eq"""
@@ -562,7 +562,7 @@ fl0 AS (SELECT *, CASE WHEN n >= 99 AND {IND['ema_12']} > {IND['ema_26']} THEN 1
                row_number() OVER (PARTITION BY symbol, tf ORDER BY n) - 1 AS m,
                count(*) OVER (PARTITION BY symbol, tf) AS rows_ FROM ta),
 test AS (SELECT *, m - CAST(floor(rows_ * 0.8) AS BIGINT) AS t FROM fl0 WHERE m >= floor(rows_ * 0.8)),
-b2 AS (SELECT *, (lead(close, 1) {_tw()} - close) / close AS ret,
+b2 AS (SELECT *, {tdiv(f'lead(close, 1) {_tw()} - close', 'close')} AS ret,
               CASE WHEN t = 0 THEN 0 ELSE lag(signal, 1) {_tw()} END AS prev_pos FROM test),
 b3 AS (SELECT *, CASE WHEN signal <> prev_pos AND signal <> 0 THEN 0.0004 ELSE 0.0 END AS cost FROM b2
        WHERE ret IS NOT NULL),
@@ -668,8 +668,8 @@ j AS (SELECT s.*, CASE WHEN s.time - h.time <= INTERVAL 15 MINUTE THEN h.h1_ema2
        FROM s3 s ASOF LEFT JOIN h1b h ON s.symbol = h.symbol AND s.time >= h.time)""", f"""
 lbl AS (SELECT symbol, tf, n, {_triple_barrier()} AS label FROM nb)""", f"""
 fin AS (SELECT j.*, l.label,
-          coalesce((close_ - he) / close_ * 100.0, 0.0) AS price_to_ema200_h1, coalesce(hs, 0.0) AS htf_slope,
-          coalesce(hm / close_ * 1000.0, 0.0) AS h1_macd, coalesce(hr, 50.0) AS h1_rsi,
+          coalesce({tdiv('close_ - he', 'close_')} * 100.0, 0.0) AS price_to_ema200_h1, coalesce(hs, 0.0) AS htf_slope,
+          coalesce({tdiv('hm', 'close_')} * 1000.0, 0.0) AS h1_macd, coalesce(hr, 50.0) AS h1_rsi,
           coalesce(hrs, 0.0) AS h1_rsi_slope, coalesce(ha, 25.0) AS h1_adx, coalesce(has, 0.0) AS h1_adx_slope,
           CAST(CASE WHEN coalesce(hs, 0.0) > 0 THEN 1 ELSE -1 END AS INTEGER) AS h1_trend,
           CAST(CASE WHEN m15_slope > 0 THEN 1 ELSE -1 END AS INTEGER) AS m15_trend
