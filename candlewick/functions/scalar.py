@@ -68,14 +68,22 @@ def clamp(x, lo, hi) -> Column:
     return F.least(F.greatest(_c(x), _c(lo)), _c(hi))
 
 
+def decimal_text(x, digits: int) -> Column:
+    """``%.<digits>f`` of ``x`` rounded first by plain IEEE steps (``floor(x*10^d + 0.5)``),
+    so the text does not depend on the formatter's own tie rule."""
+    scale = float(10**digits)
+    v = F.floor(_c(x).cast("double") * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    return F.format_string(f"%.{digits}f", v)
+
+
 def price_text(x) -> Column:
     """``%.5f`` or empty when zero / absent."""
     v = _c(x)
-    return F.when(v.isNotNull() & (v != 0), F.format_string("%.5f", v)).otherwise(F.lit(""))
+    return F.when(v.isNotNull() & (v != 0), decimal_text(v, 5)).otherwise(F.lit(""))
 
 
 def money_text(x) -> Column:
-    return F.format_string("%.2f", _c(x))
+    return decimal_text(x, 2)
 
 
 def clock_text(ts) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import round_digits, whole_points
+from ..functions.scalar import decimal_text, round_digits, whole_points
 
 
 @dataclass(frozen=True)
@@ -167,9 +167,9 @@ def close_all(book: DataFrame, accounts: DataFrame, cfg: StrategyConfig, peak: s
     pull = F.when(pk > 0, (pk - fp) / pk * F.lit(100.0))
     by_pull = F.lit(cfg.close_all_pullback > 0) & F.coalesce(pull >= F.lit(cfg.close_all_pullback), F.lit(False))
     reason = (
-        F.when(by_pct, F.format_string("profit %.2f >= %.2f", fp, pct_thr))
-        .when(by_usd, F.format_string("profit %.2f >= $%s", fp, F.lit(str(cfg.close_all_dollar))))
-        .when(by_pull, F.format_string("pullback %.1f%%", pull))
+        F.when(by_pct, F.concat(F.lit("profit "), decimal_text(fp, 2), F.lit(" >= "), decimal_text(pct_thr, 2)))
+        .when(by_usd, F.concat(F.lit("profit "), decimal_text(fp, 2), F.lit(f" >= ${cfg.close_all_dollar}")))
+        .when(by_pull, F.concat(F.lit("pullback "), decimal_text(pull, 1), F.lit("%")))
         .otherwise(F.lit(""))
     )
     return df.select("account_id", "symbol", fp.alias("floating_profit"), (by_pct | by_usd | by_pull).alias("close_all"), reason.alias("reason"))

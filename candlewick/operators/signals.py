@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import decimal_text
 from . import indicators as I
 from . import recurrence
 from .series import KEYS, SeriesFrame, number_bars
@@ -102,7 +103,7 @@ def bb_ma_macd(ma="ema_2", mid="bb_middle", macd="macd4", hist="macd4_hist") ->
     reason = (
         F.when(buy, F.lit("MA>BB_mid, MACD<Hist"))
         .when(sell, F.lit("MA<BB_mid, MACD>Hist"))
-        .otherwise(F.format_string("MA:%.5f BB:%.5f", m, b))
+        .otherwise(F.concat(F.lit("MA:"), decimal_text(m, 5), F.lit(" BB:"), decimal_text(b, 5)))
     )
     ok = _enough(MIN_BARS_BB)
     return F.when(ok, sig).otherwise(F.lit(NEUTRAL)), F.when(ok, reason).otherwise(F.lit(""))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracles import (
-    IND, LINEITEM_BARS, NUMBERED, ORDERS_BARS, events_bars, lag, lead, masked_agg, rnd, sma,
+    IND, ftxt, LINEITEM_BARS, NUMBERED, ORDERS_BARS, events_bars, lag, lead, masked_agg, rnd, sma,
     ta_state, tdiv, trailing, with_ctes,
 )
 
@@ -260,7 +260,7 @@ sig AS (
   SELECT *,
     CASE WHEN n < 49 THEN 'NEUTRAL' WHEN bb_buy THEN 'BULLISH' WHEN bb_sell THEN 'BEARISH' ELSE 'NEUTRAL' END AS bb_signal,
     CASE WHEN n < 49 THEN '' WHEN bb_buy THEN 'MA>BB_mid, MACD<Hist' WHEN bb_sell THEN 'MA<BB_mid, MACD>Hist'
-         ELSE printf('MA:%.5f BB:%.5f', ema_2v, mid) END AS bb_reason,
+         ELSE 'MA:' || {ftxt('ema_2v', 5)} || ' BB:' || {ftxt('mid', 5)} END AS bb_reason,
     CASE WHEN n >= 199 THEN tr ELSE 'NEUTRAL' END AS trend,
     CASE WHEN n >= 199 THEN printf('(%s price %s EMA200)', CASE WHEN tf IN ('H4', 'D1') THEN tf ELSE 'H1' END, rel)
          ELSE '' END AS trend_reason,
@@ -539,8 +539,8 @@ SQL["close_all"] = with_ctes(POSITIONS) + f"""
 , ca AS (SELECT b.account_id, b.symbol, a.balance, a.equity - a.balance AS fp FROM book b JOIN acc a USING (account_id))
 SELECT account_id, symbol, {rnd('fp')} AS floating_profit,
   (fp >= balance * 0.001) OR (fp >= 5.0) OR coalesce(fp > 0 AND (fp - fp) / fp * 100.0 >= 20.0, FALSE) AS close_all,
-  CASE WHEN fp >= balance * 0.001 THEN printf('profit %.2f >= %.2f', fp, balance * 0.001)
-       WHEN fp >= 5.0 THEN printf('profit %.2f >= $%s', fp, '5.0')
+  CASE WHEN fp >= balance * 0.001 THEN 'profit ' || {ftxt('fp', 2)} || ' >= ' || {ftxt('balance * 0.001', 2)}
+       WHEN fp >= 5.0 THEN 'profit ' || {ftxt('fp', 2)} || ' >= $5.0'
        ELSE '' END AS reason
 FROM ca"""
 
@@ -724,7 +724,7 @@ FROM sig WHERE symbol IN ('A', 'R')"""
 
 
 def _ptxt(x: str) -> str:
-    return f"CASE WHEN {x} IS NOT NULL AND {x} <> 0 THEN printf('%.5f', {x}) ELSE '' END"
+    return f"CASE WHEN {x} IS NOT NULL AND {x} <> 0 THEN {ftxt(x, 5)} ELSE '' END"
 
 
 SQL["status_snapshot"] = with_ctes(POSITIONS) + f"""

@@ -19,6 +19,12 @@ def rnd(expr: str, digits: int = R) -> str:
             f"CAST(CAST(floor(log10(abs({v}))) - {digits - 1} AS BIGINT) AS VARCHAR) AS DOUBLE) END)")
 
 
+def ftxt(expr: str, digits: int) -> str:
+    """``%.<digits>f`` text after ``floor(x*10^d + 0.5)/10^d`` (same steps as the Spark side)."""
+    scale = f"{float(10 ** digits)!r}"
+    return f"printf('%.{digits}f', CAST(floor(CAST({expr} AS DOUBLE) * {scale} + 0.5) AS DOUBLE) / {scale})"
+
+
 def tdiv(a: str, b: str) -> str:
     return f"(CASE WHEN ({b}) = 0 THEN NULL ELSE ({a}) / ({b}) END)"
 
