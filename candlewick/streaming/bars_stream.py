@@ -12,6 +12,7 @@ Sinks and checkpoints live under the session's shared checkpoint folder.
 from __future__ import annotations
 
 import os
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,6 +23,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import ensure_checkpoint_dir
 
+try:  # ship this module's state functions by value: workers need not import the package
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: workers then import the package
+    pass
+
 
 def _run_dir(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark)
