@@ -568,3 +568,14 @@ def q_stream_model_scores(spark, sf):
 
     ST.foreach_batch(stream, score, "model_scores")
     return spark.read.parquet(out).drop("batch")
+
+
+def q_model_signal_veto(spark, sf):
+    """H10 + H12: stand-in model class gated at 0.45, vetoed to 0 when volatility exceeds twice
+    its 20-row mean on the feature rows (momentum set)."""
+    feats = FE.build_features(_li(spark, sf), "momentum25")
+    df = rolling(feats, lambda w: [("volatility_mean20", I.sma("volatility", 20, w))], back=19)
+    gated = SG.confidence_gate(SG.prob_array(), 0.45)
+    df = FX.with_predictions(df)
+    return rounded(df.select(*BAR_COLS, "volatility", "volatility_mean20", gated.alias("gated"),
+                             SG.volatility_veto(gated).alias("signal")))

@@ -740,3 +740,10 @@ SELECT a.account_id, {rnd('round_even(a.balance, 2)')} AS balance, {rnd('round_e
 FROM acc a LEFT JOIN cnt c ON c.account_id = a.account_id LEFT JOIN prow p ON p.account_id = a.account_id"""
 
 SQL["stream_position_decisions"] = SQL["trailing_points"]
+
+SQL["model_signal_veto"] = _li(momentum_ctes(), f"""
+v0 AS (SELECT symbol, tf, time, n, volatility, {PROBS} FROM feat WHERE {M25_OK})""", f"""
+v1 AS (SELECT *, {sma('volatility', 20)} AS volatility_mean20, CAST({_gate(0.45)} AS INTEGER) AS gated FROM v0)""") + f"""
+SELECT {KEYCOLS}, {rnd('volatility')} AS volatility, {rnd('volatility_mean20')} AS volatility_mean20, gated,
+  CAST(CASE WHEN coalesce(volatility > 2.0 * volatility_mean20, FALSE) THEN 0 ELSE gated END AS INTEGER) AS signal
+FROM v1"""
