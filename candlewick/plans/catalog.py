@@ -579,3 +579,21 @@ def q_model_signal_veto(spark, sf):
     df = FX.with_predictions(df)
     return rounded(df.select(*BAR_COLS, "volatility", "volatility_mean20", gated.alias("gated"),
                              SG.volatility_veto(gated).alias("signal")))
+
+
+def q_bars_by_timeframe_code(spark, sf):
+    """A2 + A3: event bars for several timeframe codes; an unknown code falls back to H1."""
+    from ..operators.series import timeframe_seconds
+
+    prepare(spark)
+    ticks = B.events_ticks(spark, sf).select("symbol", "ts", F.col("bid").alias("price"))
+    parts = []
+    for code in ("M5", "M30", "H4", "X7"):
+        size = timeframe_seconds(code)
+        bars = B.ticks_to_bars(ticks, "H1" if code == "X7" else code)
+        parts.append(bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"), F.sum("tick_volume").alias("n_ticks"))
+                     .select(F.lit(code).alias("code"), F.lit(size).alias("bar_seconds"), "symbol", "n_bars", "n_ticks"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracles import (
-    IND, ftxt, LINEITEM_BARS, NUMBERED, ORDERS_BARS, events_bars, lag, lead, masked_agg, rnd, sma,
+    IND, ftxt, LINEITEM_BARS, NUMBERED, ORDERS_BARS, bucket, events_bars, lag, lead, masked_agg, rnd, sma,
     ta_state, tdiv, trailing, with_ctes,
 )
 
@@ -747,3 +747,14 @@ v1 AS (SELECT *, {sma('volatility', 20)} AS volatility_mean20, CAST({_gate(0.45)
 SELECT {KEYCOLS}, {rnd('volatility')} AS volatility, {rnd('volatility_mean20')} AS volatility_mean20, gated,
   CAST(CASE WHEN coalesce(volatility > 2.0 * volatility_mean20, FALSE) THEN 0 ELSE gated END AS INTEGER) AS signal
 FROM v1"""
+
+
+def _code_bars(code: str, seconds: int) -> str:
+    return f"""
+SELECT '{code}' AS code, {seconds} AS bar_seconds, symbol, count(*) AS n_bars, CAST(sum(c) AS BIGINT) AS n_ticks FROM (
+  SELECT event_type AS symbol, {bucket('ts', seconds)} AS t, count(*) AS c FROM events GROUP BY event_type, t)
+GROUP BY symbol"""
+
+
+SQL["bars_by_timeframe_code"] = "\nUNION ALL".join(
+    _code_bars(c, s) for c, s in (("M5", 300), ("M30", 1800), ("H4", 14400), ("X7", 3600)))
