@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from candlewick.llm import bpe, mixing, quality_gam, quality_rules, token_files
+from candlewick.llm import bpe, html_text, mixing, quality_gam, quality_rules, token_files
 from candlewick.sources.tables import read_table
 
 
@@ -31,5 +31,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_quality_gam, op5_token_files, op8_quality_rules, op9_byte_bpe)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_quality_gam, op5_token_files, op8_quality_rules, op9_byte_bpe, op10_html_text)}
 ORACLES = {"op2_mix_sources": mixing.ORACLE}
