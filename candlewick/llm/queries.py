@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from candlewick.llm import bpe, html_text, mixing, quality_gam, quality_rules, token_files
+from candlewick.llm import bpe, html_text, mixing, quality_gam, quality_rules, token_files, vector_search
 from candlewick.sources.tables import read_table
 
 
+def op1_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -35,5 +40,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op4_quality_gam, op5_token_files, op8_quality_rules, op9_byte_bpe, op10_html_text)}
-ORACLES = {"op2_mix_sources": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_vector_search, op2_mix_sources, op4_quality_gam, op5_token_files, op8_quality_rules, op9_byte_bpe, op10_html_text)}
+ORACLES = {"op1_vector_search": vector_search.ORACLE, "op2_mix_sources": mixing.ORACLE}
