@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import bpe, html_text, mixing, quality_gam, quality_rules, token_files, vector_search
+from candlewick.llm import bpe, chat_format, html_text, mixing, quality_gam, quality_rules, token_files, vector_search
 from candlewick.sources.tables import read_table
 
 
@@ -19,6 +19,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.digests(chat_format.format_conversations(read_table(spark, sf_dir, "conversations")))
+
+
 def op4_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -40,5 +44,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_search, op2_mix_sources, op4_quality_gam, op5_token_files, op8_quality_rules, op9_byte_bpe, op10_html_text)}
-ORACLES = {"op1_vector_search": vector_search.ORACLE, "op2_mix_sources": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_vector_search, op2_mix_sources, op3_chat_format, op4_quality_gam, op5_token_files, op8_quality_rules, op9_byte_bpe, op10_html_text)}
+ORACLES = {"op1_vector_search": vector_search.ORACLE, "op2_mix_sources": mixing.ORACLE, "op3_chat_format": chat_format.ORACLE}
