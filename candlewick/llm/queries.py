@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import bpe, chat_format, html_text, mixing, quality_gam, quality_rules, secret_scan, token_files, vector_search
+from candlewick.llm import bpe, chat_format, html_text, mixing, near_dedup, quality_gam, quality_rules, secret_scan, token_files, vector_search
 from candlewick.sources.tables import read_table
 
 
@@ -31,6 +31,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(read_table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digests(secret_scan.scan(read_table(spark, sf_dir, "documents")))
 
@@ -48,5 +52,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_search, op2_mix_sources, op3_chat_format, op4_quality_gam, op5_token_files, op7_secret_scan, op8_quality_rules, op9_byte_bpe, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_vector_search, op2_mix_sources, op3_chat_format, op4_quality_gam, op5_token_files, op6_near_dedup, op7_secret_scan, op8_quality_rules, op9_byte_bpe, op10_html_text)}
 ORACLES = {"op1_vector_search": vector_search.ORACLE, "op2_mix_sources": mixing.ORACLE, "op3_chat_format": chat_format.ORACLE}
