@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import map_documents, written
+from candlewick.llm.common import map_documents
 
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -94,42 +94,33 @@ class Statistics:
         return [n, word_chars, n_symbols, n_dup, n_repeat], features
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, the five counts (long) and ``x``: the features as an array of doubles."""
-
-    def factory():
-        of = Statistics()
-
-        def apply(doc_id, texts):
-            both = [of(t) for t in texts]
-            return {"doc_id": doc_id, "x": [b[1] for b in both]} | {c: [b[0][i] for b in both] for i, c in enumerate(COUNTS)}
-
-        return apply
-
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", x array<double>"
-    return map_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), schema, factory)
-
-
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """Rows whose labels are never learned from."""
     key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(key.cast("string")) % 3 == 1, F.lit(False))
 
 
-def labelled(stats: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``limit`` rows that are not held out, the first by hash.
+def labelled(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", limit: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most ``limit`` documents that are not held out, the first by hash.
 
-    A document with several labels takes their mean, at least a half being 1.
+    A document with several labels takes their mean, at least a half being 1; a doc_id with
+    several texts takes the smallest features.
     """
     one = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-    one = one.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    rows = stats.select("doc_id", "x").join(F.broadcast(one), "doc_id")  # at most ``limit`` narrow rows
-    rows = rows.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).orderBy("doc_id").collect()
-    x = np.array([r.x for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
-    return x, np.array([r.y for r in rows], dtype=float)
+    one = one.groupBy(F.col("doc_id").cast("long").alias("id_")).agg((F.avg(label) >= 0.5).cast("int").alias("y_"))
+    one = one.orderBy(F.xxhash64("id_"), "id_").limit(limit)
+    # at most ``limit`` narrow rows
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(one), F.col("doc_id") == F.col("id_"))
+
+    def factory():
+        of = Statistics()
 
+        def apply(doc_id, texts, y):
+            return {"doc_id": doc_id, "x": [of(t)[1] for t in texts], "y": y}
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``statistics`` written once: both fitting and scoring read them."""
-    return written(statistics(docs, text), "statistics")
+        return apply
+
+    found = map_documents(rows.select("doc_id", "text", "y_"), "doc_id long, x array<double>, y int", factory)
+    rows = found.groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y")).orderBy("doc_id").collect()
+    x = np.array([r.x for r in rows], dtype=float).reshape(len(rows), len(FEATURES))
+    return x, np.array([r.y for r in rows], dtype=float)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.common import map_documents
-from candlewick.llm.docstats import FEATURES, held_out, labelled, with_statistics
+from candlewick.llm.docstats import FEATURES, MAX_LABELLED, Statistics, held_out, labelled
 
 
 @dataclass
@@ -147,16 +147,18 @@ def fit_additive(x: np.ndarray, y: np.ndarray, rounds: int = 150, bins: int = 64
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", limit: int | None = None) -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted for every document."""
-    stats = with_statistics(docs, text)
-    model = fit_additive(*labelled(stats, labels, label, **({"limit": limit} if limit else {})))
+def classify(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", limit: int = MAX_LABELLED) -> DataFrame:
+    """doc_id, held_out, score (0 to 1) and predicted for every document, in one pass."""
+    model = fit_additive(*labelled(docs, labels, label, text, limit))
 
     def factory():
-        def apply(doc_id, rows):
-            return {"doc_id": doc_id, "score": model.score(np.array(rows, dtype=float).reshape(len(rows), len(FEATURES)))}
+        of = Statistics()
+
+        def apply(doc_id, texts):
+            x = np.array([of(t)[1] for t in texts], dtype=float).reshape(len(texts), len(FEATURES))
+            return {"doc_id": doc_id, "score": model.score(x)}
 
         return apply
 
-    scored = map_documents(stats.select("doc_id", "x"), "doc_id long, score double", factory, step=4096)
+    scored = map_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), "doc_id long, score double", factory)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -7,19 +7,22 @@ right, value), so a block of rows walks down all trees at once, level by level.
 
 Edge cases: null and empty texts have no words and fail the base rule; repeated rows get
 equal verdicts; without labels of both kinds the trees are empty and only the base rules
-decide; an empty table gives an empty table; further columns of the input are not read.
+decide; an empty table gives an empty table; ``judge`` doesn't read further columns, ``keep``
+passes them through.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.common import map_documents
-from candlewick.llm.docstats import COUNTS, FEATURES, labelled, with_statistics
+from candlewick.llm.docstats import COUNTS, FEATURES, MAX_LABELLED, Statistics, labelled
 
 #: Features that may only lower a score as they grow.
 FALLING = ("symbols", "dup_lines", "repeat_words", "upper", "shouts", "pipes")
@@ -126,25 +129,54 @@ def signs(falling: tuple[str, ...] = FALLING) -> np.ndarray:
     return np.array([-1 if f in falling else 0 for f in FEATURES])
 
 
-def base_failed(n_words: str = "n_words", n_repeat: str = "n_repeat_words") -> Column:
-    return (F.col(n_words) < 10) | (100 * F.col(n_repeat) > 20 * F.col(n_words))
+def base_failed(n_words: np.ndarray, n_repeat: np.ndarray) -> np.ndarray:
+    return (n_words < 10) | (100 * n_repeat > 20 * n_words)
 
 
-def judge(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.5, limit: int | None = None) -> DataFrame:
-    """doc_id, the five counts, base_failed, score and kept for every document."""
-    stats = with_statistics(docs, text)
-    x, y = labelled(stats, labels, **({"limit": limit} if limit else {}))
-    forest = fit_forest(x, y, signs())
+class Rules:
+    """Texts to counts, base_failed, score and kept, a block at a time."""
+
+    def __init__(self, forest: Forest, threshold: float = 0.5):
+        self.forest, self.threshold, self.of = forest, threshold, Statistics()
+
+    def __call__(self, texts: list) -> dict:
+        both = [self.of(t) for t in texts]
+        counts = np.array([b[0] for b in both], dtype=np.int64).reshape(len(both), len(COUNTS))
+        out = {c: counts[:, i] for i, c in enumerate(COUNTS)}
+        score = self.forest.score(np.array([b[1] for b in both], dtype=float).reshape(len(both), len(FEATURES)))
+        failed = base_failed(out["n_words"], out["n_repeat_words"])
+        return out | {"base_failed": failed, "score": score, "kept": ~failed & (score >= self.threshold)}
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", limit: int = MAX_LABELLED) -> Forest:
+    return fit_forest(*labelled(docs, labels, text=text, limit=limit), signs())
+
+
+def judge(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.5, limit: int = MAX_LABELLED) -> DataFrame:
+    """doc_id, the five counts, base_failed, score and kept for every document, in one pass."""
+    forest = fit(docs, labels, text, limit)
 
     def factory():
-        def apply(*cols):
-            *kept, rows = cols
-            scores = forest.score(np.array(rows, dtype=float).reshape(len(rows), len(FEATURES)))
-            return dict(zip(("doc_id", *COUNTS), kept)) | {"score": scores}
+        rules = Rules(forest, threshold)
+
+        def apply(doc_id, texts):
+            return {"doc_id": doc_id} | rules(texts)
 
         return apply
 
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", score double"
-    scored = map_documents(stats.select("doc_id", *COUNTS, "x"), schema, factory, step=4096)
-    scored = scored.withColumn("base_failed", base_failed())
-    return scored.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+    schema = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean"
+    return map_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), schema, factory)
+
+
+def keep(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.5, limit: int = MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all columns."""
+    forest, at = fit(docs, labels, text, limit), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rules = Rules(forest, threshold)
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                yield part.filter(pa.array(rules(part.column(at).to_pylist())["kept"]))
+
+    return docs.mapInArrow(run, docs.schema)
