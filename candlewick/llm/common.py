@@ -16,7 +16,8 @@ from candlewick.session import ensure_checkpoint_dir
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-ASCII_SPACE = " \t\n\x0b\x0c\r"
+#: Narrow rows (ids and numbers) up to which a written table is broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 1_000_000
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -31,6 +32,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if its counted rows allow it. Only for narrow, written tables."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def n_words(text: str | Column) -> Column:
     """Words of a text column as a long; null counts as empty."""
     return F.regexp_count(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")), F.lit(WORD)).cast("long")

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import map_documents, written
+from candlewick.llm.common import few, map_documents, written
 from candlewick.llm.components import components
 
 K, PICKED, SAMPLES_PER_BAND, BANDS = 5, 3, 2, 36
@@ -44,8 +44,6 @@ SIMILAR = 0.8
 SEED = 20_240
 #: Nodes of a bucket not linked with its first node, from which on a second band is asked for.
 MANY = 64
-#: Narrow rows (ids) up to which a table is broadcast; beyond, it is shuffled.
-BROADCAST_ROWS = 1_000_000
 MAX_WORDS = 1_000_000
 
 
@@ -215,11 +213,6 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), "doc_id long, key binary, bands array<long>", factory, step=128)
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows allow it. Only for narrow, written tables."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def word_rows(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
     """node, key and w (its words as 32-bit hashes) of the wanted nodes' texts."""
 
@@ -233,7 +226,7 @@ def word_rows(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataFram
 
         return apply
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("node"), text).join(_few(nodes.select("node")), "node")
+    rows = docs.select(F.col("doc_id").cast("long").alias("node"), text).join(few(nodes.select("node")), "node")
     return map_documents(rows.select("node", text), "node long, key binary, w binary", factory, step=128)
 
 

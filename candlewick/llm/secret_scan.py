@@ -9,14 +9,15 @@ without mandatory trigrams (a bare run of hex digits) scan all texts.
 
 Postings hold ids, never texts, and are grouped by document, so a trigram that a third of
 all documents contain costs no more than its rows. Candidates go back to the texts by a
-broadcast if their counted number is under ``BROADCAST_ROWS``, else by a shuffle join.
+broadcast if their counted number is small enough (``common.few``), else by a shuffle join.
 
 Spans are code points, end exclusive, leftmost and non-overlapping per kind: a text split at
 a rule's matches and the matches themselves give all positions by running sums of lengths.
 
 Edge cases: null text is empty; rows with equal doc_id share candidates but are each verified
 on their own text; null doc_id is a document too; spans of different kinds may overlap; an
-empty table gives an empty result; further columns are kept by ``scan``.
+empty table gives an empty result; further columns are kept by ``scan``, but for one named
+``found``, which it replaces.
 """
 
 from __future__ import annotations
@@ -29,9 +30,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import written
+from candlewick.llm.common import few, written
 
-BROADCAST_ROWS = 200_000
 #: Strings that a part of a rule is followed exactly for, and their length; beyond, less is required.
 MAX_STRINGS, MAX_CLASS = 64, 8
 
@@ -228,9 +228,9 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", k
     none = F.array().cast("array<string>")
     if indexed:
         index = postings(docs, sorted({t for q in indexed.values() for s in q for t in s}), text, key)
-        found = written(candidates(index, indexed, key).withColumnRenamed(key, "_key"), "secret-candidates")
-        side = F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
-        rows = docs.join(side, docs[key].eqNullSafe(F.col("_key")), "left").drop("_key").withColumnRenamed("rules", "_rules")
+        found = candidates(index, indexed, key).select(F.col(key).alias("_key"), F.col("rules").alias("_rules"))
+        side = few(written(found, "secret-candidates"))
+        rows = docs.join(side, docs[key].eqNullSafe(F.col("_key")), "left").drop("_key")
     else:
         rows = docs.withColumn("_rules", none)
     value = F.coalesce(F.col(text), F.lit(""))
