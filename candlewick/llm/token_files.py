@@ -25,6 +25,7 @@ its own; an empty table gives no files and an empty result.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -46,38 +47,78 @@ ENTRY, TAIL = "<IIIIqqQ", "<IIIB6s"
 FRAME_IDS, FILE_BYTES = 1 << 16, 8 << 20
 #: Kept pieces of text per task; beyond, the table is emptied and grows anew.
 MAX_PIECES = 1_000_000
+#: ASCII punctuation without the apostrophe, which begins endings that the tokenizer splits off.
+PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+#: Documents per range of the order, and ranges at most.
+RANGE_DOCS, MAX_RANGES = 16_384, 20_000
 
 
-class Ids(dict):
+class Ids:
     """Piece of text between spaces to its ids, by the tokenizers library; made on first use.
 
     The tokenizer drops white space and merges nothing across it, so a text's ids are those
-    of its pieces, one after the other.
+    of its pieces, one after the other. New pieces share work further: ASCII punctuation
+    after a letter or digit is a word of its own, within Latin-1, where the tokenizer's
+    normal form changes nothing, capitals are encoded as small letters, and words of letters
+    are encoded many at a time, as one text, cut after each id that ends a word.
     """
 
     def __init__(self, path: str, dtype: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.dtype = dtype
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.learn([piece])[piece]
-
-    def learn(self, pieces: list[str]) -> Ids:
-        if len(self) + len(pieces) > MAX_PIECES:
-            self.clear()
-        for piece, e in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False)):
-            self[piece] = np.array(e.ids, dtype=self.dtype).tobytes()
-        return self
+        self.dtype = np.dtype(dtype)
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    @staticmethod
+    def split(piece: str) -> tuple[str, str]:
+        """The piece as it may be encoded, and the punctuation after it."""
+        core = piece.rstrip(PUNCTUATION)
+        if not core or not core[-1].isalnum():
+            core = piece
+        tail = piece[len(core) :]
+        return (core.lower() if core and max(core) < "\u0100" else core), tail
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+
+    def learn(self, pieces: list[str]) -> None:
+        if len(self.parts) > MAX_PIECES:
+            self.parts.clear()
+        parts, both = self.parts, [self.split(p) for p in pieces]
+        new = {p for b in both for p in b}.difference(parts)
+        words = [p for p in new if p.isalpha()]
+        rest, width = new.difference(words), self.dtype.itemsize
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = self.ids(" ".join(some))
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * width
+            if len(cuts) != len(some):  # some word isn't one for the tokenizer
+                rest.update(some)
+                continue
+            raw, cuts = ids.tobytes(), cuts.tolist()
+            parts.update(zip(some, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+        for p in rest:
+            parts[p] = self.ids(p).tobytes()
+        self.known.update(zip(pieces, [parts[core] + parts[tail] if tail else parts[core] for core, tail in both]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({p for s in split for p in s if p not in self})
+        pieces = set().union(*split)
+        new = pieces.difference(self.known)
+        if len(self.known) + len(new) > MAX_PIECES:
+            self.known.clear()
+            new = pieces
         if new:
-            self.learn(new)
-        return [b"".join(map(self.__getitem__, s)) for s in split]
+            self.learn(list(new))
+        return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
 
 def id_type(path: str) -> str:
@@ -226,7 +267,9 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
             yield pa.RecordBatch.from_pydict({"file": [file]})
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(text, F.lit("")).alias("t"))
-    rows = rows.repartitionByRange(F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
+    # a task's table of known pieces pays off with the text it sees
+    ranges = min(MAX_RANGES, max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // RANGE_DOCS)))
+    rows = rows.repartitionByRange(ranges, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
     files = rows.mapInArrow(run, "file binary")
     files.select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
 
