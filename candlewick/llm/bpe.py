@@ -6,10 +6,12 @@ a part of an encoding is the encoding of its bytes, and a token sequence is an e
 exactly if every two neighbours are the encoding of their joined bytes. So after each
 byte one token ends the encoding of what was read, and only positions from which a longer
 token may still grow matter later. A state holds, for each such position, the bytes since
-it and the tokens not yet emitted before it; tokens that all of them share are emitted.
-The lookahead is bounded by the longest token. States and transitions are made when first
-needed and kept; a state without exactly one way on (ranks that no merge order explains)
-sends the piece to plain merging, so results are right for any rank file.
+it (a node of the tokens' trie) and the token before it; a transition writes the token that
+ends at its byte. Open positions lie no further back than the longest token, so after that
+lookahead the tokens on which the ways back from all of them agree are emitted. States and
+transitions are made when first needed and kept; a state without exactly one way on (ranks
+that no merge order explains) sends the piece to plain merging, so results are right for
+any rank file.
 
 Decoding maps ids to bytes and runs an incremental UTF-8 state machine over chunks.
 
@@ -36,6 +38,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 MAX_PIECES = 1_000_000
 MAX_TRANSITIONS = 2_000_000
 NEVER = 1 << 62
+#: Bits of a token id in a packed number; bytes between two emissions of a long piece.
+LOW, EMIT = 24, 4096
+MASK = (1 << LOW) - 1
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -52,7 +57,7 @@ class Transducer:
         self.token = {i: t for t, i in ranks.items()}
         # the tokens' trie, node 0 being the empty span: a span that leaves it can't grow into a token
         self.child: dict[int, int] = {}
-        self.ends, self.inner = [None], [True]
+        self.ends, self.inner, self.depth = [None], [True], [0]
         for t, i in ranks.items():
             node = 0
             for byte in t:
@@ -63,17 +68,18 @@ class Transducer:
                     node = self.child[key] = len(self.ends)
                     self.ends.append(None)
                     self.inner.append(False)
+                    self.depth.append(self.depth[key >> 8] + 1)
             self.ends[node] = i
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.edges: dict[int, list[tuple[bytes, int]] | None] = {}
         self.reset()
 
     def reset(self) -> None:
-        # a state: token before the first pending one, then (trie node of the span, pending tokens) by
-        # falling length; the last span is empty
-        start = (None, (0, ()))
-        self.states, self.number = [start], {start: 0}
-        self.steps: dict[int, tuple[int, tuple[int, ...]] | None] = {}
+        # a state: a number per open position by falling length of its span, the last span being empty:
+        # trie node << LOW | token before it + 1
+        self.states: list[tuple[int, ...]] = [(0,)]
+        self.number = {(0,): 0}
+        self.steps: dict[int, tuple[int, int] | None] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """Plain merging of the lowest-ranked neighbours, leftmost first."""
@@ -118,14 +124,17 @@ class Transducer:
             self.edges[key] = None if len(text) > 1 else [*made[::-1], (self.token[token], NEVER)]
         return self.edges[key]
 
-    def follows(self, a: int | None, b: int) -> bool:
-        """Whether token b may stand right after token a (None: at the start): no merge across their
+    def follows(self, a: int, b: int) -> bool:
+        """Whether token b may stand right after token a (-1: at the start): no merge across their
         border comes before the merges that make them."""
-        if a is None:
-            return self.edge(b, False) is not None and self.edge(b, True) is not None
-        ok = self.pairs.get((a, b))
+        key = b << LOW | a + 1
+        ok = self.pairs.get(key)
         if ok is None:
-            ok = self.pairs[a, b] = self.follows(None, b) and self.keeps_border(self.edge(a, True), self.edge(b, False))
+            if a < 0:
+                ok = self.edge(b, False) is not None and self.edge(b, True) is not None
+            else:
+                ok = self.follows(-1, b) and self.keeps_border(self.edge(a, True), self.edge(b, False))
+            self.pairs[key] = ok
         return ok
 
     def keeps_border(self, left: list[tuple[bytes, int]] | None, right: list[tuple[bytes, int]]) -> bool:
@@ -145,38 +154,41 @@ class Transducer:
             else:
                 j += 1
 
-    def step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]] | None:
-        """Make the transition: next state and emitted tokens, None if there is not exactly one way."""
-        child, ends, inner = self.child, self.ends, self.inner
-        before, *spans = self.states[state]
+    def step(self, state: int, byte: int) -> tuple[int, int] | None:
+        """Make the transition: next state and the token ending here, None if there is not exactly one way."""
+        child, ends, inner, pairs = self.child, self.ends, self.inner, self.pairs
         found, live = None, []
-        for node, pending in spans:
-            node = child.get(node << 8 | byte)
+        for span in self.states[state]:
+            node = child.get(span >> LOW << 8 | byte)
             if node is None:
                 continue
+            last = span & MASK
             token = ends[node]
-            if token is not None and self.follows(pending[-1] if pending else before, token):
-                if found is not None:
-                    return None
-                found = pending + (token,)
+            if token is not None:
+                ok = pairs.get(token << LOW | last)
+                if ok or ok is None and self.follows(last - 1, token):
+                    if found is not None:
+                        return None
+                    found = token
             if inner[node]:
-                live.append((node, pending))
+                live.append(node << LOW | last)
         if found is None:
             return None
-        live.append((0, found))
-        first, shared = live[0][1], 0
-        for token in first:
-            if any(len(p) <= shared or p[shared] != token for _, p in live):
-                break
-            shared += 1
-        if shared:
-            before, live = first[shared - 1], [(s, p[shared:]) for s, p in live]
-        new = (before, *live)
+        live.append(found + 1)
+        new = tuple(live)
         number = self.number.get(new)
         if number is None:
             number = self.number[new] = len(self.states)
             self.states.append(new)
-        return number, first[:shared]
+        return number, found
+
+    def way(self, ending: list[int], at: int, stop: int) -> list[int]:
+        """Tokens from ``stop`` to ``at``, read backwards over the token ending at each position."""
+        out = []
+        while at > stop:
+            out.append(ending[at - 1])
+            at -= len(self.token[out[-1]])
+        return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
         known = self.ranks.get(piece)
@@ -185,20 +197,33 @@ class Transducer:
         if len(self.steps) > MAX_TRANSITIONS:
             self.reset()
         out: list[int] = []
+        ending: list[int] = []  # the token that ends at each byte since the last emission
         state, steps = 0, self.steps
         for byte in piece:
             key = state << 8 | byte
-            try:
-                go = steps[key]
-            except KeyError:
+            go = steps.get(key, 0)
+            if go == 0:
                 go = steps[key] = self.step(state, byte)
             if go is None:
                 return self.merged(piece)
-            state = go[0]
-            if go[1]:
-                out += go[1]
-        out += self.states[state][-1][1]
-        return out
+            state, token = go
+            ending.append(token)
+            if not len(ending) % EMIT:
+                done = self.agreed(ending, state)
+                out += done
+                del ending[: sum(len(self.token[t]) for t in done)]
+        return out + self.way(ending, len(ending), 0)
+
+    def agreed(self, ending: list[int], state: int) -> list[int]:
+        """Tokens that the ways back from all open positions share."""
+        starts = [len(ending) - self.depth[span >> LOW] for span in self.states[state]]
+        if min(starts) <= 0:
+            return []
+        ways = [self.way(ending, p, 0) for p in starts]
+        shared = 0
+        while all(len(w) > shared and w[shared] == ways[0][shared] for w in ways):
+            shared += 1
+        return ways[0][:shared]
 
 
 class Pieces(dict):
