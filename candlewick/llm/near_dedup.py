@@ -8,15 +8,16 @@ band, 36 bands a sketch: texts with a k-mer similarity of 0.8 share a band with
 probability above 0.9999, of 0.3 with one below 0.03.
 
 1. Texts with equal words are one node, the smallest doc_id of theirs.
-2. In every bucket (nodes with an equal band) all nodes are compared with the smallest.
-   Links are pairs with a set similarity of five-word k-mers of 0.8 or more and a
-   word-level edit similarity of 0.8 or more by a banded alignment.
+2. In every bucket (nodes with an equal band) all nodes are compared with the hub, the node
+   that meets most others over all its buckets. Links are pairs with a set similarity of
+   five-word k-mers of 0.8 or more and a word-level edit similarity of 0.8 or more by a
+   banded alignment.
 3. Links make components. A bucket whose nodes lie in one component can't change
-   anything. In the others, nodes that are not linked with the bucket's smallest node are
-   compared with those of other components, unless the distances of both from the smallest
-   node, being a metric, rule a link out. Where many such nodes are in a bucket, they are
-   compared only if they share a second band, which pairs that belong together do (36
-   bands). So no partner is capped, and no bucket is paired off as a whole.
+   anything. In the others, nodes outside the hub's component are compared with those of
+   other components that can reach the set similarity: of each node's k-mers, rarest
+   first, only so many are indexed that two similar nodes must share one of them, at a
+   place that leaves enough k-mers to agree on (prefix and position filters, both exact).
+   No partner is capped, and no bucket is paired off as a whole.
 4. Components again, over all links. A class is named by its smallest doc_id.
 
 Large groups: copies are collapsed by an aggregate with partial sums; buckets are only
@@ -42,8 +43,6 @@ from candlewick.llm.components import components
 K, PICKED, SAMPLES_PER_BAND, BANDS = 5, 3, 2, 36
 SIMILAR = 0.8
 SEED = 20_240
-#: Nodes of a bucket not linked with its first node, from which on a second band is asked for.
-MANY = 64
 MAX_WORDS = 1_000_000
 
 
@@ -245,20 +244,46 @@ def compared(pairs: DataFrame, words: DataFrame, least: float = SIMILAR) -> Data
     return map_documents(both.select("a", "b", "x", "y"), "a long, b long, share double, linked boolean", factory, step=128)
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs (a, b), a > b, still to compare. ``members``: bucket, node, root, far (distance from the
-    bucket's first node), lone (not linked with it), n_lone, bands.
+def hubs(placed: DataFrame) -> DataFrame:
+    """bucket, node and hub for every node of a bucket with two nodes or more. ``placed``: node, bucket."""
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    member = written(placed.join(sizes, "bucket"), "members")
+    meets = member.groupBy("node").agg(F.sum("n").alias("meets"))
+    ranked = member.join(meets, "node").select("bucket", "meets", (-F.col("node")).alias("minus"))
+    hub = ranked.groupBy("bucket").agg((-F.max(F.struct("meets", "minus"))["minus"]).alias("hub"))
+    return member.select("bucket", "node").join(hub, "bucket")
 
-    A pair has at least one lone node, and nodes of two components whose distances from the first
-    node differ by no more than a link allows.
+
+def gram_rows(words: DataFrame) -> DataFrame:
+    """node and g: each of its different k-mers."""
+
+    def factory():
+        def apply(node, w):
+            return {"node": node, "grams": [np.unique(kmers(np.frombuffer(x, "<u4").astype(np.uint64))).view(np.int64) for x in w]}
+
+        return apply
+
+    return map_documents(words.select("node", "w"), "node long, grams array<long>", factory, step=128).select("node", F.explode("grams").alias("g"))
+
+
+def cross_pairs(side: DataFrame, words: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Pairs (a, b), a > b, of different components that may reach the set similarity, one of them outside.
+
+    ``side``: node, root, outside. Two sets of sizes m and n with a similarity of t have at least
+    t / (1 + t) * (m + n) members in common; with all members in one order, the first common
+    one has that many left from its place on in both.
     """
-    few, many = members.where(F.col("n_lone") <= MANY), members.where(F.col("n_lone") > MANY)
-    again = many.withColumn("second", F.explode("bands")).where(F.col("second") != F.col("bucket"))
-    keyed = few.withColumn("second", F.lit(None).cast("long")).unionByName(again.select(*few.columns, "second"))
-    side = keyed.select("bucket", "second", "node", "root", "far", "lone")
-    other = side.select(*[F.col(c).alias(f"{c}_") for c in side.columns])
-    met = side.where("lone").join(other, F.col("bucket").eqNullSafe(F.col("bucket_")) & F.col("second").eqNullSafe(F.col("second_")))
-    met = met.where((F.col("root") != F.col("root_")) & (F.abs(F.col("far") - F.col("far_")) <= 1 - SIMILAR + 1e-9))
+    grams = written(gram_rows(words.join(side.select("node"), "node")), "grams")
+    often = grams.groupBy("g").agg(F.count("*").alias("n"))
+    ordered = grams.join(often, "g").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("all"))
+    ordered = ordered.withColumn("size", F.size("all"))
+    first = F.slice("all", F.lit(1), (F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).cast("int"))
+    prefix = ordered.select("node", "size", F.posexplode(first).alias("at", "e")).select("node", "size", "at", F.col("e.g").alias("g"))
+    prefix = written(prefix.join(side, "node"), "prefixes")
+    other = prefix.select(*[F.col(c).alias(f"{c}_") for c in prefix.columns])
+    common = F.ceil(least / (1 + least) * (F.col("size") + F.col("size_")) - 1e-9)
+    enough = (F.col("at") <= F.col("size") - common) & (F.col("at_") <= F.col("size_") - common)
+    met = prefix.where("outside").join(other, (F.col("g") == F.col("g_")) & (F.col("root") != F.col("root_")) & enough)
     return met.select(F.greatest("node", "node_").alias("a"), F.least("node", "node_").alias("b")).distinct()
 
 
@@ -268,32 +293,25 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     nodes = written(sketched.groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")
     # one row per text: of rows with the node's id, those with its words
     bands = sketched.select("doc_id", "key", "bands").join(nodes, "key").where("doc_id = node").select("node", "key", "bands").dropDuplicates(["node", "key"])
-    placed = bands.select("node", F.explode("bands").alias("bucket"))
-    buckets = placed.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last")
-    members = written(placed.join(buckets.select("bucket", "first"), "bucket").distinct(), "members")
-    pairs = written(members.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct(), "pairs")
+    members = written(hubs(bands.select("node", F.explode("bands").alias("bucket")).distinct()), "hubs")
+    pairs = members.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
+    pairs = written(pairs.distinct(), "pairs")
     wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
     words = word_rows(docs, wanted, text).join(nodes.select("key", F.col("node").alias("of")), "key").where("node = of")
     words = written(words.select("node", "key", "w").dropDuplicates(["node", "key"]).select("node", "w"), "words")
-    first_links = written(compared(pairs, words), "compared")
-    roots = components(first_links.where("linked").select("a", "b"))
-
-    member = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed_buckets = member.groupBy("bucket").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 < r2").select("bucket")
-    member = member.join(mixed_buckets, "bucket")
-    measured = first_links.select(F.col("a").alias("node"), F.col("b").alias("first"), "share", "linked")
-    member = member.join(measured, ["node", "first"], "left")
-    member = member.withColumn("far", F.when(F.col("node") == F.col("first"), 0.0).otherwise(1 - F.col("share")))
-    member = member.withColumn("lone", (F.col("node") != F.col("first")) & ~F.coalesce("linked", F.lit(False)))
-    lone = member.groupBy("bucket").agg(F.count_if("lone").alias("n_lone"))
-    member = written(member.select("bucket", "node", "root", "far", "lone").join(lone, "bucket"), "mixed")
-    sketch_of = bands.groupBy("node").agg(F.flatten(F.collect_list("bands")).alias("bands"))
-    with_bands = member.where(F.col("n_lone") > MANY).join(sketch_of, "node")
-    rest = member.where(F.col("n_lone") <= MANY).withColumn("bands", F.lit(None).cast("array<bigint>"))
-    more = cross_pairs(rest.unionByName(with_bands.select(*rest.columns)))
-    more = more.join(first_links.select("a", "b"), ["a", "b"], "left_anti")
-    more = written(compared(written(more, "cross"), words), "compared")
-    links = first_links.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b"))
+    compared_first = written(compared(pairs, words), "compared")
+    roots = components(compared_first.where("linked").select("a", "b"))
+
+    found = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    hub_root = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    found = found.join(hub_root, "hub", "left").withColumn("outside", F.col("root") != F.coalesce("hub_root", "hub"))
+    found = written(found.select("bucket", "node", "root", "outside"), "rooted")
+    open_buckets = found.where("outside").select("bucket").distinct()
+    side = found.join(open_buckets, "bucket").groupBy("node", "root").agg(F.max("outside").alias("outside"))
+    more = cross_pairs(written(side, "open"), words)
+    more = written(more.join(pairs, ["a", "b"], "left_anti"), "cross")
+    more = written(compared(more, words), "compared")
+    links = compared_first.where("linked").select("a", "b").unionByName(more.where("linked").select("a", "b"))
     return named(sketched, nodes, links)
 
 

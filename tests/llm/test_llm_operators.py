@@ -119,9 +119,7 @@ def near_groups():
     return list(enumerate(" ".join(w) for w in docs))
 
 
-@pytest.mark.parametrize("many", [near_dedup.MANY, 1])
-def test_near_dedup_groups(spark, monkeypatch, many):
-    monkeypatch.setattr(near_dedup, "MANY", many)
+def test_near_dedup_groups(spark):
     docs = near_groups()
     rows = near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     got = {r.doc_id: r.class_id for r in rows}
