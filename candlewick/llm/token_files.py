@@ -25,6 +25,7 @@ its own; an empty table gives no files and an empty result.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 import zlib
@@ -50,17 +51,16 @@ MAX_PIECES = 1_000_000
 #: ASCII punctuation without the apostrophe, which begins endings that the tokenizer splits off.
 PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Documents per range of the order, and ranges at most.
-RANGE_DOCS, MAX_RANGES = 16_384, 20_000
+RANGE_DOCS, MAX_RANGES = 8_192, 20_000
 
 
 class Ids:
     """Piece of text between spaces to its ids, by the tokenizers library; made on first use.
 
     The tokenizer drops white space and merges nothing across it, so a text's ids are those
-    of its pieces, one after the other. New pieces share work further: ASCII punctuation
-    after a letter or digit is a word of its own, within Latin-1, where the tokenizer's
-    normal form changes nothing, capitals are encoded as small letters, and words of letters
-    are encoded many at a time, as one text, cut after each id that ends a word.
+    of its pieces, one after the other. New pieces of letters are single words and encoded
+    many at a time, as one text, cut after each id that ends a word. ASCII punctuation after
+    a letter or digit is a word of its own, so such pieces are put together from two.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -74,28 +74,25 @@ class Ids:
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
-        self.parts: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
     @staticmethod
     def split(piece: str) -> tuple[str, str]:
-        """The piece as it may be encoded, and the punctuation after it."""
+        """The piece without the punctuation after it, and that."""
         core = piece.rstrip(PUNCTUATION)
-        if not core or not core[-1].isalnum():
-            core = piece
-        tail = piece[len(core) :]
-        return (core.lower() if core and max(core) < "\u0100" else core), tail
+        return (core, piece[len(core) :]) if core and core[-1].isalnum() else (piece, "")
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.parts) > MAX_PIECES:
-            self.parts.clear()
-        parts, both = self.parts, [self.split(p) for p in pieces]
-        new = {p for b in both for p in b}.difference(parts)
-        words = [p for p in new if p.isalpha()]
-        rest, width = new.difference(words), self.dtype.itemsize
+    def learn(self, pieces: set[str]) -> None:
+        known, width = self.known, self.dtype.itemsize
+        words = {p for p in pieces if p.isalpha()}
+        others = list(pieces.difference(words))
+        both = [self.split(p) for p in others]
+        parts = {p for b in both for p in b}.difference(known)
+        words.update(p for p in parts if p.isalpha())
+        rest, words = parts.difference(words), list(words)
         for at in range(0, len(words), 4096):
             some = words[at : at + 4096]
             ids = self.ids(" ".join(some))
@@ -104,10 +101,10 @@ class Ids:
                 rest.update(some)
                 continue
             raw, cuts = ids.tobytes(), cuts.tolist()
-            parts.update(zip(some, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+            known.update(zip(some, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
         for p in rest:
-            parts[p] = self.ids(p).tobytes()
-        self.known.update(zip(pieces, [parts[core] + parts[tail] if tail else parts[core] for core, tail in both]))
+            known[p] = self.ids(p).tobytes()
+        known.update(zip(others, [known[core] + known[tail] if tail else known[core] for core, tail in both]))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
@@ -117,7 +114,7 @@ class Ids:
             self.known.clear()
             new = pieces
         if new:
-            self.learn(list(new))
+            self.learn(new)
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
 
 
@@ -254,6 +251,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        gc.set_threshold(1_000_000)  # the table of pieces is large and holds no cycles
         ids, writer = None, Writer(TaskContext.get().partitionId(), dtype)
         end = b"" if end_id is None else np.array([end_id], dtype=dtype).tobytes()
         for batch in batches:
