@@ -132,7 +132,7 @@ def smoothed_rec(name: str, x, p: int, alpha: float, start: int = 0, idx: str =
     i = _pos(idx, start)
     x = _c(x)
     u = F.when(i < 0, F.lit(0.0)).when(i < p, x / F.lit(float(p))).otherwise(F.lit(alpha) * x)
-    return Recurrence(name, 1.0 - alpha, u, decay=(i < 0) | (i >= p), warmup=p)
+    return Recurrence(name, 1.0 - alpha, u, decay=(i < 0) | (i >= p))
 
 
 def ema_rec(name: str, x, p: int, start: int = 0, idx: str = "n") -> Recurrence:
@@ -149,7 +149,7 @@ def wilder_sum_rec(name: str, x, p: int, start: int = 0, idx: str = "n") -> Recu
     """ADX's running sums: sum of the first ``p-1`` values, then ``S*(p-1)/p + x``."""
     i = _pos(idx, start)
     u = F.when(i < 0, F.lit(0.0)).otherwise(_c(x))
-    return Recurrence(name, (p - 1.0) / p, u, decay=(i < 0) | (i >= p - 1), warmup=p)
+    return Recurrence(name, (p - 1.0) / p, u, decay=(i < 0) | (i >= p - 1))
 
 
 def valid_from(y: Column, first: int, idx: str = "n") -> Column:
@@ -306,7 +306,7 @@ def adx_rec(name: str, p: int = 14) -> Recurrence:
         n <= first, F.coalesce(dx, F.lit(0.0)) / F.lit(float(p))
     ).otherwise(F.when(defined, dx / F.lit(float(p))).otherwise(F.lit(0.0)))
     decay = (n < p) | ((n > first) & defined)
-    return Recurrence(name, (p - 1.0) / p, u, decay=decay, warmup=p)
+    return Recurrence(name, (p - 1.0) / p, u, decay=decay)
 
 
 def with_adx(df: DataFrame, p: int = 14, out: str = "adx", keys=KEYS) -> DataFrame:

@@ -5,16 +5,16 @@ of ordinary window functions, grouped by ``(key, block)`` and never by the key a
 
 1. Rows are cut into blocks of ``B`` bars. Inside a block, with ``D`` the running count
    of decaying rows (``d`` = 1), ``loc = q**D * sum(u * q**-D)`` is a running sum.
-2. The block-end values ``e`` (and the block's decay count ``M``) form a table ``B``
-   times smaller. The value at the end of block ``b`` is the fold
-   ``Y = Y * q**M + e`` over the preceding blocks; blocks older than ``K`` contribute
-   less than ``TRUNCATION`` (1e-20) of their value, below double precision, so the fold
-   runs over a ``K``-row frame on that table (itself blocked with a halo).
+2. A block maps the value before it to the value at its end: ``Y -> Y * q**M + e``, with
+   ``M`` its decay count and ``e`` its own end value. These maps are composed exactly, over
+   all earlier blocks, in three levels: inside groups of ``FAN`` blocks, inside groups of
+   ``FAN`` such groups, and over all totals of those before (one per ``B * FAN * FAN`` bars).
+   Nothing is truncated, so a run of rows that never decays keeps its value for ever.
 3. ``y = loc + Y[b-1] * q**D`` after an equi-join on ``(key, block)``.
 
 Rows with ``d`` = 0 carry the value unchanged (``q**0``): TA-style seeds are written as
 a non-decaying warm-up that accumulates ``x/p`` and the undefined-DX rows of ADX keep
-their value. ``warmup`` (non-decaying rows) widens the fold so it stays exact.
+their value.
 
 All recurrences of one dependency level are packed into one call: one block window,
 one end-of-block table and one join for all of them.
@@ -29,11 +29,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .series import KEYS, halo_layout
+from .series import KEYS
 
-TRUNCATION = 1e-20
 BLOCK = 64
-SUPER_BLOCK = 1024
+FAN = 64
 
 
 @dataclass(frozen=True)
@@ -42,7 +41,6 @@ class Recurrence:
     q: float
     u: Column
     decay: Column | None = None
-    warmup: int = 0
 
 
 def _block_size(recs: Sequence[Recurrence]) -> int:
@@ -50,12 +48,53 @@ def _block_size(recs: Sequence[Recurrence]) -> int:
     return max(1, min(BLOCK, int(600.0 / worst) if worst > 0 else BLOCK))
 
 
-def _fold_blocks(q: float, block: int, warmup: int) -> int:
-    if q >= 1.0:
-        raise ValueError("recurrences need 0 < q < 1")
-    decay_per_block = block * -math.log(q)
-    k = math.ceil(math.log(1.0 / TRUNCATION) / decay_per_block) + 1
-    return k + math.ceil(warmup / block) + 1
+def _folded(maps: str, r: Recurrence) -> Column:
+    """Value after a list of maps, starting from 0."""
+
+    def step(acc: Column, m: Column) -> Column:
+        return acc * F.pow(F.lit(r.q), m[f"_M_{r.name}"].cast("double")) + m[f"_e_{r.name}"]
+
+    return F.aggregate(maps, F.lit(0.0), step)
+
+
+def block_values(ends: DataFrame, recs: Sequence[Recurrence], keys: Sequence[str]) -> DataFrame:
+    """``keys``, ``_b`` and ``_Y_*``: the value before each block, from all earlier blocks' maps.
+
+    ``ends`` is read once: a row per ``FAN`` blocks carries their maps as an array, so the
+    levels need no joins. Only these rows, one per ``B * FAN`` bars, meet by series.
+    """
+    names = [r.name for r in recs]
+    maps = [F.col(f"_{c}_{n}") for n in names for c in ("e", "M")]
+    groups = ends.groupBy(*keys, F.floor(F.col("_b") / F.lit(FAN)).alias("_s")).agg(F.sort_array(F.collect_list(F.struct("_b", *maps))).alias("_in"))
+    groups = groups.repartition(*[F.col(k) for k in keys]).withColumn("_g", F.floor(F.col("_s") / F.lit(FAN)))
+    # the group as one map
+    groups = groups.withColumns({f"_e_{r.name}": _folded("_in", r) for r in recs} | {f"_M_{r.name}": _decays("_in", r) for r in recs})
+    one = F.struct(*maps)
+    before = Window.partitionBy(*keys, "_g").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("_some", F.collect_list(one).over(before))
+    # all maps of a group of groups as one, at its last row
+    last = F.col("_s") % F.lit(FAN) == FAN - 1
+    whole = F.struct(*[x for r in recs for x in (
+        (_folded("_some", r) * F.pow(F.lit(r.q), F.col(f"_M_{r.name}").cast("double")) + F.col(f"_e_{r.name}")).alias(f"_e_{r.name}"),
+        (_decays("_some", r) + F.col(f"_M_{r.name}")).alias(f"_M_{r.name}"))])
+    earlier = Window.partitionBy(*keys).orderBy("_g").rangeBetween(Window.unboundedPreceding, -1)
+    groups = groups.withColumn("_all", F.concat(F.collect_list(F.when(last, whole)).over(earlier), "_some"))
+    groups = groups.select(*keys, "_in", *[_after_each("_in", r, _folded("_all", r)).alias(f"_y_{r.name}") for r in recs])
+    out = groups.select(*keys, F.explode(F.arrays_zip(F.transform("_in", lambda m: m["_b"] + 1).alias("_b"), *[f"_y_{n}" for n in names])).alias("_at"))
+    return out.select(*keys, F.col("_at._b").alias("_b"), *[F.col("_at")[f"_y_{n}"].alias(f"_Y_{n}") for n in names])
+
+
+def _decays(maps: str, r: Recurrence) -> Column:
+    return F.aggregate(maps, F.lit(0).cast("long"), lambda acc, m: acc + m[f"_M_{r.name}"])
+
+
+def _after_each(maps: str, r: Recurrence, start: Column) -> Column:
+    """Value after each of a list of maps."""
+
+    def step(acc: Column, m: Column) -> Column:
+        return F.concat(acc, F.array(F.element_at(acc, -1) * F.pow(F.lit(r.q), m[f"_M_{r.name}"].cast("double")) + m[f"_e_{r.name}"]))
+
+    return F.aggregate(maps, F.array(start), step, lambda acc: F.slice(acc, F.lit(2), F.size(acc)))
 
 
 def run(
@@ -103,27 +142,9 @@ def run(
         *keys,
         "_b",
         *[F.col(f"_L_{r.name}").alias(f"_e_{r.name}") for r in recs],
-        *[F.col(f"_D_{r.name}").alias(f"_M_{r.name}") for r in recs],
-    )
-    folds = {r.name: _fold_blocks(r.q, B, r.warmup) for r in recs}
-    lay = halo_layout(ends, keys, "_b", max(SUPER_BLOCK, max(folds.values())), back=max(folds.values()))
-    wb = Window.partitionBy(*keys, "_blk").orderBy("_b")
-    lists = []
-    for r in recs:
-        frame = wb.rowsBetween(-(folds[r.name] - 1), 0)
-        pair = F.struct(F.col(f"_e_{r.name}").alias("e"), F.col(f"_M_{r.name}").alias("m"))
-        lists.append(F.collect_list(pair).over(frame).alias(f"_I_{r.name}"))
-    lay = lay.select(*keys, "_b", "_halo", *lists)
-    folded = [
-        F.expr(f"aggregate(_I_{r.name}, 0D, (acc, s) -> acc * pow({r.q!r}D, CAST(s.m AS DOUBLE)) + s.e)").alias(
-            f"_Y_{r.name}")
-        for r in recs
-    ]
-    carry = (
-        lay.select(*keys, "_b", "_halo", *folded)
-        .filter(~F.col("_halo"))
-        .select(*keys, (F.col("_b") + 1).alias("_b"), *[f"_Y_{r.name}" for r in recs])
+        *[F.col(f"_D_{r.name}").cast("long").alias(f"_M_{r.name}") for r in recs],
     )
+    carry = block_values(ends, recs, keys)
     if within:
         # a block's rows live in its own layout block and as halo copies in the neighbours
         per = (within_span or B) // B

@@ -66,8 +66,9 @@ def number_bars(
     order: str = "time",
     out: str = "n",
     chunk: Column | None = None,
+    total: str | None = None,
 ) -> DataFrame:
-    """Dense 0-based bar number per key, without a per-key partition.
+    """Dense 0-based bar number per key (and ``total``: its number of bars), without a per-key partition.
 
     ``chunk`` groups bars into ordered chunks that each hold a bounded number of bars;
     by default ``CHUNK_BARS`` bar slots of the row's timeframe (bars are unique per slot).
@@ -78,8 +79,10 @@ def number_bars(
     df = bars.withColumn("_chunk", chunk.cast("long"))
     sizes = df.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_cnt"))
     prior = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = sizes.select(
-        *keys, "_chunk", F.coalesce(F.sum("_cnt").over(prior), F.lit(0)).alias("_off")
+        *keys, "_chunk", F.coalesce(F.sum("_cnt").over(prior), F.lit(0)).alias("_off"),
+        *([F.sum("_cnt").over(every).alias(total)] if total else []),
     )
     inner = Window.partitionBy(*keys, "_chunk").orderBy(order)
     return (

@@ -8,7 +8,7 @@ from candlewick.sources.bars import lineitem_bars
 from conftest import SF_SMALL
 
 # windows over per-chunk / per-block summary tables may partition by the key alone
-SMALL_TABLE_ORDER = ("_chunk", "_sb")
+SMALL_TABLE_ORDER = ("_chunk", "_sb", "_g")
 
 
 def _windows(plan: str):

@@ -79,3 +79,27 @@ def test_undefined_rows_keep_value(spark):
         if r.n % 50 < 10:
             y = 0.5 * y + 1.0
         assert math.isclose(r.y, y, rel_tol=1e-12)
+
+
+def test_composition_reaches_over_all_levels(spark, monkeypatch):
+    """Small groups, so that all three levels and the steps between them are taken."""
+    monkeypatch.setattr(recurrence, "FAN", 2)
+    monkeypatch.setattr(recurrence, "BLOCK", 4)
+    n = 230
+    df = spark.range(n).select(F.lit("s").alias("symbol"), F.lit("D1").alias("tf"), F.col("id").alias("n"))
+    decay = (F.col("n") < 40) | (F.col("n") > 200)
+    recs = [Recurrence("y", 0.9, (F.col("n") % 7).cast("double")), Recurrence("z", 0.5, F.when(decay, 1.0).otherwise(0.0), decay=decay)]
+    y = z = 0.0
+    for r in recurrence.run(df, recs).orderBy("n").collect():
+        y = 0.9 * y + r.n % 7
+        z = 0.5 * z + 1.0 if r.n < 40 or r.n > 200 else z
+        assert math.isclose(r.y, y, rel_tol=1e-12) and math.isclose(r.z, z, rel_tol=1e-12)
+
+
+def test_value_survives_a_long_run_without_decay(spark):
+    n = 64 * 64 * 2 + 100
+    df = spark.range(n).select(F.lit("s").alias("symbol"), F.lit("D1").alias("tf"), F.col("id").alias("n"))
+    decay = F.col("n") < 100
+    out = recurrence.run(df, [Recurrence("y", 0.9, F.when(decay, 1.0).otherwise(0.0), decay=decay)])
+    last = out.where(F.col("n") == n - 1).first().y
+    assert math.isclose(last, (1 - 0.9**100) / 0.1, rel_tol=1e-12)
