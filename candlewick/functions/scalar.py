@@ -60,7 +60,7 @@ def round_digits(x, digits) -> Column:
 
 def whole_points(diff, point) -> Column:
     """``int(diff / point)`` (truncation toward zero)."""
-    return (_c(diff) / _c(point)).cast("int")
+    return (_c(diff) / _c(point)).cast("bigint")
 
 
 def clamp(x, lo, hi) -> Column:

@@ -68,7 +68,7 @@ class EnsembleParams:
 
 def _prep(features: Sequence[str]) -> list:
     return [
-        VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="skip"),
+        VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="error"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
     ]
 

@@ -60,6 +60,12 @@ def q_last_300_bars(spark, sf):
     return rounded(B.last_n_bars(B.lineitem_bars(spark, sf), 300))
 
 
+def q_last_7000_bars(spark, sf):
+    """A1 with more bars than a group limit covers, on the long minute tape."""
+    prepare(spark)
+    return rounded(B.last_n_bars(B.tape_bars(spark, sf), 7000))
+
+
 def q_latest_tick(spark, sf):
     prepare(spark)
     t = B.latest_tick(B.events_ticks(spark, sf))
@@ -111,6 +117,22 @@ def q_ind_adx(spark, sf):
     return rounded(I.with_adx(_li(spark, sf)).select(*BAR_COLS, "adx"))
 
 
+def q_ind_adx_flat(spark, sf):
+    """C9 on bars whose price stands still from bar 200 on: the last defined value stays."""
+    flat = {c: F.when(F.col("n") >= 200, F.lit(100.0)).otherwise(F.col(c)) for c in ("open", "high", "low", "close")}
+    return rounded(I.with_adx(_li(spark, sf).withColumns(flat)).select(*BAR_COLS, "adx"))
+
+
+def q_ind_long_m1(spark, sf):
+    """C1, C2, C7, C9 on the long minute tape: many blocks, carries over several levels."""
+    prepare(spark)
+    df = recurrence.run(number_bars(B.tape_bars(spark, sf)), [I.ema_rec("ema_12", "close", 12), I.ema_rec("ema_200", "close", 200)])
+    df = I.with_adx(I.with_atr(df))
+    df = rolling(df, lambda w: [("sma_200", I.sma("close", 200, w))], back=199)
+    return rounded(df.select(*BAR_COLS, I.valid_from(F.col("ema_12"), 11).alias("ema_12"),
+                             I.valid_from(F.col("ema_200"), 199).alias("ema_200"), "atr", "adx", "sma_200"))
+
+
 def q_ind_mfi(spark, sf):
     return rounded(I.with_mfi(_li(spark, sf)).select(*BAR_COLS, "mfi"))
 
@@ -416,7 +438,7 @@ def q_status_snapshot(spark, sf):
 def q_event_log_tail(spark, sf):
     """A11 view: the newest 50 log lines (the limit is the feature)."""
     prepare(spark)
-    return FX.event_log(spark, sf).orderBy(F.col("ts").desc()).limit(50)
+    return FX.event_log(spark, sf).orderBy(F.col("ts").desc(), "symbol", "msg").limit(50)
 
 
 # --- flagship ----------------------------------------------------------------------------------
@@ -513,7 +535,7 @@ def q_strategy_decisions(spark, sf):
 
 def _file_stream(spark, sf, table):
     schema = spark.read.parquet(f"{sf}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf)
+    return ST.file_stream(spark, sf, table, schema)
 
 
 def q_stream_position_decisions(spark, sf):
@@ -538,9 +560,7 @@ def q_stream_position_decisions(spark, sf):
         sinks.write_intents(RK.trailing_points(positions, quotes, info, distance=300.0), out, batch_id)
 
     ST.foreach_batch(ticks, decide, "position_decisions")
-    done = spark.read.parquet(out)
-    last = done.agg(F.max("batch_id")).first()[0]
-    return rounded(done.filter(F.col("batch_id") == last).drop("batch_id"))
+    return rounded(spark.read.parquet(out))
 
 
 def q_stream_model_scores(spark, sf):

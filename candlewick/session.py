@@ -1,7 +1,7 @@
 """Session settings every job relies on.
 
 Jobs never build their own session on a cluster: they take the caller's session and
-only pin the settings results depend on (UTC wall clock, ANSI arithmetic, AQE). The
+only pin the settings results depend on (UTC wall clock, ANSI arithmetic). The
 checkpoint folder is read from the session (``spark.checkpoint.dir``); a private one is
 created only when the session runs in local mode and has none, as in tests.
 """
@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 _PINNED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
+}
+# Only for sessions this module builds; a caller's planner settings stay as they are.
+_PLANNING = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -40,7 +43,7 @@ def build_local_session(cores: int | str = "*", shuffle_partitions: int = 8) ->
         # call-site capture costs three JVM round trips per column function while a plan is built
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
-    for k, v in _PINNED.items():
+    for k, v in (_PINNED | _PLANNING).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -48,7 +51,7 @@ def build_local_session(cores: int | str = "*", shuffle_partitions: int = 8) ->
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin result-relevant settings on a caller's session; idempotent."""
+    """Pin what results depend on (UTC wall clock, ANSI arithmetic) on a caller's session; idempotent."""
     for k, v in _PINNED.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)

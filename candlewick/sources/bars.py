@@ -9,10 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.series import epoch_seconds, timeframe_seconds
+from ..operators.series import epoch_seconds, number_bars, timeframe_seconds
 from .tables import read_table
 
 BAR_COLUMNS = ("symbol", "tf", "time", "open", "high", "low", "close", "tick_volume")
@@ -25,33 +25,9 @@ def bar_start(ts: Column, tf: str) -> Column:
     return F.timestamp_seconds(secs).cast("timestamp_ntz")
 
 
-_INTEGRAL = ("tinyint", "smallint", "int", "bigint")
-
-
-def order_key(ticks: DataFrame, order: Sequence[str]) -> Column:
-    """One sortable column for a multi-column tie-break order.
-
-    Integer keys are packed into one ``long`` when their observed ranges fit 62 bits (one
-    min/max aggregate checks it), which keeps ``min_by``/``max_by`` in a hash aggregate;
-    otherwise the order stays a struct (sort-based aggregate, same result).
-    """
-    cols = list(order)
-    if len(cols) == 1:
-        return F.col(cols[0])
-    types = dict(ticks.dtypes)
-    if all(types.get(c) in _INTEGRAL for c in cols):
-        stats = ticks.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(cols)],
-                          *[F.max(c).alias(f"hi{i}") for i, c in enumerate(cols)]).first()
-        if stats is not None and all(stats[f"lo{i}"] is not None for i in range(len(cols))):
-            widths = [max(1, int(stats[f"hi{i}"] - stats[f"lo{i}"]).bit_length()) for i in range(len(cols))]
-            if sum(widths) <= 62:
-                key, shift = F.lit(0).cast("long"), 0
-                for i in reversed(range(len(cols))):
-                    part = (F.col(cols[i]).cast("long") - F.lit(int(stats[f"lo{i}"])))
-                    key = key + F.shiftleft(part, shift)
-                    shift += widths[i]
-                return key
-    return F.struct(*[F.col(c) for c in cols])
+def order_key(order: Sequence[str]) -> Column:
+    """One sortable column for a tie-break order; a null key sorts first."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*[F.col(c) for c in order])
 
 
 def ticks_to_bars(
@@ -66,7 +42,7 @@ def ticks_to_bars(
 ) -> DataFrame:
     """A3: OHLCV bars of ``tf`` from a tick table; ``order`` breaks ties inside a bar."""
     order_cols = list(order) if order else [ts]
-    ordering = order_key(ticks, order_cols)
+    ordering = order_key(order_cols)
     vol = F.count(F.lit(1)) if volume is None else F.sum(volume)
     return (
         ticks.select(
@@ -132,6 +108,19 @@ def orders_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks_to_bars(ticks, "D1", order=["o_orderkey"])
 
 
+def tape_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One long M1 series: every order is a minute of one tape, its lines the minute's ticks."""
+    li = read_table(spark, sf_dir, "lineitem")
+    ticks = li.select(
+        F.lit("TAPE").alias("symbol"),
+        F.timestamp_seconds(F.lit(946_684_800) + F.col("l_orderkey") * 60).alias("ts"),
+        F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("price"),
+        "l_linenumber",
+        "l_partkey",
+    ).filter(F.col("price").isNotNull())
+    return ticks_to_bars(ticks, "M1", order=["l_linenumber", "l_partkey", "price"])
+
+
 def events_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tick table from ``events`` (symbol, ts, bid, ask, size)."""
     e = read_table(spark, sf_dir, "events")
@@ -146,23 +135,26 @@ def events_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_bars(spark: SparkSession, sf_dir: str, tf: str = "M15") -> DataFrame:
     ticks = events_ticks(spark, sf_dir).select("symbol", "ts", F.col("bid").alias("price"))
-    return ticks_to_bars(ticks, tf)
+    return ticks_to_bars(ticks, tf, order=["ts", "price"])
 
 
 # --- reads -----------------------------------------------------------------------------
 
 
 def last_n_bars(bars: DataFrame, n: int, keys: Sequence[str] = ("symbol", "tf")) -> DataFrame:
-    """A1: the newest ``n`` bars of every key (top-k per key; planned as a group limit)."""
-    w = Window.partitionBy(*keys).orderBy(F.col("time").desc())
-    return bars.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
+    """A1: the newest ``n`` bars of every key, for any ``n``.
+
+    Positions and series lengths come from chunk counts, so no series is sorted as a whole.
+    """
+    numbered = number_bars(bars, keys, out="_n", total="_total")
+    return numbered.filter(F.col("_n") >= F.col("_total") - F.lit(n)).drop("_n", "_total")
 
 
 def latest_tick(ticks: DataFrame) -> DataFrame:
     """A4: newest bid/ask per symbol (partial aggregate, any skew)."""
     return ticks.groupBy("symbol").agg(
-        F.max_by(F.struct("bid", "ask", "ts"), "ts").alias("_t")
-    ).select("symbol", "_t.ts", "_t.bid", "_t.ask")
+        F.max("ts").alias("ts"), F.max_by("bid", "ts").alias("bid"), F.max_by("ask", "ts").alias("ask")
+    )
 
 
 def order_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +172,4 @@ def order_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_quote(ticks: DataFrame, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
     """A4 with an explicit tie-break order."""
     key = F.struct(*[F.col(c) for c in order])
-    return ticks.groupBy("symbol").agg(F.max_by(F.struct("bid", "ask"), key).alias("_q")).select(
-        "symbol", "_q.bid", "_q.ask"
-    )
+    return ticks.groupBy("symbol").agg(F.max_by("bid", key).alias("bid"), F.max_by("ask", key).alias("ask"))

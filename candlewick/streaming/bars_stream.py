@@ -36,15 +36,17 @@ def _run_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex}")
 
 
+def file_stream(spark: SparkSession, sf_dir: str, table: str, schema, max_files: int = 1) -> DataFrame:
+    """A driver table, one file or a folder of files, as a file stream with bounded triggers."""
+    # the pattern matches the table's own name; a folder's files are listed below it
+    path = os.path.join(sf_dir, f"{table}.parque[t]")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+
+
 def tick_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
     """The ``events`` table as a file stream (symbol, ts, price)."""
     schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
-    raw = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "events.parquet")
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(sf_dir)
-    )
+    raw = file_stream(spark, sf_dir, "events", schema, max_files)
     return raw.select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price")
     )

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracles import (
-    IND, ftxt, LINEITEM_BARS, NUMBERED, ORDERS_BARS, bucket, events_bars, lag, lead, masked_agg, rnd, sma,
+    IND, ftxt, LINEITEM_BARS, NUMBERED, ORDERS_BARS, TAPE_BARS, bucket, events_bars, lag, lead, masked_agg, rnd, sma,
     ta_state, tdiv, trailing, with_ctes,
 )
 
@@ -30,6 +30,9 @@ SQL["bars_rollup_m15_h4"] = with_ctes(events_bars("H4", 14400)) + f"\nSELECT {BA
 SQL["last_300_bars"] = with_ctes(LINEITEM_BARS) + f"""
 SELECT {BARS_OUT} FROM (
   SELECT *, row_number() OVER (PARTITION BY symbol, tf ORDER BY time DESC) AS r FROM bars) WHERE r <= 300"""
+SQL["last_7000_bars"] = with_ctes(TAPE_BARS) + f"""
+SELECT {BARS_OUT} FROM (
+  SELECT *, row_number() OVER (PARTITION BY symbol, tf ORDER BY time DESC) AS r FROM bars) WHERE r <= 7000"""
 SQL["latest_tick"] = f"""
 SELECT event_type AS symbol, max(ts) AS ts, {rnd('arg_max(value, ts)')} AS bid,
        {rnd('arg_max(value * 1.0002, ts)')} AS ask
@@ -51,6 +54,13 @@ SQL["ind_atr"] = _ta_query({
     "natr": f"CASE WHEN close = 0 THEN 0.0 ELSE 100.0 * ({IND['atr']}) / close END",
 })
 SQL["ind_adx"] = _ta_query({"adx": IND["adx"]})
+SQL["ind_adx_flat"] = with_ctes(LINEITEM_BARS, NUMBERED.replace("nb AS", "nb0 AS"), """
+nb AS (SELECT * REPLACE (CASE WHEN n >= 200 THEN 100.0 ELSE open END AS open, CASE WHEN n >= 200 THEN 100.0 ELSE high END AS high,
+  CASE WHEN n >= 200 THEN 100.0 ELSE low END AS low, CASE WHEN n >= 200 THEN 100.0 ELSE close END AS close) FROM nb0)""",
+    ta_state()) + f"\nSELECT {KEYCOLS}, {rnd(IND['adx'])} AS adx FROM ta"
+SQL["ind_long_m1"] = with_ctes(TAPE_BARS, NUMBERED, ta_state()) + f"""
+SELECT {KEYCOLS}, {rnd(IND['ema_12'])} AS ema_12, {rnd(IND['ema_200'])} AS ema_200, {rnd(IND['atr'])} AS atr,
+  {rnd(IND['adx'])} AS adx, {rnd(sma('close', 200))} AS sma_200 FROM ta"""
 SQL["ind_mfi"] = _li() + f"""
 , mf AS (
   SELECT *, (high + low + close) / 3.0 AS tp, {lag('(high + low + close) / 3.0')} AS ptp FROM nb),
@@ -470,7 +480,7 @@ SQL["trailing_points"] = with_ctes(POSITIONS) + f"""
     CASE WHEN p.type = 'BUY' THEN q.bid ELSE q.ask END AS px FROM pos p
   LEFT JOIN quotes q ON q.symbol = p.symbol LEFT JOIN oinfo i ON i.symbol = p.symbol),
 tp1 AS (
-  SELECT *, CAST(trunc((CASE WHEN type = 'BUY' THEN px - price_open ELSE price_open - px END) / point) AS INTEGER) AS pts,
+  SELECT *, CAST(trunc((CASE WHEN type = 'BUY' THEN px - price_open ELSE price_open - px END) / point) AS BIGINT) AS pts,
     CASE WHEN type = 'BUY' THEN px - 300.0 * point ELSE px + 300.0 * point END AS nsl FROM tp0),
 tp2 AS (
   SELECT *, coalesce(pts >= 300 AND (sl = 0 OR (type = 'BUY' AND nsl > sl) OR (type <> 'BUY' AND nsl < sl)), FALSE) AS mv
@@ -533,7 +543,7 @@ SELECT ts, event_type AS symbol,
   CASE WHEN event_type = 'error' THEN '❌ ' || event_type WHEN event_type = 'purchase' THEN '✅ ' || event_type
        ELSE event_type END AS msg,
   CAST(ts AS DATE) AS date
-FROM events ORDER BY ts DESC LIMIT 50"""
+FROM events ORDER BY ts DESC, symbol, msg LIMIT 50"""
 
 SQL["close_all"] = with_ctes(POSITIONS) + f"""
 , ca AS (SELECT b.account_id, b.symbol, a.balance, a.equity - a.balance AS fp FROM book b JOIN acc a USING (account_id))
@@ -739,7 +749,8 @@ SELECT a.account_id, {rnd('round_even(a.balance, 2)')} AS balance, {rnd('round_e
   {rnd('round_even(a.profit, 2)')} AS profit, coalesce(c.np, 0) AS n_positions, p.ticket, p.position_json
 FROM acc a LEFT JOIN cnt c ON c.account_id = a.account_id LEFT JOIN prow p ON p.account_id = a.account_id"""
 
-SQL["stream_position_decisions"] = SQL["trailing_points"]
+# one file is one micro-batch
+SQL["stream_position_decisions"] = f"SELECT *, CAST(0 AS INTEGER) AS batch_id FROM ({SQL['trailing_points']})"
 
 SQL["model_signal_veto"] = _li(momentum_ctes(), f"""
 v0 AS (SELECT symbol, tf, time, n, volatility, {PROBS} FROM feat WHERE {M25_OK})""", f"""

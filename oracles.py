@@ -58,12 +58,23 @@ bars AS (
   FROM orders GROUP BY o_orderpriority, {bucket('o_orderdate', 86400)})"""
 
 
+TAPE_BARS = f"""
+tape AS (
+  SELECT make_timestamp(CAST((946684800 + l_orderkey * 60) * 1000000 AS BIGINT)) AS ts, l_extendedprice / l_quantity AS price,
+         l_linenumber, l_partkey
+  FROM lineitem WHERE l_quantity <> 0 AND l_extendedprice IS NOT NULL),
+bars AS (
+  SELECT 'TAPE' AS symbol, 'M1' AS tf, {bucket('ts', 60)} AS time, arg_min(price, (l_linenumber, l_partkey, price)) AS open,
+         max(price) AS high, min(price) AS low, arg_max(price, (l_linenumber, l_partkey, price)) AS close, count(*) AS tick_volume
+  FROM tape GROUP BY {bucket('ts', 60)})"""
+
+
 def events_bars(tf: str, seconds: int, name: str = "bars") -> str:
     return f"""
 {name} AS (
   SELECT event_type AS symbol, '{tf}' AS tf, {bucket('ts', seconds)} AS time,
-         arg_min(value, ts) AS open, max(value) AS high, min(value) AS low,
-         arg_max(value, ts) AS close, count(*) AS tick_volume
+         arg_min(value, (ts, value)) AS open, max(value) AS high, min(value) AS low,
+         arg_max(value, (ts, value)) AS close, count(*) AS tick_volume
   FROM events GROUP BY event_type, {bucket('ts', seconds)})"""
 
 
