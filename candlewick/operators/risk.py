@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import decimal_text, round_digits, whole_points
+from ..functions.scalar import clamp, decimal_text, round_digits, side_code, whole_points
 
 
 @dataclass(frozen=True)
@@ -195,14 +195,35 @@ def sl_tp_levels(price: Column, side: Column, point: Column, sl_points: float, t
     return sl, tp
 
 
+def account_symbols(accounts: DataFrame, symbols: str) -> DataFrame:
+    """Every account with every configured symbol; positions are not needed for a first order."""
+    return accounts.select("account_id", F.explode(F.array_distinct(parse_symbols(F.lit(symbols)))).alias("symbol"))
+
+
+def with_book(pairs: DataFrame, book: DataFrame) -> DataFrame:
+    """E8 on counts: (account, symbol) pairs with their position counts and anchors, 0 without positions."""
+    counts = ("n_buy", "n_sell", "grid_count")
+    df = pairs.join(book, ["account_id", "symbol"], "left")
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in counts} |
+                          {c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("buy_anchor", "sell_anchor")})
+
+
+def martingale_lot(level: Column, cfg: StrategyConfig) -> Column:
+    """K1 for a symbol with known volume limits."""
+    raw = F.lit(cfg.initial_lot) * F.pow(F.lit(cfg.martingale_mult), level.cast("double"))
+    return F.bround(clamp(F.least(raw, F.lit(cfg.max_lot)), "volume_min", "volume_max"), 2)
+
+
 def grid_trigger(book: DataFrame, ticks: DataFrame, info: DataFrame, cfg: StrategyConfig, side: str) -> DataFrame:
     """K8: open a grid order when the price moved ``grid_distance`` points from the anchor.
 
-    No anchor → first grid order at the current price; stops at ``max_grid_orders``.
+    ``book`` has a row per (account, symbol), also without positions. No anchor → first grid
+    order at the current price; stops at ``max_grid_orders`` positions of either side. Symbols
+    without a quote or information are left out.
     """
     anchor = F.col("buy_anchor") if side == "BUY" else F.col("sell_anchor")
     price = F.col("ask") if side == "BUY" else F.col("bid")
-    df = book.join(ticks.select("symbol", "bid", "ask"), "symbol", "left").join(info, "symbol", "left")
+    df = book.join(ticks.select("symbol", "bid", "ask"), "symbol").join(info, "symbol")
     dist = F.abs(price - anchor) / F.col("point")
     ok = F.lit(cfg.use_grid) & (F.col("grid_count") < F.lit(cfg.max_grid_orders)) & (
         (anchor == 0) | (dist >= F.lit(cfg.grid_distance))
@@ -211,6 +232,20 @@ def grid_trigger(book: DataFrame, ticks: DataFrame, info: DataFrame, cfg: Strate
     return df.select(
         "account_id", "symbol", F.lit(side).alias("side"), price.alias("price"), anchor.alias("anchor"),
         dist.alias("distance_points"), F.coalesce(ok, F.lit(False)).alias("open_grid"), same_side.alias("grid_level"),
+        "point", "digits", "volume_min", "volume_max",
+    )
+
+
+def grid_intents(triggers: DataFrame, risk: DataFrame, cfg: StrategyConfig) -> DataFrame:
+    """K8 orders: lot by the same side's position count, levels in points; none under the risk stop."""
+    df = triggers.filter("open_grid").join(risk.select("account_id", "risk_stop"), "account_id", "left")
+    df = df.filter(~F.coalesce(F.col("risk_stop"), F.lit(True)))
+    direction = F.when(F.col("side") == "BUY", F.lit(1.0)).otherwise(F.lit(-1.0))
+    sl, tp = sl_tp_levels(F.col("price"), direction, F.col("point"), cfg.sl_points if cfg.use_sl_tp else 0.0,
+                          cfg.tp_points if cfg.use_sl_tp else 0.0)
+    return df.select(
+        "account_id", "symbol", F.lower("side").alias("action"), martingale_lot(F.col("grid_level"), cfg).alias("volume"),
+        "price", round_digits(sl, F.col("digits")).alias("sl"), round_digits(tp, F.col("digits")).alias("tp"),
     )
 
 
@@ -218,8 +253,9 @@ def order_intents(decisions: DataFrame, info: DataFrame, ticks: DataFrame, strea
                   risk: DataFrame, cfg: StrategyConfig, magic: int = 0) -> DataFrame:
     """Per (account, symbol) signal → side cap → risk gate → order intent row.
 
-    ``decisions``: account_id, symbol, signal (BULLISH/BEARISH/NEUTRAL), n_buy, n_sell.
-    Risk stop turns an open into a close-all intent (K13).
+    ``decisions``: account_id, symbol, signal (BULLISH/BEARISH/NEUTRAL), n_buy, n_sell, a row
+    for every account and configured symbol. Symbols without information give no intent. Risk
+    stop turns an open into a close-all intent (K13).
     """
     cap = cfg.max_per_side if cfg.use_grid else 1
     sig = F.col("signal")
@@ -232,43 +268,66 @@ def order_intents(decisions: DataFrame, info: DataFrame, ticks: DataFrame, strea
         .filter(F.col("_action").isNotNull())
         .join(risk.select("account_id", "risk_stop"), "account_id", "left")
         .join(ticks.select("symbol", "bid", "ask"), "symbol", "left")
-        .join(info, "symbol", "left")
+        .join(info, "symbol")
         .join(streaks.select("symbol", "loss_streak"), "symbol", "left")
     )
     side = F.when(F.col("_action") == "buy", F.lit(1.0)).otherwise(F.lit(-1.0))
     price = F.when(F.col("_action") == "buy", F.col("ask")).otherwise(F.col("bid"))
-    raw = F.lit(cfg.initial_lot) * F.pow(F.lit(cfg.martingale_mult), F.coalesce(F.col("loss_streak"), F.lit(0)).cast("double"))
-    lot = F.bround(F.least(F.greatest(F.least(raw, F.lit(cfg.max_lot)), F.col("volume_min")), F.col("volume_max")), 2)
+    lot = martingale_lot(F.coalesce(F.col("loss_streak"), F.lit(0)), cfg)
     sl, tp = sl_tp_levels(price, side, F.col("point"), cfg.sl_points if cfg.use_sl_tp else 0.0,
                           cfg.tp_points if cfg.use_sl_tp else 0.0)
     stop = F.coalesce(F.col("risk_stop"), F.lit(True))
+
+    def unless_stopped(value: Column) -> Column:
+        return F.when(~stop, value)
+
     return df.select(
         "account_id", "symbol",
         F.when(stop, F.lit("close_all")).otherwise(F.col("_action")).alias("action"),
-        F.when(stop, F.lit(None).cast("double")).otherwise(lot).alias("volume"),
-        F.when(stop, F.lit(None).cast("double")).otherwise(price).alias("price"),
-        F.when(stop, F.lit(None).cast("double")).otherwise(round_digits(sl, F.col("digits"))).alias("sl"),
-        F.when(stop, F.lit(None).cast("double")).otherwise(round_digits(tp, F.col("digits"))).alias("tp"),
+        unless_stopped(lot).alias("volume"), unless_stopped(price).alias("price"),
+        unless_stopped(round_digits(sl, F.col("digits"))).alias("sl"),
+        unless_stopped(round_digits(tp, F.col("digits"))).alias("tp"),
         F.lit(magic).cast("long").alias("magic"),
         F.when(stop, F.lit("risk stop")).otherwise(F.concat(F.lit("auto "), F.col("signal"))).alias("comment"),
     )
 
 
-def reversal_intents(signals: DataFrame, open_pos: DataFrame) -> DataFrame:
+def atr_levels(price: Column, side: Column, atr: Column, sl_mult: float, tp_mult: float) -> tuple[Column, Column]:
+    """K9 by ATR: the stop ``sl_mult`` and the target ``tp_mult`` ATRs from the price."""
+    return price - side * atr * F.lit(sl_mult), price + side * atr * F.lit(tp_mult)
+
+
+def reversal_intents(pairs: DataFrame, open_pos: DataFrame, last_bar: DataFrame, ticks: DataFrame,
+                     lot: float = 0.01, sl_mult: float = 2.0, tp_mult: float = 3.0) -> DataFrame:
     """K11 + E8: a gated signal (±1) against the open side closes it, then opens the new side.
 
-    The open side per (symbol, magic) is the first position (lowest ticket); no position → 0.
+    ``pairs``: account_id, symbol, magic, signal. The open side is that of the account's first
+    position (lowest ticket) on (symbol, magic); without one the order only opens. A close
+    takes the position's volume at the quote of its other side, an open ``lot`` at the last
+    close with stop and target in ATRs.
     """
-    first = open_pos.groupBy("symbol", "magic").agg(F.min_by(F.col("type"), F.col("ticket")).alias("_type"),
-                                                   F.min("ticket").alias("open_ticket"))
-    cur = F.when(F.col("_type") == "BUY", F.lit(1)).when(F.col("_type") == "SELL", F.lit(-1)).otherwise(F.lit(0))
-    df = signals.join(first, ["symbol", "magic"], "left").withColumn("current_side", cur)
-    s = F.col("signal")
-    flip = (s != 0) & (s != F.col("current_side"))
-    steps = F.when(flip & (F.col("current_side") != 0), F.array(F.lit("close"), F.lit("open"))).when(flip, F.array(F.lit("open")))
-    return df.filter(flip).select(
-        "symbol", "magic", "signal", "current_side", "open_ticket", F.posexplode(steps).alias("step", "action")
-    )
+    key = ["account_id", "symbol", "magic"]
+    first = open_pos.groupBy(*key).agg(
+        F.min_by("type", "ticket").alias("_type"), F.min_by("volume", "ticket").alias("_volume"), F.min("ticket").alias("open_ticket"))
+    df = pairs.join(first, key, "left").withColumn("current_side", side_code(F.coalesce(F.col("_type"), F.lit(""))))
+    df = df.filter((F.col("signal") != 0) & (F.col("signal") != F.col("current_side")))
+    df = df.join(last_bar.select("symbol", "close", "atr"), "symbol").join(ticks.select("symbol", "bid", "ask"), "symbol")
+    new, old = F.col("signal"), F.col("current_side")
+    sl, tp = atr_levels(F.col("close"), new.cast("double"), F.col("atr"), sl_mult, tp_mult)
+    nothing = F.lit(None).cast("double")
+
+    def side(code: Column) -> Column:
+        return F.when(code > 0, F.lit("BUY")).otherwise(F.lit("SELL"))
+
+    def step(action: str, where: Column, volume: Column, price: Column, sl: Column, tp: Column) -> Column:
+        return F.struct(F.lit(action).alias("action"), where.alias("side"), volume.alias("volume"), price.alias("price"),
+                        sl.alias("sl"), tp.alias("tp"))
+
+    close = step("close", side(-old), F.col("_volume"), F.when(old > 0, F.col("bid")).otherwise(F.col("ask")), nothing, nothing)
+    open_ = step("open", side(new), F.lit(lot), F.col("close"), sl, tp)
+    steps = F.when(old != 0, F.array(close, open_)).otherwise(F.array(open_))
+    return df.select(*key, "signal", "current_side", "open_ticket", F.posexplode(steps).alias("step", "_s")).select(
+        *key, "signal", "current_side", "open_ticket", "step", "_s.*")
 
 
 def positions_for(positions: DataFrame, symbol: str | None = None, ticket: int | None = None,

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import class_text
 from ..operators import backtest as BT
 from ..operators import features as FE
 from ..operators import indicators as I
@@ -340,43 +341,76 @@ def q_close_rules(spark, sf):
     return rounded(RK.close_rules(FX.positions(spark, sf), _orders_signal(spark, sf), CFG))
 
 
+#: The configured symbols of the order queries; the last one has no quote and no information.
+SYMBOLS = "1-URGENT, 2-HIGH, 3-MEDIUM, 4-NOT SPECIFIED, 5-LOW, 9-UNLISTED"
+
+
+def _account_side(spark, sf):
+    """(positions, accounts, book of every account and configured symbol, quotes, symbol information)."""
+    pos = FX.positions(spark, sf)
+    accounts = FX.accounts(spark, sf, pos)
+    book = RK.with_book(RK.account_symbols(accounts, SYMBOLS), RK.position_book(pos))
+    quotes = B.latest_quote(B.order_ticks(spark, sf))
+    return pos, accounts, book, quotes, FX.symbol_info(quotes)
+
+
+def _grid(spark, sf, cfg):
+    _, accounts, book, quotes, info = _account_side(spark, sf)
+    both = [RK.grid_trigger(book, quotes, info, cfg, side) for side in ("BUY", "SELL")]
+    return accounts, both[0].unionByName(both[1])
+
+
 def q_grid_trigger(spark, sf):
     prepare(spark)
-    book = RK.position_book(FX.positions(spark, sf))
-    quotes = B.latest_quote(B.order_ticks(spark, sf))
-    info = FX.symbol_info(B.orders_bars(spark, sf))
-    cfg = RK.StrategyConfig(use_grid=True)
-    out = RK.grid_trigger(book, quotes, info, cfg, "BUY").unionByName(RK.grid_trigger(book, quotes, info, cfg, "SELL"))
-    return rounded(out)
+    out = _grid(spark, sf, RK.StrategyConfig(use_grid=True))[1]
+    return rounded(out.drop("point", "digits", "volume_min", "volume_max"))
+
+
+def q_grid_intents(spark, sf):
+    """K8 + K1 + K2 + K9: grid orders of all accounts and configured symbols."""
+    prepare(spark)
+    cfg = RK.StrategyConfig(use_grid=True, sl_points=20.0, tp_points=40.0)
+    accounts, triggers = _grid(spark, sf, cfg)
+    return rounded(RK.grid_intents(triggers, RK.max_risk_stop(accounts, cfg), cfg))
 
 
-def _orders_ai_signal(spark, sf):
-    """H9 + H14 with the default config (use_ai): the model class of the newest bar as text."""
-    last = _last_bar(FX.with_predictions(number_bars(B.orders_bars(spark, sf))).select("symbol", "n", "p_sell", "p_hold", "p_buy"))
+def _orders_ai_signal(quotes):
+    """H9 + H14 with the default config (use_ai): the model class per symbol as text."""
     cls = SG.model_class(SG.prob_array())
-    return last.select("symbol", F.when(cls == 1, "BULLISH").when(cls == -1, "BEARISH").otherwise("NEUTRAL").alias("signal"))
+    return FX.symbol_predictions(quotes.select("symbol")).select("symbol", class_text(cls).alias("signal"))
 
 
 def q_order_intents(spark, sf):
+    """K10-K13 over accounts x configured symbols, with or without a position."""
     prepare(spark)
-    pos = FX.positions(spark, sf)
-    book = RK.position_book(pos)
-    decisions = book.join(_orders_ai_signal(spark, sf), "symbol")
-    risk = RK.max_risk_stop(FX.accounts(spark, sf, pos), CFG)
-    quotes = B.latest_quote(B.order_ticks(spark, sf))
-    info = FX.symbol_info(B.orders_bars(spark, sf))
-    streaks = RK.loss_streaks(FX.closed_trades(spark, sf))
+    _, accounts, book, quotes, info = _account_side(spark, sf)
+    decisions = book.join(_orders_ai_signal(quotes), "symbol")
+    streaks = RK.loss_streaks(FX.closed_trades(spark, sf, "o_orderpriority"))
     cfg = RK.StrategyConfig(sl_points=20.0, tp_points=40.0)
-    return rounded(RK.order_intents(decisions, info, quotes, streaks, risk, cfg))
+    return rounded(RK.order_intents(decisions, info, quotes, streaks, RK.max_risk_stop(accounts, cfg), cfg))
 
 
 def q_reversal_intents(spark, sf):
+    """E8 + K11 + K9 by ATR over accounts x configured symbols, for one magic number."""
     prepare(spark)
-    pos = FX.positions(spark, sf)
-    last = _last_bar(FX.with_predictions(number_bars(B.orders_bars(spark, sf))).select("symbol", "n", "p_sell", "p_hold", "p_buy"))
-    sig = last.select("symbol", SG.confidence_gate(SG.prob_array(), 0.35).alias("signal"))
-    pairs = pos.select("symbol", "magic").distinct().join(sig, "symbol")
-    return RK.reversal_intents(pairs, pos)
+    pos, accounts, _, quotes, _ = _account_side(spark, sf)
+    gated = SG.confidence_gate(SG.prob_array(), 0.54)
+    sig = FX.symbol_predictions(quotes.select("symbol")).select("symbol", gated.alias("signal"))
+    pairs = RK.account_symbols(accounts, SYMBOLS).join(sig, "symbol").withColumn("magic", F.lit(1).cast("long"))
+    last = _last_bar(I.with_atr(number_bars(B.orders_bars(spark, sf))).select("symbol", "n", "close", "atr"))
+    return rounded(RK.reversal_intents(pairs, pos, last, quotes))
+
+
+def q_loss_streaks_by_supplier(spark, sf):
+    """F10/F11 over many symbols: streaks of all lengths."""
+    prepare(spark)
+    return RK.loss_streaks(FX.closed_trades(spark, sf, "l_suppkey"))
+
+
+def q_lot_size_by_supplier(spark, sf):
+    prepare(spark)
+    streaks = RK.loss_streaks(FX.closed_trades(spark, sf, "l_suppkey"))
+    return rounded(RK.lot_size(streaks, FX.symbol_info(streaks), CFG).select("symbol", "loss_streak", "lot"))
 
 
 def q_class_distribution(spark, sf):
@@ -498,6 +532,28 @@ def q_stream_trade_state(spark, sf):
     return rounded(newest.select("symbol", "s.loss_streak", "s.peak_profit", "s.n_seen"))
 
 
+#: Percent of the balance, dollars and percent of pullback that close all positions.
+CLOSE_ALL = (10.0, 250.0, 20.0)
+
+
+def q_peak_profit(spark, sf):
+    """F9 + K5: running peak of the floating profit per account and symbol, reset on close-all."""
+    prepare(spark)
+    return rounded(ST.peak_profit(FX.equity_polls(spark, sf), *CLOSE_ALL))
+
+
+def q_stream_peak_profit(spark, sf):
+    """L4: the same as keyed state over four time slices that arrive one after the other."""
+    prepare(spark)
+    polls = FX.equity_polls(spark, sf)
+    cuts = polls.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0] or []
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    bounds = [None, *cuts, None]
+    slices = [polls.filter((F.lit(True) if lo is None else at > lo) & (F.lit(True) if hi is None else at <= hi))
+              for lo, hi in zip(bounds, bounds[1:])]
+    return rounded(ST.run_slices(spark, slices, lambda s: ST.keyed_peaks(s, *CLOSE_ALL), "peaks"))
+
+
 def q_stream_indicators(spark, sf):
     """L1 → L2: closed M15 bars from the tick stream, then EMA/RSI as keyed state."""
     prepare(spark)

@@ -7,7 +7,7 @@ the data: positions from ``orders``, accounts from ``customer``, closed trades f
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.report import round_col
@@ -83,11 +83,30 @@ def accounts(spark: SparkSession, sf_dir: str, open_positions: DataFrame | None
     )
 
 
-def closed_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed-trade history from ``lineitem``; zero profits reset loss streaks."""
+def equity_polls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account polls from ``orders``: balance and floating profit of (account, symbol) at each order."""
+    o = read_table(spark, sf_dir, "orders")
+    c = read_table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account_id"), F.col("c_acctbal").alias("balance"))
+    polls = o.select(
+        F.col("o_custkey").alias("account_id"), F.col("o_orderpriority").alias("symbol"), F.col("o_orderkey").alias("poll"),
+        F.col("o_orderdate").cast("timestamp_ntz").alias("ts"),
+        round_col(F.col("o_totalprice") / F.lit(1000.0) - F.lit(150.0), 2).alias("floating_profit"),
+    )
+    return polls.join(c, "account_id")
+
+
+def closed_trades(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:
+    """Closed-trade history from ``lineitem``; zero profits reset loss streaks.
+
+    ``symbol`` names the line's column that stands for the instrument, or ``o_orderpriority``
+    for that of its order.
+    """
     li = read_table(spark, sf_dir, "lineitem")
+    if symbol == "o_orderpriority":
+        orders = read_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), symbol)
+        li = li.join(orders, "l_orderkey")
     return li.select(
-        F.col("l_returnflag").alias("symbol"),
+        F.col(symbol).cast("string").alias("symbol"),
         F.col("l_shipdate").cast("timestamp_ntz").alias("closed_at"),
         F.col("l_orderkey").alias("order_key"),
         F.col("l_linenumber").alias("line_number"),
@@ -106,8 +125,14 @@ def with_predictions(bars_numbered: DataFrame) -> DataFrame:
     return bars_numbered.withColumns({"p_sell": a / total, "p_hold": b / total, "p_buy": c / total})
 
 
-def predictions(bars_numbered: DataFrame) -> DataFrame:
-    return with_predictions(bars_numbered).select("symbol", "tf", "time", "n", "p_sell", "p_hold", "p_buy")
+def symbol_predictions(symbols: DataFrame) -> DataFrame:
+    """Stand-in for the newest model output per symbol: by its first character sell, hold or buy leads."""
+    turn = F.ascii("symbol") % 3
+
+    def lead(k: int) -> Column:
+        return F.when(turn == k, 0.6).otherwise(0.2)
+
+    return symbols.withColumns({"p_sell": lead(2), "p_hold": lead(0), "p_buy": lead(1)})
 
 
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,6 +132,89 @@ def keyed_trade_state(trades: DataFrame) -> DataFrame:
     )
 
 
+# --- F9, K5, L4: peak floating profit with reset ------------------------------------------------
+
+PEAK_OUT = ("account_id long, symbol string, poll long, floating_profit double, peak double, close_all boolean, reason string")
+
+
+class PollFold:
+    """Polls in time order to (peak, reason). ``peak`` is carried: None before the first poll.
+
+    A profit of ``percent`` of the balance or of ``dollars`` closes all before the peak is
+    looked at; else the peak rises with the profit, and a fall of ``pullback`` percent from a
+    positive peak closes all. Every close sets the peak to 0.
+    """
+
+    def __init__(self, percent: float, dollars: float, pullback: float, peak: float | None = None):
+        self.percent, self.dollars, self.pullback, self.peak = percent, dollars, pullback, peak
+
+    def __call__(self, profit: float, balance: float) -> tuple[float | None, str]:
+        reason = ""
+        if (self.percent > 0 and profit >= balance * (self.percent / 100.0)) or (self.dollars > 0 and profit >= self.dollars):
+            reason = "profit"
+        else:
+            self.peak = profit if self.peak is None or profit > self.peak else self.peak
+            if self.pullback > 0 and self.peak > 0 and (self.peak - profit) / self.peak * 100.0 >= self.pullback:
+                reason = "pullback"
+        seen = self.peak
+        if reason:
+            self.peak = 0.0
+        return seen, reason
+
+
+def _with_peaks(polls: pd.DataFrame, found: list[tuple[float | None, str]]) -> pd.DataFrame:
+    out = polls[["account_id", "symbol", "poll", "floating_profit"]].copy()
+    out["peak"] = pd.Series([p for p, _ in found], dtype=object, index=out.index)
+    out["close_all"], out["reason"] = [r != "" for _, r in found], [r for _, r in found]
+    return out
+
+
+def peak_profit(polls: DataFrame, percent: float, dollars: float, pullback: float) -> DataFrame:
+    """F9 + K5 over a poll history: keys lie sorted in their partition and stream through the fold,
+    so a long history is never held in memory."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, fold = None, None
+        for pdf in batches:
+            found = []
+            for account, symbol, profit, balance in zip(pdf["account_id"], pdf["symbol"], pdf["floating_profit"], pdf["balance"]):
+                if key != (account, symbol):
+                    key, fold = (account, symbol), PollFold(percent, dollars, pullback)
+                found.append(fold(profit, balance))
+            yield _with_peaks(pdf, found)
+
+    keys = ("account_id", "symbol")
+    return polls.repartition(*keys).sortWithinPartitions(*keys, "ts", "poll").mapInPandas(run, PEAK_OUT)
+
+
+def keyed_peaks(polls: DataFrame, percent: float, dollars: float, pullback: float) -> DataFrame:
+    """L4: the same with the peak as keyed state; polls of a micro-batch are put in time order,
+    micro-batches must follow one another in time."""
+
+    def fold(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        frames = [b for b in batches if len(b)]
+        if frames:
+            one = PollFold(percent, dollars, pullback, state.get[0] if state.exists else None)
+            rows = pd.concat(frames, ignore_index=True).sort_values(["ts", "poll"], kind="stable")
+            yield _with_peaks(rows, [one(p, b) for p, b in zip(rows["floating_profit"].tolist(), rows["balance"].tolist())])
+            state.update((one.peak,))
+
+    return polls.groupBy("account_id", "symbol").applyInPandasWithState(
+        fold, PEAK_OUT, "peak double", "append", GroupStateTimeout.NoTimeout)
+
+
+def run_slices(spark: SparkSession, slices: list[DataFrame], build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Let slices of a table arrive one after the other; each is drained before the next arrives."""
+    out = _run_dir(spark, name)
+    inbox, data = os.path.join(out, "inbox"), os.path.join(out, "data")
+    for part in slices:
+        part.write.mode("append").parquet(inbox)
+        stream = build(spark.readStream.schema(part.schema).parquet(inbox))
+        (stream.writeStream.outputMode("append").option("checkpointLocation", os.path.join(out, "chk")).format("parquet")
+         .option("path", data).trigger(availableNow=True).start().awaitTermination())
+    return spark.read.parquet(data)
+
+
 def foreach_batch(stream: DataFrame, handle: Callable[[DataFrame, int], None], name: str) -> None:
     """Run ``handle(batch_df, batch_id)`` per micro-batch (handler must be idempotent)."""
     spark = stream.sparkSession

@@ -445,10 +445,11 @@ book AS (
     count(*) AS grid_count
   FROM pos GROUP BY account_id, symbol)"""
 
-TRADES = f"""
+def trades_sql(symbol: str = "l_returnflag", source: str = "lineitem") -> str:
+    return f"""
 trades AS (
-  SELECT l_returnflag AS symbol, l_shipdate AS closed_at, l_orderkey AS order_key, l_linenumber AS line_number,
-         l_partkey AS part_key, {r2('(l_discount - 0.05) * l_extendedprice')} AS profit FROM lineitem),
+  SELECT CAST({symbol} AS VARCHAR) AS symbol, l_shipdate AS closed_at, l_orderkey AS order_key, l_linenumber AS line_number,
+         l_partkey AS part_key, {r2('(l_discount - 0.05) * l_extendedprice')} AS profit FROM {source}),
 last_ok AS (SELECT symbol, max((closed_at, order_key, line_number, part_key)) AS reset_k FROM trades
             WHERE profit >= 0 GROUP BY symbol),
 streaks AS (
@@ -457,6 +458,11 @@ streaks AS (
       AS loss_streak
   FROM trades t LEFT JOIN last_ok l ON l.symbol = t.symbol GROUP BY t.symbol)"""
 
+
+TRADES = trades_sql()
+ORDER_TRADES = trades_sql("o_orderpriority", "lineitem JOIN orders ON l_orderkey = o_orderkey")
+LOT = "round_even(least(greatest(least(0.01 * pow(1.5, CAST({0} AS DOUBLE)), 1.0), 0.01), 50.0), 2)"
+
 SQL["position_book"] = with_ctes(POSITIONS) + f"""
 SELECT account_id, symbol, n_buy, n_sell, {rnd('buy_anchor')} AS buy_anchor, {rnd('sell_anchor')} AS sell_anchor,
   grid_count FROM book"""
@@ -468,6 +474,9 @@ SELECT symbol, loss_streak,
   {rnd('round_even(least(greatest(least(0.01 * pow(1.5, CAST(loss_streak AS DOUBLE)), 1.0), 0.01), 50.0), 2)')} AS lot
 FROM streaks"""
 
+SQL["loss_streaks_by_supplier"] = with_ctes(trades_sql("l_suppkey")) + "\nSELECT symbol, n_closed, n_losses, loss_streak FROM streaks"
+SQL["lot_size_by_supplier"] = with_ctes(trades_sql("l_suppkey")) + f"\nSELECT symbol, loss_streak, {rnd(LOT.format('loss_streak'))} AS lot FROM streaks"
+
 SQL["max_risk"] = with_ctes(POSITIONS) + f"""
 SELECT account_id, {rnd('balance')} AS balance, {rnd('equity')} AS equity, {rnd('profit')} AS profit,
   {rnd('margin_free')} AS margin_free, {rnd('balance - equity')} AS floating_loss,
@@ -554,17 +563,36 @@ SELECT account_id, symbol, {rnd('fp')} AS floating_profit,
        ELSE '' END AS reason
 FROM ca"""
 
-SQL["grid_trigger"] = with_ctes(POSITIONS) + """
+# every account with every configured symbol that has a quote; written from the rules, not from a book of positions
+SLOTS = """
+slots AS (
+  SELECT a.account_id, q.symbol, a.balance, a.equity, q.bid, q.ask,
+    (SELECT count(*) FROM pos p WHERE p.account_id = a.account_id AND p.symbol = q.symbol AND p.type = 'BUY') AS n_buy,
+    (SELECT count(*) FROM pos p WHERE p.account_id = a.account_id AND p.symbol = q.symbol AND p.type = 'SELL') AS n_sell,
+    (SELECT min(price_open) FROM pos p WHERE p.account_id = a.account_id AND p.symbol = q.symbol AND p.type = 'BUY') AS low_buy,
+    (SELECT max(price_open) FROM pos p WHERE p.account_id = a.account_id AND p.symbol = q.symbol AND p.type = 'SELL') AS high_sell,
+    CASE ascii(q.symbol) % 3 WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS side
+  FROM acc a, quotes q
+  WHERE q.symbol IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW'))"""
+_G = """
 , g AS (
-  SELECT b.*, q.bid, q.ask, i.point, 'BUY' AS side, q.ask AS price, buy_anchor AS anchor, n_buy AS grid_level
-  FROM book b LEFT JOIN quotes q ON q.symbol = b.symbol LEFT JOIN oinfo i ON i.symbol = b.symbol
-  UNION ALL
-  SELECT b.*, q.bid, q.ask, i.point, 'SELL', q.bid, sell_anchor, n_sell
-  FROM book b LEFT JOIN quotes q ON q.symbol = b.symbol LEFT JOIN oinfo i ON i.symbol = b.symbol)
-SELECT account_id, symbol, side, """ + rnd("price") + " AS price, " + rnd("anchor") + " AS anchor, " + \
-    rnd("abs(price - anchor) / point") + """ AS distance_points,
-  coalesce(grid_count < 10 AND (anchor = 0 OR abs(price - anchor) / point >= 300.0), FALSE) AS open_grid, grid_level
-FROM g"""
+  SELECT *, 'BUY' AS side_, ask AS price, coalesce(low_buy, 0.0) AS anchor, n_buy AS grid_level, 1.0 AS dir FROM slots
+  UNION ALL SELECT *, 'SELL', bid, coalesce(high_sell, 0.0), n_sell, -1.0 FROM slots),
+g2 AS (SELECT *, abs(price - anchor) / 0.01 AS dist,
+              n_buy + n_sell < 10 AND (anchor = 0 OR abs(price - anchor) / 0.01 >= 300.0) AS open_grid FROM g)"""
+SQL["grid_trigger"] = with_ctes(POSITIONS, SLOTS) + _G + f"""
+SELECT account_id, symbol, side_ AS side, {rnd('price')} AS price, {rnd('anchor')} AS anchor, {rnd('dist')} AS distance_points,
+  open_grid, grid_level FROM g2"""
+
+
+def _cents(x: str) -> str:
+    return f"round_even(({x}) * pow(10.0, 2), 0) / pow(10.0, 2)"
+
+
+SQL["grid_intents"] = with_ctes(POSITIONS, SLOTS) + _G + f"""
+SELECT account_id, symbol, lower(side_) AS action, {rnd(LOT.format('grid_level'))} AS volume, {rnd('price')} AS price,
+  {rnd(_cents('price - dir * 20.0 * 0.01 * 100.0'))} AS sl, {rnd(_cents('price + dir * 40.0 * 0.01 * 100.0'))} AS tp
+FROM g2 WHERE open_grid AND balance - equity < balance * 0.1"""
 
 SQL["flagship"] = _li(ta_state(), f"""
 fl0 AS (SELECT *, CASE WHEN n >= 99 AND {IND['ema_12']} > {IND['ema_26']} THEN 1
@@ -610,31 +638,19 @@ SELECT account_id, ticket, symbol, type, {rnd('profit')} AS profit, sig AS signa
        WHEN by_signal THEN 'signal_reversal' ELSE '' END AS reason
 FROM cr2"""
 
-SQL["order_intents"] = with_ctes(ORDERS_BARS, NUMBERED, POSITIONS, TRADES) + f"""
-, pr AS (SELECT symbol, n, {PROBS} FROM nb),
-ai AS (SELECT symbol, arg_max(CASE WHEN {ARGMAX} = 1 THEN 'BULLISH' WHEN {ARGMAX} = -1 THEN 'BEARISH'
-                                   ELSE 'NEUTRAL' END, n) AS signal FROM pr GROUP BY symbol),
-dec AS (SELECT b.*, a.signal,
-          CASE WHEN a.signal = 'BULLISH' AND b.n_buy < 1 THEN 'buy'
-               WHEN a.signal = 'BEARISH' AND b.n_sell < 1 THEN 'sell' END AS act
-        FROM book b JOIN ai a ON a.symbol = b.symbol),
-oi AS (SELECT d.account_id, d.symbol, d.signal, d.act,
-          coalesce(acc.balance - acc.equity >= acc.balance * 0.1, TRUE) AS stop,
-          CASE WHEN d.act = 'buy' THEN q.ask ELSE q.bid END AS px,
-          CASE WHEN d.act = 'buy' THEN 1.0 ELSE -1.0 END AS side, i.point, i.digits,
-          round_even(least(greatest(least(0.01 * pow(1.5, CAST(coalesce(s.loss_streak, 0) AS DOUBLE)), 1.0),
-                                    i.volume_min), i.volume_max), 2) AS lot
-        FROM dec d LEFT JOIN acc ON acc.account_id = d.account_id LEFT JOIN quotes q ON q.symbol = d.symbol
-        LEFT JOIN oinfo i ON i.symbol = d.symbol LEFT JOIN streaks s ON s.symbol = d.symbol
-        WHERE d.act IS NOT NULL)
-SELECT account_id, symbol, CASE WHEN stop THEN 'close_all' ELSE act END AS action,
-  {rnd('CASE WHEN stop THEN NULL ELSE lot END')} AS volume,
-  {rnd('CASE WHEN stop THEN NULL ELSE px END')} AS price,
-  {rnd('CASE WHEN stop THEN NULL ELSE round_even((px - side * 20.0 * point * 100.0) * pow(10.0, digits), 0) / pow(10.0, digits) END')} AS sl,
-  {rnd('CASE WHEN stop THEN NULL ELSE round_even((px + side * 40.0 * point * 100.0) * pow(10.0, digits), 0) / pow(10.0, digits) END')} AS tp,
+SQL["order_intents"] = with_ctes(POSITIONS, SLOTS, ORDER_TRADES) + f"""
+, o1 AS (SELECT s.*, coalesce(t.loss_streak, 0) AS streak, balance - equity >= balance * 0.1 AS stop,
+                CASE side WHEN 1 THEN ask ELSE bid END AS px
+         FROM slots s LEFT JOIN streaks t ON t.symbol = s.symbol
+         WHERE (side = 1 AND n_buy = 0) OR (side = -1 AND n_sell = 0))
+SELECT account_id, symbol, CASE WHEN stop THEN 'close_all' WHEN side = 1 THEN 'buy' ELSE 'sell' END AS action,
+  {rnd(f"CASE WHEN NOT stop THEN {LOT.format('streak')} END")} AS volume,
+  {rnd('CASE WHEN NOT stop THEN px END')} AS price,
+  {rnd(f"CASE WHEN NOT stop THEN {_cents('px - side * 20.0 * 0.01 * 100.0')} END")} AS sl,
+  {rnd(f"CASE WHEN NOT stop THEN {_cents('px + side * 40.0 * 0.01 * 100.0')} END")} AS tp,
   CAST(0 AS BIGINT) AS magic,
-  CASE WHEN stop THEN 'risk stop' ELSE 'auto ' || signal END AS comment
-FROM oi"""
+  CASE WHEN stop THEN 'risk stop' WHEN side = 1 THEN 'auto BULLISH' ELSE 'auto BEARISH' END AS comment
+FROM o1"""
 
 
 # --- 30-column multi-timeframe set ----------------------------------------------------------
@@ -692,21 +708,48 @@ FROM fin WHERE {' AND '.join(f'{c} IS NOT NULL' for c in M25_COLS + ['h1_slope_a
 
 SQL["features_session30"] = session30_sql()
 
-SQL["reversal_intents"] = with_ctes(ORDERS_BARS, NUMBERED, POSITIONS) + f"""
-, pr AS (SELECT symbol, n, {PROBS} FROM nb),
-lastp AS (SELECT symbol, arg_max(CAST({_gate(0.35)} AS INTEGER), n) AS signal FROM pr GROUP BY symbol),
-firstp AS (SELECT symbol, magic, arg_min(type, ticket) AS t_, min(ticket) AS open_ticket FROM pos GROUP BY symbol, magic),
-pairs AS (SELECT DISTINCT symbol, magic FROM pos),
-d AS (SELECT p.symbol, p.magic, l.signal, f.open_ticket,
-        CAST(CASE WHEN f.t_ = 'BUY' THEN 1 WHEN f.t_ = 'SELL' THEN -1 ELSE 0 END AS INTEGER) AS current_side
-      FROM pairs p JOIN lastp l ON l.symbol = p.symbol
-      LEFT JOIN firstp f ON f.symbol = p.symbol AND f.magic = p.magic),
-flips AS (SELECT * FROM d WHERE signal <> 0 AND signal <> current_side)
-SELECT symbol, magic, signal, current_side, open_ticket, CAST(0 AS INTEGER) AS step,
-       CASE WHEN current_side <> 0 THEN 'close' ELSE 'open' END AS action FROM flips
-UNION ALL
-SELECT symbol, magic, signal, current_side, open_ticket, CAST(1 AS INTEGER) AS step, 'open' AS action FROM flips
-WHERE current_side <> 0"""
+SQL["reversal_intents"] = with_ctes(ORDERS_BARS, NUMBERED, ta_state(), POSITIONS, SLOTS) + f"""
+, lastbar AS (SELECT symbol, arg_max(close, n) AS c, arg_max({IND['atr']}, n) AS atr FROM ta GROUP BY symbol),
+held AS (SELECT account_id, symbol, arg_min(type, ticket) AS t_, arg_min(volume, ticket) AS v_, min(ticket) AS open_ticket
+         FROM pos WHERE magic = 1 GROUP BY account_id, symbol),
+f AS (SELECT s.account_id, s.symbol, s.side, s.bid, s.ask, h.v_, h.open_ticket, l.c, l.atr,
+             CAST(CASE h.t_ WHEN 'BUY' THEN 1 WHEN 'SELL' THEN -1 ELSE 0 END AS INTEGER) AS cur
+      FROM slots s LEFT JOIN held h ON h.account_id = s.account_id AND h.symbol = s.symbol
+      JOIN lastbar l ON l.symbol = s.symbol),
+r AS (SELECT * FROM f WHERE side <> 0 AND side <> cur),
+u AS (
+  SELECT *, 0 AS step, 'close' AS action, CASE cur WHEN 1 THEN 'SELL' ELSE 'BUY' END AS side_, v_ AS volume,
+         CASE cur WHEN 1 THEN bid ELSE ask END AS price, CAST(NULL AS DOUBLE) AS sl,
+         CAST(NULL AS DOUBLE) AS tp FROM r WHERE cur <> 0
+  UNION ALL
+  SELECT *, CASE WHEN cur = 0 THEN 0 ELSE 1 END, 'open', CASE side WHEN 1 THEN 'BUY' ELSE 'SELL' END, 0.01, c,
+         c - side * atr * 2.0, c + side * atr * 3.0 FROM r)
+SELECT account_id, symbol, CAST(1 AS BIGINT) AS magic, CAST(side AS INTEGER) AS signal, cur AS current_side, open_ticket,
+  CAST(step AS INTEGER) AS step, action, side_ AS side, {rnd('volume')} AS volume, {rnd('price')} AS price,
+  {rnd('sl')} AS sl, {rnd('tp')} AS tp FROM u"""
+
+# polls of (account, symbol) one after the other; a close sets the peak back to 0
+PEAKS = f"""
+polls AS (
+  SELECT o_custkey AS account_id, o_orderpriority AS symbol, o_orderkey AS poll, c_acctbal AS balance,
+    {r2('o_totalprice / 1000.0 - 150.0')} AS fp,
+    row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS k
+  FROM orders JOIN customer ON c_custkey = o_custkey),
+walk AS (
+  SELECT account_id, symbol, poll, k, fp, CAST(NULL AS DOUBLE) AS seen, CAST('' AS VARCHAR) AS reason, CAST(NULL AS DOUBLE) AS carried
+  FROM (SELECT account_id, symbol, NULL::BIGINT AS poll, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS fp FROM polls GROUP BY account_id, symbol)
+  UNION ALL
+  SELECT account_id, symbol, poll, k, fp, seen, reason, CASE WHEN reason = '' THEN seen ELSE CAST(0 AS DOUBLE) END FROM (
+    SELECT *, CASE WHEN by_level THEN 'profit'
+                   WHEN seen > 0 AND (seen - fp) / seen * 100.0 >= 20.0 THEN 'pullback' ELSE '' END AS reason
+    FROM (SELECT p.account_id, p.symbol, p.poll, p.k, p.fp, p.fp >= p.balance * 0.1 OR p.fp >= 250.0 AS by_level,
+                 CASE WHEN p.fp >= p.balance * 0.1 OR p.fp >= 250.0 THEN w.carried
+                      WHEN w.carried IS NULL OR p.fp > w.carried THEN p.fp ELSE w.carried END AS seen
+          FROM walk w JOIN polls p ON p.account_id = w.account_id AND p.symbol = w.symbol AND p.k = w.k + 1)))"""
+SQL["peak_profit"] = with_ctes(PEAKS) + f"""
+SELECT account_id, symbol, poll, {rnd('fp')} AS floating_profit, {rnd('seen')} AS peak, reason <> '' AS close_all, reason
+FROM walk WHERE k > 0"""
+SQL["stream_peak_profit"] = SQL["peak_profit"]
 
 SQL["stream_trade_state"] = with_ctes(TRADES) + f"""
 SELECT s.symbol, s.loss_streak, {rnd('greatest(0.0, m.mx)')} AS peak_profit, s.n_closed AS n_seen
