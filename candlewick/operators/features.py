@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..session import cut_lineage
 from . import indicators as I
 from . import labels as L
 from . import recurrence
@@ -93,7 +92,6 @@ def dynamic_barrier_features(
     with_label: bool = True,
     atr_scope: str = "trimmed",
     keys: Sequence[str] = KEYS,
-    materialize: bool = True,
 ) -> DataFrame:
     """Feature sets ``v11`` (V11.2) and ``v10`` (V10.1) with their G1 label.
 
@@ -188,7 +186,7 @@ def dynamic_barrier_features(
     if with_label:
         select += [F.col("label"), F.col("label_valid")]
     out_df = df.filter(F.col("n") >= first_row).select(*select).na.drop(subset=names)
-    return cut_lineage(out_df) if materialize else out_df
+    return out_df
 
 
 def momentum25_features(
@@ -198,7 +196,6 @@ def momentum25_features(
     horizon: int = 5,
     threshold: float = 0.002,
     keys: Sequence[str] = KEYS,
-    materialize: bool = True,
     label: str = "horizon",
     session: bool = False,
 ) -> DataFrame:
@@ -310,7 +307,7 @@ def momentum25_features(
     if with_label:
         select += [F.col("label"), F.col("label_valid")]
     out_df = df.select(*select).na.drop(subset=names)
-    return cut_lineage(out_df) if materialize else out_df
+    return out_df
 
 
 def higher_timeframe_inputs(h1_bars: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -352,8 +349,7 @@ def higher_timeframe_inputs(h1_bars: DataFrame, keys: Sequence[str] = KEYS) -> D
 
 
 def session30_features(m15_bars: DataFrame, h1_bars: DataFrame, *, with_label: bool = True,
-                       tolerance_seconds: int = 900, keys: Sequence[str] = KEYS,
-                       materialize: bool = True) -> DataFrame:
+                       tolerance_seconds: int = 900, keys: Sequence[str] = KEYS) -> DataFrame:
     """D17-D21 + the 30-column model set with the triple-barrier label.
 
     Higher-timeframe inputs join backward as-of within ``tolerance_seconds`` (E1); rows
@@ -362,8 +358,7 @@ def session30_features(m15_bars: DataFrame, h1_bars: DataFrame, *, with_label: b
     """
     from .joins import asof_backward
 
-    base = momentum25_features(m15_bars, with_label=with_label, label="triple", session=True, keys=keys,
-                               materialize=False)
+    base = momentum25_features(m15_bars, with_label=with_label, label="triple", session=True, keys=keys)
     htf = higher_timeframe_inputs(h1_bars, keys)
     j = asof_backward(base, htf, tolerance_seconds=tolerance_seconds, left_key=[*keys, "time"])
     c = F.col("close")
@@ -387,7 +382,7 @@ def session30_features(m15_bars: DataFrame, h1_bars: DataFrame, *, with_label: b
     if with_label:
         cols += ["label", "label_valid"]
     out = out.select(*cols)
-    return cut_lineage(out) if materialize else out
+    return out
 
 
 def simple4_features(bars: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -18,8 +18,8 @@ from ..operators import ml as ML
 from ..operators import recurrence
 from ..operators import risk as RK
 from ..operators import signals as SG
-from ..operators.series import number_bars, rolling
-from ..session import prepare
+from ..operators.series import KEYS, number_bars, number_rows, rolling
+from ..session import cut_lineage, prepare
 from ..sources import bars as B
 from ..sources import fixtures as FX
 from ..streaming import bars_stream as ST
@@ -236,8 +236,14 @@ def q_model_signal_gates(spark, sf):
 # --- I1/J: backtests ----------------------------------------------------------------------------
 
 
+def _feature_rows(spark, sf, feature_set, columns):
+    """Labelled feature rows with the asked-for columns only, written once for what reads them again."""
+    feats = FE.build_features(_li(spark, sf), feature_set).filter(F.col("label_valid"))
+    return cut_lineage(feats.select(*BAR_COLS, "close", "label", *columns), "feature_rows")
+
+
 def _v11_test_frame(spark, sf, threshold=0.54):
-    feats = FE.build_features(_li(spark, sf), "v11").filter(F.col("label_valid"))
+    feats = _feature_rows(spark, sf, "v11", ["slope_20", "adx"])
     split = BT.chronological_split(feats)
     probs = SG.prob_array()
     test = FX.with_predictions(split).filter(F.col("t").isNotNull())
@@ -258,7 +264,7 @@ def q_backtest_summary(spark, sf):
 
 
 def _m25_test_frame(spark, sf, threshold=None):
-    feats = FE.build_features(_li(spark, sf), "momentum25")
+    feats = cut_lineage(FE.build_features(_li(spark, sf), "momentum25").select(*BAR_COLS, "high", "low", "close"), "feature_rows")
     split = BT.chronological_split(feats)
     probs = SG.prob_array()
     test = FX.with_predictions(split).filter(F.col("t").isNotNull())
@@ -495,7 +501,7 @@ def q_flagship(spark, sf):
 
 def q_ml_ensemble_v11(spark, sf):
     """Train on the chronological head, score the test tail (pooled model)."""
-    feats = FE.build_features(_li(spark, sf), "v11").filter(F.col("label_valid"))
+    feats = _feature_rows(spark, sf, "v11", FE.V11_COLUMNS)
     split = BT.chronological_split(feats)
     train = ML.balanced_weights(split.filter(F.col("t").isNull()))
     model = ML.fit_ensemble(train, FE.V11_COLUMNS, ML.EnsembleParams(rf_trees=20, gbt_iter=8))
@@ -520,8 +526,6 @@ def q_stream_bars_m15(spark, sf):
 
 def q_stream_trade_state(spark, sf):
     """L3/L4: per-symbol loss streak and peak profit kept as keyed streaming state."""
-    from ..session import cut_lineage
-
     prepare(spark)
     trades = cut_lineage(FX.closed_trades(spark, sf), "closed_trades")
     files = trades.inputFiles()
@@ -582,11 +586,11 @@ def q_asof_trend_h1_to_m15(spark, sf):
 def q_strategy_decisions(spark, sf):
     """H14 + E7: rule strategy per bar (sideways → NEUTRAL, else the trend-gated combined
     signal) for the configured symbols only."""
-    df = SG.strategy_signals(_li(spark, sf))
+    prepare(spark)
+    bars = RK.restrict_symbols(B.lineitem_bars(spark, sf), RK.configured_symbols(spark, "A, R"))
     cfg = RK.StrategyConfig(use_ai=False, use_bb_ma_macd=False, use_trend_filter=True)
     decision = SG.choose_strategy(cfg.use_ai, cfg.use_bb_ma_macd, cfg.use_trend_filter)
-    picked = RK.restrict_symbols(df, RK.configured_symbols(spark, "A, R"))
-    return picked.select(*BAR_COLS, decision.alias("decision"))
+    return SG.strategy_signals(number_bars(bars)).select(*BAR_COLS, decision.alias("decision"))
 
 
 def _file_stream(spark, sf, table):
@@ -623,9 +627,9 @@ def q_stream_model_scores(spark, sf):
     """A saved V11 model scores the test-tail feature rows as they stream in."""
     import os
 
-    from ..session import cut_lineage, ensure_checkpoint_dir
+    from ..session import ensure_checkpoint_dir
 
-    feats = FE.build_features(_li(spark, sf), "v11").filter(F.col("label_valid"))
+    feats = _feature_rows(spark, sf, "v11", FE.V11_COLUMNS)
     split = BT.chronological_split(feats)
     model = ML.fit_ensemble(ML.balanced_weights(split.filter(F.col("t").isNull())), FE.V11_COLUMNS,
                             ML.EnsembleParams(rf_trees=10, gbt_iter=5))
@@ -649,8 +653,10 @@ def q_stream_model_scores(spark, sf):
 def q_model_signal_veto(spark, sf):
     """H10 + H12: stand-in model class gated at 0.45, vetoed to 0 when volatility exceeds twice
     its 20-row mean on the feature rows (momentum set)."""
-    feats = FE.build_features(_li(spark, sf), "momentum25")
-    df = rolling(feats, lambda w: [("volatility_mean20", I.sma("volatility", 20, w))], back=19)
+    feats = FE.build_features(_li(spark, sf), "momentum25").select(*BAR_COLS, "volatility")
+    # incomplete rows are gone: frames count the rows that are left
+    rows = number_rows(cut_lineage(feats, "feature_rows"), KEYS, "n")
+    df = rolling(rows, lambda w: [("volatility_mean20", I.sma("volatility", 20, w))], back=19, idx="m")
     gated = SG.confidence_gate(SG.prob_array(), 0.45)
     df = FX.with_predictions(df)
     return rounded(df.select(*BAR_COLS, "volatility", "volatility_mean20", gated.alias("gated"),
@@ -658,18 +664,9 @@ def q_model_signal_veto(spark, sf):
 
 
 def q_bars_by_timeframe_code(spark, sf):
-    """A2 + A3: event bars for several timeframe codes; an unknown code falls back to H1."""
-    from ..operators.series import timeframe_seconds
-
+    """A2 + A3: event bars for several timeframe codes in one scan; an unknown code falls back to H1."""
     prepare(spark)
     ticks = B.events_ticks(spark, sf).select("symbol", "ts", F.col("bid").alias("price"))
-    parts = []
-    for code in ("M5", "M30", "H4", "X7"):
-        size = timeframe_seconds(code)
-        bars = B.ticks_to_bars(ticks, "H1" if code == "X7" else code)
-        parts.append(bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"), F.sum("tick_volume").alias("n_ticks"))
-                     .select(F.lit(code).alias("code"), F.lit(size).alias("bar_seconds"), "symbol", "n_bars", "n_ticks"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    coded = ticks.withColumn("code", F.explode(F.array(*[F.lit(c) for c in ("M5", "M30", "H4", "X7")])))
+    bars = B.bars_by_code(coded)
+    return bars.groupBy("code", "bar_seconds", "symbol").agg(F.count(F.lit(1)).alias("n_bars"), F.sum("tick_volume").alias("n_ticks"))

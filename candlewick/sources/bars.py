@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.series import epoch_seconds, number_bars, timeframe_seconds
+from ..operators.series import epoch_seconds, number_bars, timeframe_seconds, timeframe_seconds_col
 from .tables import read_table
 
 BAR_COLUMNS = ("symbol", "tf", "time", "open", "high", "low", "close", "tick_volume")
@@ -64,6 +64,16 @@ def ticks_to_bars(
     )
 
 
+def bars_by_code(ticks: DataFrame, order: Sequence[str] = ("ts", "price")) -> DataFrame:
+    """A2 + A3 with the timeframe code as a column ``code``: its own bars for every row's code."""
+    size = timeframe_seconds_col(F.col("code"))
+    start = F.timestamp_seconds(F.floor(epoch_seconds(F.col("ts")) / size) * size).cast("timestamp_ntz")
+    rows = ticks.select("code", size.alias("bar_seconds"), "symbol", start.alias("time"), "price", order_key(order).alias("_o"))
+    return rows.groupBy("code", "bar_seconds", "symbol", "time").agg(
+        F.min_by("price", "_o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
+        F.max_by("price", "_o").alias("close"), F.count(F.lit(1)).alias("tick_volume"))
+
+
 def rollup_bars(bars: DataFrame, tf: str) -> DataFrame:
     """A3 bar-to-bar: coarser bars from finer ones (first open, last close by time)."""
     return (

@@ -805,7 +805,7 @@ FROM v1"""
 
 def _code_bars(code: str, seconds: int) -> str:
     return f"""
-SELECT '{code}' AS code, {seconds} AS bar_seconds, symbol, count(*) AS n_bars, CAST(sum(c) AS BIGINT) AS n_ticks FROM (
+SELECT '{code}' AS code, CAST({seconds} AS BIGINT) AS bar_seconds, symbol, count(*) AS n_bars, CAST(sum(c) AS BIGINT) AS n_ticks FROM (
   SELECT event_type AS symbol, {bucket('ts', seconds)} AS t, count(*) AS c FROM events GROUP BY event_type, t)
 GROUP BY symbol"""
 

@@ -17,7 +17,7 @@ def _windows(plan: str):
 
 
 def test_feature_pipeline_windows_are_blocked(spark):
-    df = FE.build_features(number_bars(lineitem_bars(spark, SF_SMALL)), "v11", materialize=False)
+    df = FE.build_features(number_bars(lineitem_bars(spark, SF_SMALL)), "v11")
     plan = df._jdf.queryExecution().executedPlan().toString()
     seen = 0
     for parts in _windows(plan):
