@@ -10,16 +10,19 @@ import json
 import os
 import random
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import argmax_class
 from ..operators.metrics import classification_report
+from ..session import cut_lineage
 from .series import number_rows
 
 MIN_TRAIN_ROWS = 100
@@ -53,7 +56,7 @@ def explicit_weights(df: DataFrame, weights: dict[int, float] = EXPLICIT_CLASS_W
 
 @dataclass
 class EnsembleParams:
-    """I3/I4/I8 sizes; reference presets are larger (300-500 trees)."""
+    """I3/I4/I8 sizes; the defaults are quick, ``REFERENCE_PARAMS`` has the full sizes."""
 
     rf_trees: int = 30
     rf_depth: int = 8
@@ -62,65 +65,87 @@ class EnsembleParams:
     gbt_depth: int = 4
     gbt_step: float = 0.05
     subsample: float = 0.8
+    feature_subset: str = "all"
     seed: int = 42
-    extra: dict = field(default_factory=dict)
 
 
-def _prep(features: Sequence[str]) -> list:
-    return [
+# Model sizes and search sizes (draws, folds) of the original training runs.
+REFERENCE_PARAMS = EnsembleParams(rf_trees=500, rf_depth=12, gbt_iter=300, gbt_depth=6)
+REFERENCE_SEARCH = {"gpu": (20, 5), "dev": (15, 5)}
+
+
+def preparation(train: DataFrame, features: Sequence[str]) -> PipelineModel:
+    """Ordered features as one vector, standardised by the training rows' mean and deviation."""
+    return Pipeline(stages=[
         VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="error"),
         StandardScaler(inputCol="_raw", outputCol="features", withMean=True, withStd=True),
-    ]
+    ]).fit(train)
+
+
+def scaler_table(prep: PipelineModel, features: Sequence[str]) -> DataFrame:
+    """feature, mean and sample deviation of the fitted preparation, one row per feature."""
+    from pyspark.sql import SparkSession
+
+    scaler = prep.stages[-1]
+    rows = [(f, float(m), float(d)) for f, m, d in zip(features, scaler.mean.toArray(), scaler.std.toArray())]
+    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, mean double, std double")
+
+
+def soft_vote(forest: Column, boosted: Sequence[Column]) -> Column:
+    """Mean of the forest's probabilities and the normalised one-vs-rest scores."""
+    total = boosted[0] + boosted[1] + boosted[2]
+    share = [F.when(total > 0, x / total).otherwise(F.lit(1.0 / 3)) for x in boosted]
+    return F.array(*[(forest[i] + share[i]) / F.lit(2.0) for i in range(3)])
 
 
 @dataclass
 class Ensemble:
-    """Soft-vote bundle: random forest + one-vs-rest boosted trees."""
+    """Soft-vote bundle: one preparation, random forest + one-vs-rest boosted trees."""
 
-    rf: PipelineModel
-    gbts: list[PipelineModel]
+    prep: PipelineModel
+    rf: RandomForestClassificationModel
+    gbts: list[GBTClassificationModel]
     features: list[str]
     prob_threshold: float | None = None
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """I5 + I10: mean of RF probabilities and normalised one-vs-rest GBT scores."""
-        rf = self.rf.transform(df).withColumn("_p_rf", vector_to_array("probability")).drop(
-            "_raw", "features", "rawPrediction", "probability", "prediction")
-        scored = rf
+        """I5 + I10: adds ``probs`` and ``pred``."""
+        spare = ("rawPrediction", "probability", "prediction")
+        scored = self.rf.transform(self.prep.transform(df)).withColumn("_p_rf", vector_to_array("probability")).drop(*spare)
         for i, m in enumerate(self.gbts):
-            scored = m.transform(scored).withColumn(f"_g{i}", vector_to_array("probability")[1]).drop(
-                "_raw", "features", "rawPrediction", "probability", "prediction")
-        g = [F.col(f"_g{i}") for i in range(3)]
-        gsum = g[0] + g[1] + g[2]
-        gbt = [F.when(gsum > 0, x / gsum).otherwise(F.lit(1.0 / 3)) for x in g]
-        probs = F.array(*[(F.col("_p_rf")[i] + gbt[i]) / F.lit(2.0) for i in range(3)])
-        out = scored.withColumn("probs", probs)
-        out = out.withColumn("pred", F.element_at(F.array(F.lit(-1), F.lit(0), F.lit(1)),
-                                                  F.array_position("probs", F.array_max("probs")).cast("int")))
-        return out.drop("_p_rf", *[f"_g{i}" for i in range(3)])
+            scored = m.transform(scored).withColumn(f"_g{i}", vector_to_array("probability")[1]).drop(*spare)
+        out = scored.withColumn("probs", soft_vote(F.col("_p_rf"), [F.col(f"_g{i}") for i in range(3)]))
+        out = out.withColumn("pred", argmax_class("probs"))
+        return out.drop("_raw", "features", "_p_rf", *[f"_g{i}" for i in range(3)])
 
 
 def fit_ensemble(train: DataFrame, features: Sequence[str], params: EnsembleParams | None = None,
                  weight_col: str | None = "weight") -> Ensemble | None:
-    """I12 guard, then fit the scaler+RF pipeline and three binary GBT pipelines."""
+    """I12 guard, then one preparation and, on its written rows, the forest and three binary boosted models."""
     p = params or EnsembleParams()
     if train.limit(MIN_TRAIN_ROWS).count() < MIN_TRAIN_ROWS:
         return None
-    data = train.withColumn("_y", label_index())
+    prep = preparation(train, features)
+    weighted = bool(weight_col and weight_col in train.columns)
+    data = prep.transform(train).withColumn("_y", label_index())
+    data = cut_lineage(data.select("features", "label", "_y", *([weight_col] if weighted else [])), "train_rows")
     rf = RandomForestClassifier(
         labelCol="_y", featuresCol="features", numTrees=p.rf_trees, maxDepth=p.rf_depth,
         minInstancesPerNode=p.rf_min_leaf, seed=p.seed, subsamplingRate=1.0,
     )
-    if weight_col and weight_col in train.columns:
+    if weighted:
         rf.setWeightCol(weight_col)
-    rf_model = Pipeline(stages=[*_prep(features), rf]).fit(data)
     gbts = []
     for cls in (-1, 0, 1):
-        y = (F.col("label") == cls).cast("double")
-        gbt = GBTClassifier(labelCol="_yb", featuresCol="features", maxIter=p.gbt_iter, maxDepth=p.gbt_depth,
-                            stepSize=p.gbt_step, subsamplingRate=p.subsample, seed=p.seed)
-        gbts.append(Pipeline(stages=[*_prep(features), gbt]).fit(data.withColumn("_yb", y)))
-    return Ensemble(rf_model, gbts, list(features))
+        gbt = GBTClassifier(labelCol="_yb", featuresCol="features", maxIter=p.gbt_iter, maxDepth=p.gbt_depth, stepSize=p.gbt_step,
+                            subsamplingRate=p.subsample, featureSubsetStrategy=p.feature_subset, seed=p.seed)
+        gbts.append(gbt.fit(data.withColumn("_yb", (F.col("label") == cls).cast("double"))))
+    return Ensemble(prep, rf.fit(data), gbts, list(features))
+
+
+def fit_per_symbol(train: DataFrame, features: Sequence[str], symbols: Sequence[str], params: EnsembleParams | None = None) -> dict[str, Ensemble | None]:
+    """I12 per symbol: a model for every configured symbol, None for one with too few rows."""
+    return {s: fit_ensemble(balanced_weights(train.filter(F.col("symbol") == s)), features, params) for s in symbols}
 
 
 def expanding_folds(df: DataFrame, n_folds: int = 5, keys=("symbol", "tf"), order: str = "n") -> DataFrame:
@@ -132,10 +157,13 @@ def expanding_folds(df: DataFrame, n_folds: int = 5, keys=("symbol", "tf"), orde
 
 
 def random_search(train: DataFrame, features: Sequence[str], grid: dict[str, list], draws: int = 4,
-                  n_folds: int = 3, seed: int = 42) -> tuple[dict, list[tuple[dict, float]]]:
-    """Sampled parameter maps × expanding-window folds, scored by macro-F1, best refit."""
+                  n_folds: int = 3, seed: int = 42) -> tuple[dict, list[tuple[dict, float]], Ensemble | None]:
+    """Sampled parameter maps × expanding-window folds, scored by macro-F1; the best map refitted on all rows.
+
+    ``REFERENCE_SEARCH`` has the original numbers of draws and folds.
+    """
     rng = random.Random(seed)
-    folds = expanding_folds(train, n_folds)
+    folds = cut_lineage(expanding_folds(train, n_folds), "folds")
     scores = []
     for _ in range(draws):
         choice = {k: rng.choice(v) for k, v in grid.items()}
@@ -152,39 +180,43 @@ def random_search(train: DataFrame, features: Sequence[str], grid: dict[str, lis
             f1s.append(rep["macro_f1"])
         scores.append((choice, sum(f1s) / len(f1s) if f1s else 0.0))
     best = max(scores, key=lambda s: s[1])[0]
-    return best, scores
+    return best, scores, fit_ensemble(train, features, EnsembleParams(**best), weight_col=None)
 
 
 def feature_importances(model: Ensemble) -> list[tuple[str, float]]:
     """RF importances, descending."""
-    imp = model.rf.stages[-1].featureImportances.toArray()
+    imp = model.rf.featureImportances.toArray()
     return sorted(zip(model.features, map(float, imp)), key=lambda x: -x[1])
 
 
 def save_bundle(model: Ensemble, base: str, symbol: str) -> str:
-    """One folder per symbol: RF/GBT pipelines + metadata JSON (ordered features)."""
+    """One folder per symbol: preparation, RF and GBT models + metadata JSON (ordered features)."""
+    from pyspark.sql import SparkSession
+
     path = os.path.join(base, f"symbol={symbol}")
+    model.prep.write().overwrite().save(os.path.join(path, "prep"))
     model.rf.write().overwrite().save(os.path.join(path, "rf"))
     for i, g in enumerate(model.gbts):
         g.write().overwrite().save(os.path.join(path, f"gbt{i}"))
     meta = {"feature_names": model.features, "prob_threshold": model.prob_threshold}
-    from pyspark.sql import SparkSession
-
     ss = SparkSession.getActiveSession()
+    # written last: a bundle without it counts as not trained
     ss.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").text(os.path.join(path, "meta"))
     return path
 
 
 def load_bundle(base: str, symbol: str) -> Ensemble | None:
-    """Missing bundle → None (untrained); optional keys default."""
+    """Missing bundle → None (untrained); optional keys default. Other read failures are raised."""
     from pyspark.sql import SparkSession
 
     path = os.path.join(base, f"symbol={symbol}")
-    ss = SparkSession.getActiveSession()
     try:
-        rf = PipelineModel.load(os.path.join(path, "rf"))
-        gbts = [PipelineModel.load(os.path.join(path, f"gbt{i}")) for i in range(3)]
-        meta = json.loads(ss.read.text(os.path.join(path, "meta")).first()[0])
-    except Exception:  # noqa: BLE001 - a missing or partial bundle means "not trained"
+        meta = json.loads(SparkSession.getActiveSession().read.text(os.path.join(path, "meta")).first()[0])
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
-    return Ensemble(rf, gbts, meta.get("feature_names", []), meta.get("prob_threshold"))
+    return Ensemble(
+        PipelineModel.load(os.path.join(path, "prep")), RandomForestClassificationModel.load(os.path.join(path, "rf")),
+        [GBTClassificationModel.load(os.path.join(path, f"gbt{i}")) for i in range(3)],
+        meta.get("feature_names", []), meta.get("prob_threshold"))

@@ -100,6 +100,7 @@ def bb_ma_macd(ma="ema_2", mid="bb_middle", macd="macd4", hist="macd4_hist") ->
     buy = F.coalesce((pm <= pb) & (m > b) & ((mc < h) | (mc < ph)), F.lit(False))
     sell = F.coalesce((pm >= pb) & (m < b) & ((mc > h) | (mc > ph)), F.lit(False))
     sig = F.when(buy, F.lit(BULL)).when(sell, F.lit(BEAR)).otherwise(F.lit(NEUTRAL))
+    # The reason texts
     reason = (
         F.when(buy, F.lit("MA>BB_mid, MACD<Hist"))
         .when(sell, F.lit("MA<BB_mid, MACD>Hist"))
@@ -179,6 +180,12 @@ def choose_strategy(use_ai: bool, use_bb: bool, use_trend: bool,
     return F.when(F.col(side), F.lit(NEUTRAL)).otherwise(rule)
 
 
+def choose_by_symbol(strategy: Column, use_trend: bool = True, ai="ai_signal", bb="bb_signal") -> Column:
+    """H14 with the strategy as a column of a per-symbol configuration: ``ai``, ``bb`` or the rules."""
+    rules = choose_strategy(False, False, use_trend)
+    return F.when(strategy == "ai", F.col(ai)).when(strategy == "bb", F.col(bb)).otherwise(rules)
+
+
 # --- model-driven signals ------------------------------------------------------------------
 
 

@@ -215,6 +215,20 @@ def q_strategy_signals(spark, sf):
     ))
 
 
+#: Strategy per symbol of the walks.
+WALK_STRATEGIES = {"W0": "ai", "W1": "bb", "W2": "rules"}
+
+
+def q_signals_walk(spark, sf):
+    """H1-H8, H13 and H14 by symbol on price walks, where trends, ranges and crossings all occur."""
+    prepare(spark)
+    df = FX.with_predictions(SG.strategy_signals(number_bars(B.walk_bars(spark, sf))))
+    df = df.withColumn("ai_signal", class_text(SG.model_class(SG.prob_array())))
+    strategy = F.create_map(*[F.lit(x) for pair in WALK_STRATEGIES.items() for x in pair])[F.col("symbol")]
+    return df.select(*BAR_COLS, "macd_state", "ema_signal", "rsi_signal", "bb_signal", "trend", "sideways", "macd_zero",
+                     "combined", "trend_combined", SG.choose_by_symbol(strategy).alias("decision"))
+
+
 def q_model_signal_gates(spark, sf):
     """H9-H11 on V11 features with the deterministic probability stand-in."""
     feats = FE.build_features(_li(spark, sf), "v11", with_label=False)
@@ -347,6 +361,23 @@ def q_close_rules(spark, sf):
     return rounded(RK.close_rules(FX.positions(spark, sf), _orders_signal(spark, sf), CFG))
 
 
+def q_close_rules_walk(spark, sf):
+    """K6 + K7 on positions with small profits, so that the signal's rule is reached as well."""
+    prepare(spark)
+    pos = FX.positions(spark, sf).withColumn("profit", (F.col("ticket") % 61 - 30).cast("double"))
+    signals = _orders_ai_signal(B.latest_quote(B.order_ticks(spark, sf)))
+    return rounded(RK.close_rules(pos, signals, CFG))
+
+
+def q_atr_trailing_walk(spark, sf):
+    """K4 on positions whose stops lie on both sides of the price."""
+    prepare(spark)
+    near = F.col("price_current") * (F.lit(1.0) + (F.col("ticket") % 13 - 6).cast("double") / F.lit(3.0))
+    pos = FX.positions(spark, sf).withColumn("sl", near)
+    bars = I.with_atr(number_bars(B.orders_bars(spark, sf)))
+    return rounded(RK.atr_trailing(pos, _last_bar(bars.select("symbol", "n", "close", "atr"))))
+
+
 #: The configured symbols of the order queries; the last one has no quote and no information.
 SYMBOLS = "1-URGENT, 2-HIGH, 3-MEDIUM, 4-NOT SPECIFIED, 5-LOW, 9-UNLISTED"
 
@@ -514,6 +545,22 @@ def q_ml_ensemble_v11(spark, sf):
                          *[F.col("probs")[i].alias(n) for i, n in enumerate(("p_sell", "p_hold", "p_buy"))])
 
 
+def _v11_train(spark, sf):
+    split = BT.chronological_split(_feature_rows(spark, sf, "v11", FE.V11_COLUMNS))
+    return split.filter(F.col("t").isNull())
+
+
+def q_ml_class_weights(spark, sf):
+    """I1 + I4: balanced class weights of the training rows."""
+    train = ML.balanced_weights(_v11_train(spark, sf))
+    return rounded(train.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"), F.min("weight").alias("weight")))
+
+
+def q_ml_scaler_v11(spark, sf):
+    """I2 + F12: mean and deviation of every feature, read from the fitted preparation."""
+    return rounded(ML.scaler_table(ML.preparation(_v11_train(spark, sf), FE.V11_COLUMNS), FE.V11_COLUMNS))
+
+
 # --- L: streaming ----------------------------------------------------------------------------
 
 

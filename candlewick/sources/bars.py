@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.series import epoch_seconds, number_bars, timeframe_seconds, timeframe_seconds_col
+from ..operators.series import epoch_seconds, number_bars, prefix_scan, timeframe_seconds, timeframe_seconds_col
 from .tables import read_table
 
 BAR_COLUMNS = ("symbol", "tf", "time", "open", "high", "low", "close", "tick_volume")
@@ -131,6 +131,29 @@ def tape_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ticks_to_bars(ticks, "M1", order=["l_linenumber", "l_partkey", "price"])
 
 
+# Start and step of the price walks.
+WALK_START, WALK_STEP = 1.1, 0.00001
+
+
+def walk_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three M1 price walks: an order is a minute, its lines' discounts above or below 5 % are up or down steps."""
+    li = read_table(spark, sf_dir, "lineitem")
+    minutes = li.groupBy("l_orderkey").agg(
+        F.sum(F.round(F.col("l_discount") * 100).cast("long") - 5).alias("step"), F.count(F.lit(1)).alias("tick_volume"))
+    rows = minutes.select(
+        F.concat(F.lit("W"), F.col("l_orderkey") % 3).alias("symbol"), F.lit("M1").alias("tf"),
+        F.timestamp_seconds(F.lit(946_684_800) + F.col("l_orderkey") * 60).cast("timestamp_ntz").alias("time"), "step", "tick_volume")
+    walked = prefix_scan(number_bars(rows), [("step", "sum", "level")])
+
+    def price(steps: Column) -> Column:
+        return F.lit(WALK_START) + steps.cast("double") * F.lit(WALK_STEP)
+
+    before, after = F.col("level") - F.col("step"), F.col("level")
+    return walked.select(
+        "symbol", "tf", "time", price(before).alias("open"), price(F.greatest(before, after) + F.col("tick_volume")).alias("high"),
+        price(F.least(before, after) - F.col("tick_volume")).alias("low"), price(after).alias("close"), "tick_volume")
+
+
 def events_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tick table from ``events`` (symbol, ts, bid, ask, size)."""
     e = read_table(spark, sf_dir, "events")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from oracles import (
-    IND, ftxt, LINEITEM_BARS, NUMBERED, ORDERS_BARS, TAPE_BARS, bucket, events_bars, lag, lead, masked_agg, rnd, sma,
+    IND, ftxt, LINEITEM_BARS, NUMBERED, ORDERS_BARS, TAPE_BARS, WALK_BARS, bucket, events_bars, lag, lead, masked_agg, rnd, sma,
     ta_state, tdiv, trailing, with_ctes,
 )
 
@@ -300,6 +300,15 @@ def _gate(th: float) -> str:
     return f"CASE WHEN greatest(p_sell, p_hold, p_buy) >= {th} THEN {ARGMAX} ELSE 0 END"
 
 
+SQL["signals_walk"] = with_ctes(WALK_BARS, NUMBERED, _signals_cte()) + f"""
+, pr AS (SELECT *, {PROBS} FROM sig),
+g AS (SELECT *, CASE WHEN trend = 'BULLISH' AND combined = 'BULLISH' THEN 'BULLISH'
+                     WHEN trend = 'BEARISH' AND combined = 'BEARISH' THEN 'BEARISH' ELSE 'NEUTRAL' END AS trend_combined,
+             CASE {ARGMAX} WHEN 1 THEN 'BULLISH' WHEN -1 THEN 'BEARISH' ELSE 'NEUTRAL' END AS ai FROM pr)
+SELECT {KEYCOLS}, macd_state, ema_signal, rsi_signal, bb_signal, trend, sideways, macd_zero, combined, trend_combined,
+  CASE symbol WHEN 'W0' THEN ai WHEN 'W1' THEN bb_signal ELSE CASE WHEN sideways THEN 'NEUTRAL' ELSE trend_combined END END AS decision
+FROM g"""
+
 LIMIT = "CASE WHEN adx > 25 THEN 0.00012 ELSE 0.00006 END"
 
 SQL["model_signal_gates"] = _li(barrier_ctes("v11")) + f"""
@@ -627,6 +636,17 @@ at1 AS (SELECT *, coalesce(CASE WHEN type = 'BUY' THEN nsl > sl + atr * 0.2
                                 ELSE sl = 0 OR nsl < sl - atr * 0.2 END, FALSE) AS mv FROM at0)
 SELECT account_id, ticket, symbol, type, {rnd('CASE WHEN mv THEN nsl END')} AS new_sl, mv AS move_sl FROM at1"""
 
+SQL["atr_trailing_walk"] = SQL["atr_trailing"].replace(
+    "FROM pos p LEFT JOIN lastbar", "FROM (SELECT * REPLACE (price_current * (1.0 + (ticket % 13 - 6)::DOUBLE / 3.0) AS sl) FROM pos) p LEFT JOIN lastbar")
+SQL["close_rules_walk"] = with_ctes(POSITIONS) + f"""
+, cr AS (SELECT * REPLACE (CAST(ticket % 61 - 30 AS DOUBLE) AS profit),
+                CASE ascii(symbol) % 3 WHEN 1 THEN 'BULLISH' WHEN 2 THEN 'BEARISH' ELSE 'NEUTRAL' END AS sig FROM pos)
+SELECT account_id, ticket, symbol, type, {rnd('profit')} AS profit, sig AS signal,
+  profit >= 10 OR profit <= -20 OR (profit > 0 AND ((type = 'BUY' AND sig = 'BEARISH') OR (type = 'SELL' AND sig = 'BULLISH'))) AS close,
+  CASE WHEN profit >= 10 THEN 'take_profit' WHEN profit <= -20 THEN 'stop_loss'
+       WHEN profit > 0 AND ((type = 'BUY' AND sig = 'BEARISH') OR (type = 'SELL' AND sig = 'BULLISH')) THEN 'signal_reversal'
+       ELSE '' END AS reason FROM cr"""
+
 SQL["close_rules"] = with_ctes(ORDERS_BARS, NUMBERED, _signals_cte(), POSITIONS) + f"""
 , lastsig AS (SELECT symbol, arg_max(combined, n) AS sig FROM sig GROUP BY symbol),
 cr AS (SELECT p.*, l.sig, (profit >= 10.0 OR profit <= -20.0) AS by_level FROM pos p
@@ -728,6 +748,15 @@ SELECT account_id, symbol, CAST(1 AS BIGINT) AS magic, CAST(side AS INTEGER) AS
   CAST(step AS INTEGER) AS step, action, side_ AS side, {rnd('volume')} AS volume, {rnd('price')} AS price,
   {rnd('sl')} AS sl, {rnd('tp')} AS tp FROM u"""
 
+SQL["ml_class_weights"] = _li(barrier_ctes("v11"), f"""
+x0 AS (SELECT *, row_number() OVER (PARTITION BY symbol, tf ORDER BY n) - 1 AS m,
+              count(*) OVER (PARTITION BY symbol, tf) AS rows_ FROM feat WHERE {V11_OK}),
+train AS (SELECT * FROM x0 WHERE m < floor(rows_ * 0.8))""") + f"""
+SELECT label, count(*) AS n_rows, {rnd('(SELECT count(*) FROM train) / (3.0 * count(*))')} AS weight FROM train GROUP BY label"""
+SQL["ml_scaler_v11"] = SQL["ml_class_weights"].split("\nSELECT label, count(*)")[0] + "\n" + "\nUNION ALL\n".join(
+    f"SELECT '{c}' AS feature, {rnd(f'avg(CAST({c} AS DOUBLE))')} AS mean, {rnd(f'stddev_samp(CAST({c} AS DOUBLE))')} AS std FROM train"
+    for c in V11_COLS)
+
 # polls of (account, symbol) one after the other; a close sets the peak back to 0
 PEAKS = f"""
 polls AS (

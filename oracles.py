@@ -69,6 +69,19 @@ bars AS (
   FROM tape GROUP BY {bucket('ts', 60)})"""
 
 
+WALK_BARS = f"""
+minutes AS (SELECT l_orderkey, sum(CAST(round(l_discount * 100) AS BIGINT) - 5) AS step, count(*) AS tick_volume
+            FROM lineitem GROUP BY l_orderkey),
+levels AS (SELECT 'W' || (l_orderkey % 3) AS symbol, 'M1' AS tf,
+             make_timestamp(CAST((946684800 + l_orderkey * 60) * 1000000 AS BIGINT)) AS time, step, tick_volume,
+             sum(step) OVER (PARTITION BY l_orderkey % 3 ORDER BY l_orderkey) AS level FROM minutes),
+bars AS (
+  SELECT symbol, tf, time, 1.1 + CAST(level - step AS DOUBLE) * 0.00001 AS open,
+         1.1 + CAST(greatest(level - step, level) + tick_volume AS DOUBLE) * 0.00001 AS high,
+         1.1 + CAST(least(level - step, level) - tick_volume AS DOUBLE) * 0.00001 AS low,
+         1.1 + CAST(level AS DOUBLE) * 0.00001 AS close, tick_volume FROM levels)"""
+
+
 def events_bars(tf: str, seconds: int, name: str = "bars") -> str:
     return f"""
 {name} AS (

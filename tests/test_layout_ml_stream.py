@@ -35,7 +35,7 @@ def test_recurrences_inside_small_layout_blocks(spark, monkeypatch):
             assert math.isclose(d, exp[k] - exp[k - 1], rel_tol=1e-9, abs_tol=1e-9)
 
 
-def test_packed_order_key_matches_struct(spark):
+def test_order_key_breaks_ties_in_order(spark):
     rows = [("a", f"2020-01-01 0{h}:00:00", k, ln, p, float(k * 10 + ln)) for h in range(3)
             for k, ln, p in [(5, 2, 9), (5, 1, 7), (3, 4, 1), (3, 4, 0)]]
     ticks = spark.createDataFrame(rows, "symbol string, t string, k long, ln int, p long, price double").select(
@@ -62,6 +62,45 @@ def test_bundle_round_trip_and_predict(spark):
     assert ML.load_bundle(base, "missing") is None
     imp = ML.feature_importances(model)
     assert [c for c, _ in imp] and imp[0][1] >= imp[-1][1]
+    assert math.isclose(sum(w for _, w in imp), 1.0, rel_tol=1e-9)
+    # H9: the fitted model's class leads to signals and metrics
+    scored = model.predict(feats)
+    right = scored.filter(F.col("pred") == F.col("label")).count() / scored.count()
+    assert right > 0.9
+    assert {r[0] for r in scored.select(F.round(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x), 6)).distinct().collect()} == {1.0}
+
+
+def test_soft_vote_normalises_one_vs_rest(spark):
+    df = spark.createDataFrame([([0.2, 0.3, 0.5], 0.1, 0.3, 0.6), ([1.0, 0.0, 0.0], 0.0, 0.0, 0.0)], "f array<double>, a double, b double, c double")
+    got = [r[0] for r in df.select(ML.soft_vote(F.col("f"), [F.col("a"), F.col("b"), F.col("c")])).collect()]
+    assert all(math.isclose(x, y) for x, y in zip(got[0], (0.15, 0.3, 0.55)))
+    assert all(math.isclose(x, y) for x, y in zip(got[1], (2 / 3, 1 / 6, 1 / 6)))
+
+
+def test_models_per_symbol_and_guard(spark):
+    feats = FX.with_predictions(I.numbered(B.lineitem_bars(spark, SF_SMALL))).withColumn("label", (F.col("n") % 3).cast("int") - 1)
+    few = feats.filter((F.col("symbol") != "R") | (F.col("n") < 50))
+    models = ML.fit_per_symbol(few, ["p_sell", "p_buy"], ["A", "R", "Z"], ML.EnsembleParams(rf_trees=2, gbt_iter=1))
+    assert models["A"] is not None and models["R"] is None and models["Z"] is None
+
+
+def test_streams_read_files_and_folders_alike(spark, tmp_path):
+    for t in ("events", "orders", "lineitem", "customer"):
+        table = spark.read.parquet(f"{SF_SMALL}/{t}.parquet")
+        if t != "events":
+            table.repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+            continue
+        # a stream's files arrive in time order: later rows than the watermark allows are dropped
+        times = [r.ts for r in table.select("ts").orderBy("ts").collect()]
+        low, high = times[len(times) // 3], times[2 * len(times) // 3]
+        for part in (F.col("ts") <= low, (F.col("ts") > low) & (F.col("ts") <= high), F.col("ts") > high):
+            table.filter(part).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{t}.parquet")
+    from candlewick.plans import catalog
+
+    for q in (catalog.q_stream_bars_m15, catalog.q_stream_indicators):
+        assert sorted(map(str, q(spark, str(tmp_path)).collect())) == sorted(map(str, q(spark, SF_SMALL).collect()))
+    rows = catalog.q_stream_position_decisions(spark, str(tmp_path)).groupBy("batch_id").count().collect()
+    assert len(rows) == 3 and len({r["count"] for r in rows}) == 1
 
 
 def test_keyed_state_stream_equals_batch(spark):
@@ -85,7 +124,8 @@ def test_random_search_expanding_folds(spark):
     feats = FX.with_predictions(I.numbered(B.lineitem_bars(spark, SF_SMALL))).withColumn(
         "label", F.when(F.col("p_buy") > F.col("p_sell"), 1).when(F.col("p_sell") > F.col("p_buy"), -1).otherwise(0))
     grid = {"rf_trees": [3, 5], "rf_depth": [3], "gbt_iter": [2], "gbt_depth": [2]}
-    best, scores = ML.random_search(feats, ["p_sell", "p_hold", "p_buy"], grid, draws=2, n_folds=2)
+    best, scores, model = ML.random_search(feats, ["p_sell", "p_hold", "p_buy"], grid, draws=2, n_folds=2)
+    assert model.rf.getNumTrees == best["rf_trees"]
     assert set(best) == set(grid) and len(scores) == 2
     assert all(0.0 <= s <= 1.0 for _, s in scores)
 
