@@ -34,9 +34,8 @@ from candlewick.llm.common import map_documents
 
 #: Fixed value: pieces are split by this pattern before merging (also in public_tokenizers.PATTERN).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Kept pieces and transitions per task; beyond, the tables are emptied and grow anew.
-MAX_PIECES = 1_000_000
-MAX_TRANSITIONS = 2_000_000
+#: Kept pieces and transitions per task (some 150 MB); beyond, the tables are emptied and grow anew.
+TABLES = (400_000, 300_000)
 NEVER = 1 << 62
 #: Bits of a token id in a packed number; bytes between two emissions of a long piece.
 LOW, EMIT = 24, 4096
@@ -52,8 +51,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Pieces of bytes to token ids; see the module's text."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], most: int = TABLES[1]):
+        self.ranks, self.most = ranks, most
         self.token = {i: t for t, i in ranks.items()}
         # the tokens' trie, node 0 being the empty span: a span that leaves it can't grow into a token
         self.child: dict[int, int] = {}
@@ -70,7 +69,6 @@ class Transducer:
                     self.inner.append(False)
                     self.depth.append(self.depth[key >> 8] + 1)
             self.ends[node] = i
-        self.pairs: dict[int, bool] = {}
         self.edges: dict[int, list[tuple[bytes, int]] | None] = {}
         self.reset()
 
@@ -79,7 +77,9 @@ class Transducer:
         # trie node << LOW | token before it + 1
         self.states: list[tuple[int, ...]] = [(0,)]
         self.number = {(0,): 0}
-        self.steps: dict[int, tuple[int, int] | None] = {}
+        # state << 8 | byte to next state << LOW | token that ends here, -1: no single way on
+        self.steps: dict[int, int] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """Plain merging of the lowest-ranked neighbours, leftmost first."""
@@ -154,8 +154,8 @@ class Transducer:
             else:
                 j += 1
 
-    def step(self, state: int, byte: int) -> tuple[int, int] | None:
-        """Make the transition: next state and the token ending here, None if there is not exactly one way."""
+    def step(self, state: int, byte: int) -> int:
+        """Make the transition: next state and the token ending here, -1 if there is not exactly one way."""
         child, ends, inner, pairs = self.child, self.ends, self.inner, self.pairs
         found, live = None, []
         for span in self.states[state]:
@@ -168,19 +168,19 @@ class Transducer:
                 ok = pairs.get(token << LOW | last)
                 if ok or ok is None and self.follows(last - 1, token):
                     if found is not None:
-                        return None
+                        return -1
                     found = token
             if inner[node]:
                 live.append(node << LOW | last)
         if found is None:
-            return None
+            return -1
         live.append(found + 1)
         new = tuple(live)
         number = self.number.get(new)
         if number is None:
             number = self.number[new] = len(self.states)
             self.states.append(new)
-        return number, found
+        return number << LOW | found
 
     def way(self, ending: list[int], at: int, stop: int) -> list[int]:
         """Tokens from ``stop`` to ``at``, read backwards over the token ending at each position."""
@@ -194,20 +194,20 @@ class Transducer:
         known = self.ranks.get(piece)
         if known is not None:
             return [known]
-        if len(self.steps) > MAX_TRANSITIONS:
+        if len(self.steps) > self.most:
             self.reset()
         out: list[int] = []
         ending: list[int] = []  # the token that ends at each byte since the last emission
         state, steps = 0, self.steps
         for byte in piece:
             key = state << 8 | byte
-            go = steps.get(key, 0)
-            if go == 0:
-                go = steps[key] = self.step(state, byte)
+            go = steps.get(key)
             if go is None:
+                go = steps[key] = self.step(state, byte)
+            if go < 0:
                 return self.merged(piece)
-            state, token = go
-            ending.append(token)
+            state = go >> LOW
+            ending.append(go & MASK)
             if not len(ending) % EMIT:
                 done = self.agreed(ending, state)
                 out += done
@@ -229,14 +229,14 @@ class Transducer:
 class Pieces(dict):
     """Piece of text to its ids as little-endian unsigned 32-bit integers; made on first use."""
 
-    def __init__(self, transducer: Transducer):
-        self.transducer = transducer
+    def __init__(self, transducer: Transducer, most: int = TABLES[0]):
+        self.transducer, self.most = transducer, most
 
     def __missing__(self, piece: str) -> bytes:
         ids = array("I", self.transducer.encode(piece.encode()))
         if ids.itemsize != 4:  # pragma: no cover
             raise TypeError("32-bit integers expected")
-        if len(self) >= MAX_PIECES:
+        if len(self) >= self.most:
             self.clear()
         self[piece] = found = ids.tobytes()
         return found
@@ -245,12 +245,12 @@ class Pieces(dict):
 class Encoder:
     """Texts to ids: splits by a pattern, then the transducer on each piece."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN, tables: tuple[int, int] = TABLES):
         import regex
 
         self.split = regex.compile(pattern).findall
-        self.transducer = Transducer(ranks)
-        self.pieces = Pieces(self.transducer)
+        self.transducer = Transducer(ranks, tables[1])
+        self.pieces = Pieces(self.transducer, tables[0])
 
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -351,13 +351,16 @@ def decode_documents(encoded: DataFrame, ranks_path: str, keep: tuple[str, ...]
     return map_documents(encoded.select(*keep, "ids"), f"{schema}, text string", factory)
 
 
-def token_digests(docs: DataFrame, ranks_path: str, pattern: str = PATTERN) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; ids are made and decoded in one pass."""
+def token_digests(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, tables: tuple[int, int] = TABLES) -> DataFrame:
+    """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; ids are made and decoded in one pass.
+
+    Smaller ``tables`` (kept pieces, kept transitions) take less memory and more time.
+    """
 
     def factory():
         gc.set_threshold(1_000_000)  # the tables are large and hold no cycles
         ranks = load_ranks(ranks_path)
-        encoder, decoder = Encoder(ranks, pattern), Decoder(ranks)
+        encoder, decoder = Encoder(ranks, pattern, tables), Decoder(ranks)
 
         def apply(doc_id, texts):
             n, ids_sha, text_sha = [], [], []

@@ -43,7 +43,8 @@ from candlewick.llm.components import components
 K, PICKED, SAMPLES_PER_BAND, BANDS = 5, 3, 2, 36
 SIMILAR = 0.8
 SEED = 20_240
-MAX_WORDS = 1_000_000
+#: Kept words per task; beyond, the table is emptied and grows anew.
+MAX_WORDS = 150_000
 
 
 class WordHash(dict):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import map_documents
+from candlewick.llm.common import map_documents, release_memory
 from candlewick.llm.docstats import COUNTS, FEATURES, MAX_LABELLED, Statistics, labelled
 
 #: Features that may only lower a score as they grow.
@@ -178,5 +178,7 @@ def keep(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: floa
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 yield part.filter(pa.array(rules(part.column(at).to_pylist())["kept"]))
+        batch = part = None
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import map_documents, scratch_path, written
+from candlewick.llm.common import map_documents, release_memory, scratch_path, written
 
 #: Fixed value: appended to every document.
 END_ID = 1
@@ -263,6 +263,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
                         yield pa.RecordBatch.from_pydict({"file": [file]})
         if file := writer.end_file():
             yield pa.RecordBatch.from_pydict({"file": [file]})
+        ids = writer = batch = None
+        release_memory()
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(text, F.lit("")).alias("t"))
     # a task's table of known pieces pays off with the text it sees
