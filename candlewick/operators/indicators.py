@@ -140,6 +140,19 @@ def ema_rec(name: str, x, p: int, start: int = 0, idx: str = "n") -> Recurrence:
     return smoothed_rec(name, x, p, 2.0 / (p + 1), start, idx)
 
 
+def ema_history(col: str, p: int, history: int, w) -> Column:
+    """C2 over the newest ``history`` bars only: seeded by their first ``p`` bars, null before ``history`` bars.
+
+    A fixed number of bars makes it a weighted sum of the frame, oldest first.
+    """
+    keep = 1.0 - 2.0 / (p + 1)
+    weights = [keep ** (history - p) / p] * p + [(1.0 - keep) * keep ** (history - 1 - i) for i in range(p, history)]
+    frame = w.rowsBetween(-(history - 1), 0)
+    terms = F.zip_with(F.collect_list(col).over(frame), F.array(*[F.lit(x) for x in weights]), lambda x, a: x * a)
+    value = F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    return F.when(F.count(col).over(frame) == F.lit(history), value)
+
+
 def wilder_rec(name: str, x, p: int, start: int = 0, idx: str = "n") -> Recurrence:
     """Wilder smoothing (RSI, ATR): alpha = 1/p, SMA seed."""
     return smoothed_rec(name, x, p, 1.0 / p, start, idx)

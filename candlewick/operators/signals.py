@@ -209,6 +209,10 @@ def slope_limit(adx="adx") -> Column:
     return F.when(F.col(adx) > 25, F.lit(0.00012)).otherwise(F.lit(0.00006))
 
 
+# Fixed value: the slope limit of the V10.1 backtest.
+V10_SLOPE_LIMIT = 0.0001
+
+
 def slope_gate_backtest(sig: Column, slope="slope_20", limit: Column | None = None) -> Column:
     """H11 (backtest form): zero a signal that goes against a slope beyond ±limit."""
     lim = slope_limit() if limit is None else limit

@@ -94,6 +94,14 @@ def q_ind_ema(spark, sf):
     return rounded(df.select(*BAR_COLS, *cols))
 
 
+def q_ind_ema_history(spark, sf):
+    """C2 as a poll of a fixed number of bars computes it: EMA(200) of 200 bars, EMA(12) and EMA(26) of 60."""
+    df = rolling(_li(spark, sf), lambda w: [
+        ("ema_200_of_200", I.ema_history("close", 200, 200, w)), ("ema_12_of_60", I.ema_history("close", 12, 60, w)),
+        ("ema_26_of_60", I.ema_history("close", 26, 60, w))], back=199)
+    return rounded(df.select(*BAR_COLS, "ema_200_of_200", "ema_12_of_60", "ema_26_of_60"))
+
+
 def q_ind_bbands(spark, sf):
     df = I.with_bbands(_li(spark, sf))
     return rounded(df.select(*BAR_COLS, "bb_upper", "bb_middle", "bb_lower"))
@@ -271,6 +279,45 @@ def q_backtest_bar_to_bar(spark, sf):
     return rounded(curve.select(*BAR_COLS, "t", "prediction", "signal", "ret", "cost", "strat_ret", "equity", "equity_bh"))
 
 
+def q_backtest_v10(spark, sf):
+    """J1 with the V10.1 settings: confidence 0.52, fixed slope limit."""
+    split = BT.chronological_split(_feature_rows(spark, sf, "v10", ["slope_30"]))
+    test = FX.with_predictions(split).filter(F.col("t").isNotNull())
+    test = test.withColumn("prediction", SG.confidence_gate(SG.prob_array(), 0.52))
+    gated = SG.slope_gate_backtest(F.col("prediction"), slope="slope_30", limit=F.lit(SG.V10_SLOPE_LIMIT))
+    curve = BT.equity_curves(BT.bar_to_bar(test.withColumn("signal", gated)))
+    return rounded(curve.select(*BAR_COLS, "t", "prediction", "signal", "ret", "cost", "strat_ret", "equity", "equity_bh"))
+
+
+def q_backtest_tables(spark, sf):
+    """A backtest written as tables and read back."""
+    import os
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import sinks
+
+    curve = BT.equity_curves(BT.bar_to_bar(_v11_test_frame(spark, sf)))
+    base = os.path.join(ensure_checkpoint_dir(spark), "backtests", os.urandom(8).hex())
+    paths = sinks.write_backtest(curve, base, "v11")
+    read = spark.read.parquet(paths["equity"])
+    return rounded(read.select("symbol", "tf", "time", "t", "ret", "strat_ret", "equity", "equity_bh", F.col("run_id").cast("string")))
+
+
+def q_log_written(spark, sf):
+    """Log lines appended day by day and read back, lines by level."""
+    import os
+
+    from ..session import ensure_checkpoint_dir
+    from ..sources import sinks
+
+    prepare(spark)
+    path = os.path.join(ensure_checkpoint_dir(spark), "logs", os.urandom(8).hex())
+    lines = FX.event_log(spark, sf)
+    for level in ("success", "error", "info"):
+        sinks.append_log(lines.filter(F.col("level") == level), path)
+    return spark.read.parquet(path).groupBy("date", "level").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
 def q_backtest_summary(spark, sf):
     test = _v11_test_frame(spark, sf)
     res = BT.summary(BT.bar_to_bar(test), test, signal="prediction")

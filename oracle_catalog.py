@@ -41,6 +41,18 @@ FROM events GROUP BY event_type"""
 SQL["ind_sma"] = _li() + f"\nSELECT {KEYCOLS}, " + ", ".join(
     f"{rnd(sma('close', p))} AS sma_{p}" for p in (10, 30, 200)) + " FROM nb"
 SQL["ind_ema"] = _ta_query({f"ema_{p}": IND[f"ema_{p}"] for p in (2, 9, 12, 21, 26, 200)})
+def _ema_of(p: int, h: int) -> str:
+    """EMA over the newest ``h`` bars, term by term: the first ``p`` bars' mean decayed, then each later bar."""
+    keep = 1.0 - 2.0 / (p + 1)
+    frame = f"OVER (PARTITION BY symbol, tf ORDER BY n ROWS BETWEEN {h - 1} PRECEDING AND CURRENT ROW)"
+    value = (f"list_sum(list_transform(list(close) {frame}, lambda x, i: x * CASE WHEN i <= {p} THEN {keep ** (h - p) / p!r} "
+             f"ELSE {1.0 - keep!r} * pow({keep!r}, CAST({h} - i AS DOUBLE)) END))")
+    return f"CASE WHEN n >= {h - 1} THEN {value} END"
+
+
+SQL["ind_ema_history"] = _li() + f"""
+SELECT {KEYCOLS}, {rnd('a')} AS ema_200_of_200, {rnd('b')} AS ema_12_of_60, {rnd('c')} AS ema_26_of_60
+FROM (SELECT *, {_ema_of(200, 200)} AS a, {_ema_of(12, 60)} AS b, {_ema_of(26, 60)} AS c FROM nb)"""
 SQL["ind_bbands"] = _li() + f"""
 SELECT {KEYCOLS},
   {rnd(sma('close', 20) + ' + 2.0 * ' + masked_agg('stddev_pop(close)', 'close', 20))} AS bb_upper,
@@ -365,6 +377,16 @@ SQL["backtest_bar_to_bar"] = _li(barrier_ctes("v11"), _split("feat", V11_OK), B2
 SELECT {KEYCOLS}, t, prediction, signal, {rnd('ret')} AS ret, {rnd('cost')} AS cost, {rnd('strat_ret')} AS strat_ret,
   {rnd('equity')} AS equity, {rnd('equity_bh')} AS equity_bh FROM eq"""
 
+V10_OK = "label_valid AND " + " AND ".join(f"{c} IS NOT NULL" for c in V10_COLS)
+B2B_V10 = B2B.replace(_gate(0.54), _gate(0.52)).replace("slope_20", "slope_30").replace(f"({LIMIT})", "(0.0001)").replace(f"> {LIMIT}", "> 0.0001")
+SQL["backtest_v10"] = _li(barrier_ctes("v10"), _split("feat", V10_OK), B2B_V10, _equity("b4")) + f"""
+SELECT {KEYCOLS}, t, prediction, signal, {rnd('ret')} AS ret, {rnd('cost')} AS cost, {rnd('strat_ret')} AS strat_ret,
+  {rnd('equity')} AS equity, {rnd('equity_bh')} AS equity_bh FROM eq"""
+SQL["backtest_tables"] = f"SELECT symbol, tf, time, t, ret, strat_ret, equity, equity_bh, 'v11' AS run_id FROM ({SQL['backtest_bar_to_bar']})"
+SQL["log_written"] = """
+SELECT CAST(ts AS DATE) AS date, CASE WHEN event_type = 'purchase' THEN 'success' WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level,
+  count(*) AS n_lines FROM events GROUP BY ALL"""
+
 SQL["backtest_summary"] = _li(barrier_ctes("v11"), _split("feat", V11_OK), B2B) + f"""
 , perf AS (SELECT symbol, tf, product(1.0 + strat_ret) - 1.0 AS strategy_return,
                   product(1.0 + ret) - 1.0 AS buy_hold_return, count(*) AS n_returns FROM b4 GROUP BY symbol, tf),
