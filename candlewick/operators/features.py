@@ -63,7 +63,6 @@ FEATURE_SETS = {
     "session30": SESSION30_COLUMNS,
 }
 
-EPS9 = 1e-9
 EPS10 = 1e-10
 
 
@@ -160,26 +159,26 @@ def dynamic_barrier_features(
     rng = F.col("high") - F.col("low")
     out = {
         "adx": F.col("adx"),
-        "sqz_idx": band / (F.col("_atr") + F.lit(EPS9)),
+        "sqz_idx": S.guarded_ratio(band, "_atr"),
         "rsi_14": F.col("rsi_14"),
         "mfi": F.col("mfi"),
-        "macd_hist": F.col("_macd_hist") / (c + F.lit(EPS9)),
-        "price_in_bb": (c - F.col("_bb_lo")) / (band + F.lit(EPS9)),
-        "dist_sma_200": (c - F.col("_sma200")) / (F.col("_sma200") + F.lit(EPS9)),
+        "macd_hist": S.guarded_ratio("_macd_hist", c),
+        "price_in_bb": S.guarded_ratio(c - F.col("_bb_lo"), band),
+        "dist_sma_200": S.guarded_ratio(c - F.col("_sma200"), "_sma200"),
         "natr": I.natr_value(F.col("_atr"), c),
         "hour": F.hour(F.col("time")),
         "market_active": S.market_active(F.hour(F.col("time"))),
     }
     if v11:
-        out["slope_20"] = F.col("_slope") / (c + F.lit(EPS9))
-        out["atr_ratio"] = F.try_divide(F.col("_atr"), F.col("_atr_sma50"))
-        out["dist_sma_20"] = (c - F.col("_bb_mid")) / (F.col("_bb_mid") + F.lit(EPS9))
-        out["body_size"] = (c - F.col("open")) / (rng + F.lit(EPS9))
-        out["upper_wick"] = (F.col("high") - F.greatest(c, F.col("open"))) / (rng + F.lit(EPS9))
+        out["slope_20"] = S.guarded_ratio("_slope", c)
+        out["atr_ratio"] = S.ratio("_atr", "_atr_sma50")
+        out["dist_sma_20"] = S.guarded_ratio(c - F.col("_bb_mid"), "_bb_mid")
+        out["body_size"] = S.guarded_ratio(c - F.col("open"), rng)
+        out["upper_wick"] = S.guarded_ratio(F.col("high") - F.greatest(c, F.col("open")), rng)
         names = V11_COLUMNS
     else:
-        out["slope_30"] = F.try_divide(F.col("_slope"), c)
-        out["body_size"] = F.abs(c - F.col("open")) / (rng + F.lit(EPS9))
+        out["slope_30"] = S.ratio("_slope", c)
+        out["body_size"] = S.guarded_ratio(F.abs(c - F.col("open")), rng)
         names = V10_COLUMNS
     select = [*keys, "time", "n", "open", "high", "low", "close", "tick_volume"]
     select += [out[name].alias(name) for name in names]
@@ -370,10 +369,10 @@ def session30_features(m15_bars: DataFrame, h1_bars: DataFrame, *, with_label: b
         "price_to_ema200_h1": F.coalesce(F.try_divide(c - F.col("r_h1_ema200"), c) * F.lit(100.0), F.lit(0.0)),
         "htf_slope": h1_slope,
         "h1_macd": F.coalesce(F.try_divide(F.col("r_h1_macd"), c) * F.lit(1000.0), F.lit(0.0)),
-        "h1_rsi": F.coalesce(F.col("r_h1_rsi"), F.lit(HTF_DEFAULTS["h1_rsi"])),
-        "h1_rsi_slope": F.coalesce(F.col("r_h1_rsi_slope"), F.lit(0.0)),
-        "h1_adx": F.coalesce(F.col("r_h1_adx"), F.lit(HTF_DEFAULTS["h1_adx"])),
-        "h1_adx_slope": F.coalesce(F.col("r_h1_adx_slope"), F.lit(0.0)),
+        "h1_rsi": S.fill_default("r_h1_rsi", HTF_DEFAULTS["h1_rsi"]),
+        "h1_rsi_slope": S.fill_default("r_h1_rsi_slope", 0.0),
+        "h1_adx": S.fill_default("r_h1_adx", HTF_DEFAULTS["h1_adx"]),
+        "h1_adx_slope": S.fill_default("r_h1_adx_slope", 0.0),
         "h1_trend": h1_trend,
         "m15_trend": m15_trend,
         "trend_alignment": F.when(h1_trend == m15_trend, F.lit(1.0)).otherwise(F.lit(-1.0)),

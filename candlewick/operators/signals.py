@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import decimal_text
+from ..functions.scalar import argmax_class, decimal_text
 from . import indicators as I
 from . import recurrence
 from .series import KEYS, SeriesFrame, number_bars
@@ -168,6 +168,14 @@ def strategy_signals(bars: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return df.withColumn("combined", combined()).withColumn("trend_combined", trend_gated())
 
 
+def trend_signals(bars: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """H5 alone: only the EMA200 is computed."""
+    df = bars if "n" in bars.columns else number_bars(bars, keys)
+    df = recurrence.run(df, [I.ema_rec("ema_200", "close", 200)], keys=keys)
+    trend, reason = trend_ema200()
+    return df.withColumns({"trend": trend, "trend_reason": reason}).drop("ema_200")
+
+
 def choose_strategy(use_ai: bool, use_bb: bool, use_trend: bool,
                     ai="ai_signal", bb="bb_signal", comb="combined", gated="trend_combined",
                     side="sideways") -> Column:
@@ -195,8 +203,7 @@ def prob_array(p_sell="p_sell", p_hold="p_hold", p_buy="p_buy") -> Column:
 
 def model_class(probs: Column) -> Column:
     """Class (-1, 0, 1) of the first maximum."""
-    pos = F.array_position(probs, F.array_max(probs))
-    return F.element_at(F.array(F.lit(-1), F.lit(0), F.lit(1)), pos.cast("int"))
+    return argmax_class(probs)
 
 
 def confidence_gate(probs: Column, threshold: float) -> Column:

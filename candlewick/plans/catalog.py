@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import class_text
+from ..functions.scalar import class_text, clock_text, money_text, pl_sign
 from ..operators import backtest as BT
 from ..operators import features as FE
 from ..operators import indicators as I
@@ -618,16 +618,31 @@ def q_stream_bars_m15(spark, sf):
     return rounded(bars)
 
 
+def _time_slices(df, ts):
+    """Four slices of a table that follow one another in time."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    cuts = df.select(F.percentile_approx(at, [0.25, 0.5, 0.75])).first()[0] or []
+    bounds = [None, *cuts, None]
+    return [df.filter((F.lit(True) if lo is None else at > lo) & (F.lit(True) if hi is None else at <= hi))
+            for lo, hi in zip(bounds, bounds[1:])]
+
+
 def q_stream_trade_state(spark, sf):
-    """L3/L4: per-symbol loss streak and peak profit kept as keyed streaming state."""
+    """L3: per-symbol loss streak as keyed streaming state, over slices that arrive in time order."""
     prepare(spark)
-    trades = cut_lineage(FX.closed_trades(spark, sf), "closed_trades")
-    files = trades.inputFiles()
-    folder = files[0].rsplit("/", 1)[0] if files else None
-    stream = spark.readStream.schema(trades.schema).parquet(folder)
-    out = ST.run_to_table(spark, ST.keyed_trade_state(stream), "trade_state", mode="update")
-    newest = out.groupBy("symbol").agg(F.max_by(F.struct("loss_streak", "peak_profit", "n_seen"), "batch").alias("s"))
-    return rounded(newest.select("symbol", "s.loss_streak", "s.peak_profit", "s.n_seen"))
+    slices = _time_slices(FX.closed_trades(spark, sf, "l_suppkey"), "closed_at")
+    out = ST.run_slices(spark, slices, ST.keyed_trade_state, "trade_state")
+    newest = out.groupBy("symbol").agg(F.max("n_seen").alias("n_seen"), F.max_by("loss_streak", "n_seen").alias("loss_streak"))
+    return newest.select("symbol", "loss_streak", "n_seen")
+
+
+def q_trade_texts(spark, sf):
+    """B13 + B18: money and clock texts and the sign of every closed trade's result."""
+    prepare(spark)
+    trades = FX.closed_trades(spark, sf)
+    return trades.select("order_key", "line_number", "part_key", pl_sign("profit").alias("sign"),
+                         money_text("profit").alias("profit_text"),
+                         clock_text(F.col("closed_at") + F.make_dt_interval(secs=F.col("order_key") % 86_400)).alias("clock"))
 
 
 #: Percent of the balance, dollars and percent of pullback that close all positions.
@@ -644,11 +659,7 @@ def q_stream_peak_profit(spark, sf):
     """L4: the same as keyed state over four time slices that arrive one after the other."""
     prepare(spark)
     polls = FX.equity_polls(spark, sf)
-    cuts = polls.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.25, 0.5, 0.75])).first()[0] or []
-    at = F.unix_micros(F.col("ts").cast("timestamp"))
-    bounds = [None, *cuts, None]
-    slices = [polls.filter((F.lit(True) if lo is None else at > lo) & (F.lit(True) if hi is None else at <= hi))
-              for lo, hi in zip(bounds, bounds[1:])]
+    slices = _time_slices(polls, "ts")
     return rounded(ST.run_slices(spark, slices, lambda s: ST.keyed_peaks(s, *CLOSE_ALL), "peaks"))
 
 
@@ -666,7 +677,7 @@ def q_asof_trend_h1_to_m15(spark, sf):
     """E6 + H5: each M15 bar with the EMA200 trend of the newest H1 bar closed by its close."""
     prepare(spark)
     m15 = B.events_bars(spark, sf, "M15")
-    h1 = SG.strategy_signals(number_bars(B.events_bars(spark, sf, "H1")))
+    h1 = SG.trend_signals(B.events_bars(spark, sf, "H1"))
     j = JN.asof_latest(
         m15.select("symbol", "tf", "time", "close"), h1.select("symbol", "time", "trend", "trend_reason"),
         left_time=F.col("time") + F.expr("INTERVAL 15 MINUTES"), right_time=F.col("time") + F.expr("INTERVAL 1 HOUR"),

@@ -16,10 +16,6 @@ def append_log(lines: DataFrame, path: str) -> None:
     lines.withColumn("date", F.to_date("ts")).write.mode("append").partitionBy("date").parquet(path)
 
 
-def newest_log(log: DataFrame, n: int = 50) -> DataFrame:
-    """A11 view: newest ``n`` lines (the limit is the feature)."""
-    return log.orderBy(F.col("ts").desc()).limit(n)
-
 
 def write_backtest(curve: DataFrame, base: str, run_id: str) -> dict[str, str]:
     """The equity curve and the signal bars of a backtest run, as two tables."""

@@ -2,8 +2,8 @@
 
 * L1 ``tick_bars``: ticks → closed tumbling-window bars (watermark, append mode). Ticks
   later than the watermark are dropped (documented new behaviour).
-* L3/L4 ``keyed_trade_state``: per-symbol loss streak and peak floating profit kept in
-  ``applyInPandasWithState`` (state = two numbers per symbol, arrival-ordered).
+* L3 ``keyed_trade_state`` and L4 ``keyed_peaks``: loss streak per symbol and peak floating
+  profit per account and symbol in ``applyInPandasWithState`` (one or two numbers per key).
 * L5/L6 ``foreach_batch``: score / decide on each micro-batch against static tables,
   written idempotently per batch id.
 Sinks and checkpoints live under the session's shared checkpoint folder.
@@ -94,41 +94,41 @@ def run_to_table(spark: SparkSession, stream: DataFrame, name: str, mode: str =
 
 # --- keyed state --------------------------------------------------------------------------
 
-STATE_SCHEMA = "loss_streak long, peak_profit double, n_seen long"
+STATE_SCHEMA = "loss_streak long, n_seen long"
 TRADE_ORDER = ("closed_at", "order_key", "line_number", "part_key")
-OUT_SCHEMA = "symbol string, loss_streak long, peak_profit double, n_seen long"
+OUT_SCHEMA = "symbol string, loss_streak long, n_seen long"
 
 
 def _trade_state(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold one micro-batch of a symbol's trades into (loss streak, peak profit).
+    """Fold one micro-batch of a symbol's trades into its loss streak.
 
-    The key's rows of the micro-batch are ordered once (bounded by the trigger size,
-    e.g. ``maxFilesPerTrigger``); the fold itself is vectorised: trailing losses after the
-    last non-loss, or the previous streak plus all rows when every trade lost.
+    Only the newest non-loss and the losses after it matter, so the batch's frames are looked
+    at one by one, in any order: memory is one frame and the losses that may still count.
     """
-    import numpy as np
-
-    streak, peak, seen = state.get if state.exists else (0, 0.0, 0)
-    frames = [pdf for pdf in batches if len(pdf)]
-    if frames:
-        pdf = pd.concat(frames, ignore_index=True).sort_values(list(TRADE_ORDER), kind="stable")
-        profit = pdf["profit"].to_numpy(dtype=float)
-        m = len(profit)
-        seen = int(seen) + m
-        ok = np.flatnonzero(profit >= 0)
-        streak = int(streak) + m if len(ok) == 0 else int(m - 1 - ok[-1])
-        peak = max(float(peak), float(profit.max()))
-    state.update((int(streak), float(peak), int(seen)))
-    yield pd.DataFrame({"symbol": [key[0]], "loss_streak": [int(streak)], "peak_profit": [float(peak)], "n_seen": [seen]})
+    streak, seen = state.get if state.exists else (0, 0)
+    reset, losses = None, []  # order of the newest non-loss; orders of losses
+    for pdf in batches:
+        seen += len(pdf)
+        order = list(pdf[list(TRADE_ORDER)].itertuples(index=False, name=None))
+        for o, profit in zip(order, pdf["profit"].tolist()):
+            if profit >= 0:
+                reset = o if reset is None or o > reset else reset
+            else:
+                losses.append(o)
+        if reset is not None:
+            losses = [o for o in losses if o > reset]
+    streak = len(losses) + (streak if reset is None else 0)
+    state.update((int(streak), int(seen)))
+    yield pd.DataFrame({"symbol": [key[0]], "loss_streak": [int(streak)], "n_seen": [int(seen)]})
 
 
 def keyed_trade_state(trades: DataFrame) -> DataFrame:
-    """L3/L4: loss streak (profit >= 0 resets) and peak profit per symbol, as keyed state.
+    """L3: loss streak (profit >= 0 resets) per symbol, as keyed state; a row per symbol and micro-batch.
 
-    Within a micro-batch trades are applied in trade order; across batches, in arrival order.
+    Micro-batches must follow one another in time; inside one, order does not matter.
     """
     return trades.groupBy("symbol").applyInPandasWithState(
-        _trade_state, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout
+        _trade_state, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )
 
 

@@ -802,9 +802,10 @@ SELECT account_id, symbol, poll, {rnd('fp')} AS floating_profit, {rnd('seen')} A
 FROM walk WHERE k > 0"""
 SQL["stream_peak_profit"] = SQL["peak_profit"]
 
-SQL["stream_trade_state"] = with_ctes(TRADES) + f"""
-SELECT s.symbol, s.loss_streak, {rnd('greatest(0.0, m.mx)')} AS peak_profit, s.n_closed AS n_seen
-FROM streaks s JOIN (SELECT symbol, max(profit) AS mx FROM trades GROUP BY symbol) m ON m.symbol = s.symbol"""
+SQL["stream_trade_state"] = with_ctes(trades_sql("l_suppkey")) + "\nSELECT symbol, loss_streak, n_closed AS n_seen FROM streaks"
+SQL["trade_texts"] = with_ctes(TRADES) + f"""
+SELECT order_key, line_number, part_key, CAST(sign(profit) AS INTEGER) AS sign, {ftxt('profit', 2)} AS profit_text,
+  strftime(closed_at + to_seconds(CAST(order_key % 86400 AS BIGINT)), '%H:%M:%S') AS clock FROM trades"""
 
 SQL["stream_indicators"] = with_ctes(events_bars("M15", 900, "allbars"), """
 bars AS (SELECT * FROM allbars WHERE time + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)""",

@@ -1,7 +1,6 @@
 """Halo layout with recurrences, packed tie-break keys, ML bundles and keyed stream state."""
 
 import math
-import os
 import tempfile
 
 from pyspark.sql import functions as F
@@ -103,21 +102,19 @@ def test_streams_read_files_and_folders_alike(spark, tmp_path):
     assert len(rows) == 3 and len({r["count"] for r in rows}) == 1
 
 
-def test_keyed_state_stream_equals_batch(spark):
+def test_keyed_state_over_slices_equals_batch(spark):
     trades = FX.closed_trades(spark, SF_SMALL)
-    src = tempfile.mkdtemp(prefix="trades-", dir="/tmp")
-    trades.write.mode("overwrite").parquet(os.path.join(src, "t"))
-    stream = spark.readStream.schema(trades.schema).parquet(os.path.join(src, "t"))
-    out = ST.run_to_table(spark, ST.keyed_trade_state(stream), "trade_state", mode="update")
-    latest = {}
-    for r in out.collect():
-        if r.symbol not in latest or r.batch > latest[r.symbol].batch:
-            latest[r.symbol] = r
-    got = {k: (r.loss_streak, r.peak_profit) for k, r in latest.items()}
-    batch = {r.symbol: r.loss_streak for r in RK.loss_streaks(trades).collect()}
-    peaks = {r.symbol: r.m for r in trades.groupBy("symbol").agg(F.max("profit").alias("m")).collect()}
-    assert {k: v[0] for k, v in got.items()} == batch
-    assert {k: v[1] for k, v in got.items()} == peaks
+    day = F.col("closed_at")
+    cuts = [r[0] for r in trades.select("closed_at").orderBy("closed_at").collect()][::2000][1:]
+    bounds = [None, *cuts, None]
+    slices = [trades.filter((F.lit(True) if lo is None else day > lo) & (F.lit(True) if hi is None else day <= hi))
+              for lo, hi in zip(bounds, bounds[1:])]
+    assert len(slices) >= 3
+    out = ST.run_slices(spark, slices, ST.keyed_trade_state, "trade_state").collect()
+    newest = {}
+    for r in sorted(out, key=lambda r: r.n_seen):
+        newest[r.symbol] = (r.loss_streak, r.n_seen)
+    assert newest == {r.symbol: (r.loss_streak, r.n_closed) for r in RK.loss_streaks(trades).collect()}
 
 
 def test_random_search_expanding_folds(spark):
