@@ -5,8 +5,11 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +57,14 @@ def release_memory() -> None:
         pass
 
 
+def per_worker(name: str, make: Callable[[], Any]) -> Any:
+    """One object per Python worker: Spark reuses workers, so their later tasks find tables that earlier ones filled."""
+    kept = sys.modules.setdefault("_candlewick_worker", types.ModuleType("_candlewick_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
 def map_documents(
     df: DataFrame,
     schema: str,

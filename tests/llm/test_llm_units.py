@@ -46,6 +46,12 @@ def test_encoding_equals_the_library(both):
     same()
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet=st.characters(max_codepoint=127), max_size=40))
+def test_ascii_pattern_splits_alike(text):
+    assert re.findall(bpe.ASCII_PATTERN, text, re.ASCII) == regex.findall(bpe.PATTERN, text)
+
+
 @pytest.mark.parametrize("alphabet", ["a", "ab", "abcdefghij", "é漢🙂", " \n\t", "0123", "!?-"])
 def test_long_pieces(both, alphabet):
     ours, theirs = both
