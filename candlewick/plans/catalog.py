@@ -28,9 +28,14 @@ from .report import rounded
 BAR_COLS = ["symbol", "tf", "time", "n"]
 
 
+def _numbered(bars: DataFrame) -> DataFrame:
+    """Numbered bars as a table: what follows reads it several times, the ticks are read once."""
+    return cut_lineage(number_bars(bars), "bars")
+
+
 def _li(spark: SparkSession, sf: str) -> DataFrame:
     prepare(spark)
-    return number_bars(B.lineitem_bars(spark, sf))
+    return _numbered(B.lineitem_bars(spark, sf))
 
 
 # --- A: sources -----------------------------------------------------------------------------
@@ -135,7 +140,7 @@ def q_ind_adx_flat(spark, sf):
 def q_ind_long_m1(spark, sf):
     """C1, C2, C7, C9 on the long minute tape: many blocks, carries over several levels."""
     prepare(spark)
-    df = recurrence.run(number_bars(B.tape_bars(spark, sf)), [I.ema_rec("ema_12", "close", 12), I.ema_rec("ema_200", "close", 200)])
+    df = recurrence.run(_numbered(B.tape_bars(spark, sf)), [I.ema_rec("ema_12", "close", 12), I.ema_rec("ema_200", "close", 200)])
     df = I.with_adx(I.with_atr(df))
     df = rolling(df, lambda w: [("sma_200", I.sma("close", 200, w))], back=199)
     return rounded(df.select(*BAR_COLS, I.valid_from(F.col("ema_12"), 11).alias("ema_12"),
@@ -197,7 +202,7 @@ def q_features_momentum25(spark, sf):
 def q_features_session30(spark, sf):
     """D17-D21 + G3 on events M15 bars with H1 bars of the same symbols."""
     prepare(spark)
-    m15 = number_bars(B.events_bars(spark, sf, "M15"))
+    m15 = _numbered(B.events_bars(spark, sf, "M15"))
     h1 = B.events_bars(spark, sf, "H1")
     df = FE.session30_features(m15, h1)
     return rounded(df.select(*BAR_COLS, *FE.SESSION30_COLUMNS, *FE.HTF_COLUMNS, "label"))
@@ -230,7 +235,7 @@ WALK_STRATEGIES = {"W0": "ai", "W1": "bb", "W2": "rules"}
 def q_signals_walk(spark, sf):
     """H1-H8, H13 and H14 by symbol on price walks, where trends, ranges and crossings all occur."""
     prepare(spark)
-    df = FX.with_predictions(SG.strategy_signals(number_bars(B.walk_bars(spark, sf))))
+    df = FX.with_predictions(SG.strategy_signals(_numbered(B.walk_bars(spark, sf))))
     df = df.withColumn("ai_signal", class_text(SG.model_class(SG.prob_array())))
     strategy = F.create_map(*[F.lit(x) for pair in WALK_STRATEGIES.items() for x in pair])[F.col("symbol")]
     return df.select(*BAR_COLS, "macd_state", "ema_signal", "rsi_signal", "bb_signal", "trend", "sideways", "macd_zero",
@@ -386,7 +391,7 @@ def q_trailing_points(spark, sf):
 
 def q_atr_trailing(spark, sf):
     prepare(spark)
-    bars = I.with_atr(number_bars(B.orders_bars(spark, sf)))
+    bars = I.with_atr(_numbered(B.orders_bars(spark, sf)))
     last = _last_bar(bars.select("symbol", "n", "close", "atr"))
     return rounded(RK.atr_trailing(FX.positions(spark, sf), last))
 
@@ -399,7 +404,7 @@ def q_close_all(spark, sf):
 
 
 def _orders_signal(spark, sf):
-    sig = SG.strategy_signals(number_bars(B.orders_bars(spark, sf)))
+    sig = SG.strategy_signals(_numbered(B.orders_bars(spark, sf)))
     return _last_bar(sig.select("symbol", "n", F.col("combined").alias("signal")))
 
 
@@ -421,7 +426,7 @@ def q_atr_trailing_walk(spark, sf):
     prepare(spark)
     near = F.col("price_current") * (F.lit(1.0) + (F.col("ticket") % 13 - 6).cast("double") / F.lit(3.0))
     pos = FX.positions(spark, sf).withColumn("sl", near)
-    bars = I.with_atr(number_bars(B.orders_bars(spark, sf)))
+    bars = I.with_atr(_numbered(B.orders_bars(spark, sf)))
     return rounded(RK.atr_trailing(pos, _last_bar(bars.select("symbol", "n", "close", "atr"))))
 
 
@@ -481,7 +486,7 @@ def q_reversal_intents(spark, sf):
     gated = SG.confidence_gate(SG.prob_array(), 0.54)
     sig = FX.symbol_predictions(quotes.select("symbol")).select("symbol", gated.alias("signal"))
     pairs = RK.account_symbols(accounts, SYMBOLS).join(sig, "symbol").withColumn("magic", F.lit(1).cast("long"))
-    last = _last_bar(I.with_atr(number_bars(B.orders_bars(spark, sf))).select("symbol", "n", "close", "atr"))
+    last = _last_bar(I.with_atr(_numbered(B.orders_bars(spark, sf))).select("symbol", "n", "close", "atr"))
     return rounded(RK.reversal_intents(pairs, pos, last, quotes))
 
 
@@ -515,7 +520,7 @@ def q_asof_h1_to_m15(spark, sf):
     """E1 + D18: M15 bars with the previous closed H1 bar's RSI/close within 15 minutes."""
     prepare(spark)
     m15 = B.events_bars(spark, sf, "M15")
-    h1 = I.with_rsi(number_bars(B.events_bars(spark, sf, "H1")))
+    h1 = I.with_rsi(_numbered(B.events_bars(spark, sf, "H1")))
     h1 = rolling(h1, lambda w: [("h1_rsi", F.lag("rsi_14", 1).over(w)), ("h1_close", F.lag("close", 1).over(w))], back=1)
     right = h1.select("symbol", "time", "h1_rsi", "h1_close")
     j = JN.asof_backward(m15.select("symbol", "tf", "time", "close"), right, tolerance_seconds=900,
@@ -677,7 +682,7 @@ def q_asof_trend_h1_to_m15(spark, sf):
     """E6 + H5: each M15 bar with the EMA200 trend of the newest H1 bar closed by its close."""
     prepare(spark)
     m15 = B.events_bars(spark, sf, "M15")
-    h1 = SG.trend_signals(B.events_bars(spark, sf, "H1"))
+    h1 = SG.trend_signals(_numbered(B.events_bars(spark, sf, "H1")))
     j = JN.asof_latest(
         m15.select("symbol", "tf", "time", "close"), h1.select("symbol", "time", "trend", "trend_reason"),
         left_time=F.col("time") + F.expr("INTERVAL 15 MINUTES"), right_time=F.col("time") + F.expr("INTERVAL 1 HOUR"),
@@ -695,7 +700,7 @@ def q_strategy_decisions(spark, sf):
     bars = RK.restrict_symbols(B.lineitem_bars(spark, sf), RK.configured_symbols(spark, "A, R"))
     cfg = RK.StrategyConfig(use_ai=False, use_bb_ma_macd=False, use_trend_filter=True)
     decision = SG.choose_strategy(cfg.use_ai, cfg.use_bb_ma_macd, cfg.use_trend_filter)
-    return SG.strategy_signals(number_bars(bars)).select(*BAR_COLS, decision.alias("decision"))
+    return SG.strategy_signals(_numbered(bars)).select(*BAR_COLS, decision.alias("decision"))
 
 
 def _file_stream(spark, sf, table):
