@@ -152,6 +152,41 @@ def atr_trailing(positions: DataFrame, last_bar: DataFrame) -> DataFrame:
     return df.select("account_id", "ticket", "symbol", "type", F.when(move, new_sl).alias("new_sl"), move.alias("move_sl"))
 
 
+def atr_stop_path(bars: DataFrame) -> DataFrame:
+    """K4 over a bar history: the stop of a BUY and of a SELL held from the first bar with an ATR on.
+
+    ``bars``: symbol, tf, n, close, atr. Each bar's candidate replaces the stop if it is tighter
+    by 0.2 ATR, so stops build on one another; a series lies sorted in its partition and
+    streams through the fold, which keeps one number.
+    """
+    buy = F.col("side") == "BUY"
+    sides = bars.withColumn("side", F.explode(F.array(F.lit("BUY"), F.lit("SELL")))).filter(F.col("atr").isNotNull())
+    rows = sides.select("symbol", "tf", "side", "n", "atr", F.bround(
+        F.when(buy, F.col("close") - F.col("atr") * 1.5).otherwise(F.col("close") + F.col("atr") * 1.5), 3).alias("candidate"))
+
+    def run(batches):
+        key, stop = None, 0.0
+        for pdf in batches:
+            stops, moved = [], []
+            for symbol, tf, side, atr, candidate in zip(pdf["symbol"], pdf["tf"], pdf["side"], pdf["atr"], pdf["candidate"]):
+                if key != (symbol, tf, side):
+                    key, stop = (symbol, tf, side), 0.0
+                if side == "BUY":
+                    move = candidate > stop + atr * 0.2
+                else:
+                    move = stop == 0 or candidate < stop - atr * 0.2
+                stop = candidate if move else stop
+                stops.append(stop)
+                moved.append(move)
+            out = pdf[["symbol", "tf", "side", "n"]].copy()
+            out["stop"], out["moved"] = stops, moved
+            yield out
+
+    keys = ("symbol", "tf", "side")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "n").mapInPandas(
+        run, "symbol string, tf string, side string, n long, stop double, moved boolean")
+
+
 def close_all(book: DataFrame, accounts: DataFrame, cfg: StrategyConfig, peak: str | None = None) -> DataFrame:
     """K5: close everything on profit >= % of balance, else >= $, else a pullback from the peak.
 

@@ -430,6 +430,11 @@ def q_atr_trailing_walk(spark, sf):
     return rounded(RK.atr_trailing(pos, _last_bar(bars.select("symbol", "n", "close", "atr"))))
 
 
+def q_atr_stop_path(spark, sf):
+    """K4 as a running stop over every bar of every series, for both sides."""
+    return rounded(RK.atr_stop_path(I.with_atr(_li(spark, sf)).select("symbol", "tf", "n", "close", "atr")))
+
+
 #: The configured symbols of the order queries; the last one has no quote and no information.
 SYMBOLS = "1-URGENT, 2-HIGH, 3-MEDIUM, 4-NOT SPECIFIED, 5-LOW, 9-UNLISTED"
 

@@ -658,6 +658,18 @@ at1 AS (SELECT *, coalesce(CASE WHEN type = 'BUY' THEN nsl > sl + atr * 0.2
                                 ELSE sl = 0 OR nsl < sl - atr * 0.2 END, FALSE) AS mv FROM at0)
 SELECT account_id, ticket, symbol, type, {rnd('CASE WHEN mv THEN nsl END')} AS new_sl, mv AS move_sl FROM at1"""
 
+SQL["atr_stop_path"] = _li(ta_state(), f"""
+st AS (SELECT symbol, tf, n, atr_ AS atr, s.side, round_even(close - s.dir * atr_ * 1.5, 3) AS cand
+       FROM (SELECT *, {IND['atr']} AS atr_ FROM ta) t, (VALUES ('BUY', 1.0), ('SELL', -1.0)) s(side, dir) WHERE atr_ IS NOT NULL),
+path AS (
+  SELECT symbol, tf, side, n, CASE WHEN side = 'SELL' OR cand > atr * 0.2 THEN cand ELSE 0.0 END AS stop,
+         side = 'SELL' OR cand > atr * 0.2 AS moved FROM st WHERE n = 14
+  UNION ALL
+  SELECT s.symbol, s.tf, s.side, s.n, CASE WHEN mv THEN cand ELSE stop0 END, mv FROM (
+    SELECT s.*, p.stop AS stop0,
+           CASE s.side WHEN 'BUY' THEN s.cand > p.stop + s.atr * 0.2 ELSE p.stop = 0 OR s.cand < p.stop - s.atr * 0.2 END AS mv
+    FROM path p JOIN st s ON s.symbol = p.symbol AND s.tf = p.tf AND s.side = p.side AND s.n = p.n + 1) s)""") + f"""
+SELECT symbol, tf, side, n, {rnd('stop')} AS stop, moved FROM path"""
 SQL["atr_trailing_walk"] = SQL["atr_trailing"].replace(
     "FROM pos p LEFT JOIN lastbar", "FROM (SELECT * REPLACE (price_current * (1.0 + (ticket % 13 - 6)::DOUBLE / 3.0) AS sl) FROM pos) p LEFT JOIN lastbar")
 SQL["close_rules_walk"] = with_ctes(POSITIONS) + f"""

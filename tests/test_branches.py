@@ -20,6 +20,7 @@ BRANCHES = {
     ("signals_walk", "bb_signal"): {"BULLISH", "BEARISH", "NEUTRAL"},
     ("close_rules_walk", "reason"): {"", "take_profit", "stop_loss", "signal_reversal"},
     ("atr_trailing_walk", "move_sl"): {True, False},
+    ("atr_stop_path", "moved"): {True, False},
 }
 
 
@@ -39,8 +40,6 @@ def results(spark):
 
 @pytest.mark.parametrize(("name", "column"), list(BRANCHES))
 def test_all_classes_occur(results, name, column):
-    if name not in E.queries():
-        pytest.skip("not registered")
     assert {r[0] for r in results(name).select(column).distinct().collect()} >= BRANCHES[name, column]
 
 

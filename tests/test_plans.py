@@ -3,7 +3,9 @@
 import re
 
 from candlewick.operators import features as FE
+from candlewick.operators import signals as SG
 from candlewick.operators.series import number_bars
+from candlewick.session import cut_lineage
 from candlewick.sources.bars import lineitem_bars
 from conftest import SF_SMALL
 
@@ -31,6 +33,31 @@ def test_feature_pipeline_windows_are_blocked(spark):
     assert seen > 5
 
 
+def _executed(df) -> str:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_ticks_are_read_once_and_features_shuffle_little(spark):
+    bars = lineitem_bars(spark, SF_SMALL)
+    assert _executed(bars).count("FileScan parquet") == 1
+    written = cut_lineage(number_bars(bars), "bars")
+    for df in (FE.build_features(written, "v11"), SG.strategy_signals(written)):
+        plan = _executed(df)
+        assert "lineitem.parquet" not in plan
+        assert len(re.findall(r"[^d]Exchange hashpartitioning", plan)) <= 10
+        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_building_features_runs_no_job(spark):
+    written = cut_lineage(number_bars(lineitem_bars(spark, SF_SMALL)), "bars")
+    tracker, group = spark.sparkContext.statusTracker(), "features-lazy"
+    spark.sparkContext.setJobGroup(group, group)
+    FE.build_features(written, "v11")
+    assert not tracker.getJobIdsForGroup(group)
+    spark.sparkContext.setJobGroup("", "")
+
+
 def test_bar_scan_prunes_columns(spark):
     plan = lineitem_bars(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     scan = [line for line in plan.split("\n") if "FileScan parquet" in line][0]
