@@ -20,21 +20,26 @@ def li(spark):
 
 
 def test_against_sequential_loop(li):
-    df = I.with_adx(I.with_atr(I.with_rsi(I.with_macd(I.with_ema(li, 12)))))
-    rows = df.orderBy("symbol", "n").collect()
-    by = {}
-    for r in rows:
-        by.setdefault(r.symbol, []).append(r)
-    assert len(by) == 3
-    for rs in by.values():
-        c = [r.close for r in rs]
-        h = [r.high for r in rs]
-        lo = [r.low for r in rs]
-        _check(rs, "ema_12", O.ema(c, 12))
-        _check(rs, "rsi_14", O.rsi(c))
-        _check(rs, "atr", O.atr(h, lo, c))
-        _check(rs, "adx", O.adx(h, lo, c))
-        m, s, hist = O.macd(c)
+    def series(df):
+        by = {}
+        for r in df.orderBy("symbol", "n").collect():
+            by.setdefault(r.symbol, []).append(r)
+        assert len(by) == 3
+        return by.values()
+
+    def ohlc(rs, *names):
+        return [[getattr(r, n) for r in rs] for n in names]
+
+    for rs in series(I.with_ema(li, 12)):
+        _check(rs, "ema_12", O.ema(*ohlc(rs, "close"), 12))
+    for rs in series(I.with_rsi(li)):
+        _check(rs, "rsi_14", O.rsi(*ohlc(rs, "close")))
+    for rs in series(I.with_atr(li)):
+        _check(rs, "atr", O.atr(*ohlc(rs, "high", "low", "close")))
+    for rs in series(I.with_adx(li)):
+        _check(rs, "adx", O.adx(*ohlc(rs, "high", "low", "close")))
+    for rs in series(I.with_macd(li)):
+        m, s, _ = O.macd(*ohlc(rs, "close"))
         _check(rs, "macd", m)
         _check(rs, "macd_signal", s)
 
@@ -44,13 +49,12 @@ def test_edge_lengths(spark, length):
     rows = [("e", "D1", i, 10.0 + (i % 4), 11.0 + (i % 4), 9.0 + (i % 3), 10.0 + (i % 5) * 0.5)
             for i in range(length)]
     df = spark.createDataFrame(rows, "symbol string, tf string, n long, open double, high double, low double, close double")
-    out = I.with_adx(I.with_rsi(I.with_macd(df))).orderBy("n").collect()
     c = [r[6] for r in rows]
     h = [r[4] for r in rows]
     lo = [r[5] for r in rows]
-    _check(out, "rsi_14", O.rsi(c))
-    _check(out, "adx", O.adx(h, lo, c))
-    _check(out, "macd", O.macd(c)[0])
+    _check(I.with_rsi(df).orderBy("n").collect(), "rsi_14", O.rsi(c))
+    _check(I.with_adx(df).orderBy("n").collect(), "adx", O.adx(h, lo, c))
+    _check(I.with_macd(df).orderBy("n").collect(), "macd", O.macd(c)[0])
 
 
 def test_flat_and_ramp(spark):
