@@ -59,7 +59,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # after the other stages executors have little memory to spare
-    return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), tables=(100_000, 150_000))
+    return bpe.token_digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), tables=(40_000, 60_000))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
