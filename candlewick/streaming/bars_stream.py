@@ -43,10 +43,13 @@ def file_stream(spark: SparkSession, sf_dir: str, table: str, schema, max_files:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def tick_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """The ``events`` table as a file stream (symbol, ts, price)."""
-    schema = spark.read.parquet(os.path.join(sf_dir, "events.parquet")).schema
-    raw = file_stream(spark, sf_dir, "events", schema, max_files)
+def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``events`` table as ticks (symbol, ts, price).
+
+    Its files may overlap in time, so it is not streamed file by file: under a watermark, rows
+    of later files would be late.
+    """
+    raw = spark.read.parquet(os.path.join(sf_dir, "events.parquet"))
     return raw.select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price")
     )

@@ -102,6 +102,19 @@ def test_streams_read_files_and_folders_alike(spark, tmp_path):
     assert len(rows) == 3 and len({r["count"] for r in rows}) == 1
 
 
+def test_tick_bars_do_not_depend_on_file_layout(spark, tmp_path):
+    from candlewick.plans import catalog
+
+    events = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")  # every file spans the whole time
+    for q in (catalog.q_stream_bars_m15, catalog.q_stream_indicators):
+        assert sorted(map(str, q(spark, str(tmp_path)).collect())) == sorted(map(str, q(spark, SF_SMALL).collect()))
+    newest = events.agg(F.max("ts")).first()[0]
+    closed = F.window("ts", "900 seconds")["end"] <= F.lit(newest) - F.expr("INTERVAL 1 HOUR")
+    bars = catalog.q_stream_bars_m15(spark, str(tmp_path))
+    assert bars.agg(F.sum("tick_volume")).first()[0] == events.filter(closed).count()
+
+
 def test_keyed_state_over_slices_equals_batch(spark):
     trades = FX.closed_trades(spark, SF_SMALL)
     day = F.col("closed_at")
