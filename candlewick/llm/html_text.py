@@ -8,9 +8,13 @@ that long paths of sentences score high and menus low. Paths above a threshold (
 the spread of all scores) are content; the innermost container that holds all of them and
 has no boilerplate role gives the article, of which all blocks are kept, short ones too.
 
-Paths through boilerplate elements (navigation, footers, asides, forms, scripts, ...) or
-through elements whose class, id or role names such a part (ads, cookie notices, sidebars,
-comments, ...) score nothing.
+Paths through boilerplate elements (navigation, footers, asides, forms, scripts, ...) score
+nothing. A class, id or role that names such a part (ads, cookie notices, sidebars, comments,
+...) only makes an element suspect: it is boilerplate if most text below it lies on paths with
+short blocks, few marks or many links, or, for advertisements, consent and comments, if it
+holds less than half of the page's text. Headings, what surrounds the article or ``main``, and
+names that say what a layout has or lacks (``has-sidebar``) are never suspect; ids of sections
+only as a whole. If suspects are all there is, they are kept.
 
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined by an empty line in page order. Unclosed and overlapping tags, truncated pages, markup
@@ -57,10 +61,28 @@ TOKEN = re.compile(
     r"|<(?P<name>/?[a-zA-Z][^\s/>]*)(?P<rest>(?>[^>\"'=]+|=\s*(?>\"[^\"]*\"|'[^']*'|[^\s>\"']*)|[\"'=])*+)(?:>|\Z)",
     re.S,
 )
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+#: Of these, parts that read like an article.
+PROSE_PARTS = re.compile(
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|cookies?|consent|gdpr|newsletter|comments?|replies|respond|disqus)(?:$|[\s_-])", re.I
+)
+#: Names that say what a layout has or lacks, and an article's own header.
+MODIFIERS = re.compile(r"(?:has|have|with|no|not|non|without)[_-]", re.I)
+OWN_HEADER = re.compile(r"(?:post|article|entry|story|page|content|section|chapter)[_-]+header$", re.I)
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 SENTENCE = re.compile(r"[.,;:!?…。、，！？；：]")
 SIGMAS = 0.25
+#: Characters a block and share of links that tell sentences from lists.
+SENTENCES, LINKS = 40, 1 / 3
+
+
+@dataclass(eq=False)
+class Open:
+    name: str
+    label: str
+    bad: bool
+    suspect: str = ""  # "part" or "prose part", by its names
 
 
 @dataclass
@@ -69,13 +91,27 @@ class Block:
     bad: bool
     text: str
     linked: int
+    inside: tuple[Open, ...] = ()  # suspect elements and articles around it
 
 
-@dataclass
-class Open:
-    name: str
-    label: str
-    bad: bool
+def suspected(name: str, names: list[tuple[str, str]], inside: bool) -> str:
+    """What part an element's class, id and role name, if any."""
+    if name in HEADINGS or name in ("html", "body", "article", "main") or name == "header" and inside:
+        return ""
+    found = ""
+    for kind, value in names:
+        for word in value.split():
+            if MODIFIERS.match(word) or OWN_HEADER.match(word):
+                continue
+            part = PARTS.search(word)
+            if not part or inside and part[0].strip("_-").lower() == "header" and not PARTS.search(word, part.end() - 1):
+                continue
+            if kind == "id" and name == "section" and len(part[0]) < len(word):
+                continue  # made from a title
+            if kind == "role" or PROSE_PARTS.search(word):
+                return "prose part"
+            found = "part"
+    return found
 
 
 @dataclass
@@ -93,7 +129,8 @@ class Blocks:
             text = " ".join("".join(self.parts).split())
             if text:
                 path = tuple(o.label for o in self.stack)
-                self.found.append(Block(path, any(o.bad for o in self.stack), text, min(self.linked, len(text))))
+                inside = tuple(o for o in self.stack if o.suspect or o.name in ("article", "main"))
+                self.found.append(Block(path, any(o.bad for o in self.stack), text, min(self.linked, len(text)), inside))
             self.parts = []
         self.linked = 0
 
@@ -137,13 +174,12 @@ class Blocks:
                 del self.stack[last:]
         if name in VOID or rest.endswith("/"):
             return
-        named = " ".join(a or b or c for a, b, c in NAMES.findall(rest)) if rest else ""
-        # a page's or an article's own header is no boilerplate by name if it is inside the article
+        names = [(kind.lower(), a or b or c) for kind, a, b, c in NAMES.findall(rest)] if rest else []
+        named = " ".join(value for _, value in names)
+        # a page's or an article's own header is no boilerplate if it is inside the article
         inside = any(o.name in ("article", "main") for o in self.stack)
         bad = (name in BOILERPLATE and not (name == "header" and inside)) or bool(rest and HIDDEN.search(rest))
-        if named and name not in ("html", "body", "article", "main") and not (name in ("h1", "h2") or name == "header" and inside):
-            bad = bad or bool(PARTS.search(named))
-        self.stack.append(Open(name, f"{name}.{named}" if named else name, bad))
+        self.stack.append(Open(name, f"{name}.{named}" if named else name, bad, suspected(name, names, inside) if named else ""))
         self.links = 0
 
     def end(self, name: str) -> None:
@@ -196,18 +232,51 @@ def smooth(values: np.ndarray) -> np.ndarray:
     return 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
 
 
-def content(found: list[Block]) -> list[Block]:
-    """The blocks of the article."""
-    usable = [b for b in found if not b.bad]
-    if not usable:
-        return []
+def path_sums(found: list[Block]) -> dict[tuple[str, ...], list[float]]:
+    """Blocks, characters, marks and linked characters of every path."""
     sums: dict[tuple[str, ...], list[float]] = {}
-    for b in usable:
+    for b in found:
         s = sums.setdefault(b.path, [0.0, 0.0, 0.0, 0.0])
         s[0] += 1
         s[1] += len(b.text)
         s[2] += len(SENTENCE.findall(b.text))
         s[3] += b.linked
+    return sums
+
+
+def unsuspected(found: list[Block]) -> list[Block]:
+    """Without the blocks of suspect elements that the ratios of the paths below them condemn."""
+    below: dict[Open, list[int]] = {}
+    for i, b in enumerate(found):
+        for o in b.inside:
+            below.setdefault(o, []).append(i)
+    if not any(o.suspect for o in below):
+        return found
+    chars = [len(b.text) - b.linked for b in found]
+    whole = sum(chars)
+    articles = [o for o in below if o.name == "article"]
+    largest = max(articles, key=lambda o: sum(chars[i] for i in below[o]), default=None)
+    around = {o for b in found for k, a in enumerate(b.inside) if a.name == "main" or a is largest for o in b.inside[:k]}
+    sums = path_sums(found)
+    prose = [s[1] - s[3] >= SENTENCES * s[0] and s[2] >= s[0] and s[3] <= LINKS * s[1] for s in (sums[b.path] for b in found)]
+    gone: set[int] = set()
+    # inner elements come after the ones around them
+    order = dict.fromkeys(o for b in found for o in b.inside if o.suspect and o not in around)
+    for o in reversed(order):
+        left = [i for i in below[o] if i not in gone]
+        text, held = sum(len(found[i].text) for i in left), sum(chars[i] for i in left)
+        reads = 2 * sum(len(found[i].text) for i in left if prose[i]) >= text
+        if not reads or o.suspect == "prose part" and 2 * held < whole:
+            gone.update(left)
+    return [b for i, b in enumerate(found) if i not in gone] or found
+
+
+def content(found: list[Block]) -> list[Block]:
+    """The blocks of the article."""
+    usable = unsuspected([b for b in found if not b.bad])
+    if not usable:
+        return []
+    sums = path_sums(usable)
     # text and punctuation per block of the path; links count against their path
     length = np.array([sums[b.path][1] * (1 - sums[b.path][3] / sums[b.path][1]) / sums[b.path][0] for b in usable])
     marks = np.array([(1 + sums[b.path][2]) / sums[b.path][0] for b in usable])

@@ -279,6 +279,32 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+PROSE = "This is a sentence of the article, with enough words to read like one."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        *[(f"<div class='content {c}'><article><h1>T</h1><p>{PROSE}</p></article></div>", f"T\n\n{PROSE}")
+          for c in ("has-sidebar", "with-sidebar", "no-sidebar", "sidebar", "sidebar-left")],
+        *[(f"<div class='content {c}'><h1>T</h1><p>{PROSE}</p></div>", f"T\n\n{PROSE}") for c in ("has-sidebar", "sidebar-left")],
+        (f"<div class='sidebar-left'><p>{PROSE}</p><ul class='related'>" + "<li><a href='x'>x</a></li>" * 20 + "</ul></div>", PROSE),
+        ("<div class='content sidebar-left'><p>Short.</p></div>", "Short."),
+        (f"<article><p>{PROSE}</p><h3 id='share-prices'>S</h3><p>Up.</p></article>", f"{PROSE}\n\nS\n\nUp."),
+        *[(f"<article><p>{PROSE}</p><section id='{i}'><p>Up.</p></section></article>", f"{PROSE}\n\nUp.") for i in ("related-work", "search-results")],
+        (f"<article><div class='post-header'><h1>T</h1></div><p>{PROSE}</p></article>", f"T\n\n{PROSE}"),
+        (f"<article><div class='share-prices'><p>{PROSE}</p></div><p>{PROSE}</p></article>", f"{PROSE}\n\n{PROSE}"),
+        # by name and evidence
+        (f"<article><p>{PROSE}</p><p>{PROSE}</p><div class='comments'><p>{PROSE}</p></div></article>", f"{PROSE}\n\n{PROSE}"),
+        (f"<article><p>{PROSE}</p><div class='share'><a href='x'>Share it</a></div></article>", PROSE),
+        (f"<div class='related'><article><a href='x'>Card</a></article></div><article><p>{PROSE}</p></article>", PROSE),
+        (f"<div class='has-sidebar'><p>{PROSE}</p><div class='sidebar'><a href='x'>more</a></div></div>", PROSE),
+    ],
+)
+def test_names_condemn_by_evidence_only(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_hostile_markup_takes_linear_time():
     for page in ("<a " * 50_000, "<p " + "x='" * 50_000, "<div>" * 5_000 + "t", "<!--" * 50_000, "<p a=\"" * 20_000):
         html_text.main_text(page)
