@@ -16,6 +16,10 @@ holds less than half of the page's text. Headings, what surrounds the article or
 names that say what a layout has or lacks (``has-sidebar``) are never suspect; ids of sections
 only as a whole. If suspects are all there is, they are kept.
 
+Formulas (``math``) and the fallback contents of ``object`` and ``canvas`` are text. Contents of
+drawings, lists of choices, ``noscript`` and ``template`` are not; if such an element is not
+closed, what follows is the page's. Raw text elements, of scripts and the like, end as in HTML.
+
 Character references are decoded, white space inside a block becomes one space, blocks are
 joined by an empty line in page order. Unclosed and overlapping tags, truncated pages, markup
 inside scripts and quoted ``>`` in attributes are handled; nothing is cut or capped.
@@ -36,10 +40,17 @@ from pyspark.sql import DataFrame
 from candlewick.llm.common import map_documents
 
 #: Element names, in HTML's own sense.
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "object", "canvas", "title", "xmp", "noembed", "noframes")
+RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
+#: Elements inside a block whose contents are no text of it; these are never left open to the page's end.
+UNSHOWN = frozenset("svg select noscript template annotation annotation-xml".split())
+#: Block-level elements that end an open drawing or list of choices.
+BREAKS = frozenset("article blockquote center div dl footer h1 h2 h3 h4 h5 h6 header main nav ol p pre section table ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr "
+    # formulas and embedded objects: their text belongs to the block
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction menclose mfenced semantics object canvas".split()
 )
 BOILERPLATE = frozenset("nav header footer aside form button dialog menu head input option datalist fieldset".split())
 #: Words in class, id or role that name parts around an article.
@@ -123,6 +134,7 @@ class Blocks:
     parts: list[str] = field(default_factory=list)
     links: int = 0
     linked: int = 0
+    unshown: list[str] = field(default_factory=list)  # open elements from the outermost that is not shown
 
     def flush(self) -> None:
         if self.parts:
@@ -135,7 +147,7 @@ class Blocks:
         self.linked = 0
 
     def text(self, raw: str) -> None:
-        if not raw:
+        if not raw or self.unshown:
             return
         if "&" in raw:
             raw = entities.unescape(raw)
@@ -148,6 +160,12 @@ class Blocks:
         del self.stack[at:]
 
     def start(self, name: str, rest: str) -> None:
+        if self.unshown:
+            if self.unshown[0] not in ("svg", "select") or name not in BREAKS or "foreignobject" in self.unshown:
+                if name not in VOID and name not in INLINE and not rest.endswith("/"):
+                    self.unshown.append(name)
+                return
+            self.unshown = []
         if name == "br":
             self.parts.append(" ")
             return
@@ -183,6 +201,13 @@ class Blocks:
         self.links = 0
 
     def end(self, name: str) -> None:
+        if self.unshown:
+            if name in self.unshown:
+                del self.unshown[len(self.unshown) - 1 - self.unshown[::-1].index(name) :]
+                return
+            if name in INLINE or not any(o.name == name for o in self.stack):
+                return
+            self.unshown = []  # what is around it ends
         if name in INLINE:
             if name == "a" and self.links:
                 self.links -= 1
@@ -199,6 +224,7 @@ class Blocks:
 def blocks(page: str) -> list[Block]:
     """Text blocks of a page in order."""
     out, at = Blocks(), 0
+    last: dict[str, int] = {}  # where the last end tag of an unshown element is
     match = TOKEN.search
     while True:
         m = match(page, at)
@@ -213,12 +239,15 @@ def blocks(page: str) -> list[Block]:
         if name[0] == "/":
             out.end(name[1:])
         elif name in RAW:
-            closed = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
             if not m["rest"].endswith("/"):
+                closed = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = closed.end() if closed else len(page)
-            if name not in ("svg", "math", "select"):
-                continue
-            out.parts.append(" ")
+        elif name in UNSHOWN and not out.unshown:
+            out.parts.append(" " if name in ("svg", "select") else "")
+            if name not in last:
+                last[name] = max((e.start() for e in re.finditer(rf"</{name}", page, re.I)), default=-1)
+            if at <= last[name] and not m["rest"].endswith("/"):
+                out.unshown.append(name)
         else:
             out.start(name, m["rest"])
     out.text(page[at:])

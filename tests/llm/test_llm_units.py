@@ -305,6 +305,25 @@ def test_names_condemn_by_evidence_only(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds.</p></article>", "If x=1 holds."),
+        ("<p>a <math><semantics><mi>x</mi><annotation encoding='tex'>\\x</annotation></semantics></math> b", "a x b"),
+        ("<article><p>a</p><object data='x'><p>In words.</p></object><canvas>A chart.</canvas></article>", "a\n\nIn words.\n\nA chart."),
+        *[(f"<article><p>a</p><{e}><p>b</p></article><p>c", "a\n\nb") for e in ("svg", "select", "object", "canvas", "noscript", "template", "math")],
+        ("<article><p>a</p><svg><g><text>no</text><p>b</p></article><p>c<svg></svg>", "a\n\nb"),
+        ("<article><div>a<select><option>no</div><p>b</p></article><select></select>", "a\n\nb"),
+        ("<p>a<svg><title>t</title><text>no</text></svg>b<select><option>no</select>c", "a b c"),
+        ("<p>a<noscript><p>no</p></noscript>b<template><div>no</div></template>c</p>", "abc"),
+        ("<article><p>a</p><template><template><p>no</p></template><p>no</p></template><p>b</p></article>", "a\n\nb"),
+        ("<p>a<iframe><p>no</p></iframe>b<textarea><p>no</textarea>c", "abc"),
+    ],
+)
+def test_only_raw_text_is_skipped(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_hostile_markup_takes_linear_time():
     for page in ("<a " * 50_000, "<p " + "x='" * 50_000, "<div>" * 5_000 + "t", "<!--" * 50_000, "<p a=\"" * 20_000):
         html_text.main_text(page)
