@@ -4,8 +4,9 @@ A text is its words; its k-mers are runs of five words, labelled with their occu
 number in the text. An order-MinHash sample takes, under one hash order, the three labelled
 k-mers that come first and keeps them in text order, so two texts agree on it with a
 probability that falls with their edit similarity, not just their sets. Two samples make a
-band, 36 bands a sketch: texts with a k-mer similarity of 0.8 share a band with a
-probability above 0.9999, of 0.3 with one below 0.03.
+band, 36 bands a sketch: texts of more than 30 k-mers with a k-mer similarity of 0.8 share a
+band with a probability above 0.9999, of 0.3 with one below 0.03. The fewer k-mers, the
+lower it is (4 common of 5: 0.998), so shorter texts do not depend on it.
 
 1. Texts with equal words are one node, the smallest doc_id of theirs.
 2. In every bucket (nodes with an equal band) all nodes are compared with the hub, the node
@@ -17,7 +18,8 @@ probability above 0.9999, of 0.3 with one below 0.03.
    other components that can reach the set similarity: of each node's k-mers, rarest
    first, only so many are indexed that two similar nodes must share one of them, at a
    place that leaves enough k-mers to agree on (prefix and position filters, both exact).
-   No partner is capped, and no bucket is paired off as a whole.
+   Texts of at most 30 k-mers are all compared like this, whatever their buckets. No partner is
+   capped, and no bucket is paired off as a whole.
 4. Components again, over all links. A class is named by its smallest doc_id.
 
 Large groups: copies are collapsed by an aggregate with partial sums; buckets are only
@@ -42,6 +44,9 @@ from candlewick.llm.components import components
 
 K, PICKED, SAMPLES_PER_BAND, BANDS = 5, 3, 2, 36
 SIMILAR = 0.8
+#: Words of texts (30 k-mers) that do not depend on their sketches, and of the longest that can be similar to them.
+SHORT = 34
+SHORT_PARTNER = int(SHORT / SIMILAR + 1e-9) + 1
 SEED = 20_240
 #: Kept words per task; beyond, the table is emptied and grows anew.
 MAX_WORDS = 150_000
@@ -195,22 +200,23 @@ def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> tuple[float,
 
 
 def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, key (of the words), bands."""
+    """doc_id, key (of the words), n (number of words), bands."""
 
     def factory():
         words_of, sketch = WordHash(), Sketch()
 
         def apply(doc_id, texts):
-            keys, bands = [], []
+            keys, counts, bands = [], [], []
             for t in texts:
                 words = (t or "").encode().split()
                 keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                counts.append(len(words))
                 bands.append(sketch(words_of.array(words)))
-            return {"doc_id": doc_id, "key": keys, "bands": bands}
+            return {"doc_id": doc_id, "key": keys, "n": counts, "bands": bands}
 
         return apply
 
-    return map_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), "doc_id long, key binary, bands array<long>", factory, step=128)
+    return map_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text), "doc_id long, key binary, n long, bands array<long>", factory, step=128)
 
 
 def word_rows(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
@@ -281,10 +287,15 @@ def cross_pairs(side: DataFrame, words: DataFrame, least: float = SIMILAR) -> Da
     first = F.slice("all", F.lit(1), (F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).cast("int"))
     prefix = ordered.select("node", "size", F.posexplode(first).alias("at", "e")).select("node", "size", "at", F.col("e.g").alias("g"))
     prefix = written(prefix.join(side, "node"), "prefixes")
+    # of two different components one is not the k-mer's most frequent: a large one never meets itself
+    parts = prefix.groupBy("g", "root").agg(F.count("*").alias("n")).groupBy("g").agg(
+        F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts"))
+    prefix = written(prefix.join(parts.where("parts > 1").select("g", "main"), "g"), "met")
     other = prefix.select(*[F.col(c).alias(f"{c}_") for c in prefix.columns])
     common = F.ceil(least / (1 + least) * (F.col("size") + F.col("size_")) - 1e-9)
     enough = (F.col("at") <= F.col("size") - common) & (F.col("at_") <= F.col("size_") - common)
-    met = prefix.where("outside").join(other, (F.col("g") == F.col("g_")) & (F.col("root") != F.col("root_")) & enough)
+    apart = (F.col("root") != F.col("root_")) & (F.col("outside") | F.col("outside_"))
+    met = prefix.where("root <> main").join(other, (F.col("g") == F.col("g_")) & apart & enough)
     return met.select(F.greatest("node", "node_").alias("a"), F.least("node", "node_").alias("b")).distinct()
 
 
@@ -293,11 +304,13 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     sketched = written(sketches(docs, text), "sketches")
     nodes = written(sketched.groupBy("key").agg(F.min("doc_id").alias("node")), "nodes")
     # one row per text: of rows with the node's id, those with its words
-    bands = sketched.select("doc_id", "key", "bands").join(nodes, "key").where("doc_id = node").select("node", "key", "bands").dropDuplicates(["node", "key"])
+    bands = sketched.select("doc_id", "key", "n", "bands").join(nodes, "key").where("doc_id = node").select("node", "key", "n", "bands").dropDuplicates(["node", "key"])
+    short = bands.where(F.col("n").between(1, SHORT_PARTNER)).groupBy("node").agg((F.min("n") <= SHORT).alias("outside"))
+    short = written(short, "short")
     members = written(hubs(bands.select("node", F.explode("bands").alias("bucket")).distinct()), "hubs")
     pairs = members.where("node <> hub").select(F.greatest("node", "hub").alias("a"), F.least("node", "hub").alias("b"))
     pairs = written(pairs.distinct(), "pairs")
-    wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
+    wanted = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(short.select("node")).distinct(), "wanted")
     words = word_rows(docs, wanted, text).join(nodes.select("key", F.col("node").alias("of")), "key").where("node = of")
     words = written(words.select("node", "key", "w").dropDuplicates(["node", "key"]).select("node", "w"), "words")
     compared_first = written(compared(pairs, words), "compared")
@@ -308,7 +321,9 @@ def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     found = found.join(hub_root, "hub", "left").withColumn("outside", F.col("root") != F.coalesce("hub_root", "hub"))
     found = written(found.select("bucket", "node", "root", "outside"), "rooted")
     open_buckets = found.where("outside").select("bucket").distinct()
-    side = found.join(open_buckets, "bucket").groupBy("node", "root").agg(F.max("outside").alias("outside"))
+    side = found.join(open_buckets, "bucket").select("node", "root", "outside")
+    side = side.unionByName(short.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "outside"))
+    side = side.groupBy("node", "root").agg(F.max("outside").alias("outside"))
     more = cross_pairs(written(side, "open"), words)
     more = written(more.join(pairs, ["a", "b"], "left_anti"), "cross")
     more = written(compared(more, words), "compared")

@@ -127,6 +127,17 @@ def test_near_dedup_groups(spark):
     assert len(set(got.values())) < len(docs) - 30
 
 
+def test_near_dedup_short_texts_without_a_common_band(spark):
+    r, sketch, words_of, docs = random.Random(8), near_dedup.Sketch(), near_dedup.WordHash(), []
+    while len(docs) < 6:  # nine words against eight of them: four of five runs
+        text = [f"{r.randrange(10**6)}" for _ in range(9)]
+        a, b = (words_of.array([w.encode() for w in t]) for t in (text, text[:8]))
+        if not (sketch(a) == sketch(b)).any():
+            docs += [(len(docs), " ".join(text)), (len(docs) + 1, " ".join(text[:8]))]
+    rows = near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.class_id for x in rows} == {d: d // 2 * 2 for d, _ in docs}
+
+
 def test_near_dedup_large_group_stays_linear(spark):
     r = random.Random(3)
     base = words(r, 150)
