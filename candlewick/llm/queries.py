@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import bpe, chat_format, html_text, mixing, near_dedup, quality_gam, quality_rules, secret_scan, token_files, vector_search
+from candlewick.llm import bpe, chat_format, html_text, improbable_digest, mixing, near_dedup, periodic_runs, quality_gam, quality_rules, secret_scan, spelling_variants, token_files, vector_search
 from candlewick.sources.tables import read_table
 
 
@@ -52,5 +52,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_vector_search, op2_mix_sources, op3_chat_format, op4_quality_gam, op5_token_files, op6_near_dedup, op7_secret_scan, op8_quality_rules, op9_byte_bpe, op10_html_text)}
-ORACLES = {"op1_vector_search": vector_search.ORACLE, "op2_mix_sources": mixing.ORACLE, "op3_chat_format": chat_format.ORACLE}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return periodic_runs.digests(periodic_runs.find(docs.select("doc_id", periodic_runs.planted().alias("text"))))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(spelling_variants.counted_words(read_table(spark, sf_dir, "documents"), plant=True))
+
+
+def op13_improbable_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return improbable_digest.with_edits(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_vector_search, op2_mix_sources, op3_chat_format, op4_quality_gam, op5_token_files, op6_near_dedup, op7_secret_scan, op8_quality_rules, op9_byte_bpe, op10_html_text, op11_periodic_runs, op12_spelling_variants, op13_improbable_digest)}
+ORACLES = {"op1_vector_search": vector_search.ORACLE, "op2_mix_sources": mixing.ORACLE, "op3_chat_format": chat_format.ORACLE, "op12_spelling_variants": spelling_variants.ORACLE}
