@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import class_text, clock_text, money_text, pl_sign
 from ..operators import backtest as BT
+from ..operators import boosting as BO
 from ..operators import features as FE
 from ..operators import indicators as I
 from ..operators import joins as JN
@@ -618,6 +619,97 @@ def q_ml_scaler_v11(spark, sf):
     return rounded(ML.scaler_table(ML.preparation(_v11_train(spark, sf), FE.V11_COLUMNS), FE.V11_COLUMNS))
 
 
+#: Sizes of the softmax boosters whose trees SQL grows as well; ``BoostParams()`` has the original ones.
+SMALL_BOOST = BO.BoostParams(rounds=4, depth=3, eta=0.3, subsample=1.0)
+
+
+def _probs(df, *cols):
+    """``cols``, the class and the three probabilities of rows with ``probs``."""
+    names = ("p_sell", "p_hold", "p_buy")
+    return df.select(*cols, SG.model_class(F.col("probs")).alias("pred"), *[F.col("probs")[i].alias(n) for i, n in enumerate(names)])
+
+
+def _fit_small(rows, features):
+    """One small booster per ``model``, on bins of equal width; all rows scored."""
+    models = rows.select("model").distinct()
+    return BO.fit(rows.select("model", "id", "label", "weight", *features), features, BO.with_params(models, SMALL_BOOST), BO.width_edges, bins=16)
+
+
+def _scored(rows, model):
+    """``rows`` with the probabilities of their fitted model."""
+    return rows.join(model.scored_rows().select("model", "id", "probs"), ["model", "id"])
+
+
+def q_ml_softmax_by_symbol(spark, sf):
+    """A softmax booster per symbol with explicit class weights, scoring the test tail."""
+    split = BT.chronological_split(_feature_rows(spark, sf, "v11", FE.V11_COLUMNS))
+    rows = ML.explicit_weights(split).withColumn("weight", F.when(F.col("t").isNull(), F.col("weight")).otherwise(0.0))
+    rows = rows.withColumn("model", F.col("symbol")).withColumn("id", F.col("n"))
+    scored = _scored(rows.where(F.col("t").isNotNull()), _fit_small(rows, FE.V11_COLUMNS))
+    return rounded(_probs(scored, *BAR_COLS, "t", "label"))
+
+
+def q_ml_softmax_suppliers(spark, sf):
+    """Every supplier a symbol with a model of its own, all in one fit; saved, loaded and used on the test tails."""
+    prepare(spark)
+    feats = FE.build_features(_numbered(B.lineitem_bars(spark, sf, "l_suppkey")), "simple4")
+    feats = rolling(feats, lambda w: LB.horizon_label_cols("close", w), back=0, fwd=5)
+    split = BT.chronological_split(cut_lineage(feats.select(*BAR_COLS, "label", *FE.SIMPLE4_COLUMNS), "feature_rows"))
+    rows = split.withColumns({"model": F.col("symbol"), "id": F.col("n"), "weight": F.lit(1.0)})
+    fitted = _fit_small(rows.where(F.col("t").isNull()), FE.SIMPLE4_COLUMNS)
+    tails = rows.where(F.col("t").isNotNull())
+    probs = BO.Boosted.load(spark, fitted.path).predict(tails)
+    return rounded(_probs(tails.join(probs, ["model", "id"]), *BAR_COLS, "t", "label"))
+
+
+def _walk_forward(spark, sf, n_folds=5):
+    """Every slice after the first scored by a model of the rows before it: folds and symbols in one fit."""
+    feats = _feature_rows(spark, sf, "v11", FE.V11_COLUMNS)
+    rows = number_rows(feats, list(KEYS), "n", out="m").withColumn("weight", F.lit(1.0))
+    folds = cut_lineage(BO.fold_rows(rows, n_folds), "folds")
+    folds = folds.withColumns({"model": F.concat_ws("|", "symbol", F.col("fold").cast("string")), "id": F.col("n")})
+    return _scored(folds.where("weight = 0"), _fit_small(folds, FE.V11_COLUMNS))
+
+
+def q_ml_walk_forward(spark, sf):
+    """I7 + I3: probabilities of the walk-forward models, by bar."""
+    return rounded(_probs(_walk_forward(spark, sf), *BAR_COLS, "fold", "label"))
+
+
+def q_backtest_walk_forward(spark, sf):
+    """Train, score, gate and backtest in one path: J1, J4 and J5 on the signals of walk-forward models."""
+    scored = cut_lineage(_walk_forward(spark, sf), "walk_forward")
+    test = number_rows(scored, list(KEYS), "n", out="t")
+    test = test.withColumn("prediction", SG.confidence_gate(F.col("probs"), 0.54))
+    test = test.withColumn("signal", SG.slope_gate_backtest(F.col("prediction")))
+    curve = BT.equity_curves(BT.bar_to_bar(test))
+    return rounded(curve.select(*BAR_COLS, "t", "fold", "prediction", "signal", "ret", "cost", "strat_ret", "equity", "equity_bh"))
+
+
+def q_ml_importances(spark, sf):
+    """Features by their share of the gains, per symbol."""
+    split = BT.chronological_split(_feature_rows(spark, sf, "v11", FE.V11_COLUMNS)).where(F.col("t").isNull())
+    rows = split.withColumns({"model": F.col("symbol"), "id": F.col("n"), "weight": F.lit(1.0)})
+    return rounded(_fit_small(rows, FE.V11_COLUMNS).importances().withColumnRenamed("model", "symbol"))
+
+
+# The original search's learning rates and shares of rows and features; its rounds (100 to 500) by 1 in 100, depths below 6.
+SEARCH_GRID = {"rounds": (1, 2, 3, 5), "depth": (3, 5), "eta": (0.01, 0.05, 0.1), "subsample": (0.8, 0.9, 1.0), "colsample": (0.8, 0.9, 1.0)}
+
+
+def q_ml_random_search(spark, sf):
+    """20 draws x 5 expanding-window folds per symbol, macro-F1 of each, mean score and rank; all in one fit."""
+    n_draws, n_folds = ML.REFERENCE_SEARCH["gpu"]
+    split = BT.chronological_split(_feature_rows(spark, sf, "v11", FE.V11_COLUMNS)).where(F.col("t").isNull())
+    rows = split.withColumns({"id": F.col("n"), "weight": F.lit(1.0)})
+    candidates = BO.draws(SEARCH_GRID, n_draws)
+    scores = cut_lineage(BO.search(rows, FE.V11_COLUMNS, candidates, n_folds), "search")
+    best = BO.best_draws(scores).select(*KEYS, F.col("draw").alias("best"))
+    sizes = BO.params_table(spark, {str(i): p for i, p in enumerate(candidates)}).withColumn("draw", F.col("model").cast("int"))
+    out = scores.join(best, list(KEYS)).join(sizes.select("draw", "rounds", "depth", "eta", "subsample", "colsample"), "draw")
+    return rounded(out.withColumn("is_best", F.col("draw") == F.col("best")).drop("best"))
+
+
 # --- L: streaming ----------------------------------------------------------------------------
 
 

@@ -93,11 +93,11 @@ def rollup_bars(bars: DataFrame, tf: str) -> DataFrame:
 # --- bars derived from the driver tables (FIXTURES.md) -------------------------------
 
 
-def lineitem_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Primary bar source: D1 bars per return flag, price = extended price per unit."""
+def lineitem_bars(spark: SparkSession, sf_dir: str, symbol: str = "l_returnflag") -> DataFrame:
+    """Primary bar source: D1 bars per return flag (or another column), price = extended price per unit."""
     li = read_table(spark, sf_dir, "lineitem")
     ticks = li.select(
-        F.col("l_returnflag").alias("symbol"),
+        F.col(symbol).cast("string").alias("symbol"),
         F.col("l_shipdate").alias("ts"),
         F.try_divide(F.col("l_extendedprice"), F.col("l_quantity")).alias("price"),
         "l_orderkey",

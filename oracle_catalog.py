@@ -876,3 +876,96 @@ GROUP BY symbol"""
 
 SQL["bars_by_timeframe_code"] = "\nUNION ALL".join(
     _code_bars(c, s) for c, s in (("M5", 300), ("M30", 1800), ("H4", 14400), ("X7", 3600)))
+
+
+# --- softmax boosted trees ------------------------------------------------------------------
+
+
+def boosted(features: list[str], rounds: int = 4, depth: int = 3, eta: float = 0.3, bins: int = 16) -> str:
+    """CTEs from ``brows`` (model, id, y in 0..2, w, the features) to ``bprobs`` (model, id, w, p_sell, p_hold, p_buy):
+    bins of equal width over the rows of positive weight, then level by level histograms, splits and moved rows."""
+    d = len(features)
+    x = "[" + ", ".join(f"CAST({f} AS DOUBLE)" for f in features) + "]"
+    out = [f"""
+benough AS (SELECT model FROM brows WHERE w > 0 GROUP BY model HAVING count(*) >= 100),
+bvals AS MATERIALIZED (SELECT model, id, y, w, unnest(range({d})) AS f, unnest({x}) AS v FROM brows WHERE model IN (SELECT model FROM benough)),
+bends AS (SELECT model, f, min(v) AS lo, max(v) AS hi FROM bvals WHERE w > 0 GROUP BY model, f),
+bcoded AS (SELECT a.*, len(list_filter(range(1, {bins}), lambda j: lo + (hi - lo) * CAST(j AS DOUBLE) / {bins}.0 < v)) AS bin
+           FROM bvals a JOIN bends e ON a.model = e.model AND a.f = e.f),
+b0_rows AS MATERIALIZED (SELECT model, id, y, w, list(bin ORDER BY f) AS b, 0.0::DOUBLE AS s0, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS s2
+                         FROM bcoded GROUP BY model, id, y, w)"""]
+    for r in range(rounds):
+        out.append(f"""
+b{r}_exp AS (SELECT *, exp(s0 - greatest(s0, s1, s2)) AS e0, exp(s1 - greatest(s0, s1, s2)) AS e1, exp(s2 - greatest(s0, s1, s2)) AS e2 FROM b{r}_rows),
+b{r}_p AS (SELECT model, id, y, w, b, k, CASE k WHEN 0 THEN e0 WHEN 1 THEN e1 ELSE e2 END / (e0 + e1 + e2) AS p FROM b{r}_exp, (VALUES (0), (1), (2)) ks(k)),
+b{r}_n0 AS MATERIALIZED (SELECT model, id, w, b, k, CAST(floor((p - CASE WHEN y = k THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * w * 1048576.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS g,
+    CAST(floor(2.0::DOUBLE * p * (1.0::DOUBLE - p) * w * 1048576.0::DOUBLE + 0.5::DOUBLE) AS BIGINT) AS h, 1 AS node, 0.0::DOUBLE AS v, true AS live FROM b{r}_p)""")
+        for level in range(depth):
+            n = f"b{r}_n{level}"
+            out.append(f"""
+{n}_h AS (SELECT model, k, node, f, bin, sum(g)::BIGINT AS g, sum(h)::BIGINT AS h
+    FROM (SELECT model, k, node, g, h, unnest(range({d})) AS f, unnest(b) AS bin FROM {n} WHERE live AND w > 0) GROUP BY ALL),
+{n}_c AS (SELECT model, k, node, f, bin, max(bin) OVER q AS last_, (sum(g) OVER o)::BIGINT AS gl_, (sum(h) OVER o)::BIGINT AS hl_,
+    (sum(g) OVER q)::BIGINT AS g_, (sum(h) OVER q)::BIGINT AS h_ FROM {n}_h
+    WINDOW q AS (PARTITION BY model, k, node, f), o AS (PARTITION BY model, k, node, f ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+{n}_u AS (SELECT model, k, node, f, bin, last_, gl_ / 1048576.0::DOUBLE AS gl, hl_ / 1048576.0::DOUBLE AS hl, (g_ - gl_) / 1048576.0::DOUBLE AS gr,
+    (h_ - hl_) / 1048576.0::DOUBLE AS hr, g_ / 1048576.0::DOUBLE AS g, h_ / 1048576.0::DOUBLE AS h FROM {n}_c),
+{n}_g AS (SELECT *, CASE WHEN bin < last_ AND hl >= 1 AND hr >= 1 THEN gl * gl / (hl + 1) + gr * gr / (hr + 1) - g * g / (h + 1) ELSE 0 END AS gain FROM {n}_u),
+{n}_s AS MATERIALIZED (SELECT model, k, node, gain > 1e-9 AS split, f, bin AS cut, CASE WHEN gain > 1e-9 THEN -gl / (hl + 1) ELSE -g / (h + 1) END AS lv, -gr / (hr + 1) AS rv,
+    CASE WHEN gain > 1e-9 THEN gain ELSE 0.0 END AS gain FROM {n}_g
+    QUALIFY row_number() OVER (PARTITION BY model, k, node ORDER BY CASE WHEN gain > 1e-9 THEN gain ELSE 0 END DESC, f, bin) = 1),
+b{r}_n{level + 1} AS MATERIALIZED (SELECT a.model, id, w, b, a.k, g, h,
+    CASE WHEN live AND split THEN 2 * a.node + CASE WHEN b[f + 1] > cut THEN 1 ELSE 0 END ELSE a.node END AS node,
+    CASE WHEN live AND split THEN CASE WHEN b[f + 1] > cut THEN rv ELSE lv END {'WHEN live THEN lv ' if level == 0 else ''}ELSE v END AS v,
+    coalesce(live AND split, false) AS live
+    FROM {n} a LEFT JOIN {n}_s s ON s.model = a.model AND s.k = a.k AND s.node = a.node)""")
+        out.append(f"""
+b{r}_v AS (SELECT model, id, max(v) FILTER (k = 0) AS v0, max(v) FILTER (k = 1) AS v1, max(v) FILTER (k = 2) AS v2 FROM b{r}_n{depth} GROUP BY model, id),
+b{r + 1}_rows AS MATERIALIZED (SELECT a.model, a.id, y, w, b, s0 + {eta}::DOUBLE * v0 AS s0, s1 + {eta}::DOUBLE * v1 AS s1, s2 + {eta}::DOUBLE * v2 AS s2
+    FROM b{r}_rows a JOIN b{r}_v v ON v.model = a.model AND v.id = a.id)""")
+    out.append(f"""
+blast AS (SELECT *, exp(s0 - greatest(s0, s1, s2)) AS e0, exp(s1 - greatest(s0, s1, s2)) AS e1, exp(s2 - greatest(s0, s1, s2)) AS e2 FROM b{rounds}_rows),
+bprobs AS (SELECT model, id, w, e0 / (e0 + e1 + e2) AS p_sell, e1 / (e0 + e1 + e2) AS p_hold, e2 / (e0 + e1 + e2) AS p_buy FROM blast)""")
+    return ",".join(out)
+
+
+_P3 = f"CAST({ARGMAX} AS INTEGER) AS pred, {rnd('p_sell')} AS p_sell, {rnd('p_hold')} AS p_hold, {rnd('p_buy')} AS p_buy"
+_V11_ROWS = f"""
+x0 AS (SELECT *, row_number() OVER (PARTITION BY symbol, tf ORDER BY n) - 1 AS m, count(*) OVER (PARTITION BY symbol, tf) AS rows_ FROM feat WHERE {V11_OK}),
+xs AS (SELECT *, CASE WHEN m >= floor(rows_ * 0.8) THEN m - CAST(floor(rows_ * 0.8) AS BIGINT) END AS t FROM x0)"""
+
+SQL["ml_softmax_by_symbol"] = _li(barrier_ctes("v11"), _V11_ROWS, f"""
+brows AS (SELECT symbol AS model, n AS id, label + 1 AS y, CASE WHEN t IS NULL THEN CASE label WHEN 0 THEN 0.5 WHEN 1 THEN 4.0 ELSE 2.0 END ELSE 0.0 END::DOUBLE AS w, * FROM xs)""",
+    boosted(V11_COLS)) + f"""
+SELECT symbol, tf, time, n, t, label, {_P3} FROM xs JOIN bprobs ON model = symbol AND id = n WHERE t IS NOT NULL"""
+
+SQL["ml_importances"] = _li(barrier_ctes("v11"), _V11_ROWS, f"""
+brows AS (SELECT symbol AS model, n AS id, label + 1 AS y, 1.0::DOUBLE AS w, * FROM xs WHERE t IS NULL)""",
+    boosted(V11_COLS)) + f"""
+, gains AS ({' UNION ALL '.join(f'SELECT model, f, gain FROM b{r}_n{v}_s WHERE split' for r in range(4) for v in range(3))}),
+sums AS (SELECT model AS symbol, {V11_COLS}[f + 1] AS feature, sum(gain) AS gain FROM gains GROUP BY model, f)
+SELECT symbol, feature, {rnd('gain / sum(gain) OVER (PARTITION BY symbol)')} AS importance FROM sums"""
+
+_S4 = ["sma_10", "sma_30", "rsi_14", "price_change"]
+SQL["ml_softmax_suppliers"] = with_ctes(LINEITEM_BARS.replace("l_returnflag AS symbol", "CAST(l_suppkey AS VARCHAR) AS symbol"), NUMBERED, ta_state(), f"""
+s AS (SELECT symbol, tf, time, n, close, {sma('close', 10)} AS sma_10, {sma('close', 30)} AS sma_30,
+        {IND['rsi_14']} AS rsi_14, {tdiv('close', lag('close'))} - 1.0 AS price_change, {tdiv(lead('close', 5) + ' - close', 'close')} AS ahead FROM ta),
+x0 AS (SELECT *, CASE WHEN ahead > 0.002 THEN 1 WHEN ahead < -0.002 THEN -1 ELSE 0 END AS label,
+        row_number() OVER (PARTITION BY symbol, tf ORDER BY n) - 1 AS m, count(*) OVER (PARTITION BY symbol, tf) AS rows_
+       FROM s WHERE sma_10 IS NOT NULL AND sma_30 IS NOT NULL AND rsi_14 IS NOT NULL AND price_change IS NOT NULL),
+xs AS (SELECT *, CASE WHEN m >= floor(rows_ * 0.8) THEN m - CAST(floor(rows_ * 0.8) AS BIGINT) END AS t FROM x0),
+brows AS (SELECT symbol AS model, n AS id, label + 1 AS y, CASE WHEN t IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS w, * FROM xs)""",
+    boosted(_S4)) + f"""
+SELECT symbol, tf, time, n, t, label, {_P3} FROM xs JOIN bprobs ON model = symbol AND id = n WHERE t IS NOT NULL"""
+
+_WALK_FORWARD = _li(barrier_ctes("v11"), f"""
+x0 AS (SELECT *, row_number() OVER (PARTITION BY symbol, tf ORDER BY n) - 1 AS m, count(*) OVER (PARTITION BY symbol, tf) AS rows_ FROM feat WHERE {V11_OK}),
+xf AS (SELECT *, rows_ // 6 AS size_, rows_ - (5 - fold) * (rows_ // 6) AS from_ FROM x0, (SELECT unnest(range(5)) AS fold)),
+brows AS (SELECT symbol || '|' || fold AS model, n AS id, label + 1 AS y, CASE WHEN m < from_ THEN 1.0 ELSE 0.0 END::DOUBLE AS w, * FROM xf WHERE m < from_ + size_)""",
+    boosted(V11_COLS), """
+walked AS (SELECT b.symbol, b.tf, b.time, b.n, b.close, CAST(b.fold AS INTEGER) AS fold, b.label, b.slope_20, b.adx, p_sell, p_hold, p_buy FROM brows b JOIN bprobs p ON p.model = b.model AND p.id = b.id WHERE b.w = 0)""")
+SQL["ml_walk_forward"] = _WALK_FORWARD + f"\nSELECT symbol, tf, time, n, fold, label, {_P3} FROM walked"
+SQL["backtest_walk_forward"] = _WALK_FORWARD + f""",
+test AS (SELECT *, row_number() OVER (PARTITION BY symbol, tf ORDER BY n) - 1 AS t FROM walked),{B2B},{_equity('b4')}
+SELECT {KEYCOLS}, t, fold, prediction, signal, {rnd('ret')} AS ret, {rnd('cost')} AS cost, {rnd('strat_ret')} AS strat_ret,
+  {rnd('equity')} AS equity, {rnd('equity_bh')} AS equity_bh FROM eq"""
