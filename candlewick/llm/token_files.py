@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import map_documents, release_memory, scratch_path, written
+from candlewick.llm.common import map_documents, per_worker, release_memory, scratch_path, written
 
 #: Fixed value: appended to every document.
 END_ID = 1
@@ -46,8 +46,8 @@ SKIPPABLE, MARK, VERSION = 0x184D2A5E, b"CWSEEK", 1
 ENTRY, TAIL = "<IIIIqqQ", "<IIIB6s"
 #: Ids per frame and packed bytes per file, from which on a new one begins.
 FRAME_IDS, FILE_BYTES = 1 << 16, 8 << 20
-#: Kept pieces of text per task; beyond, the table is emptied and grows anew.
-MAX_PIECES = 1_000_000
+#: Bytes of kept pieces per Python worker, with what an entry costs besides; beyond, the table is emptied and grows anew.
+MAX_BYTES, PIECE_COST = 200_000_000, 150
 #: ASCII punctuation without the apostrophe, which begins endings that the tokenizer splits off.
 PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Documents per range of the order, and ranges at most.
@@ -60,7 +60,9 @@ class Ids:
     The tokenizer drops white space and merges nothing across it, so a text's ids are those
     of its pieces, one after the other. New pieces of letters are single words and encoded
     many at a time, as one text, cut after each id that ends a word. ASCII punctuation after
-    a letter or digit is a word of its own, so such pieces are put together from two.
+    a letter or digit is a word of its own, so such pieces are put together from two. Both
+    hold for a piece as the tokenizer's normalizer leaves it: it may turn a letter into
+    one with a mark, which is no letter. Pieces with an added token's string stay whole.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -68,51 +70,75 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = np.dtype(dtype)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # an added token's string ends words by itself
+        self.ends[[i for i in self.tokenizer.get_added_tokens_decoder() if i < len(self.ends)]] = False
         self.known: dict[str, bytes] = {}
+        self.size = 0
 
-    @staticmethod
-    def split(piece: str) -> tuple[str, str]:
+    def normal(self, text: str) -> str:
+        return text if text.isascii() or not self.tokenizer.normalizer else self.tokenizer.normalizer.normalize_str(text)
+
+    def words(self, pieces: set[str]) -> set[str]:
+        """The pieces of letters only, before and after the normalizer: one word each for the tokenizer."""
+        letters = [p for p in pieces if p.isalpha()]
+        out = {p for p in letters if p.isascii()}
+        other = [p for p in letters if p not in out]
+        normal = self.normal(" ".join(other)).split(" ")
+        return out.union(p for p, n in zip(other, normal) if n.isalpha()) if len(normal) == len(other) else out
+
+    def split(self, piece: str) -> tuple[str, str]:
         """The piece without the punctuation after it, and that."""
         core = piece.rstrip(PUNCTUATION)
-        return (core, piece[len(core) :]) if core and core[-1].isalnum() else (piece, "")
+        if not core or not core[-1].isalnum() or not self.normal(core[-1])[-1:].isalnum():
+            return piece, ""
+        low = piece.lower()
+        return (piece, "") if any(t in low for t in self.added) else (core, piece[len(core) :])
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
+    def learn_words(self, words: list[str]) -> None:
+        """Words as one text; halves of it, should a word be more than one for the tokenizer."""
+        ids = self.ids(" ".join(words))
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) if len(ids) and int(ids.max()) < len(self.ends) else []
+        if len(cuts) == len(words):
+            raw, cuts = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
+            self.known.update(zip(words, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+        elif len(words) == 1:
+            self.known[words[0]] = ids.tobytes()
+        else:
+            half = len(words) // 2
+            self.learn_words(words[:half])
+            self.learn_words(words[half:])
+
     def learn(self, pieces: set[str]) -> None:
-        known, width = self.known, self.dtype.itemsize
-        words = {p for p in pieces if p.isalpha()}
+        known = self.known
+        words = self.words(pieces)
         others = list(pieces.difference(words))
         both = [self.split(p) for p in others]
         parts = {p for b in both for p in b}.difference(known)
-        words.update(p for p in parts if p.isalpha())
+        words.update(self.words(parts))
         rest, words = parts.difference(words), list(words)
         for at in range(0, len(words), 4096):
-            some = words[at : at + 4096]
-            ids = self.ids(" ".join(some))
-            cuts = (np.flatnonzero(self.ends[ids]) + 1) * width
-            if len(cuts) != len(some):  # some word isn't one for the tokenizer
-                rest.update(some)
-                continue
-            raw, cuts = ids.tobytes(), cuts.tolist()
-            known.update(zip(some, [raw[a:b] for a, b in zip([0, *cuts], cuts)]))
+            self.learn_words(words[at : at + 4096])
         for p in rest:
             known[p] = self.ids(p).tobytes()
         known.update(zip(others, [known[core] + known[tail] if tail else known[core] for core, tail in both]))
+        self.size += sum(map(len, pieces)) + sum(map(len, parts)) + PIECE_COST * (len(pieces) + len(parts))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [t.replace("\n", " ").split(" ") for t in texts]
         pieces = set().union(*split)
         new = pieces.difference(self.known)
-        if len(self.known) + len(new) > MAX_PIECES:
+        if self.size > MAX_BYTES:
             self.known.clear()
-            new = pieces
+            self.size, new = 0, pieces
         if new:
             self.learn(new)
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
@@ -255,7 +281,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
         ids, writer = None, Writer(TaskContext.get().partitionId(), dtype)
         end = b"" if end_id is None else np.array([end_id], dtype=dtype).tobytes()
         for batch in batches:
-            ids = ids if ids is not None else Ids(tokenizer, dtype)
+            # a worker's later tasks find the pieces that earlier ones learned
+            ids = ids if ids is not None else per_worker(f"token ids {tokenizer} {dtype}", lambda: Ids(tokenizer, dtype))
             for at in range(0, batch.num_rows, 256):
                 doc_ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
                 for doc_id, x in zip(doc_ids, ids.encode([t or "" for t in texts])):
@@ -267,9 +294,9 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
         release_memory()
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(text, F.lit("")).alias("t"))
-    # a task's table of known pieces pays off with the text it sees
     ranges = min(MAX_RANGES, max(docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // RANGE_DOCS)))
-    rows = rows.repartitionByRange(ranges, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
+    # rows of one key are dealt by how their texts begin
+    rows = rows.repartitionByRange(ranges, F.col("k").asc_nulls_first(), F.substring("t", 1, 32)).sortWithinPartitions(F.col("k").asc_nulls_first(), "t")
     files = rows.mapInArrow(run, "file binary")
     files.select(F.col("file").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
 

@@ -66,7 +66,6 @@ def test_token_files(spark, folders):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     got = sorted(((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in run(spark, folders, "op5_token_files")), key=lambda r: r[1])
     assert got == plain_token_rows(TEXTS, tokenizer)
 

@@ -90,15 +90,19 @@ def test_pieces_equal_whole_texts():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     ids = token_files.Ids(path, "<u2")
 
     @settings(max_examples=300, deadline=None)
-    @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(list("aAzZéÉ'.,!* \n1²ſßΣ<|>"))), max_size=40))
+    @given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from([*"aAzZéÉ'.,!* \n1²ſßΣ<|>İक़", "<|endoftext|>", "<|startoftext|>"])), max_size=40))
     def same(text):
         assert np.frombuffer(ids.encode([text])[0], "<u2").tolist() == whole.encode(text, add_special_tokens=False).ids
 
     same()
+    for text in ("BELEDİYESİ.", "BELEDİYESİ, İ__", "a İ! b", "x <|endoftext|> y", "a<|endoftext|>.b", "<|ENDOFTEXT|>!", "क़.", "İ İİ. iI."):
+        same.hypothesis.inner_test(text)
+    ids.size = token_files.MAX_BYTES + 1  # the table is emptied and grows anew
+    same.hypothesis.inner_test("again İ. <|endoftext|>, words")
+    assert len(ids.known) < 10
 
 
 def token_file(docs, frame=8):
