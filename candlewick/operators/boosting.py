@@ -33,10 +33,10 @@ from .ml import MIN_TRAIN_ROWS
 
 SCALE = float(1 << 20)
 CLASSES = 3
-#: Nodes of a class have numbers below this: room for trees of 11 levels.
-NODES = 4096
 #: Gains up to this are rounding, not splits.
 MIN_GAIN = 1e-9
+#: Rows of one level's table of splits.
+SPLITS = "model string, k int, node int, split boolean, f int, bin short, left double, right double, gain double"
 #: Rows of a model that are scored together with a copy of its trees.
 SCORE_BLOCK = 4096
 
@@ -100,10 +100,12 @@ def _binned(rows: DataFrame, edges: DataFrame, features: Sequence[str]) -> DataF
 # --- trees ------------------------------------------------------------------------------------
 
 
-def _by_model(splits: DataFrame) -> DataFrame:
-    """One row per model: its splits of this round, by class and node."""
-    entry = F.struct((F.col("k") * NODES + F.col("node")).alias("key"), F.struct("split", "f", "bin", "left", "right").alias("value"))
-    return splits.groupBy("model").agg(F.map_from_entries(F.collect_list(entry)).alias("tree"))
+def _by_model(splits: DataFrame, levels: int) -> DataFrame:
+    """One row per model: ``tree``, its splits of this round as an array over class and node."""
+    entry = F.struct((F.col("k") * F.lit(1 << levels) + F.col("node")).alias("key"), F.struct("split", "f", "bin", "left", "right").alias("value"))
+    found = splits.groupBy("model").agg(F.map_from_entries(F.collect_list(entry)).alias("found"))
+    places = F.sequence(F.lit(0), F.lit(CLASSES * (1 << levels) - 1))
+    return found.select("model", F.transform(places, lambda i: F.try_element_at("found", i)).alias("tree"))
 
 
 def _walk(k: int, levels: int) -> Column:
@@ -116,10 +118,9 @@ def _walk(k: int, levels: int) -> Column:
         return F.struct(node.alias("node"), value.alias("value"), F.lit(live).alias("live"))
 
     def step(a, _):
-        e = F.try_element_at("tree", F.lit(k * NODES) + a.node)
-        goes_on = a.live & e.isNotNull()
+        e = F.get("tree", F.lit(k << levels) + a.node)
         return (
-            F.when(~goes_on, out(a.node, a.value, False))
+            F.when(~a.live | e.isNull(), out(a.node, a.value, False))
             .when(~e.split, out(a.node, e.left, False))
             .when(F.get("bins", e.f) > e.bin, out(a.node * 2 + 1, e.right, True))
             .otherwise(out(a.node * 2, e.left, True))
@@ -143,7 +144,7 @@ def _feature_turn(turn: int, k: int, n: int) -> list[int]:
     return [order.index(f) for f in range(n)]
 
 
-def _histogram(state: DataFrame, tree: DataFrame | None, turn: int, level: int, n_features: int) -> DataFrame:
+def _histogram(state: DataFrame, tree: DataFrame | None, turn: int, level: int, n_features: int, by_share: bool) -> DataFrame:
     """Sums of gradients and hessians by model, class, node, feature and bin."""
     drawn = F.crc32(F.concat(F.col("id").cast("string"), F.lit(f":{turn}"))) % 1000 < F.col("subsample") * 1000
     rows = state.where((F.col("weight") > 0) & (F.col("rounds") > turn) & (F.col("depth") > level) & ((F.col("subsample") >= 1) | drawn))
@@ -158,6 +159,8 @@ def _histogram(state: DataFrame, tree: DataFrame | None, turn: int, level: int,
         each.append(F.struct(F.lit(k).alias("k"), _walk(k, level).alias("at"), g.alias("g"), h.alias("h")))
     rows = rows.select("model", "bins", "colsample", F.explode(F.array(*each)).alias("c")).where("c.at.live")
     rows = rows.select("model", "colsample", F.col("c.k").alias("k"), F.col("c.at.node").alias("node"), F.col("c.g").alias("g"), F.col("c.h").alias("h"), F.posexplode("bins").alias("f", "bin"))
+    if not by_share:
+        return rows.groupBy("model", "k", "node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
     turns = F.array(*[F.array(*map(F.lit, _feature_turn(turn, k, n_features))) for k in range(CLASSES)])
     taken = F.get(F.get(turns, F.col("k")), F.col("f")) < F.ceil(F.col("colsample") * n_features)
     rows = rows.where((F.col("colsample") >= 1) | taken)
@@ -170,7 +173,8 @@ def _best_splits(hist: DataFrame, params: DataFrame, level: int) -> DataFrame:
     node = ["model", "k", "node"]
     whole = Window.partitionBy(*node, "f")
     below = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    rows = hist.select(*node, "f", "bin", F.sum("g").over(below).alias("gl_"), F.sum("h").over(below).alias("hl_"), F.sum("g").over(whole).alias("g_"),
+    # histograms are small; dealt by node once, for the running sums and for the best of them
+    rows = hist.repartition(*node).select(*node, "f", "bin", F.sum("g").over(below).alias("gl_"), F.sum("h").over(below).alias("hl_"), F.sum("g").over(whole).alias("g_"),
                        F.sum("h").over(whole).alias("h_"), F.max("bin").over(whole).alias("last_"))
     rows = rows.join(params.select("model", "lam", "min_child"), "model")
 
@@ -291,17 +295,17 @@ def fit(rows: DataFrame, features: Sequence[str], params: DataFrame, edges=quant
     kept = ["model", "id", F.col("label").cast("int").alias("label"), F.col("weight").cast("double").alias("weight"), "bins", "rounds", "depth", "eta", "subsample", "colsample"]
     start.select(*kept, F.array(*[F.lit(0.0)] * CLASSES).alias("scores")).write.parquet(place("state", "start"))
     state = place("state", "start")
-    sizes = params.agg(F.max("rounds"), F.max("depth")).first()
-    schema = spark.read.parquet(state).schema
+    sizes = params.agg(F.max("rounds"), F.max("depth"), F.min("colsample")).first()
+    schema = spark.read.parquet(state).schema  # read once: later reads look at no file
     for turn in range(sizes[0] or 0):
         now = spark.read.schema(schema).parquet(state)
         levels: list[str] = []
 
         def tree() -> DataFrame:
-            return _by_model(spark.read.parquet(*levels))
+            return _by_model(spark.read.schema(SPLITS).parquet(*levels), len(levels))
 
         for level in range(sizes[1]):
-            hist = _histogram(now, tree() if levels else None, turn, level, len(features))
+            hist = _histogram(now, tree() if levels else None, turn, level, len(features), sizes[2] < 1)
             levels.append(place("trees", f"round={turn}", f"level={level}"))
             _best_splits(hist, params, level).write.parquet(levels[-1])
         moved = now.join(tree(), "model", "left")

@@ -693,8 +693,8 @@ def q_ml_importances(spark, sf):
     return rounded(_fit_small(rows, FE.V11_COLUMNS).importances().withColumnRenamed("model", "symbol"))
 
 
-# The original search's learning rates and shares of rows and features; its rounds (100 to 500) by 1 in 100, depths below 6.
-SEARCH_GRID = {"rounds": (1, 2, 3, 5), "depth": (3, 5), "eta": (0.01, 0.05, 0.1), "subsample": (0.8, 0.9, 1.0), "colsample": (0.8, 0.9, 1.0)}
+# The original search's learning rates and shares of rows and features. Rounds (100 to 500) and depths (3 to 7) are smaller.
+SEARCH_GRID = {"rounds": (1, 2, 3), "depth": (2, 3), "eta": (0.01, 0.05, 0.1), "subsample": (0.8, 0.9, 1.0), "colsample": (0.8, 0.9, 1.0)}
 
 
 def q_ml_random_search(spark, sf):
@@ -703,7 +703,7 @@ def q_ml_random_search(spark, sf):
     split = BT.chronological_split(_feature_rows(spark, sf, "v11", FE.V11_COLUMNS)).where(F.col("t").isNull())
     rows = split.withColumns({"id": F.col("n"), "weight": F.lit(1.0)})
     candidates = BO.draws(SEARCH_GRID, n_draws)
-    scores = cut_lineage(BO.search(rows, FE.V11_COLUMNS, candidates, n_folds), "search")
+    scores = cut_lineage(BO.search(rows, FE.V11_COLUMNS, candidates, n_folds, bins=16), "search")
     best = BO.best_draws(scores).select(*KEYS, F.col("draw").alias("best"))
     sizes = BO.params_table(spark, {str(i): p for i, p in enumerate(candidates)}).withColumn("draw", F.col("model").cast("int"))
     out = scores.join(best, list(KEYS)).join(sizes.select("draw", "rounds", "depth", "eta", "subsample", "colsample"), "draw")
