@@ -27,11 +27,13 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -47,9 +49,10 @@ ENTRY, TAIL = "<IIIIqqQ", "<IIIB6s"
 #: Ids per frame and packed bytes per file, from which on a new one begins.
 FRAME_IDS, FILE_BYTES = 1 << 16, 8 << 20
 #: Bytes of kept pieces per Python worker, with what an entry costs besides; beyond, the table is emptied and grows anew.
-MAX_BYTES, PIECE_COST = 200_000_000, 150
+MAX_BYTES, PIECE_COST = 300_000_000, 150
 #: ASCII punctuation without the apostrophe, which begins endings that the tokenizer splits off.
 PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+MARK_AFTER_LETTER = re.compile(r"[.,;:!?](?<=[a-z].)(?=[ \n])")
 #: Documents per range of the order, and ranges at most.
 RANGE_DOCS, MAX_RANGES = 8_192, 20_000
 
@@ -78,24 +81,25 @@ class Ids:
         self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # an added token's string ends words by itself
         self.ends[[i for i in self.tokenizer.get_added_tokens_decoder() if i < len(self.ends)]] = False
+        self.lowers = self.normal("Éa A").replace(" ", "") == "éaa"
         self.known: dict[str, bytes] = {}
         self.size = 0
 
     def normal(self, text: str) -> str:
-        return text if text.isascii() or not self.tokenizer.normalizer else self.tokenizer.normalizer.normalize_str(text)
+        return text if not self.tokenizer.normalizer else self.tokenizer.normalizer.normalize_str(text)
 
     def words(self, pieces: set[str]) -> set[str]:
         """The pieces of letters only, before and after the normalizer: one word each for the tokenizer."""
         letters = [p for p in pieces if p.isalpha()]
         out = {p for p in letters if p.isascii()}
         other = [p for p in letters if p not in out]
-        normal = self.normal(" ".join(other)).split(" ")
+        normal = self.normal(" ".join(other)).split(" ") if other else []
         return out.union(p for p, n in zip(other, normal) if n.isalpha()) if len(normal) == len(other) else out
 
     def split(self, piece: str) -> tuple[str, str]:
         """The piece without the punctuation after it, and that."""
         core = piece.rstrip(PUNCTUATION)
-        if not core or not core[-1].isalnum() or not self.normal(core[-1])[-1:].isalnum():
+        if not core or not core[-1].isalnum() or not (core[-1].isascii() or self.normal(core[-1])[-1:].isalnum()):
             return piece, ""
         low = piece.lower()
         return (piece, "") if any(t in low for t in self.added) else (core, piece[len(core) :])
@@ -132,13 +136,24 @@ class Ids:
         known.update(zip(others, [known[core] + known[tail] if tail else known[core] for core, tail in both]))
         self.size += sum(map(len, pieces)) + sum(map(len, parts)) + PIECE_COST * (len(pieces) + len(parts))
 
+    def prepared(self, text: str) -> str:
+        """A text of the same ids whose pieces are fewer: A-Z lower-cased, as the normalizer does, and a mark after a letter apart.
+
+        A text that would compose other characters then, or holds an added token's string, is left as it is.
+        """
+        if not self.lowers:
+            return text
+        low = text.lower() if text.isascii() else text.encode().lower().decode()  # bytes: A-Z only
+        if any(t in low for t in self.added) or not low.isascii() and not (is_normalized("NFC", text) and is_normalized("NFC", low)):
+            return text
+        return MARK_AFTER_LETTER.sub(r" \g<0>", low)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        pieces = set().union(*split)
-        new = pieces.difference(self.known)
         if self.size > MAX_BYTES:
             self.known.clear()
-            self.size, new = 0, pieces
+            self.size = 0
+        split = [self.prepared(t).replace("\n", " ").split(" ") for t in texts]
+        new = set().union(*split).difference(self.known)
         if new:
             self.learn(new)
         return [b"".join(map(self.known.__getitem__, s)) for s in split]
