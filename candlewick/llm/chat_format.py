@@ -2,9 +2,10 @@
 
 Records come in several layouts: a prompt with a response, an instruction with an input and
 an output, a list of messages under one of several names. The nested field paths that a
-record fills (not null) are hashed to its fingerprint, and the fingerprint picks a mapping
-(``LAYOUTS``): which path gives which role's text, or which array gives the turns. All of it
-is column expressions: a CASE over fingerprints, no code per row.
+record fills (not null) and that some mapping names are hashed to its fingerprint, and the
+fingerprint picks a mapping (``LAYOUTS``): which path gives which role's text, or which array
+gives the turns. Other fields (ids, names, dates) don't count. All of it is column expressions:
+a CASE over fingerprints, no code per row.
 
 Canonical turns are then written with one template::
 
@@ -41,8 +42,8 @@ ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model":
 
 @dataclass(frozen=True)
 class Layout:
-    """A mapping: ``paths`` it needs, then either ``turns`` (role, path) in order, or an array with a
-    role and a text field."""
+    """A mapping: ``paths`` it needs, then ``turns`` (role, path) in order, and after them those of an array with a
+    role and a text field, if any."""
 
     name: str
     paths: tuple[str, ...]
@@ -60,6 +61,11 @@ LAYOUTS = (
     Layout("instruction+input", ("input", "instruction", "output"), (("user", "instruction\n\ninput"), ("assistant", "output"))),
     Layout("system+prompt", ("prompt", "response", "system"), (("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Layout("system+instruction", ("instruction", "output", "system"), (("system", "system"), ("user", "instruction"), ("assistant", "output"))),
+    Layout("system+instruction+input", ("input", "instruction", "output", "system"), (("system", "system"), ("user", "instruction\n\ninput"), ("assistant", "output"))),
+    Layout("system+question", ("answer", "question", "system"), (("system", "system"), ("user", "question"), ("assistant", "answer"))),
+    Layout("system+completion", ("completion", "prompt", "system"), (("system", "system"), ("user", "prompt"), ("assistant", "completion"))),
+    Layout("system+messages", ("messages", "messages[].content", "messages[].role", "system"), (("system", "system"),), ("messages", "role", "content")),
+    Layout("system+conversations", ("conversations", "conversations[].from", "conversations[].value", "system"), (("system", "system"),), ("conversations", "from", "value")),
     Layout("turns", ("dialog", "dialog.turns", "dialog.turns[].speaker", "dialog.turns[].text"), array=("dialog.turns", "speaker", "text")),
 )
 
@@ -92,9 +98,10 @@ def _some(array: Column, name: str) -> Column:
     return F.coalesce((F.size(array) == 0) | F.exists(array, lambda e: e[name].isNotNull()), F.lit(False))
 
 
-def record_fingerprint(record: str, kind: StructType) -> Column:
-    """sha2 of the sorted nested paths that a record fills."""
-    paths = sorted(_paths(record, kind), key=lambda p: p[0])
+def record_fingerprint(record: str, kind: StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """sha2 of the sorted nested paths that a record fills, of those that a mapping names."""
+    named = {p for layout in layouts for p in layout.paths}
+    paths = sorted((p for p in _paths(record, kind) if p[0] in named), key=lambda p: p[0])
     return F.sha2(F.concat_ws("\n", *[F.when(filled, F.lit(path)) for path, filled in paths]), 256)
 
 
@@ -113,10 +120,14 @@ def _turn(role: Column, text: Column, rename: bool = False) -> Column:
 
 
 def _turns(record: str, layout: Layout) -> Column:
+    listed = None
     if layout.array:
         array, role, text = layout.array
-        return F.transform(_get(record, array), lambda e: _turn(e[role], e[text], role != "role"))
-    return F.array(*[_turn(F.lit(role), F.concat_ws("\n\n", *[_get(record, p) for p in path.split("\n\n")])) for role, path in layout.turns])
+        listed = F.transform(_get(record, array), lambda e: _turn(e[role], e[text], role != "role"))
+    if not layout.turns:
+        return listed
+    fixed = F.array(*[_turn(F.lit(role), F.concat_ws("\n\n", *[_get(record, p) for p in path.split("\n\n")])) for role, path in layout.turns])
+    return fixed if listed is None else F.concat(fixed, listed)
 
 
 def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:
@@ -130,7 +141,7 @@ def canonical(records: DataFrame, record: str = "record", layouts: tuple[Layout,
             hit = F.col("fingerprint") == fingerprint(layout.paths)
             name = F.when(hit, F.lit(layout.name)).otherwise(name)
             turns = F.when(hit, _turns(record, layout)).otherwise(turns)
-    return records.withColumn("fingerprint", record_fingerprint(record, kind)).withColumn("layout", name).withColumn("turns", turns)
+    return records.withColumn("fingerprint", record_fingerprint(record, kind, layouts)).withColumn("layout", name).withColumn("turns", turns)
 
 
 def escaped(text: Column) -> Column:
@@ -174,13 +185,39 @@ def read_back(written: DataFrame) -> DataFrame:
 
 
 def conversation_records(rows: DataFrame) -> DataFrame:
-    """One record per conversation, in the layout of message lists, from rows by turn."""
+    """One record per conversation from rows by turn, in several layouts: by conv_id a message list under one of three
+    names, or, where the turns allow it, a prompt with a response, after a system text or without. Every second record
+    has an id as well, a field that no mapping names."""
     message = F.struct(
         "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"),
     )
     gathered = rows.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(message)).alias("m"))
-    plain = F.transform("m", lambda e: F.struct(e["role"].alias("role"), e["content"].alias("content")))
-    return gathered.select("conv_id", F.struct(plain.alias("messages")).alias("record"))
+    turn = F.coalesce(F.pmod("conv_id", F.lit(6)), F.lit(0))
+    roles, said = F.transform("m", lambda e: e["role"]), F.col("m.content")
+    is_pair = (turn == 3) & (roles == F.array(F.lit("user"), F.lit(LEARNED)))
+    is_three = (turn >= 3) & (roles == F.array(F.lit("system"), F.lit("user"), F.lit(LEARNED)))
+    # names that mean another role in lists without a ``role`` field stay in the first layout
+    plain = ~F.exists("m", lambda e: F.lower(e["role"]).isin(*ROLE_NAMES))
+    kind = (
+        F.when(is_pair, "prompt").when(is_three, "system+prompt").when((turn == 4) & (F.get(roles, F.lit(0)) == "system"), "system+messages")
+        .when((turn == 1) & plain, "conversations").when((turn == 2) & plain, "turns").otherwise("messages")
+    )
+
+    def listed(role: str, text: str, items="m") -> Column:
+        return F.transform(items, lambda e: F.struct(e["role"].alias(role), e["content"].alias(text)))
+
+    rest = F.slice("m", F.lit(2), F.greatest(F.size("m") - 1, F.lit(0)))
+    at = F.when(F.col("kind") == "prompt", 0).otherwise(1)
+    record = F.struct(
+        F.when(F.col("kind") == "messages", listed("role", "content")).when(F.col("kind") == "system+messages", listed("role", "content", rest)).alias("messages"),
+        F.when(F.col("kind") == "conversations", listed("from", "value")).alias("conversations"),
+        F.when(F.col("kind").startswith("system+"), F.get("said", F.lit(0))).alias("system"),
+        F.when(F.col("kind").endswith("prompt"), F.get("said", at)).alias("prompt"),
+        F.when(F.col("kind").endswith("prompt"), F.get("said", at + 1)).alias("response"),
+        F.when(F.col("kind") == "turns", F.struct(listed("speaker", "text").alias("turns"))).alias("dialog"),
+        F.when(F.pmod("conv_id", F.lit(2)) == 1, F.col("conv_id")).alias("id"),
+    )
+    return gathered.withColumn("kind", kind).withColumn("said", said).select("conv_id", record.alias("record"))
 
 
 def digests(written: DataFrame) -> DataFrame:

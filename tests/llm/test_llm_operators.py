@@ -283,3 +283,25 @@ def test_pipeline_stage_by_stage(spark):
     final = stages["byte_bpe"](spark, mixed, SF)
     assert final.count() == sum(copies.values())
     assert sorted(map(str, corpus_pipeline.run(spark, SF).collect())) == sorted(map(str, final.collect()))
+
+
+def test_further_fields_lose_no_turns(spark):
+    rows = [
+        {"id": 7, "prompt": "p", "response": "r"}, {"name": "n", "instruction": "i", "output": "o", "input": "x", "system": "s"},
+        {"id": 8, "system": "s", "messages": [{"role": "user", "content": "u", "name": "N"}, {"role": "assistant", "content": "a", "name": None}]},
+        {"question": "q", "answer": "a", "system": "s"}, {"note": "no text"},
+    ]
+    schema = "r struct<id:int,name:string,note:string,prompt:string,response:string,instruction:string,output:string,input:string,system:string,question:string,answer:string,messages:array<struct<role:string,content:string,name:string>>>"
+    names = [f.name for f in spark.createDataFrame([], schema).schema["r"].dataType.fields]
+    df = spark.createDataFrame([(tuple(r.get(n) for n in names),) for r in [{k: [tuple(m.values()) for m in v] if k == "messages" else v for k, v in r.items()} for r in rows]], schema)
+    got = [(r.layout, [tuple(t) for t in r.turns]) for r in chat_format.canonical(df, "r").collect()]
+    assert got == [
+        ("prompt", [("user", "p"), ("assistant", "r")]), ("system+instruction+input", [("system", "s"), ("user", "i\n\nx"), ("assistant", "o")]),
+        ("system+messages", [("system", "s"), ("user", "u"), ("assistant", "a")]), ("system+question", [("system", "s"), ("user", "q"), ("assistant", "a")]), (None, []),
+    ]
+
+
+def test_conversations_come_in_several_layouts(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    found = {r.layout: r["count"] for r in chat_format.format_conversations(rows).groupBy("layout").count().collect()}
+    assert None not in found and {"messages", "conversations", "turns", "prompt"} <= set(found)
