@@ -150,7 +150,11 @@ def trend_gated(sig="combined", trend="trend") -> Column:
 
 def strategy_signals(bars: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """H1-H8, H13 on every bar."""
-    df = strategy_frame(bars, keys)
+    return rule_columns(strategy_frame(bars, keys))
+
+
+def rule_columns(df: DataFrame) -> DataFrame:
+    """The rules' columns beside the indicators of ``strategy_frame``, batch or streamed."""
     bb_sig, bb_reason = bb_ma_macd()
     tr_sig, tr_reason = trend_ema200()
     df = df.select(

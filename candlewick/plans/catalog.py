@@ -24,6 +24,7 @@ from ..session import cut_lineage, prepare
 from ..sources import bars as B
 from ..sources import fixtures as FX
 from ..streaming import bars_stream as ST
+from ..streaming import signals_stream as SS
 from .report import rounded
 
 BAR_COLS = ["symbol", "tf", "time", "n"]
@@ -773,11 +774,26 @@ def q_stream_peak_profit(spark, sf):
 def q_stream_indicators(spark, sf):
     """L1 → L2: closed M15 bars from the tick stream, then EMA/RSI as keyed state."""
     prepare(spark)
-    bars = _stream_bars_m15(spark, sf)
-    folder = bars.inputFiles()[0].rsplit("/", 1)[0]
-    stream = spark.readStream.schema(bars.schema).parquet(folder)
-    out = ST.run_to_table(spark, ST.keyed_indicators(stream), "indicators_m15")
-    return rounded(out)
+    slices = SS.bar_slices(_stream_bars_m15(spark, sf), 900)
+    return rounded(ST.run_slices(spark, slices, ST.keyed_indicators, "indicators_m15"))
+
+
+SIGNAL_COLS = ("macd_state", "ema_signal", "rsi_signal", "bb_signal", "bb_reason", "trend", "trend_reason", "sideways", "macd_zero", "combined", "trend_combined")
+
+
+def q_stream_signals(spark, sf):
+    """L1 → L2 → H1-H8, H13: closed M15 bars from the tick stream, indicators as keyed state, the rules on them."""
+    prepare(spark)
+    slices = SS.bar_slices(_stream_bars_m15(spark, sf), 900)
+    return rounded(ST.run_slices(spark, slices, SS.keyed_signals, "signals_m15").select(*BAR_COLS, *SIGNAL_COLS))
+
+
+def q_stream_technicals(spark, sf):
+    """L1 → L2: ATR, ADX, MFI, Bollinger bands and MACD of closed M15 bars as keyed state."""
+    prepare(spark)
+    slices = SS.bar_slices(_stream_bars_m15(spark, sf), 900)
+    out = ST.run_slices(spark, slices, SS.keyed_technicals, "technicals_m15")
+    return rounded(out.select(*BAR_COLS, "atr", "adx", "mfi", "bb_upper", "bb_middle", "bb_lower", "macd", "macd_signal", "macd_hist"))
 
 
 def q_asof_trend_h1_to_m15(spark, sf):

@@ -969,3 +969,21 @@ SQL["backtest_walk_forward"] = _WALK_FORWARD + f""",
 test AS (SELECT *, row_number() OVER (PARTITION BY symbol, tf ORDER BY n) - 1 AS t FROM walked),{B2B},{_equity('b4')}
 SELECT {KEYCOLS}, t, fold, prediction, signal, {rnd('ret')} AS ret, {rnd('cost')} AS cost, {rnd('strat_ret')} AS strat_ret,
   {rnd('equity')} AS equity, {rnd('equity_bh')} AS equity_bh FROM eq"""
+
+# --- streamed signals -----------------------------------------------------------------------
+
+_CLOSED = SQL["stream_indicators"].split("\nSELECT symbol, tf, time, n,")[0]
+SQL["stream_signals"] = with_ctes(events_bars("M15", 900, "allbars"), """
+bars AS (SELECT * FROM allbars WHERE time + INTERVAL 15 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)""",
+                                 NUMBERED, _signals_cte()) + SQL["strategy_signals"][SQL["strategy_signals"].rindex("\nSELECT symbol, tf, time, n, macd_state"):]
+_T14 = trailing(14)
+SQL["stream_technicals"] = _CLOSED + f"""
+, t1 AS (SELECT *, (high + low + close) / 3.0 AS tp, {sma('close', 20)} AS mid, {masked_agg('stddev_pop(close)', 'close', 20)} AS sd FROM ta),
+t2 AS (SELECT *, {lag('tp')} AS ptp FROM t1),
+t3 AS (SELECT *, CASE WHEN ptp IS NOT NULL THEN CASE WHEN tp > ptp THEN tp * tick_volume ELSE 0.0 END END AS pos,
+              CASE WHEN ptp IS NOT NULL THEN CASE WHEN tp < ptp THEN tp * tick_volume ELSE 0.0 END END AS neg FROM t2),
+t4 AS (SELECT *, CASE WHEN count(pos) {_T14} = 14 THEN CASE WHEN sum(pos) {_T14} + sum(neg) {_T14} < 1.0 THEN 0.0
+         ELSE 100.0 * sum(pos) {_T14} / (sum(pos) {_T14} + sum(neg) {_T14}) END END AS mfi FROM t3)
+SELECT symbol, tf, time, n, {rnd(IND['atr'])} AS atr, {rnd(IND['adx'])} AS adx, {rnd('mfi')} AS mfi, {rnd('mid + 2.0 * sd')} AS bb_upper,
+  {rnd('mid')} AS bb_middle, {rnd('mid - 2.0 * sd')} AS bb_lower, {rnd(IND['macd'])} AS macd, {rnd(IND['macd_signal'])} AS macd_signal,
+  {rnd(IND['macd_hist'])} AS macd_hist FROM t4"""
