@@ -8,11 +8,15 @@ that long paths of sentences score high and menus low. Paths above a threshold (
 the spread of all scores) are content; the innermost container that holds all of them and
 has no boilerplate role gives the article, of which all blocks are kept, short ones too.
 
-Paths through boilerplate elements (navigation, footers, asides, forms, scripts, ...) score
-nothing. A class, id or role that names such a part (ads, cookie notices, sidebars, comments,
-...) only makes an element suspect: it is boilerplate if most text below it lies on paths with
+A path is that of the tags with the classes that several blocks share; ids and classes of one
+block make no path of its own, its sums are those of its like.
+
+Paths through boilerplate elements (navigation, footers, asides, scripts, ...) score
+nothing. A form, a fieldset, or a class, id or role that names such a part (ads, cookie
+notices, sidebars, comments, ...) only makes an element suspect: it is boilerplate if most text below it lies on paths with
 short blocks, few marks or many links, or, for advertisements, consent and comments, if it
-holds less than half of the page's text. Headings, what surrounds the article or ``main``, and
+holds less than half of the page's text. Headings, what surrounds the article or ``main`` (also
+if it is hidden, as pages are that a script shows), and
 names that say what a layout has or lacks (``has-sidebar``) are never suspect; ids of sections
 only as a whole. If suspects are all there is, they are kept.
 
@@ -32,7 +36,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -52,7 +56,9 @@ INLINE = frozenset(
     "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover "
     "mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction menclose mfenced semantics object canvas".split()
 )
-BOILERPLATE = frozenset("nav header footer aside form button dialog menu head input option datalist fieldset".split())
+BOILERPLATE = frozenset("nav header footer aside button dialog menu head input option datalist".split())
+#: Elements that may hold controls or, around a whole page, the article: the ratios below them decide.
+CONTROLS = frozenset(("form", "fieldset"))
 #: Words in class, id or role that name parts around an article.
 PARTS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|"
@@ -94,6 +100,7 @@ class Open:
     label: str
     bad: bool
     suspect: str = ""  # "part" or "prose part", by its names
+    hidden: bool = False  # bad for nothing but that
 
 
 @dataclass
@@ -142,7 +149,10 @@ class Blocks:
             if text:
                 path = tuple(o.label for o in self.stack)
                 inside = tuple(o for o in self.stack if o.suspect or o.name in ("article", "main"))
-                self.found.append(Block(path, any(o.bad for o in self.stack), text, min(self.linked, len(text)), inside))
+                # what hides a whole article is for a script to show
+                around = max((i for i, o in enumerate(self.stack) if o.name in ("article", "main")), default=-1)
+                bad = any(o.bad and not (o.hidden and i < around) for i, o in enumerate(self.stack))
+                self.found.append(Block(path, bad, text, min(self.linked, len(text)), inside))
             self.parts = []
         self.linked = 0
 
@@ -193,11 +203,14 @@ class Blocks:
         if name in VOID or rest.endswith("/"):
             return
         names = [(kind.lower(), a or b or c) for kind, a, b, c in NAMES.findall(rest)] if rest else []
-        named = " ".join(value for _, value in names)
+        named = any(value for _, value in names)
         # a page's or an article's own header is no boilerplate if it is inside the article
         inside = any(o.name in ("article", "main") for o in self.stack)
-        bad = (name in BOILERPLATE and not (name == "header" and inside)) or bool(rest and HIDDEN.search(rest))
-        self.stack.append(Open(name, f"{name}.{named}" if named else name, bad, suspected(name, names, inside) if named else ""))
+        bad = name in BOILERPLATE and not (name == "header" and inside)
+        hidden = bool(rest and HIDDEN.search(rest)) and name not in ("html", "body")
+        suspect = (suspected(name, names, inside) if named else "") or ("part" if name in CONTROLS else "")
+        label = " ".join(sorted(c for kind, value in names if kind == "class" for c in value.split()))
+        self.stack.append(Open(name, f"{name}.{label}" if label else name, bad or hidden, suspect, hidden and not bad))
         self.links = 0
 
     def end(self, name: str) -> None:
@@ -252,7 +265,7 @@ def blocks(page: str) -> list[Block]:
             out.start(name, m["rest"])
     out.text(page[at:])
     out.flush()
-    return out.found
+    return shared_paths(out.found)
 
 
 def smooth(values: np.ndarray) -> np.ndarray:
@@ -261,6 +274,16 @@ def smooth(values: np.ndarray) -> np.ndarray:
     return 0.25 * padded[:-2] + 0.5 * padded[1:-1] + 0.25 * padded[2:]
 
 
+def shared_paths(found: list[Block]) -> list[Block]:
+    """Blocks whose paths keep only the classes that another block's path, alike so far, has too."""
+    # counted level by level, from the root: one place in the tree per (place above, label)
+    often: dict[tuple[str, ...], int] = {}
+    for b in found:
+        for k in range(1, len(b.path) + 1):
+            often[b.path[:k]] = often.get(b.path[:k], 0) + 1
+    return [replace(b, path=tuple(x if often[b.path[: k + 1]] > 1 else x.split(".")[0] for k, x in enumerate(b.path))) for b in found]
+
+
 def path_sums(found: list[Block]) -> dict[tuple[str, ...], list[float]]:
     """Blocks, characters, marks and linked characters of every path."""
     sums: dict[tuple[str, ...], list[float]] = {}
@@ -273,6 +296,13 @@ def path_sums(found: list[Block]) -> dict[tuple[str, ...], list[float]]:
     return sums
 
 
+def fused_scores(found: list[Block], sums: dict[tuple[str, ...], list[float]]) -> np.ndarray:
+    """Per block the smoothed text per block of its path (links count against it) times the smoothed punctuation per block."""
+    length = np.array([(sums[b.path][1] - sums[b.path][3]) / sums[b.path][0] for b in found])
+    marks = np.array([(1 + sums[b.path][2]) / sums[b.path][0] for b in found])
+    return smooth(length) * smooth(marks)
+
+
 def unsuspected(found: list[Block]) -> list[Block]:
     """Without the blocks of suspect elements that the ratios of the paths below them condemn."""
     below: dict[Open, list[int]] = {}
@@ -287,7 +317,9 @@ def unsuspected(found: list[Block]) -> list[Block]:
     largest = max(articles, key=lambda o: sum(chars[i] for i in below[o]), default=None)
     around = {o for b in found for k, a in enumerate(b.inside) if a.name == "main" or a is largest for o in b.inside[:k]}
     sums = path_sums(found)
-    prose = [s[1] - s[3] >= SENTENCES * s[0] and s[2] >= s[0] and s[3] <= LINKS * s[1] for s in (sums[b.path] for b in found)]
+    # a path reads like text if its score is that of short sentences or more, and few of its characters are links
+    scores = fused_scores(found, sums)
+    prose = [s >= 2 * SENTENCES and sums[b.path][3] <= LINKS * sums[b.path][1] for s, b in zip(scores, found)]
     gone: set[int] = set()
     # inner elements come after the ones around them
     order = dict.fromkeys(o for b in found for o in b.inside if o.suspect and o not in around)
@@ -306,10 +338,7 @@ def content(found: list[Block]) -> list[Block]:
     if not usable:
         return []
     sums = path_sums(usable)
-    # text and punctuation per block of the path; links count against their path
-    length = np.array([sums[b.path][1] * (1 - sums[b.path][3] / sums[b.path][1]) / sums[b.path][0] for b in usable])
-    marks = np.array([(1 + sums[b.path][2]) / sums[b.path][0] for b in usable])
-    fused = smooth(length) * smooth(marks)
+    fused = fused_scores(usable, sums)
     threshold = SIGMAS * float(fused.std())
     chosen = {b.path for b, s in zip(usable, fused) if s >= threshold and s > 0} or {b.path for b in usable}
     inner = [p for p in chosen if any(x.split(".")[0] in ("article", "main") for x in p)]
@@ -325,7 +354,7 @@ def content(found: list[Block]) -> list[Block]:
         depth -= 1
     around = first[:depth]
     kept = [b for b in usable if b.path[:depth] == around]
-    if inner or not around or around[-1].split(".")[0] not in ("body", "html"):
+    if inner or around and around[-1].split(".")[0] not in ("body", "html"):
         return kept
     # the page itself is the container: link lists outside paragraphs are menus
     return [b for b in kept if b.path in chosen or b.linked < 0.5 * len(b.text)]

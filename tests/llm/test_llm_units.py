@@ -366,3 +366,47 @@ def test_large_components_stay_exact():
 
 def test_patterns_are_the_published_ones():
     assert bpe.PATTERN == public_tokenizers.PATTERN and regex.compile(bpe.PATTERN)
+
+
+PROSE = " ".join(["This is a long sentence, with words; and more words in it."] * 6)
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<body><form id=f><div class=nav><a href=x>Home</a> <a href=y>News</a></div><article><h1>T</h1><p>{PROSE}</p></article></form></body>", f"T\n\n{PROSE}"),
+    (f"<html><body><form><div><h1>T</h1><p id=p1>{PROSE}</p><p id=p2>{PROSE}</p></div></form></body></html>", f"T\n\n{PROSE}\n\n{PROSE}"),
+    (f"<body><fieldset><p>{PROSE}</p><p>{PROSE}</p></fieldset></body>", f"{PROSE}\n\n{PROSE}"),
+    (f"<body style='display:none'><article><p>{PROSE}</p></article></body>", PROSE),
+    (f"<body><div hidden><main><p>{PROSE}</p></main></div><div hidden>{PROSE}</div></body>", PROSE),
+    (f"<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><p>{PROSE}</p><p>{PROSE}</p>", f"{PROSE}\n\n{PROSE}"),
+    (f"<article><p>{PROSE}</p><form><p>Name</p><p>Your comment</p></form></article>", PROSE),
+])
+def test_articles_inside_forms_and_hidden_parts(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_ids_make_no_paths():
+    found = html_text.blocks(f"<body><div><p id=p1>{PROSE}</p><p id=p2 class=x>{PROSE}</p><p class=y>a</p><p class=y>b</p></div></body>")
+    assert [b.path[-1] for b in found] == ["p", "p", "p.y", "p.y"]
+    sums = html_text.path_sums(found)
+    assert sums[found[0].path][0] == 2 and sums[found[2].path][1] == 2.0
+
+
+def test_fused_scores_by_hand():
+    found = html_text.blocks(f"<body><p>{PROSE}</p><p>{PROSE}</p><h2>Title</h2><div><a href=x>Home</a> go</div></body>")
+    sums = html_text.path_sums(found)
+    length = [len(PROSE), len(PROSE), 5, 3]
+    marks = [1 / 2 + 18, 1 / 2 + 18, 1, 1]
+
+    def smoothed(v):
+        at = [v[0], *v, v[-1]]
+        return [0.25 * at[i] + 0.5 * at[i + 1] + 0.25 * at[i + 2] for i in range(len(v))]
+
+    expected = [a * b for a, b in zip(smoothed(length), smoothed(marks))]
+    assert html_text.fused_scores(found, sums).tolist() == pytest.approx(expected)
+
+
+def test_scores_decide_what_a_suspect_is(monkeypatch):
+    page = f"<body><div class=content><p>{PROSE}</p><p>{PROSE}</p></div><div class=sidebar><p>Menu one</p><p>two</p></div></body>"
+    assert html_text.main_text(page) == f"{PROSE}\n\n{PROSE}"
+    monkeypatch.setattr(html_text, "fused_scores", lambda found, sums: np.full(len(found), 1000.0))
+    assert html_text.main_text(page) == f"{PROSE}\n\n{PROSE}\n\nMenu one\n\ntwo"
