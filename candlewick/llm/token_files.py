@@ -52,6 +52,7 @@ FRAME_IDS, FILE_BYTES = 1 << 16, 8 << 20
 MAX_BYTES, PIECE_COST = 300_000_000, 150
 #: ASCII punctuation without the apostrophe, which begins endings that the tokenizer splits off.
 PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+TRIAL = "the quick brown fox jumps over a lazy dog while zyxqv internationalization wanders"
 MARK_AFTER_LETTER = re.compile(r"[.,;:!?](?<=[a-z].)(?=[ \n])")
 #: Documents per range of the order, and ranges at most.
 RANGE_DOCS, MAX_RANGES = 8_192, 20_000
@@ -70,10 +71,15 @@ class Ids:
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task is one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype)
+        self.tokenizer = Tokenizer.from_file(path)
+        # the same merges without the normalizer and the splitting rules, which leave words of a-z as they are
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer, self.plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.CharDelimiterSplit(" ")
+        if self.ids(TRIAL, self.plain).tolist() != self.ids(TRIAL).tolist():
+            self.plain = self.tokenizer
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
@@ -104,12 +110,12 @@ class Ids:
         low = piece.lower()
         return (piece, "") if any(t in low for t in self.added) else (core, piece[len(core) :])
 
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+    def ids(self, text: str, tokenizer=None) -> np.ndarray:
+        return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
-    def learn_words(self, words: list[str]) -> None:
+    def learn_words(self, words: list[str], tokenizer=None) -> None:
         """Words as one text; halves of it, should a word be more than one for the tokenizer."""
-        ids = self.ids(" ".join(words))
+        ids = self.ids(" ".join(words), tokenizer)
         cuts = (np.flatnonzero(self.ends[ids]) + 1) if len(ids) and int(ids.max()) < len(self.ends) else []
         if len(cuts) == len(words):
             raw, cuts = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
@@ -128,9 +134,11 @@ class Ids:
         both = [self.split(p) for p in others]
         parts = {p for b in both for p in b}.difference(known)
         words.update(self.words(parts))
-        rest, words = parts.difference(words), list(words)
-        for at in range(0, len(words), 4096):
-            self.learn_words(words[at : at + 4096])
+        rest = parts.difference(words)
+        simple = [w for w in words if w.isascii() and w.islower()]
+        for some, tokenizer in ((simple, self.plain), (list(words.difference(simple)), None)):
+            for at in range(0, len(some), 4096):
+                self.learn_words(some[at : at + 4096], tokenizer)
         for p in rest:
             known[p] = self.ids(p).tobytes()
         known.update(zip(others, [known[core] + known[tail] if tail else known[core] for core, tail in both]))
