@@ -359,7 +359,7 @@ def session30_features(m15_bars: DataFrame, h1_bars: DataFrame, *, with_label: b
 
     base = momentum25_features(m15_bars, with_label=with_label, label="triple", session=True, keys=keys)
     htf = higher_timeframe_inputs(h1_bars, keys)
-    j = asof_backward(base, htf, tolerance_seconds=tolerance_seconds, left_key=[*keys, "time"])
+    j = asof_backward(base, htf, tolerance_seconds=tolerance_seconds)
     c = F.col("close")
     h1_slope = F.coalesce(F.col("r_h1_slope"), F.lit(0.0))
     m15_slope = F.col("m15_slope")

@@ -1,20 +1,20 @@
-"""Backward as-of join with tolerance, as a bucketed equi-join.
+"""Backward as-of joins.
 
-Right rows are keyed by the time bucket of width ``tolerance`` they fall in; every left
-row probes its own bucket and the previous one, so the candidate set is bounded by the
-rows of one key inside two buckets (one bar per bucket when the right side is a coarser
-bar series). The newest candidate not after the left time and within tolerance wins
-(``max_by`` per left row, a partial aggregate). No per-key ordering of whole series and no
-inequality join. Without a tolerance (E6) the bucket is the right side's bar size and
-the previous bar closes the gap.
+E1 (with a tolerance): both sides are stacked by key and time bucket as wide as the tolerance,
+the newest right row of a bucket also in front of the next bucket, and a running ``last``
+inside a bucket gives every left row its match. Linear in both sides, however dense the right
+one is: one shuffle of the rows and one of a row per bucket, no join, no ordering of whole series.
+
+E6 (without) stacks both sides, numbers them and takes a blocked running ``max``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .series import epoch_seconds
 
@@ -27,33 +27,32 @@ def asof_backward(
     by: Sequence[str] = ("symbol",),
     tolerance_seconds: int,
     right_prefix: str = "r_",
-    left_key: Sequence[str] | None = None,
 ) -> DataFrame:
     """Left rows with the newest right row at or before them within ``tolerance_seconds``
     (inclusive). Right columns come prefixed; unmatched rows get nulls."""
-    width = float(tolerance_seconds)
-    lkey = list(left_key) if left_key else [*by, on]
+    width = F.lit(float(tolerance_seconds))
     rcols = [c for c in right.columns if c not in by]
-    r = right.select(
-        *by,
-        *[F.col(c).alias(right_prefix + c) for c in rcols],
-        F.floor(epoch_seconds(F.col(on)) / F.lit(width)).cast("long").alias("_bk"),
-    )
-    probes = left.select(*lkey, F.col(on).alias("_lt")).withColumn(
-        "_bk", F.explode(F.array(
-            F.floor(epoch_seconds(F.col("_lt")) / F.lit(width)).cast("long"),
-            F.floor(epoch_seconds(F.col("_lt")) / F.lit(width)).cast("long") - 1,
-        ))
-    )
-    rt = F.col(right_prefix + on)
-    gap = epoch_seconds(F.col("_lt")) - epoch_seconds(rt)
-    cands = probes.join(r, [*by, "_bk"]).filter((gap >= 0) & (gap <= F.lit(width)))
-    best = cands.groupBy(*lkey).agg(
-        F.max_by(F.struct(*[F.col(right_prefix + c) for c in rcols]), rt).alias("_m")
-    )
-    return left.join(best, lkey, "left").select(
-        *[F.col(c) for c in left.columns], *[F.col("_m")[right_prefix + c].alias(right_prefix + c) for c in rcols]
-    )
+    keys = [*by, "_bk"]
+
+    def bucket(t: str) -> Column:
+        return F.floor(F.col(t) / width).cast("long").alias("_bk")
+
+    known = F.col(on).isNotNull()
+    for c in by:
+        known = known & F.col(c).isNotNull()
+    r = right.where(known).select(*by, epoch_seconds(F.col(on)).alias("_t"), F.struct(*rcols).alias("_r")).select("*", bucket("_t"))
+    # the newest right row of a bucket also stands before the rows of the next bucket
+    carried = r.groupBy(*keys).agg(F.max_by("_r", "_t").alias("_r"), F.max("_t").alias("_t"))
+    r = r.unionByName(carried.withColumn("_bk", F.col("_bk") + 1)).withColumn("_l", F.lit(None).cast(StructType(left.schema.fields)))
+    rows = left.select(*by, epoch_seconds(F.col(on)).alias("_t"), F.struct(*left.columns).alias("_l")).select("*", bucket("_t"))
+    rows = rows.withColumn("_r", F.lit(None).cast(r.schema["_r"].dataType)).unionByName(r)
+    # at equal times the right row counts
+    before = Window.partitionBy(*keys).orderBy("_t", F.col("_l").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    newest = F.last(F.when(F.col("_l").isNull(), F.struct("_r", "_t")), ignorenulls=True).over(before)
+    rows = rows.withColumn("_m", newest).where(F.col("_l").isNotNull())
+    match = F.when(F.col("_t") - F.col("_m._t") <= width, F.col("_m._r"))
+    rows = rows.select("_l", match.alias("_m"))
+    return rows.select(*[F.col("_l")[c].alias(c) for c in left.columns], *[F.col("_m")[c].alias(right_prefix + c) for c in rcols])
 
 
 def asof_latest(

@@ -530,8 +530,7 @@ def q_asof_h1_to_m15(spark, sf):
     h1 = I.with_rsi(_numbered(B.events_bars(spark, sf, "H1")))
     h1 = rolling(h1, lambda w: [("h1_rsi", F.lag("rsi_14", 1).over(w)), ("h1_close", F.lag("close", 1).over(w))], back=1)
     right = h1.select("symbol", "time", "h1_rsi", "h1_close")
-    j = JN.asof_backward(m15.select("symbol", "tf", "time", "close"), right, tolerance_seconds=900,
-                         left_key=["symbol", "tf", "time"])
+    j = JN.asof_backward(m15.select("symbol", "tf", "time", "close"), right, tolerance_seconds=900)
     return rounded(j.select(
         "symbol", "tf", "time", "close", F.col("r_time").alias("h1_time"),
         F.coalesce(F.col("r_h1_rsi"), F.lit(50.0)).alias("h1_rsi"),
