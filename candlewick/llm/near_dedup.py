@@ -18,8 +18,10 @@ lower it is (4 common of 5: 0.998), so shorter texts do not depend on it.
    other components that can reach the set similarity: of each node's k-mers, rarest
    first, only so many are indexed that two similar nodes must share one of them, at a
    place that leaves enough k-mers to agree on (prefix and position filters, both exact).
-   Texts of at most 30 k-mers are all compared like this, whatever their buckets. No partner is
-   capped, and no bucket is paired off as a whole.
+   Texts of at most 30 k-mers are all compared like this, whatever their buckets. Two short
+   texts meet by k-mer and both sizes; where too many would meet, by their first two
+   common k-mers, then three and so on, until few meet or all they need is common. No partner
+   is capped, and no bucket is paired off as a whole.
 4. Components again, over all links. A class is named by its smallest doc_id.
 
 Large groups: copies are collapsed by an aggregate with partial sums; buckets are only
@@ -36,7 +38,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm.common import few, map_documents, written
@@ -47,6 +49,8 @@ SIMILAR = 0.8
 #: Words of texts (30 k-mers) that do not depend on their sketches, and of the longest that can be similar to them.
 SHORT = 34
 SHORT_PARTNER = int(SHORT / SIMILAR + 1e-9) + 1
+#: Short texts that meet by the same k-mers are told apart by one more if they make more pairs than this a text.
+PAIRS_PER_ROW = 32
 SEED = 20_240
 #: Kept words per task; beyond, the table is emptied and grows anew.
 MAX_WORDS = 150_000
@@ -220,7 +224,7 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def word_rows(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataFrame:
-    """node, key and w (its words as 32-bit hashes) of the wanted nodes' texts."""
+    """node, key and w (its words as 64-bit hashes) of the wanted nodes' texts."""
 
     def factory():
         words_of = WordHash()
@@ -228,7 +232,7 @@ def word_rows(docs: DataFrame, nodes: DataFrame, text: str = "text") -> DataFram
         def apply(doc_id, texts):
             words = [(t or "").encode().split() for t in texts]
             keys = [hashlib.blake2b(b" ".join(w), digest_size=16).digest() for w in words]
-            return {"node": doc_id, "key": keys, "w": [words_of.array(w).astype("<u4").tobytes() for w in words]}
+            return {"node": doc_id, "key": keys, "w": [words_of.array(w).astype("<u8").tobytes() for w in words]}
 
         return apply
 
@@ -241,7 +245,7 @@ def compared(pairs: DataFrame, words: DataFrame, least: float = SIMILAR) -> Data
 
     def factory():
         def apply(a, b, x, y):
-            found = [alike(np.frombuffer(p, "<u4").astype(np.uint64), np.frombuffer(q, "<u4").astype(np.uint64), least) for p, q in zip(x, y)]
+            found = [alike(np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8"), least) for p, q in zip(x, y)]
             return {"a": a, "b": b, "share": [f[0] for f in found], "linked": [f[1] for f in found]}
 
         return apply
@@ -266,7 +270,7 @@ def gram_rows(words: DataFrame) -> DataFrame:
 
     def factory():
         def apply(node, w):
-            return {"node": node, "grams": [np.unique(kmers(np.frombuffer(x, "<u4").astype(np.uint64))).view(np.int64) for x in w]}
+            return {"node": node, "grams": [np.unique(kmers(np.frombuffer(x, "<u8"))).view(np.int64) for x in w]}
 
         return apply
 
@@ -283,20 +287,89 @@ def cross_pairs(side: DataFrame, words: DataFrame, least: float = SIMILAR) -> Da
     grams = written(gram_rows(words.join(side.select("node"), "node")), "grams")
     often = grams.groupBy("g").agg(F.count("*").alias("n"))
     ordered = grams.join(often, "g").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("all"))
-    ordered = ordered.withColumn("size", F.size("all"))
+    alone = F.size(F.filter("all", lambda e: e["n"] == 1))  # first, and met by no other text
+    ordered = ordered.select("node", F.size("all").alias("size"), alone.alias("alone"), F.col("all.g").alias("all")).join(side, "node")
+    ordered = written(ordered, "ordered")
+    long_pairs = _long_pairs(ordered, least)
+    return long_pairs.union(_short_pairs(ordered.where(F.col("size") <= SHORT_PARTNER), least)).distinct()
+
+
+def _common(size: Column, other: Column, least: float) -> Column:
+    """Members that sets of these sizes must have in common."""
+    return F.ceil(least / (1 + least) * (size + other) - 1e-9).cast("int")
+
+
+def _pair() -> list[Column]:
+    return [F.greatest("node", "node_").alias("a"), F.least("node", "node_").alias("b")]
+
+
+def _apart() -> Column:
+    return (F.col("root") != F.col("root_")) & (F.col("outside") | F.col("outside_"))
+
+
+def _long_pairs(ordered: DataFrame, least: float) -> DataFrame:
+    """Pairs of which one has more than SHORT_PARTNER k-mers."""
     first = F.slice("all", F.lit(1), (F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1).cast("int"))
-    prefix = ordered.select("node", "size", F.posexplode(first).alias("at", "e")).select("node", "size", "at", F.col("e.g").alias("g"))
-    prefix = written(prefix.join(side, "node"), "prefixes")
+    prefix = ordered.where(F.col("size") > int(least * SHORT_PARTNER))
+    prefix = prefix.select("node", "size", "root", "outside", "alone", F.posexplode(first).alias("at", "g"))
+    prefix = written(prefix.where("at >= alone").drop("alone"), "prefixes")
     # of two different components one is not the k-mer's most frequent: a large one never meets itself
-    parts = prefix.groupBy("g", "root").agg(F.count("*").alias("n")).groupBy("g").agg(
-        F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts"))
-    prefix = written(prefix.join(parts.where("parts > 1").select("g", "main"), "g"), "met")
+    parts = prefix.groupBy("g", "root").agg(F.count("*").alias("n"), F.max("size").alias("size")).groupBy("g").agg(
+        F.max(F.struct("n", "root"))["root"].alias("main"), F.count("*").alias("parts"), F.max("size").alias("most"))
+    parts = parts.where((F.col("parts") > 1) & (F.col("most") > SHORT_PARTNER))
+    prefix = written(prefix.join(parts.select("g", "main"), "g"), "met")
     other = prefix.select(*[F.col(c).alias(f"{c}_") for c in prefix.columns])
-    common = F.ceil(least / (1 + least) * (F.col("size") + F.col("size_")) - 1e-9)
+    common = _common(F.col("size"), F.col("size_"), least)
     enough = (F.col("at") <= F.col("size") - common) & (F.col("at_") <= F.col("size_") - common)
-    apart = (F.col("root") != F.col("root_")) & (F.col("outside") | F.col("outside_"))
-    met = prefix.where("root <> main").join(other, (F.col("g") == F.col("g_")) & apart & enough)
-    return met.select(F.greatest("node", "node_").alias("a"), F.least("node", "node_").alias("b")).distinct()
+    long = F.greatest("size", "size_") > SHORT_PARTNER
+    return prefix.where("root <> main").join(other, (F.col("g") == F.col("g_")) & _apart() & enough & long).select(*_pair())
+
+
+def _short_pairs(ordered: DataFrame, least: float) -> DataFrame:
+    """Pairs of at most SHORT_PARTNER k-mers each.
+
+    A row is a text that looks for, or is, a partner of one size (``lo`` and ``hi`` are both sizes), with
+    the places of its first so many k-mers in common with such a partner hashed in ``h``. Pairs
+    agree on ``h``, ``lo`` and ``hi``. Where those are too many, each row becomes one for every
+    place that its next common k-mer may have: so few may be missed in between that they are
+    bounded by the sizes alone, and all rows are split alike in parallel.
+    """
+    size = F.col("size")
+    partners = F.sequence(F.ceil(least * size - 1e-9).cast("int"), F.least(F.floor(size / least + 1e-9).cast("int"), F.lit(SHORT_PARTNER)))
+    rows = ordered.withColumn("want", F.explode(partners)).withColumn("common", _common(size, F.col("want"), least))
+    rows = rows.where(F.col("alone") <= size - F.col("common"))
+    rows = rows.select("node", "root", "outside", "size", "want", "common", F.least("size", "want").alias("lo"), F.greatest("size", "want").alias("hi"),
+                       F.explode(F.sequence("alone", size - F.col("common"))).alias("at"))
+    lists = ordered.select("node", "all")
+
+    def hashed(rows: DataFrame, *before: str) -> DataFrame:
+        named = rows.join(lists, "node").withColumn("h", F.xxhash64(*before, F.element_at("all", F.col("at") + 1)))
+        return named.drop("all")
+
+    key, kept = ["h", "lo", "hi"], ["node", "root", "outside", "size", "want", "common", "lo", "hi", "at", "h"]
+    rows, depth, found = hashed(rows), 1, None
+    while True:
+        rows = written(rows.select(*kept), "short")
+        small, large = F.col("size") == F.col("lo"), F.col("size") == F.col("hi")
+        of_root = rows.groupBy(*key, "root").agg(
+            F.count("*").alias("n"), F.count_if(small).alias("s"), F.count_if(large).alias("l"), F.max("outside").alias("outside"))
+        groups = of_root.groupBy(*key).agg(
+            F.max(F.struct("n", "root", "s", "l")).alias("m"), F.sum("s").alias("s"), F.sum("l").alias("l"),
+            F.count("*").alias("parts"), F.max("outside").alias("open"))
+        groups = groups.where((F.col("parts") > 1) & F.col("open") & (F.col("s") > 0) & (F.col("l") > 0))
+        pairs = (F.col("s") - F.col("m.s")) * F.col("l") + (F.col("l") - F.col("m.l")) * F.col("s")
+        groups = groups.select(*key, F.col("m.root").alias("main"), (pairs > PAIRS_PER_ROW * (F.col("s") + F.col("l"))).alias("hot"))
+        met = written(rows.join(groups, key).withColumn("hot", F.col("hot") & (F.col("common") > depth)), "short-met")
+        cold = met.where(~F.col("hot"))
+        other = cold.select(*[F.col(c).alias(f"{c}_") for c in (*key, "node", "root", "outside", "size")])
+        same = [F.col(c) == F.col(f"{c}_") for c in key]
+        now = cold.where("root <> main").join(other, [*same, F.col("want") == F.col("size_"), _apart()]).select(*_pair())
+        found = now if found is None else found.union(now)
+        hot = met.where("hot")
+        if hot.isEmpty():
+            return found
+        following = F.sequence(F.col("at") + 1, F.col("size") - F.col("common") + F.lit(depth))
+        rows, depth = hashed(hot.withColumn("at", F.explode(following)).withColumnRenamed("h", "before"), "before"), depth + 1
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:

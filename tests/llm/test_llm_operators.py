@@ -146,6 +146,39 @@ def test_near_dedup_large_group_stays_linear(spark):
     assert {x.class_id for x in near_dedup.classes(df).collect()} == {0}
 
 
+def test_near_dedup_short_variants_stay_linear(spark, monkeypatch):
+    """Letters that share slots, below and above the similarity: all pairs are found, by few comparisons."""
+    monkeypatch.setattr(near_dedup, "PAIRS_PER_ROW", 2)
+    r = random.Random(5)
+    base, docs = words(r, 30), []
+    for i in range(160):
+        text = list(base)
+        for at in (3, 9, 15, 21, 27):
+            text[at] = f"v{at}x{r.randrange(4)}"
+        docs.append(text[: 30 - i % 3])
+    docs += [[*base[:k], f"u{i}", *base[k + 1 :]] for i, k in enumerate([14, 2, 27, 26, 0, 29] * 15)]
+    docs = list(enumerate(" ".join(d) for d in docs))
+    words_of, found = near_dedup.WordHash(), {}
+    compared = near_dedup.compared
+    monkeypatch.setattr(near_dedup, "compared", lambda pairs, w, *rest: compared(found.setdefault(len(found), pairs), w, *rest))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {x.doc_id: x.class_id for x in near_dedup.classes(df).collect()} == plain_classes(docs)
+    hashed = [words_of.array(t.encode().split()) for _, t in docs]
+    reach = sum(near_dedup.set_similarity(a, b) >= 0.8 for i, a in enumerate(hashed) for b in hashed[:i])
+    assert found[1].count() <= reach + 34 * len(docs)  # PAIRS_PER_ROW a row, not all of 31,125 pairs
+
+
+def test_near_dedup_one_word_variants(spark):
+    r = random.Random(6)
+    base = words(r, 30)
+    docs = [(i, " ".join([*base[:14], f"u{i}", *base[15:]])) for i in range(3000)]  # similarity 0.68: no links
+    side = spark.createDataFrame([(i, i, True) for i, _ in docs], "node long, root long, outside boolean")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    nodes = df.select(F.col("doc_id").alias("node"))
+    rows = near_dedup.word_rows(df, nodes).select("node", "w")
+    assert near_dedup.cross_pairs(side, rows).count() == 0
+
+
 def test_doc_id_with_two_texts_ties_their_classes(spark):
     r = random.Random(4)
     a, b = " ".join(words(r, 30)), " ".join(words(r, 30))
