@@ -30,7 +30,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.common import few, written
+from candlewick.llm.common import few, unused, written
 
 #: Strings that a part of a rule is followed exactly for, and their length; beyond, less is required.
 MAX_STRINGS, MAX_CLASS = 64, 8
@@ -224,22 +224,22 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", k
     """All columns and ``found``: the spans (start, kind as the rule's number, end), by start, then kind."""
     queries = {r.name: trigram_query(r.pattern) for r in rules}
     indexed = {n: q for n, q in queries.items() if q != ANYTHING}
-    rows = docs
+    rows, of, asked_of = docs, unused(docs, "_key"), unused(docs, "_rules")
     none = F.array().cast("array<string>")
     if indexed:
         index = postings(docs, sorted({t for q in indexed.values() for s in q for t in s}), text, key)
-        found = candidates(index, indexed, key).select(F.col(key).alias("_key"), F.col("rules").alias("_rules"))
+        found = candidates(index, indexed, key).select(F.col(key).alias(of), F.col("rules").alias(asked_of))
         side = few(written(found, "secret-candidates"))
-        rows = docs.join(side, docs[key].eqNullSafe(F.col("_key")), "left").drop("_key")
+        rows = docs.join(side, docs[key].eqNullSafe(F.col(of)), "left").drop(of)
     else:
-        rows = docs.withColumn("_rules", none)
+        rows = docs.withColumn(asked_of, none)
     value = F.coalesce(F.col(text), F.lit(""))
     empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")
     per_rule = []
     for k, rule in enumerate(rules):
-        asked = F.array_contains("_rules", rule.name) if rule.name in indexed else F.regexp_like(value, F.lit(rule.pattern))
+        asked = F.array_contains(asked_of, rule.name) if rule.name in indexed else F.regexp_like(value, F.lit(rule.pattern))
         per_rule.append(F.when(F.coalesce(asked, F.lit(False)), _spans(value, rule, k)).otherwise(empty))
-    return rows.withColumn("found", F.sort_array(F.concat(*per_rule))).drop("_rules")
+    return rows.withColumn("found", F.sort_array(F.concat(*per_rule))).drop(asked_of)
 
 
 def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:

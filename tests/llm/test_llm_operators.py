@@ -119,6 +119,13 @@ def near_groups():
     return list(enumerate(" ".join(w) for w in docs))
 
 
+def test_secret_scan_beside_columns_of_its_own_names(spark):
+    rows = [(1, "password=hunter22x", "a", "b"), (2, None, "c", "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _rules string, _KEY string")
+    got = {x.doc_id: (x["_rules"], x["_KEY"], len(x.found)) for x in secret_scan.scan(df).collect()}
+    assert got == {1: ("a", "b", 1), 2: ("c", "d", 0)}
+
+
 def test_near_dedup_groups(spark):
     docs = near_groups()
     rows = near_dedup.classes(spark.createDataFrame(docs, "doc_id long, text string")).collect()

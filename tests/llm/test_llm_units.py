@@ -364,6 +364,20 @@ def test_large_components_stay_exact():
     assert vector_search.exact(np.array([big, 1.0]), np.array([[big, 1.0], [big, 2.0]])).tolist() == [(1 << 60) + 1, (1 << 60) + 2]
 
 
+def test_vector_scores_near_the_edge_of_doubles():
+    r = random.Random(7)
+    for bits in (20, 23, 24, 26, 31, 62):
+        rows = np.array([[float(r.randrange(-(1 << bits), 1 << bits)) for _ in range(128)] for _ in range(12)])
+        plain = [sum(int(a) * int(b) for a, b in zip(rows[0], x)) for x in rows]
+        assert vector_search.exact(rows[0], rows).tolist() == [min(max(v, -(1 << 63)), (1 << 63) - 1) for v in plain]
+    ids = np.arange(300)
+    rows = np.array([[float(r.randrange(-(1 << 24), 1 << 24)) for _ in range(64)] for _ in ids])
+    q_ids, vec, score = vector_search.best_in_block(ids[:5], rows[:5], ids, rows, 7)
+    for q in range(5):
+        plain = sorted((-sum(int(a) * int(b) for a, b in zip(rows[q], rows[c])), c) for c in range(300) if c != q)[:7]
+        assert sorted(zip((-score[q_ids == q]).tolist(), vec[q_ids == q].tolist())) == plain
+
+
 def test_patterns_are_the_published_ones():
     assert bpe.PATTERN == public_tokenizers.PATTERN and regex.compile(bpe.PATTERN)
 
