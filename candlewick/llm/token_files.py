@@ -37,6 +37,7 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +51,8 @@ ENTRY, TAIL = "<IIIIqqQ", "<IIIB6s"
 FRAME_IDS, FILE_BYTES = 1 << 16, 8 << 20
 #: Bytes of kept pieces per Python worker, with what an entry costs besides; beyond, the table is emptied and grows anew.
 MAX_BYTES, PIECE_COST = 300_000_000, 150
+#: Bytes of text that are cut into pieces at a time.
+SLICE_BYTES = 4 << 20
 #: ASCII punctuation without the apostrophe, which begins endings that the tokenizer splits off.
 PUNCTUATION = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 TRIAL = "the quick brown fox jumps over a lazy dog while zyxqv internationalization wanders"
@@ -160,11 +163,28 @@ class Ids:
         if self.size > MAX_BYTES:
             self.known.clear()
             self.size = 0
-        split = [self.prepared(t).replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*split).difference(self.known)
-        if new:
-            self.learn(new)
-        return [b"".join(map(self.known.__getitem__, s)) for s in split]
+        # Arrow cuts, numbers and joins the pieces: Python meets each different piece once a call
+        lists = pc.split_pattern(pa.array([self.prepared(t).replace("\n", " ") for t in texts], pa.large_string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.known.get, pieces))
+        if None in found:
+            self.learn({p for p, ids in zip(pieces, found) if ids is None})
+            found = list(map(self.known.__getitem__, pieces))
+        joined = pa.array(found, pa.large_binary()).take(coded.indices)
+        _, offsets, data = joined.buffers()
+        bounds = np.frombuffer(offsets, dtype="<i8")[lists.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        return [data[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+
+def by_bytes(batch: pa.RecordBatch, text: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of some ``SLICE_BYTES`` of text; a longer text is not cut."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype("i8")
+    turns = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(turns)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
 
 
 def id_type(path: str) -> str:
@@ -306,8 +326,8 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, text: str = "text",
         for batch in batches:
             # a worker's later tasks find the pieces that earlier ones learned
             ids = ids if ids is not None else per_worker(f"token ids {tokenizer} {dtype}", lambda: Ids(tokenizer, dtype))
-            for at in range(0, batch.num_rows, 256):
-                doc_ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
+            for part in by_bytes(batch):
+                doc_ids, texts = (c.to_pylist() for c in part.columns)
                 for doc_id, x in zip(doc_ids, ids.encode([t or "" for t in texts])):
                     if file := writer.add(doc_id, x + end):
                         yield pa.RecordBatch.from_pydict({"file": [file]})
