@@ -122,9 +122,9 @@ def side_price(type_col: str = "type") -> Column:
     return F.when(F.col(type_col) == "BUY", F.col("bid")).otherwise(F.col("ask"))
 
 
-def trailing_points(positions: DataFrame, ticks: DataFrame, info: DataFrame, distance: float) -> DataFrame:
+def trailing_points(positions: DataFrame, ticks: DataFrame, info: DataFrame, distance: float, keep: tuple[str, ...] = ()) -> DataFrame:
     """K3: move the SL to price ∓ distance once the gain in whole points reaches it,
-    only when tighter than the stored SL (or none is set)."""
+    only when tighter than the stored SL (or none is set). ``keep``: further columns of the positions."""
     df = positions.join(ticks.select("symbol", "bid", "ask"), "symbol", "left").join(info, "symbol", "left")
     price = side_price()
     buy = F.col("type") == "BUY"
@@ -137,7 +137,7 @@ def trailing_points(positions: DataFrame, ticks: DataFrame, info: DataFrame, dis
         "account_id", "ticket", "symbol", "type", price.alias("price_current"), pts.alias("gain_points"),
         F.when(move, round_digits(new_sl, F.col("digits"))).alias("new_sl"),
         F.when(move, F.when(F.col("tp") > 0, round_digits(F.col("tp"), F.col("digits"))).otherwise(F.lit(0.0))).alias("new_tp"),
-        move.alias("move_sl"),
+        move.alias("move_sl"), *keep,
     )
 
 

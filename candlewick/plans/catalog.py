@@ -25,6 +25,7 @@ from ..sources import bars as B
 from ..sources import fixtures as FX
 from ..streaming import bars_stream as ST
 from ..streaming import signals_stream as SS
+from ..streaming import stops_stream as SP
 from .report import rounded
 
 BAR_COLS = ["symbol", "tf", "time", "n"]
@@ -825,6 +826,22 @@ def _file_stream(spark, sf, table):
     return ST.file_stream(spark, sf, table, schema)
 
 
+def _order_quotes(spark, sf):
+    """Quotes from the orders table as a stream, a file a trigger."""
+    return _file_stream(spark, sf, "orders").select(
+        F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"),
+        F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("bid"),
+        (F.col("o_totalprice") * F.lit(1.0002)).alias("ask"))
+
+
+def q_stream_trailing_stops(spark, sf):
+    """L6 + K3: stops that persist between polls, the best quotes so far as streaming state."""
+    prepare(spark)
+    polls = ST.run_to_table(spark, SP.best_quotes(_order_quotes(spark, sf)), "best_quotes", "update")
+    info = FX.symbol_info(B.orders_bars(spark, sf))
+    return rounded(SP.trailed_stops(FX.positions(spark, sf), polls, info, distance=300.0))
+
+
 def q_stream_position_decisions(spark, sf):
     """Per micro-batch of order ticks, K3 trailing-stop decisions against the static
     position snapshot, written per batch id (a replayed batch overwrites its own output)."""
@@ -837,10 +854,7 @@ def q_stream_position_decisions(spark, sf):
     out = os.path.join(ensure_checkpoint_dir(spark), "streams", f"decisions-{os.urandom(8).hex()}")
     positions = FX.positions(spark, sf)
     info = FX.symbol_info(B.orders_bars(spark, sf))
-    ticks = _file_stream(spark, sf, "orders").select(
-        F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"),
-        F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("bid"),
-        (F.col("o_totalprice") * F.lit(1.0002)).alias("ask"))
+    ticks = _order_quotes(spark, sf)
 
     def decide(batch, batch_id):
         quotes = B.latest_quote(batch)

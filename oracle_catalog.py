@@ -531,6 +531,22 @@ SELECT account_id, ticket, symbol, type, {rnd('px')} AS price_current, pts AS ga
   mv AS move_sl
 FROM tp2"""
 
+# the tightest stop of all quotes that reach the distance, and tighten the stored one
+SQL["stream_trailing_stops"] = with_ctes(POSITIONS) + f"""
+, best AS (
+  SELECT o_orderpriority AS symbol, max(o_totalprice) AS bid, min(o_totalprice * 1.0002) AS ask FROM orders GROUP BY o_orderpriority),
+ts0 AS (
+  SELECT p.*, i.digits, i.point, CASE WHEN p.type = 'BUY' THEN q.bid ELSE q.ask END AS px FROM pos p
+  LEFT JOIN best q ON q.symbol = p.symbol LEFT JOIN oinfo i ON i.symbol = p.symbol),
+ts1 AS (
+  SELECT *, CASE WHEN type = 'BUY' THEN px - 300.0 * point ELSE px + 300.0 * point END AS nsl,
+    trunc((CASE WHEN type = 'BUY' THEN px - price_open ELSE price_open - px END) / point) >= 300 AS reached FROM ts0),
+ts2 AS (
+  SELECT *, coalesce(reached AND (sl = 0 OR (type = 'BUY' AND nsl > sl) OR (type <> 'BUY' AND nsl < sl)), FALSE) AS mv FROM ts1)
+SELECT account_id, ticket, symbol, type,
+  {rnd('CASE WHEN mv THEN round_even(nsl * pow(10.0, digits), 0) / pow(10.0, digits) WHEN sl <> 0 THEN sl END')} AS stop, mv AS move_sl
+FROM ts2"""
+
 SQL["class_distribution"] = _li(barrier_ctes("v11")) + f"""
 SELECT symbol, tf, label, count(*) AS n_rows FROM feat WHERE {V11_OK} GROUP BY symbol, tf, label"""
 
