@@ -1,6 +1,8 @@
 """Halo layout with recurrences, packed tie-break keys, ML bundles and keyed stream state."""
 
+import datetime
 import math
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -130,6 +132,28 @@ def test_keyed_state_over_slices_equals_batch(spark):
     assert newest == {r.symbol: (r.loss_streak, r.n_closed) for r in RK.loss_streaks(trades).collect()}
 
 
+def test_many_keys_share_a_state_group(spark, monkeypatch):
+    monkeypatch.setattr(ST, "KEY_GROUPS", 3)
+    r = random.Random(5)
+    at = [(r.randrange(12), r.choice("ab"), i) for i in range(400)]
+    polls = [(a, s, i, datetime.datetime(2024, 1, 1, 0, i // 10), float(r.randrange(-50, 60)), 1000.0) for a, s, i in at]
+    table = spark.createDataFrame(polls, "account_id long, symbol string, poll long, ts timestamp_ntz, floating_profit double, balance double")
+    slices = [table.where(F.col("poll").between(*b)) for b in ((0, 99), (100, 259), (260, 399))]
+    rules = (10.0, 55.0, 20.0)
+    streamed = ST.run_slices(spark, slices, lambda s: ST.keyed_peaks(s, *rules), "peaks")
+    assert sorted(map(str, streamed.collect())) == sorted(map(str, ST.peak_profit(table, *rules).collect()))
+    trades = table.select(F.concat("symbol", F.col("account_id").cast("string")).alias("symbol"), F.col("ts").alias("closed_at"), F.col("poll").alias("order_key"),
+                          F.lit(1).alias("line_number"), F.lit(None).cast("long").alias("part_key"), F.col("floating_profit").alias("profit"))
+    slices = [trades.where(F.col("order_key").between(*b)) for b in ((0, 99), (100, 259), (260, 399))]
+    plain, seen, shown = {}, {}, []
+    for a, s, i, _, profit, _ in polls:
+        key = f"{s}{a}"
+        plain[key], seen[key] = 0 if profit >= 0 else plain.get(key, 0) + 1, seen.get(key, 0) + 1
+        shown.append((i, key, plain[key], seen[key]))
+    ends = {(next(x for x in reversed(shown) if x[1] == k and lo <= x[0] <= hi)[1:]) for lo, hi in ((0, 99), (100, 259), (260, 399)) for k in {x[1] for x in shown if lo <= x[0] <= hi}}
+    assert {tuple(x) for x in ST.run_slices(spark, slices, ST.keyed_trade_state, "trades").collect()} == ends
+
+
 def test_random_search_expanding_folds(spark):
     feats = FX.with_predictions(I.numbered(B.lineitem_bars(spark, SF_SMALL))).withColumn(
         "label", F.when(F.col("p_buy") > F.col("p_sell"), 1).when(F.col("p_sell") > F.col("p_buy"), -1).otherwise(0))
