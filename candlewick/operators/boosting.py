@@ -167,14 +167,14 @@ def _histogram(state: DataFrame, tree: DataFrame | None, turn: int, level: int,
     return rows.groupBy("model", "k", "node", "f", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
 
 
-def _best_splits(hist: DataFrame, params: DataFrame, level: int) -> DataFrame:
+def _best_splits(hist: DataFrame, params: DataFrame, level: int, dealt: bool = False) -> DataFrame:
     """Per model, class and node its best split: feature, bin (greater goes right), values of both sides and gain.
     The root has a row in any case, a leaf's with ``split`` false."""
     node = ["model", "k", "node"]
     whole = Window.partitionBy(*node, "f")
     below = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    # histograms are small; dealt by node once, for the running sums and for the best of them
-    rows = hist.repartition(*node).select(*node, "f", "bin", F.sum("g").over(below).alias("gl_"), F.sum("h").over(below).alias("hl_"), F.sum("g").over(whole).alias("g_"),
+    # unless dealt by model already, histograms are dealt by node once, for the running sums and for the best of them
+    rows = (hist if dealt else hist.repartition(*node)).select(*node, "f", "bin", F.sum("g").over(below).alias("gl_"), F.sum("h").over(below).alias("hl_"), F.sum("g").over(whole).alias("g_"),
                        F.sum("h").over(whole).alias("h_"), F.max("bin").over(whole).alias("last_"))
     rows = rows.join(params.select("model", "lam", "min_child"), "model")
 
@@ -272,13 +272,20 @@ def _score_block(rows, trees):
     return rows[["model", "id"]].assign(scores=list(scores))
 
 
+def _one_part_each(most: int, total: int, parts: int) -> bool:
+    """Whether rows can be dealt by model over the parts: no model has more than a part's share."""
+    return most * parts <= total
+
+
 def fit(rows: DataFrame, features: Sequence[str], params: DataFrame, edges=quantile_edges, bins: int = 32,
         path: str | None = None, least_rows: int = MIN_TRAIN_ROWS) -> Boosted:
     """Train every model of ``params`` (see ``params_table``) on the rows (``model``, ``id``, ``label``, ``weight`` and
     complete features) of positive weight; rows of weight 0 are only scored. Models with fewer than ``least_rows`` such
     rows are left out (I12).
 
-    Per round one job a level and one that moves the scores on; scores lie in two folders written in turn.
+    Per round one job a level and one that moves the scores on; scores lie in two folders written in turn. Where no
+    model has more rows than a part's share they are bucketed by model, so that rows meet their trees, and are summed
+    to histograms, where they lie.
     """
     spark, features = rows.sparkSession, list(features)
     path = path or os.path.join(ensure_checkpoint_dir(spark), "boosted", uuid.uuid4().hex)
@@ -287,18 +294,29 @@ def fit(rows: DataFrame, features: Sequence[str], params: DataFrame, edges=quant
         return os.path.join(path, *names)
 
     train = rows.where(F.col("weight") > 0)
-    enough = train.groupBy("model").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_rows).select("model")
-    params.join(enough, "model").write.parquet(place("params"))
+    enough = train.groupBy("model").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_rows)
+    params = params.join(enough, "model")
+    params.write.parquet(place("params"))
     params = spark.read.schema(params.schema).parquet(place("params"))
     edges(train.join(params.select("model"), "model", "left_semi"), features, bins).write.parquet(place("edges"))
     start = _binned(rows, spark.read.parquet(place("edges")), features).join(params, "model")
     kept = ["model", "id", F.col("label").cast("int").alias("label"), F.col("weight").cast("double").alias("weight"), "bins", "rounds", "depth", "eta", "subsample", "colsample"]
-    start.select(*kept, F.array(*[F.lit(0.0)] * CLASSES).alias("scores")).write.parquet(place("state", "start"))
-    state = place("state", "start")
-    sizes = params.agg(F.max("rounds"), F.max("depth"), F.min("colsample")).first()
-    schema = spark.read.parquet(state).schema  # read once: later reads look at no file
+    start = start.select(*kept, F.array(*[F.lit(0.0)] * CLASSES).alias("scores"))
+    sizes = params.agg(F.max("rounds"), F.max("depth"), F.min("colsample"), F.max("n"), F.sum("n")).first()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _one_part_each(sizes[3] or 0, sizes[4] or 0, parts)
+    table = f"boosted_{uuid.uuid4().hex}"
+    schema, state = start.schema, place("state", "start")  # the schema is known: reads look at no file
+
+    def keep(df: DataFrame, slot: str) -> None:
+        if dealt:
+            df.write.mode("overwrite").bucketBy(parts, "model").option("path", place("state", slot)).saveAsTable(f"{table}_{slot}")
+        else:
+            df.write.mode("overwrite").parquet(place("state", slot))
+
+    keep(start.repartition(parts, "model") if dealt else start, "start")
     for turn in range(sizes[0] or 0):
-        now = spark.read.schema(schema).parquet(state)
+        now = spark.table(f"{table}_{os.path.basename(state)}") if dealt else spark.read.schema(schema).parquet(state)
         levels: list[str] = []
 
         def tree() -> DataFrame:
@@ -307,11 +325,13 @@ def fit(rows: DataFrame, features: Sequence[str], params: DataFrame, edges=quant
         for level in range(sizes[1]):
             hist = _histogram(now, tree() if levels else None, turn, level, len(features), sizes[2] < 1)
             levels.append(place("trees", f"round={turn}", f"level={level}"))
-            _best_splits(hist, params, level).write.parquet(levels[-1])
+            _best_splits(hist, params, level, dealt).write.parquet(levels[-1])
         moved = now.join(tree(), "model", "left")
         scores = F.array(*[F.col("scores")[k] + F.when(F.col("rounds") > turn, F.col("eta") * _walk(k, len(levels)).value).otherwise(0.0) for k in range(CLASSES)])
         state = place("state", f"slot{turn % 2}")
-        moved.withColumn("scores", scores).drop("tree").write.mode("overwrite").parquet(state)
+        keep(moved.withColumn("scores", scores).drop("tree"), os.path.basename(state))
+    for slot in ("start", "slot0", "slot1") if dealt else ():
+        spark.sql(f"DROP TABLE IF EXISTS {table}_{slot}")  # the files stay
     # written last: a folder without it counts as not trained
     spark.createDataFrame([(json.dumps({"feature_names": features}),)], "meta string").coalesce(1).write.text(place("meta"))
     return Boosted(spark, path, features, state)

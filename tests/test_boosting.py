@@ -147,3 +147,18 @@ def test_search_equals_a_plain_loop(spark):
     best = {r.symbol: r.draw for r in BO.best_draws(spark.createDataFrame(scores)).collect()} if scores else {}
     for s in ("s", "t"):
         assert np.mean(by[s, best[s]]) == pytest.approx(max(np.mean(v) for (q, _), v in by.items() if q == s))
+
+
+def test_rows_dealt_by_model_give_the_same_trees(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(f"m{i % 9}", i, r.choice((-1, 0, 1)), 1.0 if i % 5 else 0.0, r.random(), r.random()) for i in range(1350)]
+    table = spark.createDataFrame(rows, "model string, id long, label int, weight double, a double, b double")
+    sizes = BO.with_params(table.select("model").distinct(), BO.BoostParams(rounds=2, depth=2, eta=0.3, subsample=1.0))
+    assert BO._one_part_each(120, 1080, 4) and not BO._one_part_each(600, 1080, 4)
+    found = []
+    for dealt in (True, False):
+        monkeypatch.setattr(BO, "_one_part_each", lambda *a, dealt=dealt: dealt)
+        fitted = BO.fit(table, ["a", "b"], sizes, BO.width_edges, bins=8)
+        found.append((sorted(map(str, fitted.trees().collect())), sorted(map(str, fitted.scored_rows().collect()))))
+    assert found[0] == found[1] and found[0][0]
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("boosted_")]
