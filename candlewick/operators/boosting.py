@@ -274,7 +274,7 @@ def _score_block(rows, trees):
 
 def _one_part_each(most: int, total: int, parts: int) -> bool:
     """Whether rows can be dealt by model over the parts: no model has more than a part's share."""
-    return most * parts <= total
+    return 0 < most * parts <= total
 
 
 def fit(rows: DataFrame, features: Sequence[str], params: DataFrame, edges=quantile_edges, bins: int = 32,
