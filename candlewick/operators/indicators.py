@@ -8,6 +8,10 @@ Two kinds of building blocks:
   ``recurrence.run``; seeds follow the public TA-Lib conventions (SMA seed over the
   first ``p`` valid values, written as a non-decaying warm-up).
 
+``recurrence.run`` reads its rows twice, for the block ends and for the bars. The functions
+that chain passes write the rows between them as tables, so that a chain costs as many
+passes as it has and not twice as many with each.
+
 Warm-up rows are null, never NaN. ``with_*`` functions are one-indicator conveniences;
 feature sets pack many indicators into few passes (``features.py``).
 """
@@ -19,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from . import recurrence
 from .recurrence import Recurrence
 from .series import KEYS, masked, number_bars, rolling, trailing
@@ -40,6 +45,21 @@ def sma(x, p: int, w: Window) -> Column:
     return masked(F.avg(x).over(trailing(w, p)), x, w, p)
 
 
+def long_sma(out: str, x, p: int, w: Window, step: int = 10) -> list[tuple[str, Column]]:
+    """C1 for long periods, as pairs for ``rolling``: sums of ``step`` rows, ``p / step`` of them a row.
+
+    A sliding frame adds up all its ``p`` rows again at every row; this takes ``step + p / step`` terms.
+    """
+    if p % step:
+        raise ValueError("step must divide p")
+    x, part = _c(x), f"_{out}_part"
+    total = F.col(part)
+    for k in range(step, p, step):
+        # null if any part is
+        total = total + F.lag(part, k).over(w)
+    return [(part, masked(F.sum(x).over(trailing(w, step)), x, w, step)), (out, total / F.lit(float(p)))]
+
+
 def rolling_std(x, p: int, w: Window, sample: bool = True) -> Column:
     """Rolling standard deviation (sample by default, as pandas)."""
     x = _c(x)
@@ -221,7 +241,7 @@ def macd_recs(col, fast: int, slow: int, prefix: str = "macd") -> list[Recurrenc
 def macd_finish(df: DataFrame, fast: int, slow: int, signal: int, prefix: str = "macd", keys=KEYS) -> DataFrame:
     """Signal pass and masks; expects the columns of ``macd_recs``."""
     line = F.col(f"_{prefix}_fast") - F.col(f"_{prefix}_slow")
-    df = df.withColumn(f"_{prefix}_line", valid_from(line, slow - 1))
+    df = cut_lineage(df.withColumn(f"_{prefix}_line", valid_from(line, slow - 1)), "macd_line")
     df = recurrence.run(df, [ema_rec(f"_{prefix}_sig", f"_{prefix}_line", signal, start=slow - 1)], keys=keys)
     first = slow + signal - 2
     line = valid_from(F.col(f"_{prefix}_line"), first)
@@ -240,6 +260,7 @@ def with_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, co
 
 
 def _with_prev(df: DataFrame, keys=KEYS) -> DataFrame:
+    """Previous close, high and low, as a table: a recurrence reads its rows twice."""
     def build(w):
         return [
             ("_pc", lag("close", 1, w)),
@@ -247,7 +268,7 @@ def _with_prev(df: DataFrame, keys=KEYS) -> DataFrame:
             ("_pl", lag("low", 1, w)),
         ]
 
-    return with_window_columns(df, build, back=1, keys=keys)
+    return cut_lineage(with_window_columns(df, build, back=1, keys=keys), "with_prev")
 
 
 def rsi_inputs(close: str = "close", prev: str = "_pc") -> tuple[Column, Column]:
@@ -327,11 +348,10 @@ def with_adx(df: DataFrame, p: int = 14, out: str = "adx", keys=KEYS) -> DataFra
     df = _with_prev(df, keys)
     df = recurrence.run(df, adx_recs(p), keys=keys)
     dx, ok = dx_columns(p)
-    df = df.withColumn("_dx", dx).withColumn("_dx_ok", ok)
+    df = df.withColumns({"_dx": dx, "_dx_ok": ok}).drop("_pdm", "_mdm", "_str", "_pc", "_ph", "_pl")
+    df = cut_lineage(df, "dx")
     df = recurrence.run(df, [adx_rec(out, p)], keys=keys)
-    return df.withColumn(out, valid_from(F.col(out), 2 * p - 1)).drop(
-        "_pdm", "_mdm", "_str", "_dx", "_dx_ok", "_pc", "_ph", "_pl"
-    )
+    return df.withColumn(out, valid_from(F.col(out), 2 * p - 1)).drop("_dx", "_dx_ok")
 
 
 def with_mfi(df: DataFrame, p: int = 14, out: str = "mfi", keys=KEYS) -> DataFrame:

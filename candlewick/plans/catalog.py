@@ -32,8 +32,11 @@ BAR_COLS = ["symbol", "tf", "time", "n"]
 
 
 def _numbered(bars: DataFrame) -> DataFrame:
-    """Numbered bars as a table: what follows reads it several times, the ticks are read once."""
-    return cut_lineage(number_bars(bars), "bars")
+    """Numbered bars as a table: what follows reads it several times, the ticks are read once.
+
+    Numbering reads the bars twice (to count and to number them), so they are a table before it too.
+    """
+    return cut_lineage(number_bars(cut_lineage(bars, "unnumbered")), "bars")
 
 
 def _li(spark: SparkSession, sf: str) -> DataFrame:
@@ -145,7 +148,7 @@ def q_ind_long_m1(spark, sf):
     prepare(spark)
     df = recurrence.run(_numbered(B.tape_bars(spark, sf)), [I.ema_rec("ema_12", "close", 12), I.ema_rec("ema_200", "close", 200)])
     df = I.with_adx(I.with_atr(df))
-    df = rolling(df, lambda w: [("sma_200", I.sma("close", 200, w))], back=199)
+    df = rolling(df, lambda w: I.long_sma("sma_200", "close", 200, w), back=199)
     return rounded(df.select(*BAR_COLS, I.valid_from(F.col("ema_12"), 11).alias("ema_12"),
                              I.valid_from(F.col("ema_200"), 199).alias("ema_200"), "atr", "adx", "sma_200"))
 
