@@ -28,6 +28,8 @@ from .series import number_rows
 MIN_TRAIN_ROWS = 100
 # Explicit class weights of the 30-feature model (label -> weight).
 EXPLICIT_CLASS_WEIGHTS = {0: 0.5, 1: 4.0, -1: 2.0}
+# The classes of a label index: Spark ML counts them from here, else up to the largest index that occurs.
+CLASSES = {"ml_attr": {"type": "nominal", "vals": ["-1", "0", "1"]}}
 
 
 def label_index(label: str = "label"):
@@ -127,7 +129,7 @@ def fit_ensemble(train: DataFrame, features: Sequence[str], params: EnsemblePara
         return None
     prep = preparation(train, features)
     weighted = bool(weight_col and weight_col in train.columns)
-    data = prep.transform(train).withColumn("_y", label_index())
+    data = prep.transform(train).withColumn("_y", label_index()).withMetadata("_y", CLASSES)
     data = cut_lineage(data.select("features", "label", "_y", *([weight_col] if weighted else [])), "train_rows")
     rf = RandomForestClassifier(
         labelCol="_y", featuresCol="features", numTrees=p.rf_trees, maxDepth=p.rf_depth,
