@@ -40,3 +40,8 @@ def test_ensemble_query_without_buy_and_sell_labels(spark, flat_tables):
     rows = catalog.q_ml_ensemble_v11(spark, flat_tables).collect()
     assert rows and {(r.label, r.pred, r.gated) for r in rows} == {(0, 0, 0)}
     assert all(abs(r.p_sell + r.p_hold + r.p_buy - 1.0) < 1e-9 for r in rows)
+
+
+def test_streamed_scores_without_buy_and_sell_labels(spark, flat_tables):
+    rows = catalog.q_stream_model_scores(spark, flat_tables).collect()
+    assert rows and {(r.label, r.pred, r.gated) for r in rows} == {(0, 0, 0)}
