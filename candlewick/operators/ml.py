@@ -90,7 +90,7 @@ def scaler_table(prep: PipelineModel, features: Sequence[str]) -> DataFrame:
 
     scaler = prep.stages[-1]
     rows = [(f, float(m), float(d)) for f, m, d in zip(features, scaler.mean.toArray(), scaler.std.toArray())]
-    return SparkSession.getActiveSession().createDataFrame(rows, "feature string, mean double, std double")
+    return SparkSession.active().createDataFrame(rows, "feature string, mean double, std double")
 
 
 def soft_vote(forest: Column, boosted: Sequence[Column]) -> Column:
@@ -201,7 +201,7 @@ def save_bundle(model: Ensemble, base: str, symbol: str) -> str:
     for i, g in enumerate(model.gbts):
         g.write().overwrite().save(os.path.join(path, f"gbt{i}"))
     meta = {"feature_names": model.features, "prob_threshold": model.prob_threshold}
-    ss = SparkSession.getActiveSession()
+    ss = SparkSession.active()
     # written last: a bundle without it counts as not trained
     ss.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").text(os.path.join(path, "meta"))
     return path
@@ -213,7 +213,7 @@ def load_bundle(base: str, symbol: str) -> Ensemble | None:
 
     path = os.path.join(base, f"symbol={symbol}")
     try:
-        meta = json.loads(SparkSession.getActiveSession().read.text(os.path.join(path, "meta")).first()[0])
+        meta = json.loads(SparkSession.active().read.text(os.path.join(path, "meta")).first()[0])
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise

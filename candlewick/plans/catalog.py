@@ -877,17 +877,22 @@ def q_stream_model_scores(spark, sf):
     split = BT.chronological_split(feats)
     model = ML.fit_ensemble(ML.balanced_weights(split.filter(F.col("t").isNull())), FE.V11_COLUMNS,
                             ML.EnsembleParams(rf_trees=10, gbt_iter=5))
-    base = os.path.join(ensure_checkpoint_dir(spark), "models", os.urandom(8).hex())
-    ML.save_bundle(model, base, "pooled")
-    rows = cut_lineage(split.filter(F.col("t").isNotNull()).drop("m"), "score_input")
-    folder = rows.inputFiles()[0].rsplit("/", 1)[0]
-    stream = spark.readStream.schema(rows.schema).parquet(folder)
-    out = os.path.join(ensure_checkpoint_dir(spark), "streams", f"scores-{os.urandom(8).hex()}")
+    shared, run = ensure_checkpoint_dir(spark), os.urandom(8).hex()
+    base = os.path.join(shared, "models", run)
+    if model is not None:
+        ML.save_bundle(model, base, "pooled")
+    # the folder's own name: inputFiles() gives it URL-encoded, which no reader takes
+    folder, out = os.path.join(shared, "tables", f"score_input-{run}"), os.path.join(shared, "streams", f"scores-{run}")
+    split.filter(F.col("t").isNotNull()).drop("m").write.parquet(folder)
+    stream = spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
 
     def score(batch, batch_id):
         bundle = ML.load_bundle(base, "pooled")
-        scored = bundle.predict(batch).select(*BAR_COLS, "label", "pred",
-                                              SG.confidence_gate(F.col("probs"), 0.54).alias("gated"))
+        if bundle is None:  # not trained: every row is a hold
+            scored = batch.select(*BAR_COLS, "label", F.lit(0).alias("pred"), F.lit(0).alias("gated"))
+        else:
+            scored = bundle.predict(batch).select(*BAR_COLS, "label", "pred",
+                                                  SG.confidence_gate(F.col("probs"), 0.54).alias("gated"))
         scored.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
     ST.foreach_batch(stream, score, "model_scores")
