@@ -1,11 +1,12 @@
 """Softmax boosted trees over binned features, many models in the same jobs.
 
-One model per value of ``model`` (a symbol, or a symbol with its fold and draw). Trees grow level
-by level: rows are summed to (model, class, node, feature, bin) histograms of gradients and
-hessians, in one shuffle of partial sums; running sums over the bins give the best split of a
-node. Rows never meet by model, so a symbol with a third of all rows is spread like any other,
-and ten thousand symbols take as many jobs as one. Nothing but two numbers (most rounds, most
-levels) reaches the driver; trees are a table.
+One model per value of ``model`` (a symbol, or a symbol with its fold and draw). Models of at most
+``WHOLE_ROWS`` rows meet in one shuffle by model; a task grows all trees of many such models
+together, whatever their rounds and depths. Larger ones grow level by level: rows are summed to
+(model, class, node, feature, bin) histograms of gradients and hessians, in one shuffle of partial
+sums; running sums over the bins give the best split of a node. Rows of these never meet by model,
+so a symbol with a third of all rows is spread like any other. Ten thousand symbols take as many
+jobs as one. A few numbers (such as most rounds, most levels) reach the driver; trees are a table.
 
 Gradients are rounded to multiples of 2^-20 and summed as whole numbers, so the same rows give the
 same trees in any order and on any cluster.
@@ -24,6 +25,7 @@ import uuid
 import zlib
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,6 +41,14 @@ MIN_GAIN = 1e-9
 SPLITS = "model string, k int, node int, split boolean, f int, bin short, left double, right double, gain double"
 #: Rows of a model that are scored together with a copy of its trees.
 SCORE_BLOCK = 4096
+#: Most rows of a model whose trees grow in one task, and the weight below which its sums are exact as doubles.
+WHOLE_ROWS, WHOLE_WEIGHT = 1 << 16, float(1 << 31)
+#: Rows after which a task begins a new group of models to grow or score together.
+TOGETHER = 1 << 16
+#: What a model's first row of numbers holds before its edges.
+HEAD = ("rounds", "depth", "eta", "lam", "min_child", "subsample", "colsample")
+#: A tree's node as a row of numbers.
+NODE = ("round", "level", "k", "node", "split", "f", "bin", "left", "right")
 
 
 @dataclass(frozen=True)
@@ -196,28 +206,327 @@ def _best_splits(hist: DataFrame, params: DataFrame, level: int, dealt: bool = F
     return rows if level == 0 else rows.where("split")
 
 
+# --- whole models in a task -------------------------------------------------------------------
+
+
+def _numbers(*cols: Column) -> Column:
+    return F.array(*[c.cast("double") for c in cols])
+
+
+def _head(edges: Column) -> Column:
+    """Edges of all features as one row of numbers, each feature's count before its edges."""
+    return F.flatten(F.transform(edges, lambda e: F.concat(_numbers(F.size(e)), e)))
+
+
+def _read_edges(heads: list, n_features: int):
+    """Edges by model, feature and place, filled up with NaN, from rows of numbers as ``_head`` makes them."""
+    import numpy as np
+
+    found = []
+    for head in heads:
+        at, mine = 0, []
+        for _ in range(n_features):
+            n = max(int(head[at]), 0)
+            mine.append(head[at + 1: at + 1 + n])
+            at += 1 + n
+        found.append(mine)
+    out = np.full((len(heads), n_features, max((len(e) for mine in found for e in mine), default=0)), np.nan)
+    for i, mine in enumerate(found):
+        for f, e in enumerate(mine):
+            out[i, f, :len(e)] = e
+    return out
+
+
+def _bin_places(table, edges, m):
+    """Per feature the bins of rows of models ``m``: the number of edges below the value. NaN is above all, null below all."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    out = np.zeros((edges.shape[1], table.num_rows), dtype=np.int16)
+    for f in range(edges.shape[1]):
+        x = pc.fill_null(table[f"x{f}"], -np.inf).to_numpy()
+        lost = np.isnan(x)
+        x = np.where(lost, np.inf, x)
+        for j in range(edges.shape[2]):
+            e = edges[:, f, j][m]
+            out[f] += (e < x) | (lost & (e == np.inf))
+    return out
+
+
+def _whole_groups(batches, keys: Sequence[str], together: int):
+    """Sorted batches as tables of about ``together`` rows that end where the keys change, with each row's group from 0 on."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def groups(table):
+        new = np.zeros(table.num_rows, dtype=bool)
+        for k in keys:
+            c = table[k].combine_chunks()
+            c = c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+            a, b = c.slice(1), c.slice(0, len(c) - 1)
+            new[1:] |= pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+            if c.null_count:
+                new[1:] |= pc.xor(pc.is_null(a), pc.is_null(b)).to_numpy(zero_copy_only=False)
+        return np.cumsum(new)
+
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        n += batch.num_rows
+        if n < together:
+            continue
+        table = pa.concat_tables(held).combine_chunks()
+        at = groups(table)
+        last = int(np.searchsorted(at, at[-1]))
+        if last:
+            yield table.slice(0, last), at[:last]
+        held, n = [table.slice(last)], table.num_rows - last
+    if n:
+        table = pa.concat_tables(held).combine_chunks()
+        yield table, groups(table)
+
+
+def _heads(table, group, of):
+    """The rows of numbers of the rows ``of`` and their groups."""
+    import numpy as np
+
+    at = np.flatnonzero(of)
+    return [np.array(x, dtype=np.float64) for x in table["head"].take(at).to_pylist()], group[at]
+
+
+def _crc_on(crc, text: bytes):
+    """CRC-32 of texts that go on with ``text``, from those so far."""
+    import numpy as np
+
+    turns = np.arange(256, dtype=np.int64)
+    for _ in range(8):
+        turns = np.where(turns & 1, (turns >> 1) ^ 0xEDB88320, turns >> 1)
+    crc = crc ^ 0xFFFFFFFF
+    for c in text:
+        crc = turns[(crc ^ c) & 255] ^ (crc >> 8)
+    return crc ^ 0xFFFFFFFF
+
+
+def _grow_tree(bins, m, g, h, train, size, taken):
+    """One class's trees of a round for all models: each row's value, and the trees' nodes (model's place, level, node,
+    split, f, bin, left, right, gain). As ``_best_splits``: ties go to the first feature, then the lowest bin."""
+    import numpy as np
+
+    n_models, d = taken.shape
+    width = int(bins.max(initial=0)) + 1
+    value, nodes = np.zeros(len(m)), []
+    slot = m.copy()  # of a row's node, -1 at its end
+    owner, node = np.arange(n_models), np.ones(n_models, dtype=np.int64)
+    level = 0
+    while len(owner):
+        open_ = (size["depth"][owner] > level) & taken[owner].any(axis=1)
+        slot[(slot >= 0) & ~open_[slot]] = -1
+        rows = np.flatnonzero(train & (slot >= 0))
+        if not len(rows):
+            break
+        s, g_, h_ = slot[rows], g[rows], h[rows]
+        n = len(owner)
+        lam, least = size["lam"][owner], size["min_child"][owner]
+        gs, hs = (np.bincount(s, weights=x, minlength=n) for x in (g_, h_))
+        whole = -gs / (hs + lam)
+        gain, f_, bin_, left, right = np.zeros(n), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64), whole.copy(), np.zeros(n)
+        for f in range(d):
+            places = s * width + bins[f, rows]
+            gl, hl = (np.bincount(places, weights=x, minlength=n * width).reshape(n, width).cumsum(axis=1) for x in (g_, h_))
+            gr, hr = gs[:, None] - gl, hs[:, None] - hl
+            c, e = lam[:, None], least[:, None]
+            found = gl * gl / (hl + c) + gr * gr / (hr + c) - (gs * gs / (hs + lam))[:, None]
+            found = np.where((hl >= e) & (hr >= e) & (found > MIN_GAIN) & taken[owner, f][:, None], found, 0.0)
+            at = found.argmax(axis=1)
+            one = np.arange(n)
+            better = found[one, at] > gain
+            i, j = one[better], at[better]
+            gain[i], f_[i], bin_[i] = found[i, j], f, j
+            left[i], right[i] = -gl[i, j] / (hl[i, j] + lam[i]), -gr[i, j] / (hr[i, j] + lam[i])
+        split = gain > 0
+        kept = split
+        if level == 0:  # a root has a node in any case, as if cut after its lowest bin
+            kept = np.bincount(s, minlength=n) > 0
+            f_ = np.where(split, f_, taken.argmax(axis=1))
+            lone = ~split[s]
+            mine, b = s[lone], bins[f_[s[lone]], rows[lone]]
+            low = np.full(n, width, dtype=np.int64)
+            np.minimum.at(low, mine, b)
+            first = b == low[mine]
+            gl, hl = (np.bincount(mine[first], weights=x[lone][first], minlength=n) for x in (g_, h_))
+            bin_ = np.where(split, bin_, low)
+            right = np.where(split, right, -(gs - gl) / (hs - hl + lam))
+        i = np.flatnonzero(kept)
+        nodes.append((owner[i], np.full(len(i), level), node[i], split[i], f_[i], bin_[i], left[i], right[i], gain[i]))
+        rows = np.flatnonzero(slot >= 0)
+        s = slot[rows]
+        on = split[s]
+        if level == 0:
+            value[rows] = np.where(kept[s], left[s], 0.0)
+        slot[rows[~on]] = -1
+        rows, s = rows[on], s[on]
+        up = bins[f_[s], rows] > bin_[s]
+        value[rows] = np.where(up, right[s], left[s])
+        slot[rows] = 2 * (np.cumsum(split) - 1)[s] + up
+        owner = np.repeat(owner[split], 2)
+        node = np.repeat(2 * node[split], 2) + np.tile((0, 1), int(split.sum()))
+        level += 1
+    return value, nodes
+
+
+def _grow_models(batches, n_features: int, together: int):
+    """Trees and scored rows of models whose rows, after a row of sizes and edges each, are sorted by model."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    plain = {"k": pa.int32(), "node": pa.int32(), "split": pa.bool_(), "f": pa.int32(), "bin": pa.int16(), "left": pa.float64(), "right": pa.float64(), "gain": pa.float64(),
+             "round": pa.int32(), "level": pa.int32()}
+    row = {"label": pa.int32(), "weight": pa.float64()} | {f"s{k}": pa.float64() for k in range(CLASSES)}
+
+    def out(n, **cols):
+        kinds = {"model": table["model"].type} | plain | {"id": table["id"].type} | row
+        return pa.RecordBatch.from_arrays([cols[c].cast(t) if c in cols else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
+
+    for table, group in _whole_groups(batches, ["model"], together):
+        is_head = table["kind"].to_numpy() == 0
+        heads, owners = _heads(table, group, is_head)
+        if not heads:
+            continue
+        names = table["model"].take(np.flatnonzero(is_head)).combine_chunks()
+        size = {c: np.array([x[i] for x in heads]) for i, c in enumerate(HEAD)}
+        place = np.full(int(group[-1]) + 1, -1)
+        place[owners] = np.arange(len(heads))
+        rows = np.flatnonzero(~is_head & (place[group] >= 0))
+        m, table = place[group[rows]], table.take(rows).combine_chunks()
+        bins = _bin_places(table, _read_edges([x[len(HEAD):] for x in heads], n_features), m)
+        weight = pc.fill_null(table["weight"], 0.0).to_numpy()
+        label = pc.fill_null(table["label"], CLASSES).to_numpy()
+        crc = pc.fill_null(table["crc"], -1).to_numpy()
+        scores = np.zeros((CLASSES, len(m)))
+        with np.errstate(all="ignore"):
+            for turn in range(int(size["rounds"].max())):
+                goes = size["rounds"][m] > turn
+                train = goes & (weight > 0)
+                if (size["subsample"] < 1).any():
+                    drawn = (crc >= 0) & (_crc_on(crc, f":{turn}".encode()) % 1000 < size["subsample"][m] * 1000)
+                    train &= (size["subsample"][m] >= 1) | drawn
+                e = np.exp(scores - scores.max(axis=0))
+                p = e / (e[0] + e[1] + e[2])
+                moved = []
+                for k in range(CLASSES):
+                    # multiples of 2^-20 below 2^53 of them: sums are exact
+                    g = np.floor((p[k] - (label == k - 1)) * weight * SCALE + 0.5) / SCALE
+                    g[label == CLASSES] = 0.0
+                    h = np.floor(2.0 * p[k] * (1.0 - p[k]) * weight * SCALE + 0.5) / SCALE
+                    turns = np.array(_feature_turn(turn, k, n_features))
+                    taken = (size["colsample"] >= 1)[:, None] | (turns < np.ceil(size["colsample"] * n_features)[:, None])
+                    value, nodes = _grow_tree(bins, m, g, h, train, size, taken)
+                    moved.append(np.where(goes, size["eta"][m] * value, 0.0))
+                    for owner, level, node, split, f, cut, left, right, gain in nodes:
+                        n = len(owner)
+                        yield out(n, model=names.take(pa.array(owner)), round=pa.array(np.full(n, turn)), level=pa.array(level), k=pa.array(np.full(n, k)),
+                                  node=pa.array(node), split=pa.array(split), f=pa.array(f), bin=pa.array(cut), left=pa.array(left), right=pa.array(right), gain=pa.array(gain))
+                scores += np.array(moved)
+        if len(m):
+            yield out(len(m), **{c: table[c].combine_chunks() for c in ("model", "id", "label", "weight")}, **{f"s{k}": pa.array(scores[k]) for k in range(CLASSES)})
+
+
+def _grown(rows: DataFrame, features: Sequence[str], params: DataFrame, edges: DataFrame, drawn: bool) -> DataFrame:
+    """Nodes (``round`` is not null) and scored rows of all models of ``params``, each grown in one task."""
+    own = rows.select(
+        "model", F.lit(1).alias("kind"), F.lit(None).cast("array<double>").alias("head"), "id", F.col("label").cast("int").alias("label"), F.col("weight").cast("double").alias("weight"),
+        (F.crc32(F.col("id").cast("string")) if drawn else F.lit(0)).cast("long").alias("crc"), *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    head = params.join(edges, "model").select("model", F.lit(0).alias("kind"), F.concat(_numbers(*map(F.col, HEAD)), _head(F.col("edges"))).alias("head"))
+    both = head.unionByName(own, allowMissingColumns=True).repartition("model").sortWithinPartitions("model", "kind")
+    kinds = dict(own.dtypes)
+    tree = f"{SPLITS}, round int, level int"
+    schema = f"{tree.replace('model string', 'model ' + kinds['model'])}, id {kinds['id']}, label int, weight double, s0 double, s1 double, s2 double"
+    return both.mapInArrow(partial(_grow_models, n_features=len(features), together=TOGETHER), schema)
+
+
+def _score_models(batches, n_features: int, together: int):
+    """Scores of blocks of rows, each after its model's edges and nodes."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for table, group in _whole_groups(batches, ["model", "block"], together):
+        kind = table["kind"].to_numpy()
+        heads, owners = _heads(table, group, kind == 0)
+        if not heads:
+            continue
+        place = np.full(int(group[-1]) + 1, -1)
+        place[owners] = np.arange(len(heads))
+        at = np.flatnonzero((kind == 1) & (place[group] >= 0))
+        node = pc.list_flatten(table["head"].take(at)).to_numpy().reshape(len(at), len(NODE))
+        node = dict(zip(NODE, node.T)) | {"m": place[group[at]]}
+        rows = np.flatnonzero((kind == 2) & (place[group] >= 0))
+        m, table = place[group[rows]], table.take(rows).combine_chunks()
+        if not len(rows):
+            continue
+        eta = np.array([x[0] for x in heads])
+        bins = _bin_places(table, _read_edges([x[1:] for x in heads], n_features), m)
+        scores = np.zeros((CLASSES, len(m)))
+        order = np.lexsort((node["level"], node["k"], node["round"]))
+        steps = np.stack([node[c][order] for c in ("round", "k", "level")])
+        cuts = np.flatnonzero((steps[:, 1:] != steps[:, :-1]).any(axis=0)) + 1
+        was, here, value = None, None, None
+        for mine in np.split(order, cuts) if len(order) else ():
+            turn, k, level = (int(node[c][mine[0]]) for c in ("round", "k", "level"))
+            if was != (turn, k):
+                if was:
+                    scores[was[1]] += eta[m] * value
+                was, here, value = (turn, k), np.ones(len(m), dtype=np.int64), np.zeros(len(m))
+            entry = np.full(len(heads) << level, -1)
+            entry[(node["m"][mine] << level) + node["node"][mine].astype(np.int64) - (1 << level)] = mine
+            live = np.flatnonzero(here >> level == 1)
+            e = entry[(m[live] << level) + here[live] - (1 << level)]
+            here[live[e < 0]] = 0
+            live, e = live[e >= 0], e[e >= 0]
+            split = node["split"][e] > 0
+            up = split & (bins[node["f"][e].astype(np.int64), live] > node["bin"][e])
+            value[live] = np.where(up, node["right"][e], node["left"][e])
+            here[live] = np.where(split, 2 * here[live] + up, 0)
+        if was:
+            scores[was[1]] += eta[m] * value
+        yield pa.RecordBatch.from_arrays([table["model"].combine_chunks(), table["id"].combine_chunks(), *map(pa.array, scores)], names=["model", "id", "s0", "s1", "s2"])
+
+
 # --- models -----------------------------------------------------------------------------------
 
 
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
 @dataclass
 class Boosted:
-    """A bundle of models in one folder: ``trees`` (by round and level), ``edges``, ``params`` and the ordered features."""
+    """A bundle of models in one folder: ``grown`` (nodes and scored rows of models grown whole), ``trees`` (by round and
+    level, of larger ones), ``edges``, ``params`` and the ordered features."""
 
     spark: SparkSession
     path: str
     features: list[str]
     state: str | None = None
+    tables: Sequence[str] = ("trees",)
 
     def _table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(os.path.join(self.path, name))
 
     def trees(self) -> DataFrame:
         """``model``, ``round``, ``level``, ``k``, ``node``, ``split``, ``f``, ``bin``, ``left``, ``right``, ``gain``."""
-        return self._table("trees")
+        return reduce(DataFrame.unionByName, [self._table(t).where("round IS NOT NULL").select(*_names(SPLITS), "round", "level") for t in self.tables])
 
     def scored_rows(self) -> DataFrame:
         """``model``, ``id``, ``label``, ``weight`` and ``probs`` of all rows given to ``fit``, those of weight 0 too."""
-        return self.spark.read.parquet(self.state).select("model", "id", "label", "weight", softmax().alias("probs"))
+        found = {"grown": lambda: self._table("grown").where("round IS NULL").withColumn("scores", F.array("s0", "s1", "s2")),
+                 "trees": lambda: self.spark.read.parquet(self.state)}
+        parts = [found[t]().select("model", "id", "label", "weight", softmax().alias("probs")) for t in self.tables]
+        return reduce(DataFrame.unionByName, parts)
 
     def importances(self) -> DataFrame:
         """Share of each feature in a model's gains."""
@@ -228,14 +537,22 @@ class Boosted:
     def predict(self, rows: DataFrame) -> DataFrame:
         """``model``, ``id`` and ``probs`` of further rows (``model``, ``id`` and the features): blocks of a model's
         rows meet a copy of its trees. Rows of models that were not trained have no result."""
-        binned = _binned(rows.select("model", "id", *self.features), self._table("edges"), self.features).select("model", "id", "bins")
-        sizes = binned.groupBy("model").agg(F.ceil(F.count("*") / SCORE_BLOCK).cast("int").alias("blocks"))
-        binned = binned.join(sizes, "model").withColumn("block", F.pmod(F.xxhash64(F.col("id").cast("string")), F.col("blocks")).cast("int")).drop("blocks")
-        eta = self._table("params").select("model", "eta")
-        trees = self.trees().join(eta, "model").join(sizes, "model").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "gain")
-        kind = dict(binned.dtypes)["id"]
-        both = binned.groupBy("model", "block").cogroup(trees.groupBy("model", "block"))
-        return both.applyInPandas(_score_block, f"model string, id {kind}, scores array<double>").select("model", "id", softmax().alias("probs"))
+        own = rows.select("model", "id", *[F.col(f).cast("double").alias(f"x{i}") for i, f in enumerate(self.features)])
+        edges = self._table("edges").join(self._table("params").select("model", "eta"), "model")
+        edges = edges.select("model", F.lit(0).alias("kind"), F.concat(_numbers(F.col("eta")), _head(F.col("edges"))).alias("head"))
+        heads = edges.unionByName(self.trees().select("model", F.lit(1).alias("kind"), _numbers(*map(F.col, NODE)).alias("head")))
+        sizes = own.groupBy("model").agg(F.ceil(F.count("*") / SCORE_BLOCK).cast("int").alias("blocks"))
+        if (sizes.agg(F.max("blocks")).first()[0] or 0) > 1:
+            many = sizes.where("blocks > 1")
+            own = own.join(many, "model", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64(F.col("id").cast("string")), F.col("blocks")).cast("int"), F.lit(0))).drop("blocks")
+            heads = heads.join(many, "model", "left").withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))).drop("blocks")
+        else:
+            own, heads = (x.withColumn("block", F.lit(0)) for x in (own, heads))
+        both = heads.unionByName(own.withColumn("kind", F.lit(2)), allowMissingColumns=True).repartition("model", "block").sortWithinPartitions("model", "block", "kind")
+        kinds = dict(own.dtypes)
+        schema = f"model {kinds['model']}, id {kinds['id']}, s0 double, s1 double, s2 double"
+        scored = both.mapInArrow(partial(_score_models, n_features=len(self.features), together=TOGETHER), schema)
+        return scored.select("model", "id", softmax(F.array("s0", "s1", "s2")).alias("probs"))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Boosted | None:
@@ -248,28 +565,7 @@ class Boosted:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
-        return cls(spark, path, meta["feature_names"])
-
-
-def _score_block(rows, trees):
-    """Scores of a block of rows: all rows go down each tree together."""
-    import numpy as np
-
-    bins = np.array(rows["bins"].tolist(), dtype=np.int64).reshape(len(rows), -1)
-    scores = np.zeros((len(rows), CLASSES))
-    for (_, k), tree in trees.groupby(["round", "k"], sort=True):
-        eta = float(tree["eta"].iloc[0])
-        node, value = np.ones(len(rows), dtype=np.int64), np.zeros(len(rows))
-        for _, level in tree.groupby("level", sort=True):
-            for node_, split, f, cut, left, right in zip(*(level[c].tolist() for c in ("node", "split", "f", "bin", "left", "right"))):
-                here = np.flatnonzero(node == node_)
-                if not split:
-                    value[here], node[here] = left, 0
-                    continue
-                up = bins[here, f] > cut
-                value[here], node[here] = np.where(up, right, left), 2 * node_ + up
-        scores[:, k] += eta * value
-    return rows[["model", "id"]].assign(scores=list(scores))
+        return cls(spark, path, meta["feature_names"], tables=meta.get("tables", ["trees"]))
 
 
 def _one_part_each(most: int, total: int, parts: int) -> bool:
@@ -283,8 +579,9 @@ def fit(rows: DataFrame, features: Sequence[str], params: DataFrame, edges=quant
     complete features) of positive weight; rows of weight 0 are only scored. Models with fewer than ``least_rows`` such
     rows are left out (I12).
 
-    Per round one job a level and one that moves the scores on; scores lie in two folders written in turn. Where no
-    model has more rows than a part's share they are bucketed by model, so that rows meet their trees, and are summed
+    Models of at most ``WHOLE_ROWS`` rows are grown in one job, each by one task. For larger ones there is per round one
+    job a level and one that moves the scores on; scores lie in two folders written in turn. Where none of these has
+    more rows than a part's share they are bucketed by model, so that rows meet their trees, and are summed
     to histograms, where they lie.
     """
     spark, features = rows.sparkSession, list(features)
@@ -293,16 +590,35 @@ def fit(rows: DataFrame, features: Sequence[str], params: DataFrame, edges=quant
     def place(*names: str) -> str:
         return os.path.join(path, *names)
 
-    train = rows.where(F.col("weight") > 0)
-    enough = train.groupBy("model").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_rows)
-    params = params.join(enough, "model")
+    drawn = F.col("weight") > 0
+    sizes = rows.groupBy("model").agg(F.count_if(drawn).alias("n"), F.count(F.lit(1)).alias("n_all"), F.sum(F.when(drawn, F.col("weight"))).alias("heft"))
+    whole = (F.col("n_all") <= WHOLE_ROWS) & (F.col("heft") < WHOLE_WEIGHT)
+    params = params.join(sizes.where((F.col("n") >= least_rows) & (F.col("n") > 0)).select("model", "n", whole.alias("whole")), "model")
     params.write.parquet(place("params"))
     params = spark.read.schema(params.schema).parquet(place("params"))
-    edges(train.join(params.select("model"), "model", "left_semi"), features, bins).write.parquet(place("edges"))
-    start = _binned(rows, spark.read.parquet(place("edges")), features).join(params, "model")
+    edges(rows.where(drawn), features, bins).join(params.select("model"), "model", "left_semi").write.parquet(place("edges"))
+    found, large = spark.read.parquet(place("edges")), params.where("NOT whole")
+    sizes = large.agg(F.max("rounds"), F.max("depth"), F.min("colsample"), F.max("n"), F.sum("n")).first()
+    any_large = sizes[0] is not None
+    share = params.where("whole").agg(F.min("subsample")).first()[0]
+    small = rows.join(large.select("model"), "model", "left_anti") if any_large else rows
+    _grown(small, features, params.where("whole"), found, (1.0 if share is None else share) < 1).write.parquet(place("grown"))
+    tables, state = ["grown"], None
+    if any_large:
+        tables.append("trees")
+        state = _by_levels(rows, features, large, found, sizes, place)
+    # written last: a folder without it counts as not trained
+    spark.createDataFrame([(json.dumps({"feature_names": features, "tables": tables}),)], "meta string").coalesce(1).write.text(place("meta"))
+    return Boosted(spark, path, features, state, tables)
+
+
+def _by_levels(rows: DataFrame, features: Sequence[str], params: DataFrame, edges: DataFrame, sizes: Sequence, place) -> str:
+    """Trees of large models, level by level, below ``place("trees")``; the folder of their scored rows.
+    ``sizes``: most rounds, most levels, least share of features, most and all rows of the models."""
+    spark = rows.sparkSession
+    start = _binned(rows, edges, features).join(params, "model")
     kept = ["model", "id", F.col("label").cast("int").alias("label"), F.col("weight").cast("double").alias("weight"), "bins", "rounds", "depth", "eta", "subsample", "colsample"]
     start = start.select(*kept, F.array(*[F.lit(0.0)] * CLASSES).alias("scores"))
-    sizes = params.agg(F.max("rounds"), F.max("depth"), F.min("colsample"), F.max("n"), F.sum("n")).first()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = _one_part_each(sizes[3] or 0, sizes[4] or 0, parts)
     table = f"boosted_{uuid.uuid4().hex}"
@@ -332,9 +648,7 @@ def fit(rows: DataFrame, features: Sequence[str], params: DataFrame, edges=quant
         keep(moved.withColumn("scores", scores).drop("tree"), os.path.basename(state))
     for slot in ("start", "slot0", "slot1") if dealt else ():
         spark.sql(f"DROP TABLE IF EXISTS {table}_{slot}")  # the files stay
-    # written last: a folder without it counts as not trained
-    spark.createDataFrame([(json.dumps({"feature_names": features}),)], "meta string").coalesce(1).write.text(place("meta"))
-    return Boosted(spark, path, features, state)
+    return state
 
 
 # --- folds and search --------------------------------------------------------------------------

@@ -659,7 +659,7 @@ def q_ml_softmax_suppliers(spark, sf):
     feats = FE.build_features(_numbered(B.lineitem_bars(spark, sf, "l_suppkey")), "simple4")
     feats = rolling(feats, lambda w: LB.horizon_label_cols("close", w), back=0, fwd=5)
     split = BT.chronological_split(cut_lineage(feats.select(*BAR_COLS, "label", *FE.SIMPLE4_COLUMNS), "feature_rows"))
-    rows = split.withColumns({"model": F.col("symbol"), "id": F.col("n"), "weight": F.lit(1.0)})
+    rows = cut_lineage(split, "split").withColumns({"model": F.col("symbol"), "id": F.col("n"), "weight": F.lit(1.0)})
     fitted = _fit_small(rows.where(F.col("t").isNull()), FE.SIMPLE4_COLUMNS)
     tails = rows.where(F.col("t").isNotNull())
     probs = BO.Boosted.load(spark, fitted.path).predict(tails)

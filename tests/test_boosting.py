@@ -162,3 +162,62 @@ def test_rows_dealt_by_model_give_the_same_trees(spark, monkeypatch):
         found.append((sorted(map(str, fitted.trees().collect())), sorted(map(str, fitted.scored_rows().collect()))))
     assert found[0] == found[1] and found[0][0]
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("boosted_")]
+
+
+def test_models_grown_whole_equal_those_grown_by_level(spark, monkeypatch):
+    rows = data(4, {"a": 700, "b": 260, "c": 150, "d": 150, "none": 40})
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    params = {"a": BoostParams(rounds=2, depth=3, eta=0.3, subsample=0.7), "b": BoostParams(rounds=3, depth=1, eta=0.2, subsample=1.0, colsample=0.5),
+              "c": BoostParams(rounds=1, depth=2, eta=0.5, subsample=1.0, min_child=60.0), "d": BoostParams(rounds=2, depth=2, subsample=0.0), "none": BoostParams(rounds=2)}
+    cols = ["model", "round", "level", "k", "node", "split", "f", "bin", "left", "right", "gain"]
+    found = []
+    for most in (1 << 16, 0, 300):  # all grown whole, none, all but the largest
+        monkeypatch.setattr(BO, "WHOLE_ROWS", most)
+        fitted = BO.fit(df, FEATURES, BO.params_table(spark, params), BO.width_edges, bins=8)
+        monkeypatch.setattr(BO, "SCORE_BLOCK", 4096 if most else 200)
+        again = {(r.model, r.id): r.probs for r in BO.Boosted.load(spark, fitted.path).predict(df).collect()}
+        scored = {(r.model, r.id): r.probs for r in fitted.scored_rows().collect()}
+        assert again.keys() == scored.keys() and all(again[k] == pytest.approx(scored[k], abs=1e-12) for k in again)
+        found.append((sorted(map(tuple, fitted.trees().select(*cols).collect())), scored))
+    assert {t[0] for t in found[0][0]} == {"a", "b", "c"} and {m for m, _ in found[0][1]} == {"a", "b", "c", "d"}
+    for trees, scored in found[1:]:
+        assert [t[:8] for t in trees] == [t[:8] for t in found[0][0]]
+        assert all(x[8:] == pytest.approx(y[8:], abs=1e-12) for x, y in zip(trees, found[0][0]))
+        assert scored.keys() == found[0][1].keys() and all(scored[k] == pytest.approx(found[0][1][k], abs=1e-12) for k in scored)
+
+
+def test_small_models_take_as_many_jobs_whatever_their_rounds(spark, monkeypatch):
+    df = spark.createDataFrame(data(5, {f"m{i}": 120 for i in range(6)}), SCHEMA)
+    sc, jobs = spark.sparkContext, []
+    for rounds in (1, 6):
+        sc.setJobGroup(f"rounds {rounds}", "")
+        fitted = BO.fit(df, FEATURES, BO.params_table(spark, {f"m{i}": BoostParams(rounds=rounds, depth=2) for i in range(6)}), bins=8)
+        assert fitted.trees().select("model", "round").distinct().count() == 6 * rounds
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"rounds {rounds}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[1] <= jobs[0] + 2
+
+
+def test_whole_models_keep_nulls_and_values_without_order(spark):
+    from candlewick.operators.boosting import _bin_places, _crc_on, _read_edges
+    import pyarrow as pa
+    import zlib
+
+    inf, nan = float("inf"), float("nan")
+    for id_ in ("7", "a b", ""):
+        assert _crc_on(np.array([zlib.crc32(id_.encode())]), b":12").tolist() == [zlib.crc32(f"{id_}:12".encode())]
+    values = [None, nan, -inf, -1.0, 0.5, 2.0, 3.0, inf]
+    df = spark.createDataFrame([(m, i, v) for m in "xy" for i, v in enumerate(values)], "model string, id int, a double")
+    edges = spark.createDataFrame([("x", [[0.0, 2.0, inf]]), ("y", [[None, nan, 1.0]])], "model string, edges array<array<double>>")
+    expected = {(r.model, r.id): r.bins[0] for r in BO._binned(df, edges, ["a"]).collect()}
+    table = pa.table({"x0": pa.array(values * 2, pa.float64())})
+    heads = [np.array([3, 0.0, 2.0, inf]), np.array([3, nan, nan, 1.0])]
+    got = _bin_places(table, _read_edges(heads, 1), np.repeat([0, 1], len(values)))[0].tolist()
+    assert got == [expected[m, i] for m in "xy" for i in range(len(values))]
+
+
+def test_whole_models_without_a_split_are_a_root():
+    one = {"depth": np.array([2]), "lam": np.array([1.0]), "min_child": np.array([1.0])}
+    value, nodes = BO._grow_tree(np.array([[3, 2, 3]]), np.zeros(3, dtype=int), np.array([0.5, 0.25, 0.25]), np.array([0.5, 0.25, 0.25]), np.array([True, True, False]), one, np.array([[True]]))
+    assert value.tolist() == [-0.75 / 1.75] * 3
+    assert [[x.tolist() for x in n] for n in nodes] == [[[0], [0], [1], [False], [0], [2], [-0.75 / 1.75], [-0.5 / 1.5], [0.0]]]
