@@ -27,11 +27,9 @@ TRAIN_FRACTION = 0.8
 def chronological_split(df: DataFrame, keys: Sequence[str] = KEYS, order: str = "n",
                         fraction: float = TRAIN_FRACTION) -> DataFrame:
     """``m`` = row position, ``t`` = position inside the test tail (null in train)."""
-    df = number_rows(df, keys, order, out="m")
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    split = sizes.select(*keys, F.floor(F.col("_rows") * F.lit(fraction)).cast("long").alias("_split"))
-    df = df.join(split, list(keys))
-    return df.withColumn("t", F.when(F.col("m") >= F.col("_split"), F.col("m") - F.col("_split"))).drop("_split")
+    df = number_rows(df, keys, order, out="m", total="_rows")
+    split = F.floor(F.col("_rows") * F.lit(fraction)).cast("long")
+    return df.withColumn("t", F.when(F.col("m") >= split, F.col("m") - split)).drop("_rows")
 
 
 def bar_to_bar(test: DataFrame, signal: str = "signal", keys: Sequence[str] = KEYS,

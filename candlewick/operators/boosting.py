@@ -292,9 +292,12 @@ def _whole_groups(batches, keys: Sequence[str], together: int):
 def _heads(table, group, of):
     """The rows of numbers of the rows ``of`` and their groups."""
     import numpy as np
+    import pyarrow.compute as pc
 
     at = np.flatnonzero(of)
-    return [np.array(x, dtype=np.float64) for x in table["head"].take(at).to_pylist()], group[at]
+    found = table["head"].take(at).combine_chunks()
+    ends = np.cumsum(pc.list_value_length(found).to_numpy(zero_copy_only=False))
+    return np.split(pc.list_flatten(found).to_numpy(zero_copy_only=False), ends[:-1]) if len(at) else [], group[at]
 
 
 def _crc_on(crc, text: bytes):

@@ -85,10 +85,12 @@ def number_bars(
         *([F.sum("_cnt").over(every).alias(total)] if total else []),
     )
     inner = Window.partitionBy(*keys, "_chunk").orderBy(order)
+    # places are counted before the join: sorted for the window, rows are sorted for the join too
     return (
-        df.join(offsets, [*keys, "_chunk"])
-        .withColumn(out, (F.col("_off") + F.row_number().over(inner) - 1).cast("long"))
-        .drop("_chunk", "_off")
+        df.withColumn("_place", F.row_number().over(inner))
+        .join(offsets, [*keys, "_chunk"])
+        .withColumn(out, (F.col("_off") + F.col("_place") - 1).cast("long"))
+        .drop("_chunk", "_off", "_place")
     )
 
 
@@ -228,9 +230,9 @@ def prefix_scan(
     return out.withColumns(new).drop(*drop)
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: str, out: str = "m") -> DataFrame:
-    """Dense 0-based position by an integer ``order`` column (chunks of ``CHUNK_BARS``)."""
-    return number_bars(df, keys, order=order, out=out, chunk=F.floor(F.col(order) / F.lit(CHUNK_BARS)))
+def number_rows(df: DataFrame, keys: Sequence[str], order: str, out: str = "m", total: str | None = None) -> DataFrame:
+    """Dense 0-based position by an integer ``order`` column (chunks of ``CHUNK_BARS``), and ``total``: the key's rows."""
+    return number_bars(df, keys, order=order, out=out, chunk=F.floor(F.col(order) / F.lit(CHUNK_BARS)), total=total)
 
 
 class SeriesFrame:
